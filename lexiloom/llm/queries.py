@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import pieces
+from . import chat, pieces, token_counts
 
-QUERIES = {"op1_pieces": pieces.op1_pieces}
+QUERIES = {"op1_pieces": pieces.op1_pieces, "op4_token_counts": token_counts.op4_token_counts, "op10_chat": chat.op10_chat}
 ORACLE: dict[str, str] = {}
