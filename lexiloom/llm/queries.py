@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, pieces, token_counts
+from . import chat, packing, pieces, token_counts, token_files
 
-QUERIES = {"op1_pieces": pieces.op1_pieces, "op4_token_counts": token_counts.op4_token_counts, "op10_chat": chat.op10_chat}
+QUERIES = {
+    "op1_pieces": pieces.op1_pieces,
+    "op2_token_files": token_files.op2_token_files,
+    "op4_token_counts": token_counts.op4_token_counts,
+    "op9_packing": packing.op9_packing,
+    "op10_chat": chat.op10_chat,
+}
 ORACLE: dict[str, str] = {}
