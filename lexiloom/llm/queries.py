@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, packing, pieces, token_counts, token_files
+from . import chat, fingerprints, packing, pieces, token_counts, token_files
 
 QUERIES = {
     "op1_pieces": pieces.op1_pieces,
     "op2_token_files": token_files.op2_token_files,
     "op4_token_counts": token_counts.op4_token_counts,
+    "op6_fingerprints": fingerprints.op6_fingerprints,
     "op9_packing": packing.op9_packing,
     "op10_chat": chat.op10_chat,
 }
