@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprints, packing, pieces, token_counts, token_files
+from . import chat, fingerprints, packing, pieces, quality, token_counts, token_files
 
 QUERIES = {
     "op1_pieces": pieces.op1_pieces,
     "op2_token_files": token_files.op2_token_files,
+    "op3_quality": quality.op3_quality,
     "op4_token_counts": token_counts.op4_token_counts,
     "op6_fingerprints": fingerprints.op6_fingerprints,
     "op9_packing": packing.op9_packing,
     "op10_chat": chat.op10_chat,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op3_quality": quality.ORACLE_SQL}
