@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprints, packing, pieces, quality, token_counts, token_files
+from . import chat, fingerprints, near_dedup, packing, pieces, quality, token_counts, token_files
 
 QUERIES = {
     "op1_pieces": pieces.op1_pieces,
     "op2_token_files": token_files.op2_token_files,
     "op3_quality": quality.op3_quality,
     "op4_token_counts": token_counts.op4_token_counts,
+    "op5_near_dedup": near_dedup.op5_near_dedup,
     "op6_fingerprints": fingerprints.op6_fingerprints,
     "op9_packing": packing.op9_packing,
     "op10_chat": chat.op10_chat,
