@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprints, near_dedup, packing, pieces, quality, suffix_dedup, token_counts, token_files
+from . import chat, fingerprints, near_dedup, packing, pieces, pii, quality, suffix_dedup, token_counts, token_files
 
 QUERIES = {
     "op1_pieces": pieces.op1_pieces,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_near_dedup": near_dedup.op5_near_dedup,
     "op6_fingerprints": fingerprints.op6_fingerprints,
     "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
+    "op8_pii": pii.op8_pii,
     "op9_packing": packing.op9_packing,
     "op10_chat": chat.op10_chat,
 }
