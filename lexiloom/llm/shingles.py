@@ -33,6 +33,14 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of byte ranges, equal for equal bytes."""
+    up, down = _powers(1 << max(20, int(len(data)).bit_length()))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
 def word_hashes(texts: list[str], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all words, text after text, and the bounds of each text's words (one more than texts)."""
     encoded = [t.encode() for t in texts]
@@ -42,9 +50,7 @@ def word_hashes(texts: list[str], lower: bool = False) -> tuple[np.ndarray, np.n
     blank = _BLANK[data]
     starts = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
     ends = np.flatnonzero(blank & np.concatenate([[False], ~blank[:-1]]))
-    up, down = _powers(1 << max(20, int(len(data)).bit_length()))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)])])
-    hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    hashes = span_hashes(data, starts, ends)
     text_starts = np.concatenate([[0], np.cumsum([len(e) + 1 for e in encoded])])
     return hashes, np.searchsorted(starts, text_starts)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 #: Entries before the cache starts anew; about 200 bytes each.
-MAX_WORDS = 1_000_000
+MAX_WORDS = 400_000
 
 
 class WordCache(dict):
