@@ -34,7 +34,7 @@ LENGTH, GRAM = 100, 32
 _WIDTH = LENGTH - GRAM + 1  # anchors to choose from in a string
 HOT, FAMILY = 5000, 8
 #: Start positions per block of a long text; contexts settled together in a task; bytes of contexts in one suffix array.
-BLOCK, SETTLED, ARRAY_BYTES = 1 << 20, 400_000, 2 << 20
+BLOCK, SETTLED, ARRAY_BYTES = 1 << 20, 200_000, 1 << 18
 NO_ID = -(2**63)
 _INDEX = np.uint64(22)
 
@@ -240,7 +240,7 @@ def repeats_in(pieces: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, np.nda
     inside = np.arange(len(piece)) - np.repeat(np.cumsum(counts) - counts, counts)
     begin = (np.cumsum(sizes) - sizes)[piece] + inside
     room = sizes[piece] - inside
-    suffixes = data[begin[:, None] + np.arange(width)]
+    suffixes = np.lib.stride_tricks.sliding_window_view(data, width)[begin]
     suffixes[np.arange(width) >= room[:, None]] = 0
     order = np.argsort(np.ascontiguousarray(suffixes).view(f"S{width}").ravel(), kind="stable")
     # S-strings end at their trailing zeros, which only changes the order of suffixes with real zero bytes: equal ones stay neighbours
