@@ -4,10 +4,11 @@ Every distinct shingle set gets a minwise signature. In each of ``TREES`` indepe
 path chooses, two branches a level, so sets that agree on the tokens of a whole path meet in its node. At Jaccard similarity 0.8 a pair
 meets in a tree of three levels with probability 0.94, in at least one of four trees with 0.99999. Nodes with the same members count once.
 
-Nodes that are still large branch two levels further. Members of a node are compared by 256-byte sketches; what may reach the threshold
-(four standard errors allowed) is confirmed on the full sets of the texts. The first round follows one candidate of every member, for large
-nodes the pair with the least member, and joins what is confirmed into components. The second round looks only at nodes whose members still lie
-in different components and takes every pair across them, in blocks where a node is large, so no link is lost and dense groups need no pairs.
+Nodes that are still large branch two levels further. Members of a node are compared by 256-byte sketches, with four standard errors of
+allowance; members of nodes that stay large count as alike. Sets that are alike along any chain form a *cluster*. Clusters, which are families of copies, are
+then compared exhaustively on the full sets of the texts. A small cluster is one group; a large one is dealt to blocks, each with the
+cluster's least member, and afterwards those outside its main component are compared with all others, block by block. Groups give back a spanning
+star of each of their components, never all pairs, so no link between different components is lost and dense groups stay linear.
 
 Texts without words, null texts among them, have an empty set and are linked with nothing. Equal sets are one vertex. Ids are the vertices:
 rows that repeat an id share its component. Rows without an id are not linked, their component is null and they are kept. Empty tables give no row;
@@ -29,7 +30,7 @@ from .components import connected_components
 from .shingles import mix, shingle_hashes
 
 TREES, COORDINATES, SKETCH = 4, 24, 256
-#: Members of a node that are compared in one piece.
+#: Members of a node or cluster that are compared in one group.
 NODE = 400
 #: Standard errors of the sketch's estimate by which a pair may miss the threshold and still be confirmed on full sets.
 ERRORS = 4.0
@@ -139,132 +140,148 @@ def _estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (agree - 1 / 256) / (1 - 1 / 256)
 
 
-def _pairs_in_groups(rows: DataFrame, threshold: float, every: bool) -> DataFrame:
-    """Candidate pairs ``a, b`` (a < b) from ``node, id, label, side, sketch``, sorted by node: groups of bounded size.
-
-    With ``every``, all pairs across labels (and across sides, where sides differ); else one earlier member for each member: the first
-    that is clearly alike, or the likest.
-    """
-    cut = threshold - ERRORS * (threshold * (1 - threshold) / SKETCH) ** 0.5
-
-    def of(group: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        ids, labels, sides = (np.array([r[k] for r in group], np.int64) for k in (0, 1, 2))
-        sketches = np.frombuffer(b"".join(r[3] for r in group), np.uint8).reshape(len(group), -1)
-        near = _estimates(sketches, sketches)
-        if every:
-            fits = (near >= cut) & (labels[:, None] != labels[None, :]) & (ids[:, None] < ids[None, :])
-            if sides.any():
-                one, two = (sides & 1).astype(bool), (sides & 2).astype(bool)
-                fits &= (one[:, None] & two[None, :]) | (two[:, None] & one[None, :])
-            a, b = np.nonzero(fits)
-            return ids[a], ids[b]
-        order = np.argsort(ids, kind="stable")
-        ids, near = ids[order], near[np.ix_(order, order)]
-        near[np.triu_indices(len(ids))] = -1.0
-        first = np.argmax(near >= (1 + threshold) / 2, axis=1)
-        sure = near[np.arange(len(ids)), first] >= (1 + threshold) / 2
-        best = np.where(sure, first, np.argmax(near, axis=1))
-        b = np.flatnonzero(near[np.arange(len(ids)), best] >= cut)
-        return ids[best[b]], ids[b]
+def _least_reachable(linked: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric matrix the least row of its component."""
+    label = np.arange(len(linked))
+    while True:
+        near = np.where(linked, label[None, :], len(linked)).min(axis=1)
+        new = np.minimum(label, near)
+        new = np.minimum(new, new[new])
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _by_group(rows: DataFrame, group: str, columns: list[str], links_of) -> DataFrame:
+    """Apply ``links_of(list of rows) -> (a, b)`` to each group; groups are of bounded size and come one after the other."""
+    ordered = rows.select(group, *columns).repartition(group).sortWithinPartitions(group, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, group = None, []
+        here, held = None, []
         for batch in batches:
-            found: list[tuple[np.ndarray, np.ndarray]] = []
-            for node, *row in zip(*(batch.column(c).to_pylist() for c in ("node", "id", "label", "side", "sketch")), strict=True):
-                if node != here:
-                    if len(group) > 1:
-                        found.append(of(group))
-                    here, group = node, []
-                group.append(tuple(row))
+            found = []
+            for key, *row in zip(*(batch.column(c).to_pylist() for c in (group, *columns)), strict=True):
+                if key != here:
+                    if len(held) > 1:
+                        found.append(links_of(held))
+                    here, held = key, []
+                held.append(row)
             if found:
                 yield _as_pairs(found)
-        if len(group) > 1:
-            yield _as_pairs([of(group)])
+        if len(held) > 1:
+            yield _as_pairs([links_of(held)])
 
-    return rows.select("node", "id", "label", "side", "sketch").mapInArrow(run, "a long, b long")
+    return ordered.mapInArrow(run, "a long, b long")
 
 
 def _as_pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in (0, 1)], names=["a", "b"])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found]).astype(np.int64)) for k in (0, 1)], names=["a", "b"])
 
 
-def _grouped(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    return rows.join(sets.select("id", "sketch"), "id").repartition("node").sortWithinPartitions("node", "id")
+def _stars(ids: np.ndarray, linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    label = _least_reachable(linked)
+    others = np.flatnonzero(label != np.arange(len(label)))
+    return ids[label[others]], ids[others]
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, words: int, lower: bool, threshold: int) -> DataFrame:
-    """Those of the pairs whose full sets reach ``threshold`` percent."""
-    needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = materialise(docs.select("doc_id", "text").join(needed, "doc_id", "left_semi").distinct(), "texts")
-    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+def _alike(share: float):
+    cut = share - ERRORS * (share * (1 - share) / SKETCH) ** 0.5
+
+    def links_of(rows: list) -> tuple[np.ndarray, np.ndarray]:
+        sketches = np.frombuffer(b"".join(r[1] for r in rows), np.uint8).reshape(len(rows), -1)
+        return _stars(np.array([r[0] for r in rows], np.int64), _estimates(sketches, sketches) >= cut)
+
+    return links_of
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text_a"):
-                keep = []
-                for x, y in zip(shingle_hashes(texts_of(part, "text_a"), words, lower), shingle_hashes(texts_of(part, "text_b"), words, lower), strict=True):
-                    x, y = np.unique(x), np.unique(y)
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(100 * common >= threshold * (len(x) + len(y) - common) > 0)
-                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
+def linked_sets(sets: list[np.ndarray], threshold: int) -> np.ndarray:
+    """Which pairs of sets reach the threshold, by exact intersection sizes."""
+    n, sizes = len(sets), np.array([len(s) for s in sets], np.int64)
+    tokens = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    owner = np.repeat(np.arange(n), sizes)
+    common = np.zeros((n, n), np.float32)
+    step = max(1, 8_000_000 // n)
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], owner[order]
+    top = int(tokens[-1]) + 1 if len(tokens) else 0
+    for low in range(0, top, step):
+        a, b = np.searchsorted(tokens, (low, low + step))
+        has = np.zeros((n, min(step, top - low)), np.float32)
+        has[owner[a:b], tokens[a:b] - low] = 1
+        common += has @ has.T
+    common = np.rint(common).astype(np.int64)
+    return (100 * common >= threshold * (sizes[:, None] + sizes[None, :] - common)) & (sizes > 0)[:, None] & (sizes > 0)[None, :]
+
+
+def _exact(words: int, lower: bool, threshold: int):
+    def links_of(rows: list) -> tuple[np.ndarray, np.ndarray]:
+        """Rows are ``id, label, text``; members of one component need no link."""
+        ids, labels = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
+        linked = linked_sets([np.unique(h) for h in shingle_hashes([r[2] for r in rows], words, lower)], threshold)
+        return _stars(ids, linked & ((labels[:, None] != labels[None, :]) | (ids[:, None] == ids[None, :])) | np.eye(len(ids), dtype=bool))
+
+    return links_of
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80, lower: bool = True) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row."""
-    share = threshold / 100
     rows = materialise(document_sets(docs, words, lower), "sets")
     full = rows.filter("set_hash IS NOT NULL AND doc_id IS NOT NULL")
     sets = materialise(full.groupBy("set_hash").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "vertices")
 
+    clusters = materialise(_clusters(sets, threshold / 100), "clusters")
+    labels = _components(clusters, docs, words, lower, threshold)
+
+    known = materialise(sets.select("set_hash", "id").join(labels, "id", "left").select("set_hash", F.coalesce("label", "id").alias("component")), "components")
+    out = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_hash")).alias("set_hash")).join(known, "set_hash", "left")
+    out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _clusters(sets: DataFrame, share: float) -> DataFrame:
+    """``id, cluster`` of all sets that have a candidate."""
     paths = _paths(sets)
     nodes = materialise(_nodes(paths), "nodes")
     members = materialise(paths.join(nodes, "node"), "members")
-    large = members.filter(F.col("n") > NODE)
-    deep = materialise(_deeper(large, sets), "deeper")
+    deep = materialise(_deeper(members.filter(F.col("n") > NODE), sets), "deeper")
     deep_nodes = materialise(_nodes(deep), "nodes")
     members = members.filter(F.col("n") <= NODE).unionByName(deep.join(deep_nodes, "node"))
-    members = materialise(members.select("node", "id", "n", "least"), "members")
-
-    small = members.filter(F.col("n") <= NODE).select("node", "id", F.col("id").alias("label"), F.lit(0).alias("side"))
     stars = members.filter((F.col("n") > NODE) & (F.col("least") != F.col("id"))).select(F.col("least").alias("a"), F.col("id").alias("b"))
-    first = materialise(_pairs_in_groups(_grouped(small, sets), share, False).union(stars).distinct(), "pairs")
-    links = materialise(confirm(first, docs, words, lower, threshold), "links")
-    labels = connected_components(links)
-
-    second = materialise(_across(members, labels, sets, share).join(first, ["a", "b"], "left_anti"), "pairs")
-    if not second.isEmpty():
-        more = materialise(confirm(second, docs, words, lower, threshold), "links")
-        if not more.isEmpty():
-            labels = connected_components(links.union(more))
+    compared = members.filter(F.col("n") <= NODE).select("node", "id").join(sets.select("id", "sketch"), "id")
+    alike = _by_group(compared, "node", ["id", "sketch"], _alike(share))
+    return connected_components(alike.union(stars)).select("id", F.col("label").alias("cluster"))
 
-    known = materialise(sets.select("set_hash", "id").join(labels.select("id", "label"), "id", "left").select("set_hash", F.coalesce("label", "id").alias("component")), "components")
-    out = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_hash")).alias("set_hash")).join(known, "set_hash", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
-
-def _across(members: DataFrame, labels: DataFrame, sets: DataFrame, share: float) -> DataFrame:
-    """All candidate pairs across components within nodes."""
-    labelled = members.join(labels, "id", "left").select("node", "id", "n", F.coalesce("label", "id").alias("label"))
-    labelled = materialise(labelled, "labelled")
-    open_nodes = labelled.groupBy("node").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("node", "low")
-    labelled = materialise(labelled.join(open_nodes, "node"), "open")
-    small = labelled.filter(F.col("n") <= NODE).select("node", "id", "label", F.lit(0).alias("side"))
-    # large nodes: those outside the least component, in blocks, against all, in blocks; both halves of a comparison fit one group
+def _components(clusters: DataFrame, docs: DataFrame, words: int, lower: bool, threshold: int) -> DataFrame:
+    """``id, label`` by exact comparison within clusters."""
+    exact = _exact(words, lower, threshold)
+    # the one shuffle of all texts; the hint keeps its way the same at every size
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(clusters.hint("merge"), "id")
+    texts = materialise(texts.select("id", "cluster", F.coalesce("text", F.lit("")).alias("text")), "texts")
     half = NODE // 2
-    large = labelled.filter(F.col("n") > NODE)
-    outside = large.filter("label <> low")
-    sizes = materialise(large.groupBy("node").agg(F.count("*").alias("all_n"), F.sum((F.col("label") != F.col("low")).cast("long")).alias("out_n")), "sizes")
-    blocks = lambda n: F.ceil(F.col(n) / (half // 2)).cast("int")  # noqa: E731  hashed blocks are of uneven size
-    key = lambda i, j: F.xxhash64("node", i, j)
-    one = outside.join(sizes, "node").withColumn("i", F.pmod(F.xxhash64("id"), blocks("out_n"))).withColumn("j", F.explode(F.sequence(F.lit(0), blocks("all_n") - 1)))
-    two = large.join(sizes, "node").withColumn("j", F.pmod(F.xxhash64("id", F.lit(1)), blocks("all_n"))).withColumn("i", F.explode(F.sequence(F.lit(0), blocks("out_n") - 1)))
-    block = one.select(key(F.col("i").cast("int"), F.col("j").cast("int")).alias("node"), "id", "label", F.lit(1).alias("side")).union(two.select(key(F.col("i").cast("int"), F.col("j").cast("int")).alias("node"), "id", "label", F.lit(2).alias("side")))
-    block = block.groupBy("node", "id", "label").agg(F.sum("side").cast("int").alias("side"))
-    return _pairs_in_groups(_grouped(small.union(block), sets), share, True).distinct()
+    sizes = materialise(texts.groupBy("cluster").agg(F.count("*").alias("size")), "sizes")
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / half).cast("int"))
+
+    sized = texts.join(sizes, "cluster").withColumn("blocks", F.when(F.col("size") > NODE, blocks("size")).otherwise(1))
+    own = F.array(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    everywhere = F.sequence(F.lit(0), F.col("blocks") - 1)
+    dealt = sized.withColumn("block", F.explode(F.when(F.col("id") == F.col("cluster"), everywhere).otherwise(own)))
+    dealt = dealt.select(F.xxhash64("cluster", "block").alias("group"), "id", F.col("id").alias("label"), "text")
+    links = materialise(_by_group(dealt, "group", ["id", "label", "text"], exact).distinct(), "links")
+    labels = connected_components(links)
+
+    large = sized.filter(F.col("size") > NODE).join(labels, "id", "left").select("id", "cluster", "text", "size", F.coalesce("label", "id").alias("label"))
+    large = materialise(large, "large")
+    counts = large.groupBy("cluster", "label").agg(F.count("*").alias("n"))
+    main = materialise(counts.groupBy("cluster").agg(F.max_by("label", F.struct("n", "label")).alias("main"), (F.sum("n") - F.max("n")).alias("rest")).filter("rest > 0"), "main")
+    if main.isEmpty():
+        return labels
+    open_rows = large.join(main, "cluster")
+    outside = open_rows.filter("label <> main").withColumn("i", F.pmod(F.xxhash64("id"), blocks("rest")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), blocks("size") - 1)))
+    every = open_rows.withColumn("j", F.pmod(F.xxhash64("id", F.lit(1)), blocks("size")).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), blocks("rest") - 1)))
+    pairs = outside.unionByName(every).select(F.xxhash64("cluster", "i", "j").alias("group"), "id", "label", "text")
+    more = materialise(_by_group(pairs, "group", ["id", "label", "text"], exact).distinct(), "links")
+    return labels if more.isEmpty() else connected_components(links.union(more))
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
