@@ -284,5 +284,11 @@ def _components(clusters: DataFrame, docs: DataFrame, words: int, lower: bool, t
     return labels if more.isEmpty() else connected_components(links.union(more))
 
 
+def drop_near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80) -> DataFrame:
+    """``docs`` without those whose component has a smaller id."""
+    gone = near_duplicates(docs, words, threshold).filter("NOT kept").select("doc_id").distinct()
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=2)

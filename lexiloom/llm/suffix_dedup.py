@@ -411,6 +411,35 @@ def kept_bytes(raw: bytes, starts: list[int], ends: list[int]) -> bytes:
     return b"".join(raw[a:b] for a, b in zip([0, *ends], [*starts, len(raw)], strict=True))
 
 
+def whole_characters(raw: bytes, starts: list[int], ends: list[int]) -> tuple[list[int], list[int]]:
+    """Ranges shrunk so that no UTF-8 character is cut."""
+    inside = lambda i: i < len(raw) and raw[i] & 0xC0 == 0x80
+    out = []
+    for a, b in zip(starts, ends, strict=True):
+        while inside(a):
+            a += 1
+        while inside(b):
+            b -= 1
+        if a < b:
+            out.append((a, b))
+    return [a for a, _ in out], [b for _, b in out]
+
+
+def remove_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` with cut texts, and ``n_chars``, where there is such a column, counted anew. Null texts become empty."""
+    schema = docs.schema
+    counted = "n_chars" in schema.names
+
+    def emit(part: pa.RecordBatch, raws: list[bytes], cuts: list[tuple[list[int], list[int]]]) -> pa.RecordBatch:
+        texts = [kept_bytes(r, *whole_characters(r, *c)).decode() for r, c in zip(raws, cuts, strict=True)]
+        new = {"text": pa.array(texts, part.column("text").type)}
+        if counted:
+            new["n_chars"] = pa.array(map(len, texts), part.column("n_chars").type)
+        return pa.RecordBatch.from_arrays([new.get(n, part.column(n)) for n in schema.names], names=schema.names)
+
+    return cut_repeats(docs, emit, schema)
+
+
 def _digest(part: pa.RecordBatch, raws: list[bytes], cuts: list[tuple[list[int], list[int]]]) -> pa.RecordBatch:
     columns = [[len(r) for r in raws], [sum(b) - sum(a) for a, b in cuts], [len(a) for a, _ in cuts]]
     shas = [hashlib.sha256(kept_bytes(r, *c)).hexdigest() for r, c in zip(raws, cuts, strict=True)]

@@ -1,0 +1,122 @@
+import datetime
+import hashlib
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from lexiloom.llm import pii
+
+KEY = "lexiloom"
+
+
+def feistel(a, b, left, right, tweak):
+    """The network written plainly."""
+    for i in range(pii.ROUNDS):
+        noise = int(hashlib.md5(f"{KEY}|{tweak}|{i}|{left}|{right}|{b}".encode()).hexdigest()[:14], 16)
+        a, b = b, (a + noise) % (left if i % 2 == 0 else right)
+    return a, b
+
+
+def digits(text, tweak):
+    high = len(text) // 2
+    a, b = feistel(int(text[:high]), int(text[high:]), 10**high, 10 ** (len(text) - high), tweak)
+    return f"{a:0{high}d}{b:0{len(text) - high}d}"
+
+
+def luhn(text):
+    total = 0
+    for i, c in enumerate(reversed(text)):
+        d = int(c) * (1 + i % 2)
+        total += d - 9 * (d > 9)
+    return total % 10 == 0
+
+
+def with_check(body):
+    return next(body + str(c) for c in range(10) if luhn(body + str(c)))
+
+
+def brute(kind, value):
+    if kind == "card":
+        return with_check(digits(value[:-1], "card"))
+    if kind == "ipv4":
+        p = list(map(int, value.split(".")))
+        a, b = feistel(p[0] * 256 + p[1], p[2] * 256 + p[3], 65536, 65536, "ipv4")
+        return f"{a // 256}.{a % 256}.{b // 256}.{b % 256}"
+    if kind == "phone":
+        new = iter(digits(re.sub(r"\D", "", value[2:]), "phone"))
+        return value[:2] + "".join(next(new) if c.isdigit() else c for c in value[2:])
+    if kind == "date":
+        n = (datetime.date.fromisoformat(value) - datetime.date(1900, 1, 1)).days
+        a, b = feistel(n // 270, n % 270, 270, 270, "date")
+        return str(datetime.date(1900, 1, 1) + datetime.timedelta(a * 270 + b))
+    area, group, serial = map(int, value.split("-"))
+    a, b = feistel((area - 1 - (area > 666)) * 99 + group - 1, serial - 1, 898 * 99, 9999, "ssn")
+    area = a // 99 + 1
+    return f"{area + (area >= 666):03d}-{a % 99 + 1:02d}-{b + 1:04d}"
+
+
+def value(rnd, kind):
+    if kind == "card":
+        return with_check("".join(rnd.choice("123456789") for _ in range(rnd.choice([12, 14, 15, 18]))))
+    if kind == "ipv4":
+        return ".".join(str(rnd.randint(0, 255)) for _ in range(4))
+    if kind == "phone":
+        return f"+1 ({rnd.randint(0, 999):03d}) 555-{rnd.randint(0, 9999):04d}"
+    if kind == "date":
+        return str(datetime.date(1900, 1, 1) + datetime.timedelta(rnd.randrange(72900)))
+    return f"{rnd.choice([1, 77, 665, 667, 899]):03d}-{rnd.randint(1, 99):02d}-{rnd.randint(1, 9999):04d}"
+
+
+def masked(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "n_masked_ long, text string")
+    return {r.n_masked_: (r.text, r.n_masked) for r in pii.mask_personal_data(docs).collect()}
+
+
+def test_pseudonyms_equal_the_plain_network(spark):
+    rnd, texts, want = random.Random(1), [], []
+    for _ in range(150):
+        plain, new, n = [], [], 0
+        for _ in range(rnd.randint(1, 5)):
+            kind = rnd.choice(["card", "ipv4", "phone", "date", "ssn"])
+            v = value(rnd, kind)
+            sign = rnd.choice([" ", ", ", ".\n", "é ", "###"])
+            plain.append(f"wörd {v}{sign}" if sign[0] != "é" else f"wörd {v} {sign}")
+            new.append(plain[-1].replace(v, brute(kind, v)))
+            n += brute(kind, v) != v
+        texts.append("".join(plain))
+        want.append(("".join(new), n))
+    got = masked(spark, texts)
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_what_does_not_validate_stays(spark):
+    texts = ["4539578763621487", "300.1.1.1", "1.2.3.4.5", "v1.2.3.4", "2023-02-29", "666-12-1234 900-11-1111 123-00-1111", "12345678901234567890", "1234", "+1 22", "DE00370400440532013000", "31/02/2020", None, "", "a" * 5000, "x@y", "0000000000000000", "45/45/2020"]
+    assert masked(spark, texts) == {i: (t, 0) for i, t in enumerate(texts)}
+
+
+def test_other_forms_keep_theirs(spark):
+    texts = ["4539 5787 6362 1486 or 4539-5787-6362-1486", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "31/12/1999 and 12/31/1999", 'TOKEN = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"!!', "a.b-c@mail7.example.com. A.B-C@mail7.example.com"]
+    got = [masked(spark, texts)[i][0] for i in range(len(texts))]
+    cards = [re.sub(r"\D", "", x) for x in got[0].split(" or ")]
+    assert cards[0] == cards[1] == brute("card", "4539578763621486") and got[0][4] == " " and got[0].split(" or ")[1][4] == "-"
+    for before, after in zip(texts[1:3], got[1:3]):
+        plain = after.replace(" ", "")
+        assert before != after and re.sub(r"\d", "9", before) == re.sub(r"\d", "9", after)
+        assert int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+    assert [bool(datetime.datetime.strptime(d, f)) for d, f in zip(got[3].split(" and "), ("%d/%m/%Y", "%m/%d/%Y"))] == [True, True]
+    assert re.fullmatch(r'TOKEN = "[0-9a-f]{40}"!!', got[4]) and "9233A8" not in got[4]
+    first, second = got[5].split(". ")
+    assert first == second and "mail7" not in first
+
+
+@pytest.mark.parametrize("n", [2, 3])
+def test_digits_are_permuted(spark, n):
+    all_of = spark.range(10**n).select(F.lpad(F.col("id").cast("string"), n, "0").alias("d"))
+    assert all_of.select(pii.permute_digits(F.col("d"), "x", KEY).alias("p")).distinct().count() == 10**n
+
+
+def test_empty_table_and_columns(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, _x int")
+    assert pii.mask_personal_data(docs).columns == ["doc_id", "text", "_x", "n_masked"] and pii.mask_personal_data(docs).count() == 0
