@@ -4,5 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from . import views
+
 QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {}
+_VIEWS = {"segments": views.SEGMENTS, "doc_segments": views.DOC_SEGMENTS, "frames": views.FRAMES, "arcs": views.ARCS, "vectors": views.VECTORS, "order_lines": views.ORDER_LINES}
+
+
+def query(sql: str | None = None, *uses: str) -> Callable:
+    """Register a query under its function's name; ``uses`` names derived tables that the SQL needs."""
+
+    def register(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            heads = [_VIEWS[u] for u in uses]
+            body = sql.strip()
+            if heads:
+                body = f"WITH {', '.join(heads)}" + (f", {body[5:]}" if body[:5].upper() == "WITH " else f" {body}")
+            ORACLE[f.__name__] = body
+        return f
+
+    return register
+
+
+from . import queries_counts, queries_corpus, queries_frames, queries_models, queries_slots, queries_transcripts  # noqa: E402, F401  they register themselves
