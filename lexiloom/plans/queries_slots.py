@@ -133,12 +133,12 @@ def slot_entropy(spark, sf_dir):
     return slots.slot_entropy(_cn(spark, sf_dir)).withColumn("entropy", F.round("entropy", 5) + 0.0)
 
 
-@query(f"""WITH {_CN}, a AS (SELECT segment_id, slot, label, sum(p) AS p FROM (SELECT segment_id, slot, label, 0.6180339 * posterior AS p FROM cn UNION ALL SELECT segment_id, slot, upper(left(label, 1)), 0.3819661 * posterior FROM cn) GROUP BY ALL)
+@query(f"""WITH {_CN}, a AS (SELECT segment_id, slot, label, sum(p) AS p FROM (SELECT segment_id, slot, label, 0.7071067811865476 * posterior AS p FROM cn UNION ALL SELECT segment_id, slot, upper(left(label, 1)), 0.2928932188134524 * posterior FROM cn) GROUP BY ALL)
 SELECT segment_id, slot, label, round(p / sum(p) OVER (PARTITION BY segment_id, slot), 6) AS posterior FROM a""", "arcs")
 def combine_cns(spark, sf_dir):
     cn = _cn(spark, sf_dir)
     other = cn.withColumn("label", F.upper(F.left("label", F.lit(1))))
-    return _rounded(slots.combine_cns([cn, other], [0.6180339, 0.3819661]), "posterior")
+    return _rounded(slots.combine_cns([cn, other], [0.7071067811865476, 0.2928932188134524]), "posterior")
 
 
 @query(f"WITH {_CN} SELECT segment_id, slot, label, round(posterior ** 0.7 / sum(posterior ** 0.7) OVER (PARTITION BY segment_id, slot), 6) AS posterior FROM cn", "arcs")
