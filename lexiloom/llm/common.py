@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +29,27 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/lexiloom-{name}-{uuid.uuid4().hex}"
 
 
+#: Lists that are noting the paths of intermediate tables: see ``noted``.
+_NOTES: list[list[str]] = []
+
+
+@contextmanager
+def noted() -> Iterator[list[str]]:
+    """Collect the paths that are written meanwhile, for ``remove_path`` once nothing reads them any more."""
+    paths: list[str] = []
+    _NOTES.append(paths)
+    try:
+        yield paths
+    finally:
+        _NOTES.remove(paths)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read again: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    for paths in _NOTES:
+        paths.append(path)
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
