@@ -44,14 +44,14 @@ def noted() -> Iterator[list[str]]:
         _NOTES.remove(paths)
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write to the shared folder and read again: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     for paths in _NOTES:
         paths.append(path)
     schema = df.schema
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(schema).parquet(path)
 
 

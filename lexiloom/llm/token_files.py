@@ -82,7 +82,7 @@ def ranked_ids(encoded: DataFrame, tokenizer: str) -> DataFrame:
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None) -> None:
     """Encode all texts and write the file set."""
     spark = docs.sparkSession
-    encoded = materialise(encode_ids(docs, tokenizer, end_id), "ids")
+    encoded = materialise(encode_ids(docs, tokenizer, end_id), "ids", "zstd")
     # a row for each id of the vocabulary at most, whatever the corpus
     counts = ranked_ids(encoded, tokenizer).collect()
     encoder = library_encoder(tokenizer)
@@ -111,7 +111,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int |
     # the sampling of the range partitioner reads the written ids, so nothing is encoded twice
     ordered = encoded.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
     spark.createDataFrame([(r, int(i)) for r, i in enumerate(id_of_rank.tolist())], "rank long, id long").coalesce(1).write.parquet(f"{path}/ranks")
-    ordered.mapInArrow(run, "shard long, doc_id long, start long, n_tokens long, control binary, data binary").write.parquet(f"{path}/shards")
+    ordered.mapInArrow(run, "shard long, doc_id long, start long, n_tokens long, control binary, data binary").write.parquet(f"{path}/shards", compression="zstd")
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
