@@ -152,3 +152,48 @@ def cart_apply(rows: DataFrame, tree: dict, name: str = "leaf") -> DataFrame:
         return F.lit(node) if isinstance(node, int) else F.when(node["question"], walk(node["yes"])).otherwise(walk(node["no"]))
 
     return rows.withColumn(name, walk(tree))
+
+
+def _matrix(cells: DataFrame, value: str):
+    """The d x d matrix of a lower triangle ``i, j, value``; d does not grow with the corpus."""
+    import numpy as np
+
+    rows = cells.select("i", "j", F.col(value).alias("v")).collect()
+    d = 1 + max(r.i for r in rows)
+    out = np.zeros((d, d))
+    for r in rows:
+        out[r.i, r.j] = out[r.j, r.i] = r.v
+    return out
+
+
+def _as_table(spark, vectors, values) -> DataFrame:
+    cells = [(k, i, float(vectors[i, k]), float(values[k])) for k in range(vectors.shape[1]) for i in range(vectors.shape[0])]
+    return spark.createDataFrame(cells, "component int, dim int, weight double, value double")
+
+
+def pca(cov: DataFrame, k: int) -> DataFrame:
+    """``component, dim, weight, value``: the k largest eigenvectors of a covariance table, signs by their largest entry."""
+    import numpy as np
+
+    values, vectors = np.linalg.eigh(_matrix(cov, "v"))
+    vectors = vectors[:, ::-1][:, :k]
+    vectors = vectors * np.sign(vectors[np.abs(vectors).argmax(axis=0), np.arange(k)])
+    return _as_table(cov.sparkSession, vectors, values[::-1][:k])
+
+
+def lda(scatter: DataFrame, k: int) -> DataFrame:
+    """The k leading solutions of ``between v = value within v`` by Cholesky whitening of the d x d matrices."""
+    import numpy as np
+
+    low = np.linalg.cholesky(_matrix(scatter, "within"))
+    inverse = np.linalg.inv(low)
+    values, vectors = np.linalg.eigh(inverse @ _matrix(scatter, "between") @ inverse.T)
+    vectors = (inverse.T @ vectors)[:, ::-1][:, :k]
+    vectors = vectors * np.sign(vectors[np.abs(vectors).argmax(axis=0), np.arange(k)])
+    return _as_table(scatter.sparkSession, vectors, values[::-1][:k])
+
+
+def project(vectors: DataFrame, components: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, component, y``: vectors times components; the components are a small model and broadcast."""
+    spread = vectors.select(*keys, F.posexplode("x").alias("dim", "v"))
+    return spread.join(F.broadcast(components), "dim").groupBy(*keys, "component").agg(F.sum(F.col("v") * F.col("weight")).alias("y"))

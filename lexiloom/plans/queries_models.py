@@ -150,3 +150,15 @@ def split_gain(spark, sf_dir):
 def cart_apply(spark, sf_dir):
     tree = {"question": F.col("lang") == "en", "yes": {"question": F.col("n_chars") > 1000, "yes": 1, "no": 2}, "no": 3}
     return models.cart_apply(views.read(spark, sf_dir, "documents"), tree).groupBy("leaf").agg(F.count("*").alias("n"))
+
+
+@query(None)
+def pca(spark, sf_dir):
+    v = views.vectors(spark, sf_dir)
+    return models.project(v, models.pca(models.covariance(v, 8), 2), ["vec_id"])
+
+
+@query(None)
+def lda(spark, sf_dir):
+    v = views.vectors(spark, sf_dir)
+    return models.project(v, models.lda(models.scatter_matrices(v, 8), 2), ["vec_id"])

@@ -91,3 +91,21 @@ def test_noise(spark):
     rows = [("[NOISE] uh a  b [X]", "a b"), ("uh uh", ""), ("uhm", "uhm"), ("", "")]
     data = spark.createDataFrame(rows, "orth string, want string")
     assert data.filter(transcripts.strip_noise(F.col("orth")) != F.col("want")).isEmpty()
+
+
+def test_projections(spark):
+    import numpy as np
+
+    rnd = np.random.default_rng(4)
+    x = rnd.normal(size=(300, 3)) @ np.diag([1.0, 3.0, 0.5]) + rnd.integers(0, 3, (300, 1)) * np.array([2.0, 0.0, 0.0])
+    label = rnd.integers(0, 3, 300)
+    data = spark.createDataFrame([(i, int(label[i]), x[i].tolist()) for i in range(300)], "vec_id int, label int, x array<double>")
+    top = {r.dim: (r.weight, r.value) for r in models.pca(models.covariance(data, 3), 1).collect()}
+    values, vectors = np.linalg.eigh(np.cov(x.T, bias=True))
+    assert top[0][1] == pytest.approx(values[-1]) and abs(sum(top[d][0] * vectors[d, -1] for d in range(3))) == pytest.approx(1)
+    found = {r.dim: (r.weight, r.value) for r in models.lda(models.scatter_matrices(data, 3), 1).collect()}
+    means = [x[label == c].mean(axis=0) for c in range(3)]
+    between = sum((label == c).sum() * np.outer(means[c] - x.mean(axis=0), means[c] - x.mean(axis=0)) for c in range(3))
+    within = sum((x[label == c] - means[c]).T @ (x[label == c] - means[c]) for c in range(3))
+    v = np.array([found[d][0] for d in range(3)])
+    assert between @ v == pytest.approx(found[0][1] * (within @ v), rel=1e-6, abs=1e-6)
