@@ -27,4 +27,4 @@ def query(sql: str | None = None, *uses: str) -> Callable:
     return register
 
 
-from . import queries_counts, queries_corpus, queries_frames, queries_lattice, queries_models, queries_slots, queries_transcripts  # noqa: E402, F401  they register themselves
+from . import queries_alignment, queries_counts, queries_corpus, queries_frames, queries_lattice, queries_models, queries_slots, queries_transcripts  # noqa: E402, F401  they register themselves
