@@ -62,8 +62,9 @@ def remove_path(spark: SparkSession, path: str) -> None:
 
 
 def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Arrow batches of at most ``rows`` rows: texts of a few KB then make batches of a few MB."""
+    """Arrow batches of at most ``rows`` rows and about 16 MB, so that very long texts do not pile up."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
