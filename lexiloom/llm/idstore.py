@@ -6,7 +6,7 @@ import numpy as np
 
 _FREE = np.uint64(0)
 #: Entries before the store starts anew.
-LIMIT = 4_000_000
+LIMIT = 2_000_000
 
 
 class IdStore:

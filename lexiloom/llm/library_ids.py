@@ -33,7 +33,7 @@ _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 _PRINTABLE = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xFF and b != 0xAD]
 _BYTE_SIGNS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 #: Pre-tokens kept as strings.
-MAX_PARTS = 500_000
+MAX_PARTS = 250_000
 _SPACE_SIGN, _LINE_SIGN = chr(_BYTE_SIGNS[0x20]), chr(_BYTE_SIGNS[0x0A])
 
 
