@@ -1,8 +1,8 @@
 """Operator 3: quality rules and a hashed n-gram log-likelihood ratio.
 
 Character trigrams are hashed to buckets. Two multinomials over the buckets get add-one smoothing: the raw corpus, counted over all
-documents, and the trusted target, counted over a bounded sample of the documents labelled quality 1 and not toxic, so that the sample's
-ids can be broadcast and no text is shuffled. A document's score is the sum of the buckets'
+documents, and the trusted target, counted over all documents labelled quality 1 and not toxic. For the latter the texts are shuffled once to
+meet the labels; for the threshold, scores meet all labels by id. A document's score is the sum of the buckets'
 log ratios over its number of trigrams. The threshold lies a quarter of the way from the mean score of
 documents labelled good to that of documents labelled bad, both among those that pass the base rules: good texts vary little, bad ones
 much. Without labels of both kinds it is ``DEFAULT_THRESHOLD``; without trusted documents every score is 0.
@@ -30,9 +30,6 @@ from .common import bounded_batches, materialise, slices, texts_of
 
 BUCKETS = 1 << 16
 SCALE = 1 << 16
-#: The trusted target and the threshold are fitted on at most so many labelled documents, those with the least md5 of their id.
-#: Everything else is counted over and applied to all documents.
-LABEL_SAMPLE = 20_000
 #: Per trigram, in 2**-16: used where labels of one kind are missing.
 DEFAULT_THRESHOLD = -SCALE // 4
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -86,28 +83,34 @@ def base_features(text: str) -> tuple[int, int, int, int, int]:
 
 
 def labelled(labels: DataFrame) -> DataFrame:
-    """``doc_id, trusted, good`` of the labelled ids, ``LABEL_SAMPLE`` at most."""
-    marks = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(((F.min("quality") == 1) & (F.coalesce(F.max("toxic"), F.lit(0)) == 0)).alias("trusted"), (F.min("quality") == 1).alias("good"))
-    return marks.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(LABEL_SAMPLE)
+    """``doc_id, trusted, good`` of all labelled ids."""
+    return labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(((F.min("quality") == 1) & (F.coalesce(F.max("toxic"), F.lit(0)) == 0)).alias("trusted"), (F.min("quality") == 1).alias("good"))
 
 
-def bucket_counts(docs: DataFrame, sample: DataFrame) -> DataFrame:
-    """``bucket, raw, target`` over all documents: at most ``BUCKETS`` rows. ``sample`` is that of ``labelled``, of bounded size."""
-    bounded_batches(docs.sparkSession)
-    marked = docs.select("doc_id", "text").join(F.broadcast(sample.filter("trusted").select("doc_id", "trusted")), "doc_id", "left").select("text", F.col("trusted").isNotNull().alias("trusted"))
+def _counted(docs: DataFrame, name: str) -> DataFrame:
+    """``bucket`` and its number of trigrams in the texts: at most ``BUCKETS`` rows a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, BUCKETS), np.int64)
+        total = np.zeros(BUCKETS, np.int64)
         for batch in batches:
             for part in slices(batch, "text"):
-                buckets, sizes = buckets_of(texts_of(part))
-                trusted = np.repeat(part.column("trusted").to_numpy(zero_copy_only=False), sizes)
-                total[0] += np.bincount(buckets, minlength=BUCKETS)
-                total[1] += np.bincount(buckets[trusted], minlength=BUCKETS)
-        seen = np.flatnonzero(total[0])
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[0][seen], pa.int64()), pa.array(total[1][seen], pa.int64())], names=["bucket", "raw", "target"])
+                total += np.bincount(buckets_of(texts_of(part))[0], minlength=BUCKETS)
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen], pa.int64())], names=["bucket", name])
+
+    return docs.select("text").mapInArrow(run, f"bucket int, {name} long")
 
-    return marked.mapInArrow(run, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+
+def bucket_counts(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """``bucket, raw, target`` over all documents: at most ``BUCKETS`` rows. ``marks`` is that of ``labelled``.
+
+    The ids of ``marks`` grow with the input, so they are never broadcast: texts are dealt by id, and each task hashes its share of the marks.
+    """
+    bounded_batches(docs.sparkSession)
+    trusted = docs.select("doc_id", "text").join(marks.filter("trusted").select("doc_id").hint("shuffle_hash"), "doc_id")
+    raw = _counted(docs, "raw").withColumn("target", F.lit(0).cast("long"))
+    target = _counted(trusted, "target").select("bucket", F.lit(0).cast("long").alias("raw"), "target")
+    return raw.union(target).groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
 def log_ratios(counts: list) -> np.ndarray:
@@ -145,20 +148,27 @@ def score_documents(docs: DataFrame, ratios: np.ndarray, carry: list[str]) -> Da
     return chosen.mapInArrow(run, schema).withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, int]:
-    """The buckets' log ratios and the threshold. Only labelled documents of the sample are scored for the latter."""
-    sample = materialise(labelled(labels), "labels")
-    ratios = log_ratios(bucket_counts(docs, sample).collect())
-    known = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    means = score_documents(known, ratios, ["good"]).filter("NOT base_failed").groupBy("good").agg(F.sum("score").alias("total"), F.count("*").alias("n")).collect()  # two rows
+def threshold_of(scored: DataFrame, marks: DataFrame) -> int:
+    """A quarter of the way from the mean score of all documents labelled good to that of all labelled bad, among those that pass the base rules."""
+    means = scored.filter("NOT base_failed").select("doc_id", "score").join(marks.hint("shuffle_hash"), "doc_id").groupBy("good").agg(F.sum("score").alias("total"), F.count("*").alias("n")).collect()  # two rows
     mean = {r.good: r.total / r.n for r in means}
-    return ratios, int(np.floor((3 * mean[True] + mean[False]) / 4)) if len(mean) == 2 else DEFAULT_THRESHOLD
+    return int(np.floor((3 * mean[True] + mean[False]) / 4)) if len(mean) == 2 else DEFAULT_THRESHOLD
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, int, DataFrame]:
+    """The buckets' log ratios, the threshold and, as a table, ``doc_id``, base features and score of every document."""
+    marks = materialise(labelled(labels), "labels")
+    ratios = log_ratios(bucket_counts(docs, marks).collect())
+    scored = materialise(score_documents(docs, ratios, ["doc_id"]), "scores")
+    return ratios, threshold_of(scored, marks), scored
 
 
 def judge(docs: DataFrame, labels: DataFrame, carry: list[str] | None = None) -> DataFrame:
-    """Base features and verdict of every document, beside its id or the columns ``carry``."""
-    ratios, threshold = fit(docs, labels)
-    return score_documents(docs, ratios, carry or ["doc_id"]).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+    """Base features and verdict of every document, beside its id or the columns ``carry``, for which texts are scored again."""
+    ratios, threshold, scored = fit(docs, labels)
+    if carry:
+        scored = score_documents(docs, ratios, carry)
+    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:

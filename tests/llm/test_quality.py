@@ -56,3 +56,26 @@ def test_verdict_and_sql(spark):
     assert quality.judge(docs.limit(0), marks).count() == 0
     none = quality.judge(docs, marks.limit(0)).collect()
     assert len(none) == len(rows) and any(r.kept for r in none)
+
+
+def test_all_labels_count(spark):
+    """Over 20,000 labelled documents: target and threshold are those of all of them."""
+    rnd = random.Random(9)
+    n, words = 20_600, ["one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten"]
+    rows = [(i, " ".join(rnd.choice(words) for _ in range(52)) + (" " + "xyz" * (i % 5) if i % 3 else " #q" * (i % 7))) for i in range(n)]
+    marks = [(i, int(i % 3 > 0), int(i % 10 == 1)) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    buckets, sizes = quality.buckets_of([t for _, t in rows])
+    raw, target = np.ones(quality.BUCKETS), np.ones(quality.BUCKETS)
+    raw += np.bincount(buckets, minlength=quality.BUCKETS)
+    target += np.bincount(buckets[np.repeat([q == 1 and not x for _, q, x in marks], sizes)], minlength=quality.BUCKETS)
+    ratios = np.rint((np.log(target / target.sum()) - np.log(raw / raw.sum())) * quality.SCALE).astype(np.int64)
+    ends = np.cumsum(sizes)
+    sums = np.concatenate([[0], np.cumsum(ratios[buckets])])
+    scores = np.floor((sums[ends] - sums[ends - sizes]) / sizes).astype(np.int64)
+    failed = np.array([100 * brute(t)[4] > 50 * brute(t)[0] for _, t in rows])
+    good = np.array([q == 1 for _, q, _ in marks])
+    bar = np.floor((3 * scores[good & ~failed].mean() + scores[~good & ~failed].mean()) / 4)
+    got = {r.doc_id: (r.score, r.kept) for r in quality.judge(docs, labels).collect()}
+    assert [got[i] for i in range(n)] == list(zip(scores.tolist(), (~failed & (scores >= bar)).tolist(), strict=True))
