@@ -9,8 +9,8 @@ A byte goes if some string of ``LENGTH`` bytes covers it that also starts earlie
 3. Contexts that share an anchor hash but differ come together with their bytes. Their string starts form a (sparse) suffix array with
    common-prefix lengths; a stack scan gives its intervals; those whose occurrences differ to the left are the maximal repeat groups, with
    all occurrences. All but the first occurrence of each are removed.
-   Anchor hashes with over ``HOT`` contexts are split before: each context is cut into families of ``FAMILY`` neighbouring starts, keyed by the bytes
-   that all strings of the family share.
+   Anchor hashes with over ``HOT`` contexts need no array: each of their contexts is cut into its strings of ``LENGTH`` bytes, which are known by a
+   128-bit hash. Each task settles its own strings, and after the shuffle a stream of sorted hashes tells the first from the others: no list of a group.
 4. The removed ranges of a document are united and cut out.
 
 Matches never cross documents. Null texts are empty; texts under ``LENGTH`` bytes stay whole. Rows that repeat an id and text are the same document and get
@@ -20,6 +20,7 @@ the same result. A null id counts as the smallest. Empty tables give no row; oth
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +33,8 @@ from .shingles import _powers, mix
 
 LENGTH, GRAM = 100, 32
 _WIDTH = LENGTH - GRAM + 1  # anchors to choose from in a string
-HOT, FAMILY = 5000, 8
-#: Start positions per block of a long text; contexts settled together in a task; bytes of contexts in one suffix array.
+HOT = 5000
+#: Start positions per block of a long text; contexts or strings settled together in a task; bytes of contexts in one suffix array.
 BLOCK, SETTLED, ARRAY_BYTES = 1 << 20, 200_000, 1 << 18
 NO_ID = -(2**63)
 _INDEX = np.uint64(22)
@@ -288,40 +289,57 @@ def unite(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarr
     return doc[at], start[at], reach[last] - shift[last]
 
 
-_PIECES = "key long, doc long, lo long, data binary"
+#: Bytes of a context; or, without ``data``, a string of a hot anchor by its hash (key, content); or a range that is settled.
+_PIECES = "settled boolean, key long, content long, doc long, lo long, size int, data binary"
 _RANGES = "doc long, start long, end long"
 
 
+def _strings(kind: bool, key: np.ndarray, content: np.ndarray, doc: np.ndarray, lo: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+    arrays = [pa.array(np.full(len(key), kind)), *(pa.array(x) for x in (key, content, doc, lo)), pa.array(size.astype(np.int32)), pa.nulls(len(key), pa.binary())]
+    return pa.RecordBatch.from_arrays(arrays, names=["settled", "key", "content", "doc", "lo", "size", "data"])
+
+
+def _settled_strings(rows: list[tuple[int, int, int, int]]) -> Iterator[pa.RecordBatch]:
+    """Of strings (key, content, doc, lo) the first with their content, and the united ranges of the others."""
+    rows, first = _settle([np.array(c, np.int64) for c in zip(*rows, strict=True)])
+    key, content, doc, lo = (r[first] for r in rows)
+    yield _strings(False, key, content, doc, lo, np.full(len(key), LENGTH))
+    doc, start, end = unite(rows[2][~first], rows[3][~first], rows[3][~first] + LENGTH)
+    spread = mix(doc.astype(np.uint64) + start.astype(np.uint64)).view(np.int64)
+    yield _strings(True, spread, spread, doc, start, end - start)
+
+
 def _bytes_of(opened: DataFrame, docs: DataFrame) -> DataFrame:
-    """The bytes of open contexts, cut into families where their key is hot."""
+    """The bytes of open contexts; where their key is hot, their strings."""
     hot = materialise(opened.groupBy("key").agg(F.count("*").alias("size")).filter(F.col("size") > HOT).select("key", F.lit(True).alias("hot")), "hot")
-    flagged = opened.join(hot, "key", "left").select("doc", F.struct("key", "lo", "n", "offset", F.coalesce("hot", F.lit(False)).alias("hot")).alias("c"))
+    flagged = opened.join(hot, "key", "left").select("doc", F.struct("key", "lo", "n", F.coalesce("hot", F.lit(False)).alias("hot")).alias("c"))
     lists = flagged.groupBy("doc").agg(F.collect_list("c").alias("list"))
     joined = lists.join(_keyed(docs), "doc").select("doc", "text", "list")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        strings: list[tuple[int, int, int, int]] = []
         for batch in batches:
             for part in slices(batch, "text"):
                 rows = []
                 for doc, text, found in zip(part.column("doc").to_pylist(), texts_of(part), part.column("list").to_pylist(), strict=True):
                     raw = text.encode()
                     for c in found:
-                        lo, n, offset = c["lo"], c["n"], c["offset"]
+                        lo, n = c["lo"], c["n"]
                         if lo + n + LENGTH - 1 > len(raw):
                             continue  # another text under the same id
                         if not c["hot"]:
-                            rows.append((c["key"], doc, lo, raw[lo : lo + n + LENGTH - 1]))
+                            rows.append((False, c["key"], 0, doc, lo, n + LENGTH - 1, raw[lo : lo + n + LENGTH - 1]))
                             continue
-                        anchor = lo + offset
-                        for low in range(0, _WIDTH, FAMILY):  # starts from anchor - low - FAMILY + 1 to anchor - low
-                            a, b = max(lo, anchor - low - FAMILY + 1), min(lo + n - 1, anchor - low)
-                            if a <= b:
-                                shared = raw[anchor - low : anchor - low - FAMILY + 1 + LENGTH]
-                                name = hashlib.blake2b(shared + low.to_bytes(2, "little"), digest_size=8).digest()
-                                rows.append((int.from_bytes(name, "little", signed=True), doc, a, raw[a : b + LENGTH]))
+                        for at in range(lo, lo + n):
+                            strings.append((*struct.unpack("<qq", hashlib.blake2b(raw[at : at + LENGTH], digest_size=16).digest()), doc, at))
+                    if len(strings) > SETTLED:
+                        yield from _settled_strings(strings)
+                        strings.clear()
                 if rows:
-                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["key", "doc", "lo", "data"])
+                    kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["settled", "key", "content", "doc", "lo", "size", "data"])
+        if strings:
+            yield from _settled_strings(strings)
 
     return joined.mapInArrow(run, _PIECES)
 
@@ -330,9 +348,21 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
 
 
+def _later(rows: list[np.ndarray], last: tuple | None) -> tuple[np.ndarray, tuple]:
+    """Which of the sorted strings (key, content, doc, lo) are elsewhere than the first with their content; ``last`` is that of the string before and of the last one."""
+    key, content = rows[:2]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (content[1:] != content[:-1])
+    new[0] = last is None or (key[0], content[0]) != last[:2]
+    group = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
+    doc, lo = (np.where(group < 0, last[k] if last else 0, rows[k][group]) for k in (2, 3))
+    return (rows[2] != doc) | (rows[3] != lo), (key[-1], content[-1], doc[-1], lo[-1])
+
+
 def _ranges_of(pieces: DataFrame) -> DataFrame:
     # equal bytes under a key: one row for each, with its first place; the others are settled by the row itself
-    ordered = pieces.repartition("key").sortWithinPartitions("key", "doc", "lo")
+    ordered = pieces.repartition("key").sortWithinPartitions("key", "content", "doc", "lo")
+    ranges = lambda columns: pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["doc", "start", "end"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, held, size, whole = None, [], 0, []  # whole: complete groups that wait for an array of fair size
@@ -355,12 +385,23 @@ def _ranges_of(pieces: DataFrame) -> DataFrame:
             if settled:
                 parts.append(tuple(np.array(c, np.int64) for c in zip(*settled, strict=True)))
             if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in unite(*(np.concatenate([p[k] for p in parts]) for k in range(3)))], names=["doc", "start", "end"])
+                yield ranges(unite(*(np.concatenate([p[k] for p in parts]) for k in range(3))))
             whole, size = [], 0
             settled.clear()
 
         settled: list[tuple[int, int, int]] = []
+        last = None  # key, content, doc, lo of the first of the last strings
         for batch in batches:
+            done, whole_piece = batch.column("settled").to_numpy(zero_copy_only=False), batch.column("data").is_valid().to_numpy(zero_copy_only=False)
+            if done.any():
+                start = batch.column("lo").to_numpy()[done]
+                yield ranges((batch.column("doc").to_numpy()[done], start, start + batch.column("size").to_numpy()[done]))
+            strings = ~done & ~whole_piece
+            if strings.any():
+                rows = [batch.column(c).to_numpy()[strings] for c in ("key", "content", "doc", "lo")]
+                later, last = _later(rows, last)
+                yield ranges(unite(rows[2][later], rows[3][later], rows[3][later] + LENGTH))
+            batch = batch.filter(pa.array(whole_piece))
             for key, doc, lo, data in zip(*(batch.column(c).to_pylist() for c in ("key", "doc", "lo", "data")), strict=True):
                 if key != here:
                     close()

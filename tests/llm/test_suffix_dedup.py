@@ -57,6 +57,25 @@ def test_removal_equals_brute_force(spark, monkeypatch, hot, block):
     assert len(got) == len(rows) + 1 and dict(got) == brute(rows)
 
 
+def test_hot_edges_make_no_large_group(spark, monkeypatch):
+    """A passage in every text: the groups at its edges, where contexts differ, are never gathered beyond ``HOT``."""
+    monkeypatch.setattr(sd, "HOT", 20)
+    rnd = random.Random(2)
+    noise = lambda n: "".join(rnd.choice("abcdefghijklmnop") for _ in range(n))
+    passage = noise(240)
+    rows = [(i, noise(130) + passage + noise(130)) for i in range(300)]
+    kept = sd._bytes_of
+
+    def watched(opened, docs):
+        pieces = kept(opened, docs).cache()
+        groups = pieces.filter("data IS NOT NULL").groupBy("key").count().agg({"count": "max"}).first()[0]
+        assert (groups or 0) <= sd.HOT
+        return pieces
+
+    monkeypatch.setattr(sd, "_bytes_of", watched)
+    assert dict(result(spark, rows)) == brute(rows)
+
+
 def test_empty(spark):
     assert result(spark, []) == []
 
