@@ -14,7 +14,7 @@ A byte goes if some string of ``LENGTH`` bytes covers it that also starts earlie
 4. The removed ranges of a document are united and cut out.
 
 Matches never cross documents. Null texts are empty; texts under ``LENGTH`` bytes stay whole. Rows that repeat an id and text are the same document and get
-the same result. A null id counts as the smallest. Empty tables give no row; other columns are ignored. Very long texts are read in blocks.
+the same result; other texts under one id, or without id, are documents of their own, told apart by a hash and in its order. A null id counts as the smallest. Empty tables give no row; other columns are ignored. Very long texts are read in blocks.
 """
 
 from __future__ import annotations
@@ -37,6 +37,8 @@ HOT = 5000
 #: Start positions per block of a long text; contexts or strings settled together in a task; bytes of contexts in one suffix array.
 BLOCK, SETTLED, ARRAY_BYTES = 1 << 20, 200_000, 1 << 18
 NO_ID = -(2**63)
+#: A document: its id, and a hash of its text.
+_DOC = np.dtype([("doc", np.int64), ("mark", np.int64)])
 _INDEX = np.uint64(22)
 
 
@@ -88,13 +90,38 @@ def blocks_of(texts: list[str]) -> tuple[list[bytes], list[int], list[int]]:
     return blobs, firsts, owners
 
 
-def _ids(column: pa.Array) -> np.ndarray:
-    return column.fill_null(NO_ID).to_numpy(zero_copy_only=False)
+def _docs_of(batch: pa.RecordBatch) -> np.ndarray:
+    out = np.empty(batch.num_rows, _DOC)
+    for name in _DOC.names:
+        out[name] = batch.column(name).to_numpy()
+    return out
+
+
+def _doc_arrays(doc: np.ndarray) -> list[pa.Array]:
+    return [pa.array(np.ascontiguousarray(doc[name])) for name in _DOC.names]
+
+
+def _order(*columns: np.ndarray) -> np.ndarray:
+    """The order by the columns, the first one foremost."""
+    plain = [part for c in columns for part in ([c[name] for name in c.dtype.names] if c.dtype.names else [c])]
+    return np.lexsort(plain[::-1])
+
+
+def _carried(column: np.ndarray, group: np.ndarray, last) -> np.ndarray:
+    """The value of each row's group; ``last`` where the group began in an earlier batch."""
+    out = column[group]
+    if last is not None:
+        out[group < 0] = last
+    return out
+
+
+def _spread(doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    return mix(doc["mark"].astype(np.uint64) + start.astype(np.uint64))
 
 
 def _settle(rows: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
     """Sort contexts (key, content, doc, lo, ...) and tell which are the first with their content."""
-    order = np.lexsort((rows[3], rows[2], rows[1], rows[0]))
+    order = _order(*rows[:4])
     rows = [r[order] for r in rows]
     first = np.ones(len(order), bool)
     first[1:] = (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])
@@ -105,17 +132,18 @@ def _settle(rows: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
     return [r[~same] for r in rows], first[~same]
 
 
-_FOUND = "settled boolean, key long, content long, doc long, lo long, n int, offset int"
+_FOUND = "settled boolean, key long, content long, doc long, mark long, lo long, n int, offset int"
 
 
 def _found(settled: bool, rows: list[np.ndarray]) -> pa.RecordBatch:
-    arrays = [pa.array(np.full(len(rows[0]), settled)), *(pa.array(r.view(np.int64) if r.dtype == np.uint64 else r) for r in rows[:4]), pa.array(rows[4].astype(np.int32)), pa.array(rows[5].astype(np.int32))]
-    return pa.RecordBatch.from_arrays(arrays, names=["settled", "key", "content", "doc", "lo", "n", "offset"])
+    whole = lambda r: pa.array(r.view(np.int64) if r.dtype == np.uint64 else r)
+    arrays = [pa.array(np.full(len(rows[0]), settled)), whole(rows[0]), whole(rows[1]), *_doc_arrays(rows[2]), whole(rows[3]), pa.array(rows[4].astype(np.int32)), pa.array(rows[5].astype(np.int32))]
+    return pa.RecordBatch.from_arrays(arrays, names=["settled", "key", "content", "doc", "mark", "lo", "n", "offset"])
 
 
 def _ranges_found(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
     """Removed ranges in the form of settled contexts; their keys only spread them."""
-    key = mix(doc.astype(np.uint64) + start.astype(np.uint64))
+    key = _spread(doc, start)
     return _found(True, [key, key, doc, start, end - start - LENGTH + 1, np.zeros(len(doc), np.int32)])
 
 
@@ -137,7 +165,7 @@ def contexts(docs: DataFrame) -> DataFrame:
             for part in slices(batch, "text"):
                 blobs, firsts, owners = blocks_of(texts_of(part))
                 if blobs:
-                    ids = _ids(part.column("doc_id"))[np.array(owners)]
+                    ids = _docs_of(part)[np.array(owners)]
                     for a, b in _runs([len(x) for x in blobs]):
                         c = Contexts(blobs[a:b], firsts[a:b])
                         held.append([c.key, c.content, ids[a:b][c.blob], c.lo, c.n, c.offset])
@@ -145,7 +173,7 @@ def contexts(docs: DataFrame) -> DataFrame:
                     yield from flush()
         yield from flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, _FOUND)
+    return _keyed(docs).mapInArrow(run, _FOUND)
 
 
 def _runs(sizes: list[int]) -> Iterator[tuple[int, int]]:
@@ -162,7 +190,7 @@ def _runs(sizes: list[int]) -> Iterator[tuple[int, int]]:
 
 def open_contexts(found: DataFrame) -> DataFrame:
     """Settled ranges, and of other contexts the first ones of keys with different contents."""
-    ordered = found.repartition("key").sortWithinPartitions("key", "content", "doc", "lo")
+    ordered = found.repartition("key").sortWithinPartitions("key", "content", "doc", "mark", "lo")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # key, content, doc, lo of the last first context
@@ -174,7 +202,7 @@ def open_contexts(found: DataFrame) -> DataFrame:
                 batch = batch.filter(pa.array(~done))
             if not batch.num_rows:
                 continue
-            rows = [batch.column(c).to_numpy() for c in ("key", "content", "doc", "lo", "n", "offset")]
+            rows = [_docs_of(batch) if c == "doc" else batch.column(c).to_numpy() for c in ("key", "content", "doc", "lo", "n", "offset")]
             key, content = rows[0], rows[1]
             before_key, before_content = np.roll(key, 1), np.roll(content, 1)
             new_key, new = key != before_key, (key != before_key) | (content != before_content)
@@ -182,8 +210,7 @@ def open_contexts(found: DataFrame) -> DataFrame:
             new[0] = new_key[0] or content[0] != last[1]
             firsts = np.flatnonzero(new)
             group = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
-            doc0 = np.where(group < 0, last[2] if last else 0, rows[2][group])
-            lo0 = np.where(group < 0, last[3] if last else 0, rows[3][group])
+            doc0, lo0 = (_carried(rows[k], group, last and last[k]) for k in (2, 3))
             settled = ~new & ((rows[2] != doc0) | (rows[3] != lo0))
             if settled.any():
                 yield _ranges_found(*unite(rows[2][settled], rows[3][settled], (rows[3] + rows[4] + LENGTH - 1)[settled]))
@@ -233,7 +260,7 @@ def maximal_repeats(lcp: np.ndarray, left: np.ndarray, least: int) -> Iterator[t
 def repeats_in(pieces: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Removed ranges ``doc, start, end`` among contexts ``doc, lo, bytes``."""
     sizes = np.array([len(p[2]) for p in pieces], np.int64)
-    docs, los = np.array([p[0] for p in pieces], np.int64), np.array([p[1] for p in pieces], np.int64)
+    docs, los = np.array([p[0] for p in pieces], _DOC), np.array([p[1] for p in pieces], np.int64)
     width = int(sizes.max())
     data = np.frombuffer(b"".join(p[2] for p in pieces) + bytes(width), np.uint8)
     counts = sizes - LENGTH + 1
@@ -252,7 +279,7 @@ def repeats_in(pieces: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, np.nda
     left = np.where(inside > 0, data[np.maximum(begin[order] - 1, 0)].astype(np.int16), -1)
     doc, start = docs[piece], los[piece] + inside
     place = np.empty(len(doc), np.int64)
-    place[np.lexsort((start, doc))] = np.arange(len(doc))
+    place[_order(doc, start)] = np.arange(len(doc))
     out_at, out_length = [], []
     # most intervals are pairs: these at once
     joined = np.concatenate([[False], lcp[1:] >= LENGTH, [False]])
@@ -278,7 +305,7 @@ def unite(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarr
     """Unite overlapping and touching ranges of each document."""
     if not len(doc):
         return doc, start, end
-    order = np.lexsort((start, doc))
+    order = _order(doc, start)
     doc, start, end = doc[order], start[order], end[order]
     number = np.concatenate([[0], np.cumsum(doc[1:] != doc[:-1])]).astype(np.int64)
     shift = number * (int(end.max()) + 2)
@@ -290,45 +317,43 @@ def unite(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarr
 
 
 #: Bytes of a context; or, without ``data``, a string of a hot anchor by its hash (key, content); or a range that is settled.
-_PIECES = "settled boolean, key long, content long, doc long, lo long, size int, data binary"
-_RANGES = "doc long, start long, end long"
+_PIECES = "settled boolean, key long, content long, doc long, mark long, lo long, size int, data binary"
+_RANGES = "doc long, mark long, start long, end long"
 
 
 def _strings(kind: bool, key: np.ndarray, content: np.ndarray, doc: np.ndarray, lo: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
-    arrays = [pa.array(np.full(len(key), kind)), *(pa.array(x) for x in (key, content, doc, lo)), pa.array(size.astype(np.int32)), pa.nulls(len(key), pa.binary())]
-    return pa.RecordBatch.from_arrays(arrays, names=["settled", "key", "content", "doc", "lo", "size", "data"])
+    arrays = [pa.array(np.full(len(key), kind)), pa.array(key), pa.array(content), *_doc_arrays(doc), pa.array(lo), pa.array(size.astype(np.int32)), pa.nulls(len(key), pa.binary())]
+    return pa.RecordBatch.from_arrays(arrays, names=["settled", "key", "content", "doc", "mark", "lo", "size", "data"])
 
 
-def _settled_strings(rows: list[tuple[int, int, int, int]]) -> Iterator[pa.RecordBatch]:
+def _settled_strings(rows: list[tuple[int, int, tuple[int, int], int]]) -> Iterator[pa.RecordBatch]:
     """Of strings (key, content, doc, lo) the first with their content, and the united ranges of the others."""
-    rows, first = _settle([np.array(c, np.int64) for c in zip(*rows, strict=True)])
+    rows, first = _settle([np.array(list(c), t) for c, t in zip(zip(*rows, strict=True), (np.int64, np.int64, _DOC, np.int64), strict=True)])
     key, content, doc, lo = (r[first] for r in rows)
     yield _strings(False, key, content, doc, lo, np.full(len(key), LENGTH))
     doc, start, end = unite(rows[2][~first], rows[3][~first], rows[3][~first] + LENGTH)
-    spread = mix(doc.astype(np.uint64) + start.astype(np.uint64)).view(np.int64)
+    spread = _spread(doc, start).view(np.int64)
     yield _strings(True, spread, spread, doc, start, end - start)
 
 
 def _bytes_of(opened: DataFrame, docs: DataFrame) -> DataFrame:
     """The bytes of open contexts; where their key is hot, their strings."""
     hot = materialise(opened.groupBy("key").agg(F.count("*").alias("size")).filter(F.col("size") > HOT).select("key", F.lit(True).alias("hot")), "hot")
-    flagged = opened.join(hot, "key", "left").select("doc", F.struct("key", "lo", "n", F.coalesce("hot", F.lit(False)).alias("hot")).alias("c"))
-    lists = flagged.groupBy("doc").agg(F.collect_list("c").alias("list"))
-    joined = lists.join(_keyed(docs), "doc").select("doc", "text", "list")
+    flagged = opened.join(hot, "key", "left").select("doc", "mark", F.struct("key", "lo", "n", F.coalesce("hot", F.lit(False)).alias("hot")).alias("c"))
+    lists = flagged.groupBy("doc", "mark").agg(F.collect_list("c").alias("list"))
+    joined = lists.join(_keyed(docs), ["doc", "mark"]).select("doc", "mark", "text", "list")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        strings: list[tuple[int, int, int, int]] = []
+        strings: list[tuple[int, int, tuple[int, int], int]] = []
         for batch in batches:
             for part in slices(batch, "text"):
                 rows = []
-                for doc, text, found in zip(part.column("doc").to_pylist(), texts_of(part), part.column("list").to_pylist(), strict=True):
+                for doc, text, found in zip(_docs_of(part).tolist(), texts_of(part), part.column("list").to_pylist(), strict=True):
                     raw = text.encode()
                     for c in found:
                         lo, n = c["lo"], c["n"]
-                        if lo + n + LENGTH - 1 > len(raw):
-                            continue  # another text under the same id
                         if not c["hot"]:
-                            rows.append((False, c["key"], 0, doc, lo, n + LENGTH - 1, raw[lo : lo + n + LENGTH - 1]))
+                            rows.append((False, c["key"], 0, *doc, lo, n + LENGTH - 1, raw[lo : lo + n + LENGTH - 1]))
                             continue
                         for at in range(lo, lo + n):
                             strings.append((*struct.unpack("<qq", hashlib.blake2b(raw[at : at + LENGTH], digest_size=16).digest()), doc, at))
@@ -336,8 +361,8 @@ def _bytes_of(opened: DataFrame, docs: DataFrame) -> DataFrame:
                         yield from _settled_strings(strings)
                         strings.clear()
                 if rows:
-                    kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["settled", "key", "content", "doc", "lo", "size", "data"])
+                    kinds = (pa.bool_(), *[pa.int64()] * 5, pa.int32(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["settled", "key", "content", "doc", "mark", "lo", "size", "data"])
         if strings:
             yield from _settled_strings(strings)
 
@@ -345,7 +370,8 @@ def _bytes_of(opened: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("mark"), text.alias("text"))
 
 
 def _later(rows: list[np.ndarray], last: tuple | None) -> tuple[np.ndarray, tuple]:
@@ -355,21 +381,21 @@ def _later(rows: list[np.ndarray], last: tuple | None) -> tuple[np.ndarray, tupl
     new[1:] = (key[1:] != key[:-1]) | (content[1:] != content[:-1])
     new[0] = last is None or (key[0], content[0]) != last[:2]
     group = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
-    doc, lo = (np.where(group < 0, last[k] if last else 0, rows[k][group]) for k in (2, 3))
+    doc, lo = (_carried(rows[k], group, last and last[k]) for k in (2, 3))
     return (rows[2] != doc) | (rows[3] != lo), (key[-1], content[-1], doc[-1], lo[-1])
 
 
 def _ranges_of(pieces: DataFrame) -> DataFrame:
     # equal bytes under a key: one row for each, with its first place; the others are settled by the row itself
-    ordered = pieces.repartition("key").sortWithinPartitions("key", "content", "doc", "lo")
-    ranges = lambda columns: pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["doc", "start", "end"])
+    ordered = pieces.repartition("key").sortWithinPartitions("key", "content", "doc", "mark", "lo")
+    ranges = lambda columns: pa.RecordBatch.from_arrays([*_doc_arrays(columns[0]), *map(pa.array, columns[1:])], names=["doc", "mark", "start", "end"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, held, size, whole = None, [], 0, []  # whole: complete groups that wait for an array of fair size
 
         def close() -> None:
             nonlocal held
-            seen: dict[bytes, tuple[int, int]] = {}
+            seen: dict[bytes, tuple[tuple[int, int], int]] = {}
             for doc, lo, data in held:
                 if data not in seen:
                     seen[data] = (doc, lo)
@@ -383,26 +409,26 @@ def _ranges_of(pieces: DataFrame) -> DataFrame:
             nonlocal size, whole
             parts = [repeats_in(whole)] if whole else []
             if settled:
-                parts.append(tuple(np.array(c, np.int64) for c in zip(*settled, strict=True)))
+                parts.append(tuple(np.array(list(c), t) for c, t in zip(zip(*settled, strict=True), (_DOC, np.int64, np.int64), strict=True)))
             if parts:
                 yield ranges(unite(*(np.concatenate([p[k] for p in parts]) for k in range(3))))
             whole, size = [], 0
             settled.clear()
 
-        settled: list[tuple[int, int, int]] = []
+        settled: list[tuple[tuple[int, int], int, int]] = []
         last = None  # key, content, doc, lo of the first of the last strings
         for batch in batches:
             done, whole_piece = batch.column("settled").to_numpy(zero_copy_only=False), batch.column("data").is_valid().to_numpy(zero_copy_only=False)
             if done.any():
                 start = batch.column("lo").to_numpy()[done]
-                yield ranges((batch.column("doc").to_numpy()[done], start, start + batch.column("size").to_numpy()[done]))
+                yield ranges((_docs_of(batch)[done], start, start + batch.column("size").to_numpy()[done]))
             strings = ~done & ~whole_piece
             if strings.any():
-                rows = [batch.column(c).to_numpy()[strings] for c in ("key", "content", "doc", "lo")]
+                rows = [(_docs_of(batch) if c == "doc" else batch.column(c).to_numpy())[strings] for c in ("key", "content", "doc", "lo")]
                 later, last = _later(rows, last)
                 yield ranges(unite(rows[2][later], rows[3][later], rows[3][later] + LENGTH))
             batch = batch.filter(pa.array(whole_piece))
-            for key, doc, lo, data in zip(*(batch.column(c).to_pylist() for c in ("key", "doc", "lo", "data")), strict=True):
+            for key, doc, lo, data in zip(batch.column("key").to_pylist(), _docs_of(batch).tolist(), batch.column("lo").to_pylist(), batch.column("data").to_pylist(), strict=True):
                 if key != here:
                     close()
                     here = key
@@ -417,13 +443,13 @@ def _ranges_of(pieces: DataFrame) -> DataFrame:
 
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
-    """``doc, ranges`` (start and end in bytes, not yet united) of documents with repeated passages."""
+    """``doc, mark, ranges`` (start and end in bytes, not yet united) of documents with repeated passages."""
     found = contexts(docs)
     opened = materialise(open_contexts(found), "contexts")
     settled = opened.filter("settled")
-    spans = settled.select("doc", F.col("lo").alias("start"), (F.col("lo") + F.col("n") + LENGTH - 1).alias("end"))
+    spans = settled.select("doc", "mark", F.col("lo").alias("start"), (F.col("lo") + F.col("n") + LENGTH - 1).alias("end"))
     compared = _ranges_of(_bytes_of(opened.filter("NOT settled").drop("settled", "content"), docs))
-    return spans.union(compared).groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
+    return spans.union(compared).groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
 
 
 def cut_repeats(docs: DataFrame, emit, schema: str) -> DataFrame:
@@ -431,8 +457,9 @@ def cut_repeats(docs: DataFrame, emit, schema: str) -> DataFrame:
     bounded_batches(docs.sparkSession)
     names = [f.name for f in docs.schema]
     ranges = repeated_ranges(docs)
-    keyed = docs.withColumn("_doc", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("text", F.coalesce("text", F.lit("")))
-    joined = keyed.join(ranges.withColumnRenamed("doc", "_doc").withColumnRenamed("ranges", "_ranges"), "_doc", "left").select(*names, "_ranges")
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.withColumns({"_doc": F.coalesce("doc_id", F.lit(NO_ID)), "_mark": F.xxhash64(text), "text": text})
+    joined = keyed.join(ranges.withColumnsRenamed({"doc": "_doc", "mark": "_mark", "ranges": "_ranges"}), ["_doc", "_mark"], "left").select(*names, "_ranges")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

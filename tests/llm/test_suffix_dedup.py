@@ -76,6 +76,22 @@ def test_hot_edges_make_no_large_group(spark, monkeypatch):
     assert dict(result(spark, rows)) == brute(rows)
 
 
+@pytest.mark.parametrize("hot", [5000, 1])
+def test_texts_under_one_id_are_judged_apart(spark, monkeypatch, hot):
+    """Null and repeated ids: every string stays at one place, and texts without repeats stay whole."""
+    monkeypatch.setattr(sd, "HOT", hot)
+    rnd = random.Random(hot)
+    noise = lambda n: "".join(rnd.choice("abcdefghijklmnop") for _ in range(n))
+    passage, other = noise(200), noise(150)
+    clean = [(None, noise(900)), (7, noise(900))]
+    twice = [(None, noise(500) + passage + noise(90)), (None, noise(500) + passage + noise(120)), (7, noise(300) + other + noise(50)), (7, noise(300) + other + noise(70)), (9, noise(40) + passage)]
+    got = result(spark, [*clean, *twice])
+    whole = [(d, (len(t), 0, 0, hashlib.sha256(t.encode()).hexdigest())) for d, t in clean]
+    assert all(w in got for w in whole)
+    assert sorted(g[1][1] for g in got) == [0, 0, 0, 0, 150, 200, 200]
+    assert [g[1][1] for g in got if g[0] == 9] == [200] and sum(g[1][1] for g in got if g[0] is None) == 200
+
+
 def test_empty(spark):
     assert result(spark, []) == []
 
