@@ -17,9 +17,11 @@ SLICE_BYTES = 1 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``. Where it is unset, a local master gets a temporary one; a cluster has to name its own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-lexiloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -29,36 +31,51 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/lexiloom-{name}-{uuid.uuid4().hex}"
 
 
-#: Lists that are noting the paths of intermediate tables: see ``noted``.
-_NOTES: list[list[str]] = []
+#: For each ``temporary_tables`` block that is open, the paths it will remove.
+_BLOCKS: list[list[str]] = []
+
+
+def note_table(spark: SparkSession, path: str, keep: bool = False) -> None:
+    """A written table goes with the innermost ``temporary_tables`` block, or, with ``keep``, with the one around it; with the session at the latest."""
+    inner = len(_BLOCKS) - 1 - keep
+    if inner >= 0:
+        _BLOCKS[inner].append(path)
+    where, files = _on_files(spark, path)
+    files.deleteOnExit(where)
 
 
 @contextmanager
-def noted() -> Iterator[list[str]]:
-    """Collect the paths that are written meanwhile, for ``remove_path`` once nothing reads them any more."""
+def temporary_tables(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables that are materialised in the block are removed at its end, but for those with ``keep``. The list may be emptied earlier by ``remove_path``."""
     paths: list[str] = []
-    _NOTES.append(paths)
+    _BLOCKS.append(paths)
     try:
         yield paths
     finally:
-        _NOTES.remove(paths)
+        _BLOCKS.pop()
+        for path in paths:
+            remove_path(spark, path)
 
 
-def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+def materialise(df: DataFrame, name: str, compression: str = "snappy", keep: bool = False) -> DataFrame:
     """Write to the shared folder and read again: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    for paths in _NOTES:
-        paths.append(path)
     schema = df.schema
     df.write.parquet(path, compression=compression)
+    note_table(spark, path, keep)
     return spark.read.schema(schema).parquet(path)
 
 
+def _on_files(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a scratch folder through Hadoop's file system, wherever it lies."""
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+    where, files = _on_files(spark, path)
+    files.delete(where, True)
 
 
 def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:

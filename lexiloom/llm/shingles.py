@@ -1,4 +1,4 @@
-"""Word shingles as 64-bit hashes, computed over flat byte arrays.
+"""Word shingles as 64-bit hashes, computed over flat byte arrays. No hash is linear in the bytes, so no texts are known to collide.
 
 Words are what ``[^\\x20\\x09-\\x0D]+`` matches, optionally with A-Z in lower case. A text with fewer words than a shingle has its
 whole sequence as one shingle; a text without words has none.
@@ -6,13 +6,11 @@ whole sequence as one shingle; a text without words has none.
 
 from __future__ import annotations
 
-from functools import lru_cache
+import hashlib
 
 import numpy as np
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_STEP = 0xD6E8FEB86659FD93
+_STEP = np.uint64(0xD6E8FEB86659FD93)
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -26,19 +24,28 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n, _BASE), np.full(n, _BASE_INVERSE)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+_BELOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # masks of the lowest k bytes
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of byte ranges, equal for equal bytes."""
-    up, down = _powers(1 << max(20, int(len(data)).bit_length()))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+def identities(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits that tell byte ranges of one length apart: up to 16 bytes the bytes themselves, beyond that their BLAKE2 digest."""
+    sizes = ends - starts
+    padded = np.concatenate([data, np.zeros(16, np.uint8)])
+    lanes = np.ndarray(len(data) + 9, "<u8", padded, strides=(1,))  # eight bytes from each place
+    low = lanes[starts] & _BELOW[np.minimum(sizes, 8)]
+    high = np.zeros(len(starts), np.uint64)
+    more = np.flatnonzero(sizes > 8)
+    high[more] = lanes[starts[more] + 8] & _BELOW[np.minimum(sizes[more] - 8, 8)]
+    long = np.flatnonzero(sizes > 16)
+    if len(long):
+        view = memoryview(np.ascontiguousarray(data))
+        digests = b"".join([hashlib.blake2b(view[a:b], digest_size=16).digest() for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)])
+        low[long], high[long] = np.frombuffer(digests, "<u8").reshape(-1, 2).T
+    return low, high
+
+
+def hash_identities(low: np.ndarray, high: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    return mix(low + mix(high + mix(sizes.astype(np.uint64) + np.uint64(1))))
 
 
 def word_hashes(texts: list[str], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -50,7 +57,7 @@ def word_hashes(texts: list[str], lower: bool = False) -> tuple[np.ndarray, np.n
     blank = _BLANK[data]
     starts = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
     ends = np.flatnonzero(blank & np.concatenate([[False], ~blank[:-1]]))
-    hashes = span_hashes(data, starts, ends)
+    hashes = hash_identities(*identities(data, starts, ends), ends - starts)
     text_starts = np.concatenate([[0], np.cumsum([len(e) + 1 for e in encoded])])
     return hashes, np.searchsorted(starts, text_starts)
 
@@ -58,19 +65,17 @@ def word_hashes(texts: list[str], lower: bool = False) -> tuple[np.ndarray, np.n
 def shingle_hashes(texts: list[str], size: int, lower: bool = False) -> list[np.ndarray]:
     """The shingles of every text in their order, repeats included."""
     words, bounds = word_hashes(texts, lower)
-    factors = [np.uint64(pow(_STEP, k + 1, 1 << 64)) for k in range(size)]
     n = len(words)
     full = np.zeros(max(0, n - size + 1), np.uint64)
     for k in range(size):
-        full += words[k : n - size + 1 + k] * factors[k]
-    full = mix(full)
+        full = mix(full * _STEP + words[k : n - size + 1 + k])
     out = []
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         if b - a >= size:
             out.append(full[a : b - size + 1])
-        elif b > a:
-            whole = np.uint64(b - a)
-            out.append(mix(np.sum(words[a:b] * np.array(factors[: b - a]), keepdims=True)))
-        else:
-            out.append(np.zeros(0, np.uint64))
+            continue
+        whole = np.zeros(min(1, b - a), np.uint64)
+        for k in range(a, b):
+            whole = mix(whole * _STEP + words[k])
+        out.append(mix(whole + np.uint64(b - a)))
     return out

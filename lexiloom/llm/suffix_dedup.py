@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, materialise, slices, texts_of
-from .shingles import _powers, mix
+from .shingles import mix
 
 LENGTH, GRAM = 100, 32
 _WIDTH = LENGTH - GRAM + 1  # anchors to choose from in a string
@@ -42,6 +43,17 @@ _DOC = np.dtype([("doc", np.int64), ("mark", np.int64)])
 _INDEX = np.uint64(22)
 
 
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
+
+@lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    up, down = np.full(n, _BASE), np.full(n, _BASE_INVERSE)
+    up[0] = down[0] = 1
+    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+
+
 class Contexts:
     """The contexts of a few texts, as arrays."""
 

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialise, scratch_path, slices, texts_of
+from .common import bounded_batches, materialise, note_table, scratch_path, slices, temporary_tables, texts_of
 from .library_ids import library_encoder
 
 #: Lengths minus one of the four ranks of every control byte.
