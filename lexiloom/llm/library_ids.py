@@ -1,7 +1,7 @@
 """Ids of the ``tokenizers`` library for many texts, at the speed of a dictionary.
 
-The words of a slice of texts are hashed (64 bits) by numpy over one flat byte array; the library is asked for those distinct words
-that are not in the worker's store; texts are put together from the words by array gathers. The cut is made only where the pre-tokenizer of the file cannot look across, so the ids are those of the whole text.
+The words of a slice of texts are looked up by numpy over one flat byte array, by their bytes (a 128-bit digest beyond 16); the library is asked for those distinct
+words that are not in the worker's store; texts are put together from the words by array gathers. The cut is made only where the pre-tokenizer of the file cannot look across, so the ids are those of the whole text.
 A new word of Latin letters, perhaps with signs behind them, is two pre-tokens, which the library's own model encodes without the
 rest of its pipeline; other new words go through all of it.
 """
@@ -17,7 +17,7 @@ from functools import lru_cache
 import numpy as np
 
 from .idstore import IdStore
-from .shingles import span_hashes
+from .shingles import hash_identities, identities
 
 #: Begin of the UTF-8 forms of white space beyond ASCII (U+0085, U+00A0, U+1680, U+2000 and following, U+205F, U+3000).
 _WIDE_SPACES = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
@@ -138,22 +138,27 @@ class LibraryEncoder:
             kinds[first] = 2
         else:
             kinds = np.zeros(len(starts), np.uint64)
-        hashes = span_hashes(data, starts, ends) + kinds
+        low, high = identities(data, starts, ends)
+        tags = (ends - starts).astype(np.uint64) * np.uint64(4) + kinds
+        words = np.stack([low, high, tags], axis=1)
+        hashes = hash_identities(low, high, tags)
         bounds = np.searchsorted(starts, np.concatenate([[0], text_ends + 1]))
         if odd.any():
             used = ~np.repeat(odd, np.diff(bounds))
-            starts, ends, hashes, kinds = starts[used], ends[used], hashes[used], kinds[used]
+            starts, ends, hashes, kinds, words = starts[used], ends[used], hashes[used], kinds[used], words[used]
             bounds = np.searchsorted(starts, np.concatenate([[0], text_ends + 1]))
         if self.store.n > self.store.limit:
             self.store.clear()
-        entry = self.store.get(hashes)
+        entry = self.store.get(hashes, words)
         missing = np.flatnonzero(entry < 0)
         if len(missing):
-            new, first = np.unique(hashes[missing], return_index=True)
-            at = missing[first]
+            order = missing[np.lexsort([*words[missing].T, hashes[missing]])]
+            new = np.ones(len(order), bool)
+            new[1:] = (words[order[1:]] != words[order[:-1]]).any(axis=1)
+            at = order[new]
             marks = ("", "\n", "\r") if self.mode == "byte" else ("",)
-            self.store.add(new, self._encode_words([marks[k] + blob[a:b].decode() for k, a, b in zip(kinds[at].tolist(), starts[at].tolist(), ends[at].tolist(), strict=True)]))
-            entry[missing] = self.store.get(hashes[missing])
+            self.store.add(hashes[at], words[at], self._encode_words([marks[k] + blob[a:b].decode() for k, a, b in zip(kinds[at].tolist(), starts[at].tolist(), ends[at].tolist(), strict=True)]))
+            entry[missing] = self.store.get(hashes[missing], words[missing])
         counts = self.store.counts[entry].astype(np.int64)
         ids = gather(self.store.flat, self.store.starts[entry], counts)
         cuts = np.concatenate([[0], np.cumsum(counts)])[bounds].tolist()
