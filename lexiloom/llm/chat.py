@@ -10,9 +10,10 @@ before every backslash, before each ``#`` of ``###`` and before ``</turn>`` (and
 so that no text can imitate a mark and every text can be read back. The loss mask of a message spans an assistant's
 escaped text, in code points.
 
-Null texts and roles count as empty. Deltas for a message that was never opened are dropped. Rows of equal
+A message may be opened again, after a regeneration dropped it or before: its last opening counts. Deltas for a message that was never opened are dropped. Rows of equal
 ``conv_id, turn`` are all kept, ordered by role and text. A null ``conv_id`` is a conversation of its own. Empty tables
-give no row (the query adds conversation -7). A conversation is read as a stream, one message at a time.
+give no row (the query adds conversation -7). Numbering and folding split long conversations by blocks of messages; only the last reading is a
+stream over whole conversations, one message at a time, because its digests are.
 """
 
 from __future__ import annotations
@@ -29,40 +30,68 @@ from .common import bounded_batches, materialise, texts_of
 
 #: Code points of a streamed delta that the query cuts a stored turn into.
 DELTA_CHARS = 400
+#: Messages of a conversation that are numbered or folded in one task.
+BLOCK = 10_000
 PROBE_TEXT = "\\### Assistant: </turn> ok"
 _HEADER = re.compile(r"### ((?:\\.|[^\\:])*): ", re.S)
 _ESCAPED = re.compile(r"\\(.)", re.S)
 _END = re.compile(r"\\.|</turn>\n", re.S)
 
 
+def _before(rows: DataFrame, value: Column, what, order: list, bucket: str, name: str, frame) -> DataFrame:
+    """Add ``what(value)`` over the earlier rows of the conversation: within buckets, and over the buckets before. ``bucket`` grows with ``order``."""
+    by = [F.col("conv_id"), F.col(bucket)]
+    ahead = rows.groupBy(*by).agg(what(value).alias("_v"))
+    ahead = ahead.select(F.col("conv_id").alias("_c"), F.col(bucket).alias("_b"), what("_v").over(Window.partitionBy("conv_id").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)).alias("_ahead"))
+    inside = rows.withColumn("_inside", what(value).over(frame(Window.partitionBy(*by).orderBy(*order))))
+    joined = inside.join(ahead, F.col("conv_id").eqNullSafe(F.col("_c")) & F.col(bucket).eqNullSafe(F.col("_b")))
+    both = F.coalesce("_inside", F.lit(0)) + F.coalesce("_ahead", F.lit(0)) if what is F.sum else F.greatest("_inside", "_ahead")
+    return joined.withColumn(name, both).drop("_inside", "_ahead", "_c", "_b")
+
+
+def number_turns(turns: DataFrame) -> DataFrame:
+    """``conv_id, msg, role, text``: turns numbered from 1 within their conversation, nulls first, ties by role and text."""
+    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.floor(F.col("turn") / BLOCK).alias("_block"))
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
+    return _before(rows, F.lit(1), F.sum, [F.col("turn").asc_nulls_first(), "role", "text"], "_block", "msg", upto).select("conv_id", F.col("msg").cast("long").alias("msg"), "role", "text")
+
+
+def streamed(messages: DataFrame, phase: int, first: Column, text: Column) -> DataFrame:
+    """The log of messages that are begun by a ``first`` row (its kind) and streamed as deltas of ``text``."""
+    cuts = F.sequence(F.lit(0), F.floor((F.length(text) - 1) / DELTA_CHARS).cast("int"))
+    deltas = F.when(F.length(text) > 0, F.transform(cuts, lambda i: text.substr(i * DELTA_CHARS + 1, F.lit(DELTA_CHARS)))).otherwise(F.array().cast("array<string>"))
+    parts = messages.select("conv_id", "msg", "role", first.alias("first"), F.posexplode(F.concat(F.array(F.lit("")), deltas)).alias("part", "text"))
+    begins = F.col("part") == 0
+    return parts.select("conv_id", F.struct(F.lit(phase).alias("phase"), "msg", "part").alias("seq"), F.when(begins, F.col("first")).otherwise("delta").alias("kind"), "msg", F.when(begins, F.col("role")).alias("role"), "text")
+
+
 def turns_to_events(turns: DataFrame) -> DataFrame:
-    """A log with one ``open`` and the streamed ``delta`` rows of every turn of ``conv_id, turn, role, text``."""
-    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
-    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
-    turns = turns.select("conv_id", "turn", role.alias("role"), text.alias("text")).withColumn("msg", F.row_number().over(order).cast("long"))
-    cuts = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / DELTA_CHARS).cast("int"))
-    deltas = F.when(F.length("text") > 0, F.transform(cuts, lambda i: F.col("text").substr(i * DELTA_CHARS + 1, F.lit(DELTA_CHARS)))).otherwise(F.array().cast("array<string>"))
-    parts = turns.select("conv_id", "msg", "role", F.posexplode(F.concat(F.array(F.lit("")), deltas)).alias("part", "text"))
-    return parts.select("conv_id", F.struct("msg", "part").alias("seq"), F.when(F.col("part") == 0, "open").otherwise("delta").alias("kind"), "msg", F.when(F.col("part") == 0, F.col("role")).alias("role"), "text")
+    """A log that ends in ``conv_id, turn, role, text``: turns are opened and streamed; a third of them as a draft, reversed, that is then edited; and half of the
+    conversations are regenerated from their second message on, which is streamed again and whose successors are opened again."""
+    messages = number_turns(turns)
+    drafted = F.pmod(F.xxhash64("conv_id", "msg"), F.lit(3)) == 1
+    once = streamed(messages, 0, F.lit("open"), F.when(drafted, F.reverse("text")).otherwise(F.col("text")))
+    edits = messages.filter(drafted).select("conv_id", F.struct(F.lit(0).alias("phase"), "msg", F.lit(2**31 - 1).alias("part")).alias("seq"), F.lit("edit").alias("kind"), "msg", F.lit(None).cast("string").alias("role"), "text")
+    again = messages.filter((F.pmod(F.xxhash64("conv_id"), F.lit(2)) == 1) & (F.col("msg") > 1))
+    return once.unionByName(edits).unionByName(streamed(again, 1, F.when(F.col("msg") == 2, "regenerate").otherwise("open"), F.col("text")))
 
 
 def fold_events(events: DataFrame) -> DataFrame:
     """Final messages ``conv_id, msg, role, text``.
 
-    One exchange by conversation serves all windows. A message needs its own rows together, the conversation is only streamed.
+    What decides is found on one light row for each message; texts are shuffled once, by message.
     """
-    message = Window.partitionBy("conv_id", "msg")
-    before = Window.partitionBy("conv_id").orderBy("msg").rangeBetween(Window.unboundedPreceding, -1)
     kind, seq = F.col("kind"), F.col("seq")
-    marked = (
-        events.withColumn("_regenerated", F.max(F.when(kind == "regenerate", seq)).over(before))
-        .withColumn("_opened", F.min(F.when(kind == "open", F.struct("seq", "role"))).over(message))
-        .withColumn("_reset", F.max(F.when(kind.isin("edit", "regenerate"), seq)).over(message))
-    )
-    dropped = F.coalesce(F.col("_regenerated") > F.col("_opened.seq"), F.lit(False))
-    live = marked.filter(F.col("_opened").isNotNull() & ~dropped & (F.col("_reset").isNull() | (seq >= F.col("_reset"))))
+    light = events.groupBy("conv_id", "msg").agg(
+        F.max(F.when(kind == "open", F.struct("seq", "role"))).alias("opened"), F.max(F.when(kind.isin("open", "edit", "regenerate"), seq)).alias("begin"), F.max(F.when(kind == "regenerate", seq)).alias("again")
+    ).withColumn("_block", F.floor(F.col("msg") / BLOCK))
+    earlier = lambda w: w.rangeBetween(Window.unboundedPreceding, -1)
+    light = _before(light, F.col("again"), F.max, ["msg"], "_block", "dropped", earlier)
+    alive = light.filter(F.col("opened").isNotNull() & ~F.coalesce(F.col("dropped") > F.col("opened.seq"), F.lit(False)))
+    alive = alive.select(F.col("conv_id").alias("_c"), F.col("msg").alias("_m"), "begin", F.coalesce("opened.role", F.lit("")).alias("_role"))
+    live = events.drop("role").join(alive, F.col("conv_id").eqNullSafe(F.col("_c")) & F.col("msg").eqNullSafe(F.col("_m"))).filter(seq >= F.col("begin"))
     pieces = F.sort_array(F.collect_list(F.struct("seq", F.coalesce("text", F.lit("")).alias("text"))))
-    return live.groupBy("conv_id", "msg").agg(F.coalesce(F.first("_opened.role"), F.lit("")).alias("role"), F.array_join(F.transform(pieces, lambda x: x["text"]), "").alias("text"))
+    return live.groupBy("conv_id", "msg").agg(F.first("_role").alias("role"), F.array_join(F.transform(pieces, lambda x: x["text"]), "").alias("text"))
 
 
 def escape(text: Column) -> Column:
