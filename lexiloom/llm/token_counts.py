@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, scratch_path, slices, texts_of
+from .common import bounded_batches, note_table, scratch_path, slices, texts_of
 
 CACHE_SCHEMA = "tokenizer binary, digest binary, n_tokens long"
 #: Added to the tokenizer's digest; raised when the way of counting changes.
@@ -66,16 +66,26 @@ def encode_misses(misses: DataFrame, path: str) -> DataFrame:
     return misses.select("digest", "text").mapInArrow(run, "digest binary, n_tokens long")
 
 
-def token_counts(docs: DataFrame, path: str, cache_path: str) -> DataFrame:
-    """``doc_id, n_bytes, n_tokens``; what the cache at ``cache_path`` lacks is appended to it."""
-    spark = docs.sparkSession
+def _keyed(docs: DataFrame, path: str) -> DataFrame:
+    return docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), normalised(F.col("text"), path).alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
+
+
+def fill_cache(docs: DataFrame, path: str, cache_path: str) -> None:
+    """Append the counts of the contents that the cache at ``cache_path`` lacks."""
     version = tokenizer_digest(path)
-    keyed = docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), normalised(F.col("text"), path).alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
-    stored = _stored(spark, cache_path, version)
-    known = keyed if stored is None else keyed.join(stored, "digest", "left_anti")
-    misses = known.select("digest", "text").dropDuplicates(["digest"])
+    # copies collapse before the shuffle; the join with the cache keeps that partitioning
+    misses = _keyed(docs, path).select("digest", "text").dropDuplicates(["digest"])
+    stored = _stored(docs.sparkSession, cache_path, version)
+    if stored is not None:
+        misses = misses.join(stored, "digest", "left_anti")
     encode_misses(misses, path).select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache_path)
-    return keyed.select("doc_id", "n_bytes", "digest").join(_stored(spark, cache_path, version), "digest").select("doc_id", "n_bytes", "n_tokens")
+
+
+def token_counts(docs: DataFrame, path: str, cache_path: str) -> DataFrame:
+    """``doc_id, n_bytes, n_tokens``; what the cache at ``cache_path`` lacks is appended to it."""
+    fill_cache(docs, path, cache_path)
+    stored = _stored(docs.sparkSession, cache_path, tokenizer_digest(path))
+    return _keyed(docs, path).select("doc_id", "n_bytes", "digest").join(stored, "digest").select("doc_id", "n_bytes", "n_tokens")
 
 
 def _stored(spark: SparkSession, cache_path: str, version: bytes) -> DataFrame | None:
@@ -87,8 +97,10 @@ def _stored(spark: SparkSession, cache_path: str, version: bytes) -> DataFrame |
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the documents arrive first and fill the cache; then all are counted, and the first half's contents are met there."""
     import public_tokenizers
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    counted = token_counts(docs, public_tokenizers.path("piece_bpe_32k.model"), scratch_path(spark, "counts"))
-    return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
+    docs, model, cache = spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("piece_bpe_32k.model"), scratch_path(spark, "counts")
+    fill_cache(docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0), model, cache)
+    note_table(spark, cache)
+    return token_counts(docs, model, cache).withColumn("over_limit", F.col("n_tokens") > 4096)
