@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, materialise, slices, texts_of
+from .common import bounded_batches, materialise, slices, temporary_tables, texts_of
 
 BUCKETS = 1 << 16
 SCALE = 1 << 16
@@ -157,10 +157,11 @@ def threshold_of(scored: DataFrame, marks: DataFrame) -> int:
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, int, DataFrame]:
     """The buckets' log ratios, the threshold and, as a table, ``doc_id``, base features and score of every document."""
-    marks = materialise(labelled(labels), "labels")
-    ratios = log_ratios(bucket_counts(docs, marks).collect())
-    scored = materialise(score_documents(docs, ratios, ["doc_id"]), "scores")
-    return ratios, threshold_of(scored, marks), scored
+    with temporary_tables(docs.sparkSession):
+        marks = materialise(labelled(labels), "labels")
+        ratios = log_ratios(bucket_counts(docs, marks).collect())
+        scored = materialise(score_documents(docs, ratios, ["doc_id"]), "scores", keep=True)
+        return ratios, threshold_of(scored, marks), scored
 
 
 def judge(docs: DataFrame, labels: DataFrame, carry: list[str] | None = None) -> DataFrame:
@@ -195,7 +196,7 @@ base AS (
   FROM words LEFT JOIN dups USING (doc_id) LEFT JOIN marked USING (doc_id)),
 codes AS (SELECT doc_id, list_transform(range(1, length(text) + 1), lambda i: unicode(text[i])::BIGINT) AS c FROM docs WHERE length(text) >= 3),
 grams AS (SELECT doc_id, (c[i] * 961 + c[i + 1] * 31 + c[i + 2]) % 65536 AS bucket FROM codes, unnest(range(1, len(c) - 1)) AS t(i)),
-labelled AS (SELECT doc_id, min(quality) = 1 AND coalesce(max(toxic), 0) = 0 AS trusted, min(quality) = 1 AS good FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id ORDER BY md5(doc_id::VARCHAR), doc_id LIMIT 20000),
+labelled AS (SELECT doc_id, min(quality) = 1 AND coalesce(max(toxic), 0) = 0 AS trusted, min(quality) = 1 AS good FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id),
 counts AS (SELECT bucket, count(*) AS raw, count(*) FILTER (trusted) AS target FROM grams LEFT JOIN labelled USING (doc_id) GROUP BY bucket),
 smooth AS (SELECT b AS bucket, coalesce(raw, 0) + 1.0::DOUBLE AS raw, coalesce(target, 0) + 1.0::DOUBLE AS target FROM range(65536) AS t(b) LEFT JOIN counts ON bucket = b),
 ratios AS (SELECT bucket, CASE WHEN sum(target) OVER () = 65536 THEN 0 ELSE round_even((ln(target / sum(target) OVER ()) - ln(raw / sum(raw) OVER ())) * 65536, 0)::BIGINT END AS ratio FROM smooth),
