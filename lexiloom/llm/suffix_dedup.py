@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialise, slices, texts_of
+from .common import bounded_batches, materialise, slices, temporary_tables, texts_of
 from .shingles import mix
 
 LENGTH, GRAM = 100, 32
@@ -456,12 +456,13 @@ def _ranges_of(pieces: DataFrame) -> DataFrame:
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
     """``doc, mark, ranges`` (start and end in bytes, not yet united) of documents with repeated passages."""
-    found = contexts(docs)
-    opened = materialise(open_contexts(found), "contexts")
-    settled = opened.filter("settled")
-    spans = settled.select("doc", "mark", F.col("lo").alias("start"), (F.col("lo") + F.col("n") + LENGTH - 1).alias("end"))
-    compared = _ranges_of(_bytes_of(opened.filter("NOT settled").drop("settled", "content"), docs))
-    return spans.union(compared).groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
+    with temporary_tables(docs.sparkSession):
+        opened = materialise(open_contexts(contexts(docs)), "contexts")
+        settled = opened.filter("settled")
+        spans = settled.select("doc", "mark", F.col("lo").alias("start"), (F.col("lo") + F.col("n") + LENGTH - 1).alias("end"))
+        compared = _ranges_of(_bytes_of(opened.filter("NOT settled").drop("settled", "content"), docs))
+        ranges = materialise(spans.union(compared), "ranges", keep=True)
+    return ranges.groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
 
 
 def cut_repeats(docs: DataFrame, emit, schema: str) -> DataFrame:

@@ -82,7 +82,12 @@ def ranked_ids(encoded: DataFrame, tokenizer: str) -> DataFrame:
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None) -> None:
     """Encode all texts and write the file set."""
     spark = docs.sparkSession
-    encoded = materialise(encode_ids(docs, tokenizer, end_id), "ids", "zstd")
+    with temporary_tables(spark):
+        _write(materialise(encode_ids(docs, tokenizer, end_id), "ids", "zstd"), path, tokenizer)
+
+
+def _write(encoded: DataFrame, path: str, tokenizer: str) -> None:
+    spark = encoded.sparkSession
     # a row for each id of the vocabulary at most, whatever the corpus
     counts = ranked_ids(encoded, tokenizer).collect()
     encoder = library_encoder(tokenizer)
@@ -143,4 +148,5 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = scratch_path(spark, "tokens")
     write_token_files(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    note_table(spark, path)
     return read_token_files(spark, path)
