@@ -1,62 +1,41 @@
 """The training-data pipeline: quality rules, near and passage deduplication, pseudonyms, packing.
 
-Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the last return the columns of ``documents``. Its intermediate tables
-are kept until the next stage begins, which is after its result was written.
+Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the last return the columns of ``documents``. Operators remove their
+intermediate tables, but for small ones that the result still reads (ids, scores, ranges); ``run`` removes these, and each stage's table, once the next one is written.
 """
 
 from __future__ import annotations
 
-from functools import wraps
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.llm import near_dedup, packing, pii, quality, suffix_dedup
-from lexiloom.llm.common import materialise, noted, remove_path
+from lexiloom.llm.common import materialise, remove_path, temporary_tables
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
-_left: list[str] = []  # intermediate tables of the stage before
-
-
-def _stage(function):
-    @wraps(function)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        while _left:
-            remove_path(spark, _left.pop())
-        with noted() as paths:
-            out = function(spark, docs, sf_dir)
-        _left.extend(paths)
-        return out
-
-    return run_stage
 
 
-@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return near_dedup.drop_near_duplicates(docs)
 
 
-@_stage
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(docs)
 
 
-@_stage
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     masked = pii.mask_personal_data(docs).drop("n_masked")
     return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
-@_stage
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    pieces = materialise(packing.encode_pieces(docs, TOKENIZER, END_ID), "pieces")
+    pieces = materialise(packing.encode_pieces(docs, TOKENIZER, END_ID), "pieces", keep=True)
     return packing.pack_pieces(pieces, ["doc_id", "piece", "ids_crc32"])
 
 
@@ -74,6 +53,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with temporary_tables(spark) as written:
+        for name, stage in STAGES[:-1]:
+            with temporary_tables(spark):
+                docs = materialise(stage(spark, docs, sf_dir), name, keep=True)
+            while len(written) > 1:
+                remove_path(spark, written.pop(0))
+        return STAGES[-1][1](spark, docs, sf_dir)
