@@ -4,11 +4,16 @@ Every distinct shingle set gets a minwise signature. In each of ``TREES`` indepe
 path chooses, two branches a level, so sets that agree on the tokens of a whole path meet in its node. At Jaccard similarity 0.8 a pair
 meets in a tree of three levels with probability 0.94, in at least one of four trees with 0.99999. Nodes with the same members count once.
 
-Nodes that are still large branch two levels further. Members of a node are compared by 256-byte sketches, with four standard errors of
-allowance; members of nodes that stay large count as alike. Sets that are alike along any chain form a *cluster*. Clusters, which are families of copies, are
-then compared exhaustively on the full sets of the texts. A small cluster is one group; a large one is dealt to blocks, each with the
-cluster's least member, and afterwards those outside its main component are compared with all others, block by block. Groups give back a spanning
-star of each of their components, never all pairs, so no link between different components is lost and dense groups stay linear.
+Members of a node of up to ``NODE`` are compared with each other by 256-byte sketches, with four standard errors of allowance. In a larger
+node all members are compared with one of them, the pivot. Those at ``NEAR`` or more are alike; those at ``RETIRE`` or more leave the node, since no partner of
+theirs can be less near. The rest has to meet only those far from the pivot: these are compared with all of the rest, in blocks; where they are over ``FAR``
+themselves, the rest branches once more. So a dense family costs one comparison for each member, and no pair is lost by it. Sets that are alike along any
+chain form a *cluster*.
+
+Clusters, which are families of copies, are then compared exhaustively on the full sets of the texts, words as they are and not as hashes. A cluster is
+dealt to blocks of bounded rows and bytes (mostly one), each with the cluster's least member. Members that are then outside a cluster's main component are
+compared with all others of it, sketches first; only the texts of those that could be linked follow them. Groups give back a spanning star of each of
+their components, never all pairs, so no link between different components is lost and dense groups stay linear.
 
 Texts without words, null texts among them, have an empty set and are linked with nothing. Equal sets are one vertex. Ids are the vertices:
 rows that repeat an id share its component. Rows without an id are not linked, their component is null and they are kept. Empty tables give no row;
@@ -19,24 +24,34 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialise, slices, texts_of
+from .common import bounded_batches, materialise, slices, temporary_tables, texts_of
 from .components import connected_components
-from .shingles import mix, shingle_hashes
+from .shingles import _LOWER, mix, shingle_hashes
 
 TREES, COORDINATES, SKETCH = 4, 24, 256
 #: Members of a node or cluster that are compared in one group.
 NODE = 400
+#: Sets far from a large node's pivot that are still compared with all the rest; more of them branch.
+FAR = 2000
+#: Bytes of texts in one group, on average at most.
+GROUP_BYTES = 4 << 20
 #: Standard errors of the sketch's estimate by which a pair may miss the threshold and still be confirmed on full sets.
 ERRORS = 4.0
+#: Estimated similarity to the pivot of a large node from which a set is alike, and from which it leaves the node. A partner (0.8) of a set at RETIRE has
+#: at least RETIRE - 0.2 with the pivot; the rest of the difference is ERRORS standard errors of two estimates.
+NEAR, RETIRE = 0.37, 0.75
 _RANDOM = np.random.default_rng(20240229)
 _FLIPS = _RANDOM.integers(0, 2**32, SKETCH, dtype=np.uint32)
 _FACTORS = _RANDOM.integers(0, 2**31, SKETCH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_FOLD = bytes(_LOWER)
 _SEEDS = _RANDOM.integers(1, 2**63, TREES).astype(np.uint64)
 
 
@@ -110,28 +125,60 @@ def _paths(sets: DataFrame) -> DataFrame:
     return sets.select("id", "keys").mapInArrow(run, "node long, id long, tree int")
 
 
-def _deeper(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """The children, two levels down, of members of large nodes."""
+def _beside_pivot(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pivot, id, likeness``: the others of large nodes beside the node's pivot. Many nodes of a family have one pivot, so pairs are far fewer than members."""
+    pairs = members.filter("id <> pivot").select("pivot", "id").distinct()
+    # the sketches that are asked for, so that all sets are read but not shuffled where these are few
+    sketches = materialise(sets.select("id", "sketch").join(members.select("id").distinct(), "id", "left_semi"), "sketches")
+    rows = pairs.join(sketches.select(F.col("id").alias("pivot"), F.col("sketch").alias("other")), "pivot").join(sketches, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            trees = batch.column("tree").to_numpy()
+            if batch.num_rows:
+                agree = np.count_nonzero(_matrix(batch.column("sketch"), np.uint8) == _matrix(batch.column("other"), np.uint8), axis=1) / SKETCH
+                yield batch.select(["pivot", "id"]).append_column("likeness", pa.array((agree - 1 / 256) / (1 - 1 / 256)))
+
+    return rows.select("pivot", "id", "sketch", "other").mapInArrow(run, "pivot long, id long, likeness double")
+
+
+def _staying(members: DataFrame, compared: DataFrame) -> DataFrame:
+    """``node, id, tree, far, n, n_far`` of large nodes that hold a set far from the pivot: the sets that have to meet there without it."""
+    rows = members.join(compared.filter(F.col("likeness") < RETIRE), ["pivot", "id"]).select("node", "id", "tree", (F.col("likeness") < NEAR).alias("far"))
+    sized = rows.groupBy("node").agg(F.count("*").alias("n"), F.count_if("far").alias("n_far")).filter("n_far > 0")
+    return rows.join(sized, "node")
+
+
+def _blocks(staying: DataFrame) -> DataFrame:
+    """Groups ``node, id`` in which the far sets of a node meet its others, a block of these at a time."""
+    blocks = F.ceil(F.col("n") / NODE).cast("int")
+    block = F.explode(F.when(F.col("far"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), blocks).cast("int"))))
+    return staying.withColumn("block", block).select(F.xxhash64("node", "block").alias("node"), "id")
+
+
+def _deeper(staying: DataFrame, sets: DataFrame) -> DataFrame:
+    """The children of what stays: both of the sets far from the pivot, the first one of the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            trees, far = batch.column("tree").to_numpy(), batch.column("far").to_numpy(zero_copy_only=False)
             for tree in np.unique(trees).tolist():
                 part = batch.filter(pa.array(trees == tree))
-                keys = _matrix(part.column("keys"), np.uint32)
-                nodes = part.column("node").to_numpy().view(np.uint64)[:, None]
-                for _ in range(2):
-                    nodes = _branch(nodes, keys, tree, 16, 8)
-                ids = np.repeat(part.column("id").to_numpy(), nodes.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(nodes.ravel().view(np.int64)), pa.array(ids), pa.array(np.full(len(ids), tree, np.int32))], names=["node", "id", "tree"])
+                nodes = _branch(part.column("node").to_numpy().view(np.uint64)[:, None], _matrix(part.column("keys"), np.uint32), tree, 16, 8)
+                both = np.stack([np.ones(len(nodes), bool), far[trees == tree]], axis=1)
+                ids = np.repeat(part.column("id").to_numpy(), both.sum(axis=1))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[both].view(np.int64)), pa.array(ids), pa.array(np.full(len(ids), tree, np.int32))], names=["node", "id", "tree"])
+
+    return staying.join(sets.select("id", "keys"), "id").select("node", "id", "tree", "keys", "far").mapInArrow(run, "node long, id long, tree int").distinct()
 
-    return members.select("node", "id", "tree").join(sets.select("id", "keys"), "id").mapInArrow(run, "node long, id long, tree int").distinct()
 
+def _nodes(paths: DataFrame, level: int) -> DataFrame:
+    """Nodes of two members or more, one for each distinct membership: ``node, n, pivot``.
 
-def _nodes(paths: DataFrame) -> DataFrame:
-    """Nodes of two members or more, one for each distinct membership: ``node, n, least``."""
-    sized = paths.groupBy("node").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"), F.min("id").alias("least"))
-    return sized.filter("n > 1").groupBy("n", "x", "y", "least").agg(F.min("node").alias("node")).select("node", "n", "least")
+    The pivot has the least hash, which every level draws anew, so that most likely it is of the node's largest family.
+    """
+    drawn = F.xxhash64("id", F.lit(level))
+    sized = paths.groupBy("node").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(-1))).alias("y"), F.min(F.struct(drawn.alias("h"), "id")).alias("p"))
+    return sized.filter("n > 1").groupBy("n", "x", "y", "p").agg(F.min("node").alias("node")).select("node", "n", F.col("p.id").alias("pivot"))
 
 
 def _estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -184,8 +231,12 @@ def _stars(ids: np.ndarray, linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return ids[label[others]], ids[others]
 
 
+def _least_estimate(share: float) -> float:
+    return share - ERRORS * (share * (1 - share) / SKETCH) ** 0.5
+
+
 def _alike(share: float):
-    cut = share - ERRORS * (share * (1 - share) / SKETCH) ** 0.5
+    cut = _least_estimate(share)
 
     def links_of(rows: list) -> tuple[np.ndarray, np.ndarray]:
         sketches = np.frombuffer(b"".join(r[1] for r in rows), np.uint8).reshape(len(rows), -1)
@@ -194,11 +245,34 @@ def _alike(share: float):
     return links_of
 
 
+def exact_sets(texts: list[str], words: int, lower: bool) -> list[np.ndarray]:
+    """The shingle sets of a few texts as numbers that stand for their words themselves."""
+    number: dict[bytes, int] = {}
+    ids, bounds = [], [0]
+    for text in texts:
+        raw = text.encode()
+        found = (raw.translate(_FOLD) if lower else raw).split()
+        for w in set(found).difference(number):
+            number[w] = len(number) + 1
+        ids += map(number.__getitem__, found)
+        ids += [0] * (max(0, words - len(found)) if found else 0)  # fewer words than a shingle: one shingle that ends in no words
+        bounds.append(len(ids))
+    word = np.array(ids, np.int64)
+    shingle, base = word, len(number) + 1
+    for k in range(1, words):
+        shingle = shingle[: len(word) - k] * base + word[k:]
+        if k < words - 1:
+            shingle = np.unique(shingle, return_inverse=True)[1]
+    return [np.unique(shingle[a : max(a, b - words + 1)]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
 def linked_sets(sets: list[np.ndarray], threshold: int) -> np.ndarray:
     """Which pairs of sets reach the threshold, by exact intersection sizes."""
     n, sizes = len(sets), np.array([len(s) for s in sets], np.int64)
-    tokens = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    _, tokens, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     owner = np.repeat(np.arange(n), sizes)
+    shared = times[tokens] > 1
+    tokens, owner = np.unique(tokens[shared], return_inverse=True)[1], owner[shared]
     common = np.zeros((n, n), np.float32)
     step = max(1, 8_000_000 // n)
     order = np.argsort(tokens, kind="stable")
@@ -208,7 +282,7 @@ def linked_sets(sets: list[np.ndarray], threshold: int) -> np.ndarray:
         a, b = np.searchsorted(tokens, (low, low + step))
         has = np.zeros((n, min(step, top - low)), np.float32)
         has[owner[a:b], tokens[a:b] - low] = 1
-        common += has @ has.T
+        common += np.rint(has @ has.T)
     common = np.rint(common).astype(np.int64)
     return (100 * common >= threshold * (sizes[:, None] + sizes[None, :] - common)) & (sizes > 0)[:, None] & (sizes > 0)[None, :]
 
@@ -217,71 +291,111 @@ def _exact(words: int, lower: bool, threshold: int):
     def links_of(rows: list) -> tuple[np.ndarray, np.ndarray]:
         """Rows are ``id, label, text``; members of one component need no link."""
         ids, labels = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
-        linked = linked_sets([np.unique(h) for h in shingle_hashes([r[2] for r in rows], words, lower)], threshold)
+        linked = linked_sets(exact_sets([r[2] for r in rows], words, lower), threshold)
         return _stars(ids, linked & ((labels[:, None] != labels[None, :]) | (ids[:, None] == ids[None, :])) | np.eye(len(ids), dtype=bool))
 
     return links_of
 
 
+def _candidates(share: float):
+    cut = _least_estimate(share)
+
+    def run(rows: list) -> tuple[np.ndarray, np.ndarray]:
+        """Rows are ``id, label, sketch``; those that may be linked with another label's, and the group again."""
+        labels = np.array([r[1] for r in rows], np.int64)
+        sketches = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(len(rows), -1)
+        open_pair = (_estimates(sketches, sketches) >= cut) & (labels[:, None] != labels[None, :])
+        ids = np.array([r[0] for r in rows], np.int64)[open_pair.any(axis=1)]
+        return ids, np.full(len(ids), rows[0][3], np.int64)
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80, lower: bool = True) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row."""
-    rows = materialise(document_sets(docs, words, lower), "sets")
-    full = rows.filter("set_hash IS NOT NULL AND doc_id IS NOT NULL")
-    sets = materialise(full.groupBy("set_hash").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "vertices")
+    with temporary_tables(docs.sparkSession):
+        rows = materialise(document_sets(docs, words, lower), "sets")
+        full = rows.filter("set_hash IS NOT NULL AND doc_id IS NOT NULL")
+        sets = materialise(full.groupBy("set_hash").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "vertices")
 
-    clusters = materialise(_clusters(sets, threshold / 100), "clusters")
-    labels = _components(clusters, docs, words, lower, threshold)
+        clusters = _clusters(sets, threshold / 100)
+        labels = _components(clusters, sets, docs, words, lower, threshold)
 
-    known = materialise(sets.select("set_hash", "id").join(labels, "id", "left").select("set_hash", F.coalesce("label", "id").alias("component")), "components")
-    out = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_hash")).alias("set_hash")).join(known, "set_hash", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+        known = sets.select("set_hash", "id").join(labels, "id", "left").select("set_hash", F.coalesce("label", "id").alias("component"))
+        out = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_hash")).alias("set_hash")).join(known, "set_hash", "left")
+        out = materialise(out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")), "components", keep=True)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def _clusters(sets: DataFrame, share: float) -> DataFrame:
     """``id, cluster`` of all sets that have a candidate."""
-    paths = _paths(sets)
-    nodes = materialise(_nodes(paths), "nodes")
-    members = materialise(paths.join(nodes, "node"), "members")
-    deep = materialise(_deeper(members.filter(F.col("n") > NODE), sets), "deeper")
-    deep_nodes = materialise(_nodes(deep), "nodes")
-    members = members.filter(F.col("n") <= NODE).unionByName(deep.join(deep_nodes, "node"))
-    stars = members.filter((F.col("n") > NODE) & (F.col("least") != F.col("id"))).select(F.col("least").alias("a"), F.col("id").alias("b"))
-    compared = members.filter(F.col("n") <= NODE).select("node", "id").join(sets.select("id", "sketch"), "id")
-    alike = _by_group(compared, "node", ["id", "sketch"], _alike(share))
-    return connected_components(alike.union(stars)).select("id", F.col("label").alias("cluster"))
-
-
-def _components(clusters: DataFrame, docs: DataFrame, words: int, lower: bool, threshold: int) -> DataFrame:
+    with temporary_tables(sets.sparkSession):
+        paths, groups, stars = _paths(sets), [], []
+        for level in count():
+            nodes = materialise(_nodes(paths, level), "nodes")
+            members = materialise(paths.join(nodes, "node"), "members")
+            groups.append(members.filter(F.col("n") <= NODE).select("node", "id"))
+            # tables of their own, so that their joins with all sets are planned by their true size
+            large = materialise(members.filter(F.col("n") > NODE), "large")
+            if large.isEmpty():
+                break
+            compared = materialise(_beside_pivot(large, sets), "pivots")
+            stars.append(compared.filter(F.col("likeness") >= NEAR).select(F.col("pivot").alias("a"), F.col("id").alias("b")))
+            staying = materialise(_staying(large, compared), "staying")
+            groups.append(_blocks(staying.filter(F.col("n_far") <= FAR)))
+            mixed = staying.filter(F.col("n_far") > FAR)
+            if mixed.isEmpty():
+                break
+            paths = materialise(_deeper(mixed, sets), "paths")
+        met = reduce(DataFrame.union, groups).join(sets.select("id", "sketch"), "id")
+        alike = reduce(DataFrame.union, [_by_group(met, "node", ["id", "sketch"], _alike(share)), *stars])
+        return materialise(connected_components(alike).select("id", F.col("label").alias("cluster")), "clusters", keep=True)
+
+
+def _components(clusters: DataFrame, sets: DataFrame, docs: DataFrame, words: int, lower: bool, threshold: int) -> DataFrame:
     """``id, label`` by exact comparison within clusters."""
     exact = _exact(words, lower, threshold)
-    # the one shuffle of all texts; the hint keeps its way the same at every size
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(clusters.hint("merge"), "id")
-    texts = materialise(texts.select("id", "cluster", F.coalesce("text", F.lit("")).alias("text")), "texts")
-    half = NODE // 2
-    sizes = materialise(texts.groupBy("cluster").agg(F.count("*").alias("size")), "sizes")
-    blocks = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / half).cast("int"))
-
-    sized = texts.join(sizes, "cluster").withColumn("blocks", F.when(F.col("size") > NODE, blocks("size")).otherwise(1))
-    own = F.array(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    everywhere = F.sequence(F.lit(0), F.col("blocks") - 1)
-    dealt = sized.withColumn("block", F.explode(F.when(F.col("id") == F.col("cluster"), everywhere).otherwise(own)))
-    dealt = dealt.select(F.xxhash64("cluster", "block").alias("group"), "id", F.col("id").alias("label"), "text")
-    links = materialise(_by_group(dealt, "group", ["id", "label", "text"], exact).distinct(), "links")
-    labels = connected_components(links)
-
-    large = sized.filter(F.col("size") > NODE).join(labels, "id", "left").select("id", "cluster", "text", "size", F.coalesce("label", "id").alias("label"))
-    large = materialise(large, "large")
-    counts = large.groupBy("cluster", "label").agg(F.count("*").alias("n"))
-    main = materialise(counts.groupBy("cluster").agg(F.max_by("label", F.struct("n", "label")).alias("main"), (F.sum("n") - F.max("n")).alias("rest")).filter("rest > 0"), "main")
-    if main.isEmpty():
-        return labels
-    open_rows = large.join(main, "cluster")
-    outside = open_rows.filter("label <> main").withColumn("i", F.pmod(F.xxhash64("id"), blocks("rest")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), blocks("size") - 1)))
-    every = open_rows.withColumn("j", F.pmod(F.xxhash64("id", F.lit(1)), blocks("size")).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), blocks("rest") - 1)))
-    pairs = outside.unionByName(every).select(F.xxhash64("cluster", "i", "j").alias("group"), "id", "label", "text")
-    more = materialise(_by_group(pairs, "group", ["id", "label", "text"], exact).distinct(), "links")
-    return labels if more.isEmpty() else connected_components(links.union(more))
+    with temporary_tables(docs.sparkSession):
+        # the one shuffle of all texts; the hint keeps its way the same at every size
+        texts = docs.select(F.col("doc_id").alias("id"), "text").join(clusters.hint("merge"), "id")
+        texts = materialise(texts.select("id", "cluster", F.coalesce("text", F.lit("")).alias("text")), "texts")
+        blocks = lambda n, size: F.greatest(F.lit(1), F.ceil(F.col(n) / NODE), F.ceil(F.col(size) / GROUP_BYTES)).cast("int")
+        deal = lambda to, *seed: F.pmod(F.xxhash64("id", *map(F.lit, seed)), to).cast("int")
+
+        # an id may stand in several rows, of which those with other sets than the vertex's count for the exact comparison too
+        sizes = materialise(texts.groupBy("cluster").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size")).withColumn("blocks", blocks("n", "size")), "sizes")
+        sized = texts.join(sizes.select("cluster", "blocks"), "cluster")
+        everywhere = F.sequence(F.lit(0), F.col("blocks") - 1)
+        dealt = sized.withColumn("block", F.explode(F.when(F.col("id") == F.col("cluster"), everywhere).otherwise(F.array(deal(F.col("blocks"))))))
+        dealt = dealt.select(F.xxhash64("cluster", "block").alias("group"), "id", F.col("id").alias("label"), "text")
+        # a cluster's least id is in all its blocks and any other id in one, so the stars of the groups are labels already
+        labels = materialise(_by_group(dealt, "group", ["id", "label", "text"], exact).groupBy(F.col("b").alias("id")).agg(F.min("a").alias("label")), "labels", keep=True)
+
+        # of clusters in several blocks, only light rows until it is known which texts have to meet
+        split = sizes.filter("blocks > 1")
+        if split.isEmpty():
+            return labels
+        light = texts.groupBy("cluster", "id").agg(F.sum(F.octet_length("text")).alias("size")).join(split.select("cluster", "blocks"), "cluster").join(labels, "id", "left")
+        light = materialise(light.select("id", "cluster", "size", "blocks", F.coalesce("label", "id").alias("label")), "split")
+        counts = light.groupBy("cluster", "label").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+        main = counts.groupBy("cluster").agg(F.max_by("label", F.struct("n", "label")).alias("main"), (F.sum("n") - F.max("n")).alias("n"), (F.sum("size") - F.max_by("size", F.struct("n", "label"))).alias("size"))
+        main = materialise(main.filter("n > 0").select("cluster", "main", blocks("n", "size").alias("outside")), "main")
+        if main.isEmpty():
+            return labels
+        sketched = materialise(light.join(main, "cluster").join(sets.select("id", "sketch"), "id"), "sketched")
+        rows = sketched.filter("label <> main").withColumn("i", deal(F.col("outside"))).withColumn("j", F.explode(everywhere))
+        columns = sketched.withColumn("j", deal(F.col("blocks"), 1)).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("outside") - 1)))
+        met = rows.unionByName(columns).withColumn("group", F.xxhash64("cluster", "i", "j")).withColumn("again", F.col("group"))
+        chosen = materialise(_by_group(met, "group", ["id", "label", "sketch", "again"], _candidates(threshold / 100)).distinct().select(F.col("a").alias("id"), F.col("b").alias("group")), "chosen")
+        pairs = chosen.join(light.select("id", "label"), "id").join(texts.select("id", "text"), "id")
+        more = _by_group(pairs, "group", ["id", "label", "text"], exact)
+        label_of = light.select("id", "label").distinct()
+        more = more.join(label_of.select(F.col("id").alias("a"), F.col("label").alias("x")), "a").join(label_of.select(F.col("id").alias("b"), F.col("label").alias("y")), "b")
+        merged = connected_components(more.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("id").alias("old"), F.col("label").alias("new"))
+        # what was its own label has no row yet
+        own = merged.filter("old <> new").select(F.col("old").alias("id"), F.col("new").alias("label"))
+        known = labels.join(merged, F.col("label") == F.col("old"), "left").select("id", F.coalesce("new", "label").alias("label"))
+        return materialise(known.join(own, "id", "left_anti").union(own), "labels", keep=True)
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80) -> DataFrame:

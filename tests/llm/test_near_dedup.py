@@ -3,6 +3,7 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pytest
 
 from lexiloom.llm import near_dedup
 from lexiloom.llm.components import connected_components
@@ -59,8 +60,10 @@ def test_groups_equal_brute_force(spark):
         assert all(r.component_id is None and r.kept for r in got if r.doc_id is None)
 
 
-def test_large_nodes_are_split_and_blocked(spark, monkeypatch):
+@pytest.mark.parametrize("far", [3, 2000])
+def test_large_nodes_are_split_and_blocked(spark, monkeypatch, far):
     monkeypatch.setattr(near_dedup, "NODE", 8)
+    monkeypatch.setattr(near_dedup, "FAR", far)
     rows = corpus(random.Random(8), 6, 60)
     got = found(spark, rows, 2)
     assert {r.doc_id: tuple(r)[1:] for r in got} == brute(rows, 2)
@@ -84,3 +87,29 @@ def test_components_of_long_paths(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, 90), (90, 95), (7, 7)]
     labels = {r.id: r.label for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert labels == {**{i: 1 for i in range(1, 61)}, 90: 90, 95: 90, 100: 90}
+
+
+def test_measured_recall_near_the_threshold(spark):
+    """Pairs of similarity 0.80 to 0.85 among many other texts: 0.99 of them are found at least."""
+    rnd, rows, pairs = random.Random(21), [], 0
+    while pairs < 300:
+        w = [str(rnd.randint(0, 10**6)) for _ in range(rnd.randint(80, 240))]
+        v = list(w)
+        for _ in range(round(len(w) * 0.052)):
+            v[rnd.randrange(len(v))] = str(rnd.randint(0, 10**6))
+        x, y = (set(zip(t, t[1:])) for t in (w, v))  # noqa: B905
+        if 80 * len(x | y) <= 100 * len(x & y) <= 85 * len(x | y):
+            rows += [(2 * pairs, " ".join(w)), (2 * pairs + 1, " ".join(v))]
+            pairs += 1
+    got = {r.doc_id: r.component_id for r in found(spark, rows, 2)}
+    assert sum(got[2 * k + 1] == 2 * k for k in range(300)) >= 297
+
+
+def test_words_of_equal_polynomial_hashes_are_told_apart(spark):
+    """The Thue-Morse word and its complement agree under every polynomial modulo 2^64."""
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate(str.maketrans("ab", "ba"))
+    texts = [w[:n] for n in (1024, 2048) for w in (word, word.translate(str.maketrans("ab", "ba")))]
+    got = found(spark, [(k, f"{t} x") for k, t in enumerate(texts)], 2)
+    assert {r.doc_id: r.component_id for r in got} == {0: 0, 1: 1, 2: 2, 3: 3}
