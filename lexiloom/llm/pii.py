@@ -1,14 +1,16 @@
 r"""Operator 8: format-preserving Feistel pseudonyms for personal data, in SQL functions only.
 
-Found and validated: payment cards (13 to 19 digits, Luhn), telephone numbers (``+`` and country code, 8 to 15 digits), US social
-security numbers (no area 000, 666 or 9xx), IPv4 addresses (parts up to 255), IBANs (mod 97), calendar dates (1900-01-01 to 2099-08-05, written
-year first, or with ``/`` or ``.`` day first, else month first). What does not validate stays. Each is permuted by a keyed Feistel network over the
-numbers of its own format: separators, lengths, country codes and check digits remain those of a valid value, and equal values (of the same
+Found and validated: payment cards (13 to 19 digits, Luhn), telephone numbers (``+`` and country code, 8 to 15 digits, or ten with an area code), US social
+security numbers (no area 000, 666 or 9xx), IPv4 addresses (parts up to 255), IBANs (length of the country, mod 97), calendar dates (1900-01-01 to 2099-08-05, written
+year first, or with ``/`` or ``.`` day first, else month first). What does not validate stays; in a row of digit groups every run of whole groups is
+tried for a card, and behind an IBAN other signs may follow. Each is permuted by a keyed Feistel network over the
+numbers of its own format: separators, lengths, country and area codes and check digits remain those of a valid value, and equal values (of the same
 digits) get equal pseudonyms in all documents. E-mail addresses and quoted or assigned secrets, which are no numbers, get pseudonyms of
 the same kind from a keyed digest.
 
 A text is split once around what may be personal; the parts between are untouched. Null texts stay null, empty ones empty; rows are independent;
-empty tables give no row; other columns are passed through. Values that overlap are found from left to right.
+empty tables give no row; other columns are passed through, whatever their names, but for one named ``n_masked``, whose place the count takes. Values that
+overlap are found from left to right. Who has the key can undo the permutations: it is an argument without a default.
 """
 
 from __future__ import annotations
@@ -18,13 +20,20 @@ from pyspark.sql import functions as F
 
 ROUNDS = 8
 _DATE = r"\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}"
-_CARD = r"\d(?:[ -]?\d){12,18}"
-_PHONE = r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}"
+#: A row of digit groups that is long enough for a card.
+_CARD = r"\d(?:[ -]?\d){12,120}"
+_PHONE = r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\([2-9]\d{2}\) ?\d{3}[ .-]\d{4}|[2-9]\d{2}[.-]\d{3}[.-]\d{4}"
 _IBAN = r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
 _IPV4 = r"\d{1,3}(?:\.\d{1,3}){3}"
 _SSN = r"\d{3}-\d{2}-\d{4}"
 _EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}"
-_SECRET = r"""(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)["']? {0,2}[=:] {0,2}["']?[A-Za-z0-9+/_-]{12,}"""
+#: A name with parts before and after, a sign, and a value: twelve letters, digits and their like, or eight signs with one that is no letter.
+_SECRET = r"""(?:[A-Za-z0-9]{1,20}[_.-]){0,4}(?i:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key)(?:[_-][A-Za-z0-9]{1,20}){0,4}["']? {0,2}[=:] {0,2}["']?(?:[A-Za-z0-9+/_-]{12,}|(?=[A-Za-z]*[^\sA-Za-z"'<>,;.])[^\s"'<>,;]{7,}[^\s"'<>,;.:)?!])"""
+#: The lengths of IBANs by country.
+IBAN_LENGTHS = (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IS26 IT27 "
+    "JO30 KW30 KZ20 LB28 LI21 LT20 LU20 LV21 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 TN24 TR26 UA29 VG24 XK20"
+)
 #: No letter, digit or joining sign before or after, so that parts of longer numbers and words are left alone.
 _PATTERN = rf"(?<![\p{{L}}\p{{N}}_@])(?<![\p{{N}}][.,/:-])(?:{_SECRET}|{_EMAIL}|{_DATE}(?![.,/:-]?\p{{N}})|{_IPV4}(?![.,/:-]?\p{{N}})|{_SSN}(?![.,/:-]?\p{{N}})|{_PHONE}(?![.,/:-]?\p{{N}})|{_CARD}(?![.,/:-]?\p{{N}})|{_IBAN})(?![\p{{L}}\p{{N}}_@])"
 _LOW_DAY, _SIDE = "DATE'1900-01-01'", 270  # 270 * 270 days
@@ -85,14 +94,38 @@ def _one(value: Column, make) -> Column:
 
 
 def _card(m: Column, key: str) -> Column:
-    def body(d: Column) -> Column:
-        return _one(permute_digits(F.substring(d, F.lit(1), F.length(d) - 1), "card", key), lambda b: F.concat(b, F.pmod(10 - _luhn_sum(b, 1) % 10, F.lit(10)).cast("string")))
+    """Cards among the digit groups of ``m``: from the left, at each group the longest run that validates: of groups of three to six digits, one group, or all."""
+    def masked(text: Column, d: Column) -> Column:
+        new = _one(permute_digits(F.substring(d, F.lit(1), F.length(d) - 1), "card", key), lambda b: F.concat(b, F.pmod(10 - _luhn_sum(b, 1) % 10, F.lit(10)).cast("string")))
+        return _fill(text, new)
 
-    return _one(_digits(m), lambda d: F.when((_luhn_sum(d, 0) % 10 == 0) & (F.length(F.regexp_replace(d, "0", "")) > 0), _fill(m, body(d))).otherwise(m))
+    def valid(d: Column) -> Column:
+        return F.length(d).between(13, 19) & (_luhn_sum(d, 0) % 10 == 0) & (F.length(F.regexp_replace(d, "0", "")) > 0)
+
+    def scan(x: Column) -> Column:
+        groups, seps = x["groups"], x["seps"]
+        n = F.size(groups)
+        state = lambda out, after: F.struct(out.alias("out"), after.cast("int").alias("after"))
+
+        def step(s: Column, i: Column) -> Column:
+            whole = lambda j: (i == 0) & (j == n - 1)
+            usual = lambda run: (F.size(run) == 1) | F.forall(run, lambda g: F.length(g).between(3, 6))
+            ends = F.filter(F.reverse(F.sequence(i, F.least(n - 1, i + 18))), lambda j: _one(F.slice(groups, i + 1, j - i + 1), lambda run: (whole(j) | usual(run)) & valid(F.array_join(run, ""))))
+
+            def take(j: Column) -> Column:
+                run = F.zip_with(F.slice(groups, i + 1, j - i + 1), F.slice(seps, i + 1, j - i + 1), lambda g, sep: F.concat(sep, g))
+                return _one(F.array_join(run, ""), lambda t: state(F.concat(s["out"], F.substring(t, F.lit(1), F.length(F.get(seps, i))), masked(F.substring(t, F.length(F.get(seps, i)) + 1, F.length(t)), _digits(t))), j + 1))
+
+            return F.when(i < s["after"], s).otherwise(_one(F.get(ends, F.lit(0)), lambda j: F.when(j.isNull(), state(F.concat(s["out"], F.get(seps, i), F.get(groups, i)), i + 1)).otherwise(take(j))))
+
+        return F.aggregate(F.sequence(F.lit(0), n - 1), state(F.lit(""), F.lit(0)), step, lambda s: s["out"])
+
+    return _one(F.struct(F.regexp_extract_all(m, F.lit("[0-9]+"), F.lit(0)).alias("groups"), F.split(m, "[0-9]+").alias("seps")), scan)
 
 
 def _phone(m: Column, key: str) -> Column:
-    country = F.regexp_extract(m, r"^\+\d{1,3}(?=[ .(-])|^\+\d", 0)
+    """The country code, or without one the area code, stays."""
+    country = F.regexp_extract(m, r"^\+\d{1,3}(?=[ .(-])|^\+\d|^\(\d{3}\)|^\d{3}", 0)
     rest = F.substring(m, F.length(country) + 1, F.length(m))
     total = F.length(_digits(m))
     return F.when(total.between(8, 15), F.concat(country, _fill(rest, permute_digits(_digits(rest), "phone", key)))).otherwise(m)
@@ -131,6 +164,13 @@ def _mod97(text: Column) -> Column:
 
 
 def _iban(m: Column, key: str) -> Column:
+    """The part of ``m`` that is as long as its country's IBANs; what follows stays."""
+    n = F.try_element_at(F.create_map(*(F.lit(v) for c in IBAN_LENGTHS.split() for v in (c[:2], int(c[2:])))), F.substring(m, 1, 2))
+    ends = F.filter(F.sequence(F.lit(1), F.length(m)), lambda k: F.length(F.replace(F.substring(m, F.lit(1), k), F.lit(" "), F.lit(""))) == n)
+    return _one(F.coalesce(F.get(ends, F.lit(0)), F.length(m)), lambda k: F.concat(_one(F.substring(m, F.lit(1), k), lambda head: _whole_iban(head, key)), F.substring(m, k + 1, F.length(m))))
+
+
+def _whole_iban(m: Column, key: str) -> Column:
     """The digits of the account part are permuted; its letters stay; the check digits are computed anew."""
     plain = F.replace(m, F.lit(" "), F.lit(""))
 
@@ -171,12 +211,12 @@ def _email(m: Column, key: str) -> Column:
 
 def _secret(m: Column, key: str) -> Column:
     """The name and the signs before the value stay; the value becomes as many signs of a keyed digest."""
-    value = F.regexp_extract(m, r"[A-Za-z0-9+/_-]{12,}$", 0)
+    value = F.substring(m, F.length(F.regexp_extract(m, r"""^[^=:]*[=:] {0,2}["']?""", 0)) + 1, F.length(m))
     noise = F.concat(*(F.sha2(F.concat(F.lit(f"{key}|secret{k}|"), value), 256) for k in range(2)))
     return F.concat(F.substring(m, F.lit(1), F.length(m) - F.length(value)), F.substring(F.repeat(noise, F.ceil(F.length(value) / 128).cast("int")), F.lit(1), F.length(value)))
 
 
-_KINDS = (("email", rf"^(?:{_EMAIL})$", _email), ("secret", "[=:]", _secret), ("date", rf"^(?:{_DATE})$", _date), ("ipv4", rf"^(?:{_IPV4})$", _ipv4), ("ssn", rf"^(?:{_SSN})$", _ssn), ("phone", r"^\+", _phone), ("card", r"^[\d -]+$", _card), ("iban", "^[A-Z]", _iban))
+_KINDS = (("email", rf"^(?:{_EMAIL})$", _email), ("secret", "[=:]", _secret), ("date", rf"^(?:{_DATE})$", _date), ("ipv4", rf"^(?:{_IPV4})$", _ipv4), ("ssn", rf"^(?:{_SSN})$", _ssn), ("phone", rf"^(?:{_PHONE})$", _phone), ("card", r"^[\d -]+$", _card), ("iban", "^[A-Z]", _iban))
 
 
 def pseudonym(m: Column, key: str) -> Column:
@@ -187,18 +227,24 @@ def pseudonym(m: Column, key: str) -> Column:
     return F.coalesce(out, m)
 
 
-def mask_personal_data(docs: DataFrame, key: str = "lexiloom") -> DataFrame:
-    """``docs`` with masked ``text`` and ``n_masked``, the number of values replaced."""
-    text = F.col("text")
-    found = F.when(text.rlike(r"[0-9@]|[=:]"), F.regexp_extract_all(text, F.lit(_PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    marked = docs.withColumn("_found", found)
-    marked = marked.withColumn("_new", F.transform("_found", lambda m: pseudonym(m, key)))
-    between = F.split(text, _PATTERN, -1)
-    joined = F.array_join(F.zip_with(between, F.col("_new"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    changed = F.size(F.filter(F.zip_with("_found", "_new", lambda a, b: a != b), lambda x: x))
-    masked = marked.withColumn("text", F.when(F.size("_found") > 0, joined).otherwise(text)).withColumn("n_masked", F.when(text.isNull(), 0).otherwise(changed).cast("long"))
-    return masked.select(*docs.columns, "n_masked")
+def mask_personal_data(docs: DataFrame, key: str) -> DataFrame:
+    """``docs`` with masked ``text`` and ``n_masked``, the number of values replaced. The key is a secret: it takes part in every pseudonym."""
+    others = [c for c in docs.columns if c.lower() not in ("text", "n_masked")]
+    found_name, new_name = (next(n for n in (base + "_" * k for k in range(len(others) + 1)) if n not in {c.lower() for c in others}) for base in ("found", "new"))
+    text, found, new = F.col("text"), F.col(found_name), F.col(new_name)
+    values = F.when(text.rlike(r"[0-9@]|[=:]"), F.regexp_extract_all(text, F.lit(_PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    marked = docs.select(*(f"`{c}`" for c in others), text, values.alias(found_name))
+    marked = marked.withColumn(new_name, F.transform(found, lambda m: pseudonym(m, key)))
+    joined = F.array_join(F.zip_with(F.split(text, _PATTERN, -1), new, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    changed = F.size(F.filter(F.zip_with(found, new, lambda a, b: a != b), lambda x: x))
+    columns = {"text": F.when(F.size(found) > 0, joined).otherwise(text)}
+    ordered = [columns["text"].alias(c) if c.lower() == "text" else F.col(f"`{c}`") for c in docs.columns if c.lower() != "n_masked"]
+    return marked.select(*ordered, F.when(text.isNull(), 0).otherwise(changed).cast("long").alias("n_masked"))
+
+
+#: The key of the registered query on the synthetic tables, which hold no real data.
+FIXTURE_KEY = "fixture"
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mask_personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return mask_personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), FIXTURE_KEY)

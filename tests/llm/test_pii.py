@@ -71,7 +71,7 @@ def value(rnd, kind):
 
 def masked(spark, texts):
     docs = spark.createDataFrame(list(enumerate(texts)), "n_masked_ long, text string")
-    return {r.n_masked_: (r.text, r.n_masked) for r in pii.mask_personal_data(docs).collect()}
+    return {r.n_masked_: (r.text, r.n_masked) for r in pii.mask_personal_data(docs, KEY).collect()}
 
 
 def test_pseudonyms_equal_the_plain_network(spark):
@@ -119,4 +119,31 @@ def test_digits_are_permuted(spark, n):
 
 def test_empty_table_and_columns(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, _x int")
-    assert pii.mask_personal_data(docs).columns == ["doc_id", "text", "_x", "n_masked"] and pii.mask_personal_data(docs).count() == 0
+    assert pii.mask_personal_data(docs, KEY).columns == ["doc_id", "text", "_x", "n_masked"] and pii.mask_personal_data(docs, KEY).count() == 0
+    odd = spark.createDataFrame([(1, "card 4539578763621486", 5, "a", "b", "c")], "doc_id long, text string, N_Masked int, _found string, found string, new string")
+    got = pii.mask_personal_data(odd, KEY)
+    assert got.columns == ["doc_id", "text", "_found", "found", "new", "n_masked"]
+    assert got.first()[2:] == ("a", "b", "c", 1)
+
+
+def test_secrets_and_national_numbers(spark):
+    texts = ["DB_PASSWORD=hunter2hunter2", "AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMI/K7MDENG+bPxRfiCY", "password: hunter2!hunter2", "call 555-123-4567 now", "call (212) 555-0100 now", "the secret: nothing at all", "token = plainword"]
+    got = masked(spark, texts)
+    for i, gone in enumerate(["hunter2", "wJalr", "hunter2", "123-4567", "555-0100"]):
+        assert gone not in got[i][0] and got[i][1] == 1 and len(got[i][0]) == len(texts[i])
+    assert got[3][0].startswith("call 555-") and got[4][0].startswith("call (212) ")
+    assert got[5] == (texts[5], 0) and got[6] == (texts[6], 0)
+
+
+def test_values_beside_other_digits_and_letters(spark):
+    card, iban = "4111 1111 1111 1111", "BE68 5390 0754 7034"
+    alone = [masked(spark, [card, iban])[i][0] for i in (0, 1)]
+    assert alone[0] != card and alone[1] != iban
+    texts = [f"card {card} 123", f"no. 5 {card}", f"12 34 {card} 1", f"{iban} EUR", f"{card} {card}"]
+    assert [masked(spark, texts)[i][0] for i in range(5)] == [t.replace(card, alone[0]).replace(iban, alone[1]) for t in texts]
+
+
+def test_long_text(spark):
+    text = "words and 12 numbers. " * 20_000 + "4539578763621486"
+    got = masked(spark, [text])[0]
+    assert got == (text.replace("4539578763621486", brute("card", "4539578763621486")), 1)
