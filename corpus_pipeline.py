@@ -15,6 +15,8 @@ from lexiloom.llm.common import materialise, remove_path, temporary_tables
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
+#: The session setting that holds the key of the pseudonyms; the synthetic tables do without.
+KEY_SETTING = "spark.lexiloom.pseudonyms.key"
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +32,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    masked = pii.mask_personal_data(docs).drop("n_masked")
+    masked = pii.mask_personal_data(docs, spark.conf.get(KEY_SETTING, pii.FIXTURE_KEY)).drop("n_masked")
     return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
