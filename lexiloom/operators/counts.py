@@ -29,6 +29,10 @@ def cutoff_counts(counts: DataFrame, least: int) -> DataFrame:
     return counts.filter(F.col("n") >= least)
 
 
+#: First letters by which the tokens of one count are dealt to tasks.
+HEAD = 3
+
+
 def coverage_curve(counts: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
     """Rank by (count, token), both falling, with cumulative coverage, coverage without singletons and in-vocabulary coverage.
 
@@ -39,9 +43,14 @@ def coverage_curve(counts: DataFrame, vocabulary: DataFrame | None = None) -> Da
     levels = known.groupBy("n").agg(F.count("*").alias("types"), F.sum("known").alias("known_types"))
     totals = levels.agg(F.sum(F.col("n") * F.col("types")).alias("total"), F.sum(F.when(F.col("n") > 1, F.col("n") * F.col("types")).otherwise(0)).alias("repeated"))
     ahead = levels.select("n", *(F.coalesce(F.sum(v).over(above), F.lit(0)).alias(name) for v, name in ((F.col("types"), "rank0"), (F.col("types") * F.col("n"), "sum0"), (F.col("known_types") * F.col("n"), "known0"))))
-    own = Window.partitionBy("n").orderBy(F.desc("token"))
-    place = F.row_number().over(own)
-    ranked = known.withColumn("place", place).withColumn("known_place", F.sum("known").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    # tokens of one count may be half of a vocabulary: they are ranked within their first letters, with the letters before them added
+    known = known.withColumn("_head", F.substring("token", 1, HEAD))
+    heads = known.groupBy("n", "_head").agg(F.count("*").alias("_types"), F.sum("known").alias("_known"))
+    earlier = Window.partitionBy("n").orderBy(F.desc("_head")).rowsBetween(Window.unboundedPreceding, -1)
+    heads = heads.select("n", "_head", F.coalesce(F.sum("_types").over(earlier), F.lit(0)).alias("_before"), F.coalesce(F.sum("_known").over(earlier), F.lit(0)).alias("_known_before"))
+    own = Window.partitionBy("n", "_head").orderBy(F.desc("token"))
+    ranked = known.withColumn("_own", F.row_number().over(own)).withColumn("_own_known", F.sum("known").over(own.rowsBetween(Window.unboundedPreceding, 0))).join(heads, ["n", "_head"])
+    ranked = ranked.withColumn("place", F.col("_own") + F.col("_before")).withColumn("known_place", F.col("_own_known") + F.col("_known_before"))
     joined = ranked.join(ahead, "n").crossJoin(F.broadcast(totals))  # one row
     covered = F.col("sum0") + F.col("place") * F.col("n")
     return joined.select("token", "n", (F.col("rank0") + F.col("place")).alias("rank"), F.round(covered / F.col("total"), 6).alias("coverage"), F.round(F.least(covered, F.col("repeated")) / F.col("repeated"), 6).alias("coverage_repeated"), F.round((F.col("known0") + F.col("known_place") * F.col("n")) / F.col("total"), 6).alias("coverage_known"))
@@ -80,20 +89,26 @@ def ngram_counts(segments: DataFrame, order: int) -> DataFrame:
     """Counts of all n-grams up to ``order`` over token sequences padded with ``<s>`` and ``</s>``."""
     padded = segments.select(F.concat(F.array(F.lit("<s>")), tokens(F.col("orth")), F.array(F.lit("</s>"))).alias("w"))
 
-    def grams(k: int) -> Column:
-        # ends at the second place at least: <s> is never predicted
-        return F.transform(F.sequence(F.lit(max(2, k)), F.size("w")), lambda e: F.struct(F.lit(k).alias("order"), F.array_join(F.slice("w", e - k + 1, k - 1), " ").alias("history"), F.element_at("w", e).alias("word")))
-
-    per_order = [F.when(F.size("w") >= max(2, k), grams(k)) for k in range(1, order + 1)]
-    spread = padded.select(F.explode(F.concat(*(F.coalesce(g, F.array().cast("array<struct<order:int,history:string,word:string>>")) for g in per_order))).alias("g"))
-    return spread.groupBy("g.order", "g.history", "g.word").agg(F.count("*").alias("n"))
+    # a row for each position holds the words before it; its n-grams are counted by one aggregation for each order, over the position's own columns
+    window = lambda e: F.struct(F.element_at("w", e).alias("word"), F.slice("w", F.greatest(F.lit(1), e - order + 1), F.least(F.lit(order - 1), e - 1)).alias("h"))
+    spread = padded.select(F.explode(F.transform(F.sequence(F.lit(2), F.size("w")), window)).alias("g")).select("g.word", F.array_join("g.h", " ").alias("h"), F.size("g.h").alias("k"))
+    # the longest n-grams first: shorter ones are sums of them, so that only distinct ones are counted again
+    full = spread.groupBy("h", "k", "word").agg(F.count("*").alias("n"))
+    level, out = full, []
+    for k in range(order, 0, -1):
+        here = level.filter(F.col("k") >= k - 1)
+        out.append(here.select(F.lit(k).alias("order"), F.col("h").alias("history"), "word", "n"))
+        shorter = F.when(F.col("k") >= k - 1, F.when(F.col("k") > 1, F.expr("substring(h, instr(h, ' ') + 1)")).otherwise("")).otherwise(F.col("h"))
+        if k > 1:
+            level = level.select(shorter.alias("h"), F.least(F.col("k"), F.lit(k - 2)).alias("k"), "word", "n").groupBy("h", "k", "word").agg(F.sum("n").alias("n"))
+    return reduce(DataFrame.unionByName, out)
 
 
 def count_of_counts(counts: DataFrame) -> DataFrame:
     return counts.groupBy("order", "n").agg(F.count("*").alias("types"))
 
 
-def estimate_backoff_lm(counts: DataFrame) -> DataFrame:
+def estimate_backoff_lm(counts: DataFrame, order: int) -> DataFrame:
     """Absolute discounting, ``d = n1 / (n1 + 2 n2)`` for each order; the mass that is freed goes to the next shorter history.
 
     ``score`` is -ln p(word | history) with the back-off estimate interpolated, ``backoff`` is -ln of the weight of the n-gram as a history.
@@ -104,10 +119,9 @@ def estimate_backoff_lm(counts: DataFrame) -> DataFrame:
     parts = counts.join(F.broadcast(discounts), "order").join(histories, ["order", "history"])
     parts = parts.withColumn("own", (F.col("n") - F.col("d")) / F.col("total")).withColumn("weight", F.col("d") * F.col("types") / F.col("total"))
     vocabulary = counts.filter("order = 1").agg(F.count("*").alias("v"))
-    top = counts.agg(F.max("order")).first()[0]
     done = parts.filter("order = 1").crossJoin(F.broadcast(vocabulary)).withColumn("p", F.col("own") + F.col("weight") / F.col("v")).select("order", "history", "word", "p")
     out = [done]
-    for k in range(2, top + 1):
+    for k in range(2, order + 1):
         shorter = F.when(F.instr("history", " ") > 0, F.expr("substring(history, instr(history, ' ') + 1)")).otherwise("")
         here = parts.filter(F.col("order") == k).withColumn("short", shorter)
         done = here.join(done.select(F.col("history").alias("short"), "word", F.col("p").alias("p_short")), ["short", "word"]).select("order", "history", "word", (F.col("own") + F.col("weight") * F.col("p_short")).alias("p"))

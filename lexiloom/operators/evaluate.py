@@ -10,23 +10,53 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Cells of a cost matrix that are kept at once; longer pairs are halved.
+CELLS = 1 << 20
+
+
+def _last_row(a: np.ndarray, b: np.ndarray, ins: int, dele: int, sub: int) -> np.ndarray:
+    """Costs of aligning all of ``a`` with every beginning of ``b``: two rows in memory."""
+    steps = np.arange(len(b) + 1) * ins
+    row = steps
+    for x in a:
+        best = row + dele
+        best[1:] = np.minimum(best[1:], row[:-1] + np.where(b == x, 0, sub))
+        # insertions run along the row: a running minimum without the steps
+        row = np.minimum.accumulate(best - steps) + steps
+    return row
+
+
 def align(a: list[str], b: list[str], ins: int = 1, dele: int = 1, sub: int = 1) -> list[tuple[int, int]]:
-    """Least-cost alignment as index pairs, -1 for none: a row at a time in numpy, then the way back.
+    """Least-cost alignment as index pairs, -1 for none, by divide and conquer: halves of ``a`` meet where both cost least together.
 
-    Of equal costs, a match or substitution comes before a deletion, that before an insertion.
+    Within ``CELLS`` the way back is read from the matrix; of equal costs, a match or substitution comes before a deletion, that before an insertion.
     """
+    number = {w: k for k, w in enumerate(dict.fromkeys([*a, *b]))}
+    x, y = (np.array([number[w] for w in words], np.int64) for words in (a, b))
+    out: list[tuple[int, int]] = []
+    todo = [(0, len(x), 0, len(y))]
+    while todo:
+        lo, hi, left, right = todo.pop()
+        if hi - lo < 2 or (hi - lo + 1) * (right - left + 1) <= CELLS:
+            out += [(i + lo if i >= 0 else -1, j + left if j >= 0 else -1) for i, j in _small(x[lo:hi], y[left:right], ins, dele, sub)]
+            continue
+        mid = (lo + hi) // 2
+        ahead = _last_row(x[lo:mid], y[left:right], ins, dele, sub)
+        behind = _last_row(x[mid:hi][::-1], y[left:right][::-1], ins, dele, sub)[::-1]
+        cut = left + int(np.argmin(ahead + behind))
+        todo += [(mid, hi, cut, right), (lo, mid, left, cut)]
+    return out
+
+
+def _small(a: np.ndarray, b: np.ndarray, ins: int, dele: int, sub: int) -> list[tuple[int, int]]:
     n, m = len(a), len(b)
-    cost = np.zeros((n + 1, m + 1), np.int64)
-    cost[:, 0] = np.arange(n + 1) * dele
-    steps = np.arange(m + 1) * ins
-    cost[0] = steps
-    other = np.array(b, object)
-    for i in range(1, n + 1):
-        best = cost[i - 1] + dele
-        if m:
-            best[1:] = np.minimum(best[1:], cost[i - 1, :-1] + np.where(other == a[i - 1], 0, sub))
-        # insertions run along the row: a running minimum without the steps
-        cost[i] = np.minimum.accumulate(best - steps) + steps
+    cost = np.empty((n + 1, m + 1), np.int64)
+    for i in range(n + 1):
+        cost[i] = np.arange(m + 1) * ins if not i else 0
+        if i:
+            best = cost[i - 1] + dele
+            best[1:] = np.minimum(best[1:], cost[i - 1, :-1] + np.where(b == a[i - 1], 0, sub))
+            cost[i] = np.minimum.accumulate(best - cost[0]) + cost[0]
     out, i, j = [], n, m
     while i or j:
         if i and j and cost[i, j] == cost[i - 1, j - 1] + (0 if a[i - 1] == b[j - 1] else sub):
@@ -65,6 +95,17 @@ def word_errors(pairs: DataFrame, ins: int = 1, dele: int = 1, sub: int = 1) ->
     return sized.join(counted, "segment_id", "left").fillna(0)
 
 
+def phoneme_errors(pairs: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """Word errors of the phoneme strings: tokens are replaced by their pronunciation ``lexicon(token, phon)``, phonemes parted by blanks; tokens without one drop out."""
+
+    def spoken(column: str) -> DataFrame:
+        words = pairs.select("segment_id", F.posexplode(column).alias("i", "token")).join(lexicon.select("token", F.split("phon", " ").alias("_p")), "token")
+        lined = words.groupBy("segment_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", "_p"))), lambda x: x["_p"])).alias(column))
+        return pairs.select("segment_id").join(lined, "segment_id", "left").withColumn(column, F.coalesce(column, F.array().cast("array<string>")))
+
+    return word_errors(spoken("ref").join(spoken("hyp"), "segment_id"))
+
+
 def letter_distance(ref: Column, hyp: Column) -> Column:
     return F.levenshtein(ref, hyp)
 

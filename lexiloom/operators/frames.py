@@ -38,17 +38,19 @@ def predict_frames(frames: DataFrame, target: DataFrame, strict: bool = False) -
     both = frames.select("segment_id", "tick", "x", rank.alias("side")).unionByName(target.select("segment_id", "tick", F.lit(None).cast(frames.schema["x"].dataType).alias("x"), F.lit(1).alias("side")))
     w = Window.partitionBy("segment_id").orderBy("tick", "side")
     last = F.last("x", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    after = F.first("x", ignorenulls=True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    # before the first frame: that one, by its own least time
+    after = F.min(F.when(F.col("side") != 1, F.struct("tick", "x"))).over(Window.partitionBy("segment_id"))["x"]
     return both.withColumn("x", F.coalesce(last, after)).filter("side = 1").select("segment_id", "tick", "x")
 
 
 def interpolate_frames(frames: DataFrame, target: DataFrame) -> DataFrame:
-    """Linear interpolation at target times; targets outside the stream are left out (see ``outside_targets``)."""
+    """Linear interpolation at target times; targets before the first or after the last frame of their segment are left out."""
     both = frames.select("segment_id", "tick", "x", F.lit(0).alias("side")).unionByName(target.select("segment_id", "tick", F.lit(None).cast(frames.schema["x"].dataType).alias("x"), F.lit(1).alias("side")))
     w = Window.partitionBy("segment_id").orderBy("tick", "side")
     point = F.when(F.col("side") == 0, F.struct("tick", "x"))
     a = F.last(point, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    b = F.first(point, ignorenulls=True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    # the next frame is the last one in the order turned round
+    b = F.last(point, ignorenulls=True).over(Window.partitionBy("segment_id").orderBy(F.desc("tick"), F.desc("side")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     joined = both.withColumn("a", a).withColumn("b", b).filter("side = 1 AND a IS NOT NULL AND (b IS NOT NULL OR a.tick = tick)")
     share = (F.col("tick") - F.col("a.tick")) / (F.col("b.tick") - F.col("a.tick"))
     return joined.select("segment_id", "tick", F.when(F.col("a.tick") == F.col("tick"), F.col("a.x").cast("double")).otherwise(F.col("a.x") + share * (F.col("b.x") - F.col("a.x"))).alias("x"))
@@ -109,13 +111,18 @@ def sliding_normalise(frames: DataFrame, length: int, right: int, order: list, v
     w = _by_time(order)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sums = frames.withColumn("_t", F.row_number().over(w) - 1).withColumn("_n", F.count("*").over(Window.partitionBy("segment_id"))).withColumn("_s", F.sum("x").over(upto)).withColumn("_q", F.sum(F.col("x") * F.col("x")).over(upto))
-    end = F.least(F.col("_t") + right, F.col("_n") - 1)
-    begin = end - length
-    # the prefix sums at the window's ends are rows of the same segment: an equi-join
-    ends = sums.select("segment_id", F.col("_t").alias("_e"), F.col("_s").alias("_se"), F.col("_q").alias("_qe"))
-    placed = sums.withColumn("_e", end).withColumn("_b", begin).join(ends, ["segment_id", "_e"])
-    begins = sums.select("segment_id", F.col("_t").alias("_b"), F.col("_s").alias("_sb"), F.col("_q").alias("_qb"))
-    placed = placed.join(begins, ["segment_id", "_b"], "left")
+    # prefix sums at the window's ends lie at fixed offsets in the same order; the last frames reuse the last full window
+    last = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    inner = F.col("_t") + right < F.col("_n")
+    sums = sums.withColumn("_e", F.least(F.col("_t") + right, F.col("_n") - 1))
+    for name in "sq":
+        beyond = F.col(f"_{name}")
+        sums = sums.withColumn(f"_{name}e", F.when(inner, F.lead(beyond, right).over(w)).otherwise(F.last(beyond).over(last)))
+        shift = right - length  # of the row before the window
+        begin = F.lag(beyond, -shift).over(w) if shift < 0 else F.lead(beyond, shift).over(w) if shift else beyond
+        tail = F.max(F.when(F.col("_t") == F.col("_n") - 1 - length, F.struct(beyond.alias("v"))))
+        sums = sums.withColumn(f"_{name}b", F.when(inner, begin).otherwise(tail.over(last)["v"]))
+    placed = sums
     count = F.least(F.lit(length), F.col("_e") + 1)
     mean = (F.col("_se") - F.coalesce("_sb", F.lit(0))) / count
     square = (F.col("_qe") - F.coalesce("_qb", F.lit(0))) / count

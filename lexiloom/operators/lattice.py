@@ -80,7 +80,7 @@ def n_best(arcs: DataFrame, n: int) -> DataFrame:
 
 
 def arc_posteriors(arcs: DataFrame, alpha: float = 1.0) -> DataFrame:
-    """Forward-backward posteriors of all arcs, costs scaled by alpha."""
+    """Forward-backward posteriors of all arcs, costs scaled by alpha; nothing for a segment whose last state cannot be reached."""
 
     def plus(a: float, b: float) -> float:
         low, high = min(a, b), max(a, b)
@@ -93,6 +93,8 @@ def arc_posteriors(arcs: DataFrame, alpha: float = 1.0) -> DataFrame:
             ahead[dst] = plus(ahead.get(dst, -math.inf), ahead.get(src, -math.inf) - alpha * score)
         for src, dst, _, score in sorted(group, key=lambda a: -a[1]):
             behind[src] = plus(behind.get(src, -math.inf), behind.get(dst, -math.inf) - alpha * score)
+        if ahead.get(final, -math.inf) == -math.inf:
+            return []
         return [(segment, src, dst, label, math.exp(ahead.get(src, -math.inf) - alpha * score + behind.get(dst, -math.inf) - ahead[final])) for src, dst, label, score in group]
 
     return by_segment(arcs, solve, "src long, dst long, label string, posterior double")

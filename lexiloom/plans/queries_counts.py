@@ -75,7 +75,7 @@ _PADDED = f"padded AS (SELECT segment_id, list_concat(['<s>'], {_TOKENS}, ['</s>
 _GRAMS = """grams AS (SELECT 1 AS "order", '' AS history, w[e] AS word FROM padded, unnest(range(2, len(w) + 1)) AS t(e)
  UNION ALL SELECT 2, w[e - 1], w[e] FROM padded, unnest(range(2, len(w) + 1)) AS t(e)
  UNION ALL SELECT 3, concat(w[e - 2], ' ', w[e - 1]), w[e] FROM padded, unnest(range(3, len(w) + 1)) AS t(e)),
-ngrams AS (SELECT "order", history, word, count(*) AS n FROM grams GROUP BY ALL)"""
+ngrams AS MATERIALIZED (SELECT "order", history, word, count(*) AS n FROM grams GROUP BY ALL)"""
 _NGRAMS = f"{_PADDED.replace('SOURCE', 'doc_segments')}, {_GRAMS}"
 _LM = f"""{_NGRAMS}, d AS (SELECT "order", CASE WHEN count(*) FILTER (n = 1) > 0 THEN count(*) FILTER (n = 1) / (count(*) FILTER (n = 1) + 2 * count(*) FILTER (n = 2)) ELSE 0.0 END AS d FROM ngrams GROUP BY 1),
 h AS (SELECT "order", history, sum(n) AS total, count(*) AS types FROM ngrams GROUP BY 1, 2),
@@ -84,23 +84,22 @@ p1 AS (SELECT history, word, own + weight / (SELECT count(*) FROM ngrams WHERE "
 p2 AS (SELECT parts.history, word, own + weight * p1.p AS p FROM parts JOIN p1 USING (word) WHERE "order" = 2),
 p3 AS (SELECT parts.history, parts.word, own + weight * p2.p AS p FROM parts JOIN p2 ON parts.word = p2.word AND split_part(parts.history, ' ', 2) = p2.history WHERE "order" = 3),
 scored AS (SELECT 1 AS "order", * FROM p1 UNION ALL SELECT 2, * FROM p2 UNION ALL SELECT 3, * FROM p3),
-lm AS (SELECT s."order", s.history, s.word, -ln(p) AS score, coalesce(-ln(w.weight), 0.0) AS backoff FROM scored s LEFT JOIN (SELECT DISTINCT "order", history, weight FROM parts) w
+lm AS MATERIALIZED (SELECT s."order", s.history, s.word, -ln(p) AS score, coalesce(-ln(w.weight), 0.0) AS backoff FROM scored s LEFT JOIN (SELECT DISTINCT "order", history, weight FROM parts) w
  ON w."order" = s."order" + 1 AND w.history = CASE WHEN s.history = '' THEN s.word ELSE concat(s.history, ' ', s.word) END)"""
 _EVENTS = f"""q AS (SELECT segment_id, list_concat(['<s>'], {_TOKENS}, ['</s>']) AS w FROM segments),
-events AS (SELECT segment_id, e - 2 AS pos, w[e] AS word, w[e - 1] AS h1, CASE WHEN e > 2 THEN concat(w[e - 2], ' ', w[e - 1]) END AS h2 FROM q, unnest(range(2, len(w) + 1)) AS t(e))"""
-_SCORES = f"""{_LM}, {_EVENTS}, bo AS (SELECT CASE WHEN history = '' THEN word ELSE concat(history, ' ', word) END AS gram, backoff FROM lm),
+events AS MATERIALIZED (SELECT segment_id, e - 2 AS pos, w[e] AS word, w[e - 1] AS h1, CASE WHEN e > 2 THEN concat(w[e - 2], ' ', w[e - 1]) END AS h2 FROM q, unnest(range(2, len(w) + 1)) AS t(e))"""
+_SCORES = f"""{_LM}, {_EVENTS}, bo AS MATERIALIZED (SELECT CASE WHEN history = '' THEN word ELSE concat(history, ' ', word) END AS gram, backoff FROM lm),
 scores AS (SELECT segment_id, pos, e.word, CASE WHEN a.score IS NOT NULL THEN a.score WHEN b.score IS NOT NULL THEN coalesce(ba.backoff, 0) + b.score ELSE coalesce(ba.backoff, 0) + coalesce(bb.backoff, 0) + coalesce(c.score, 0) END AS score FROM events e
  LEFT JOIN lm a ON a.history = e.h2 AND a.word = e.word AND a."order" = 3 LEFT JOIN lm b ON b.history = e.h1 AND b.word = e.word AND b."order" = 2 LEFT JOIN lm c ON c.history = '' AND c.word = e.word AND c."order" = 1
  LEFT JOIN bo ba ON ba.gram = e.h2 LEFT JOIN bo bb ON bb.gram = e.h1)"""
 
 
 def _ngrams(spark, sf_dir):
-    """Counts are read many times by the estimator: kept on the executors' disks."""
-    return counts.ngram_counts(views.doc_segments(spark, sf_dir), 3).persist(StorageLevel.DISK_ONLY)
+    return counts.ngram_counts(views.doc_segments(spark, sf_dir), 3)
 
 
 def _model(spark, sf_dir):
-    return counts.estimate_backoff_lm(_ngrams(spark, sf_dir)).persist(StorageLevel.DISK_ONLY)
+    return counts.estimate_backoff_lm(_ngrams(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK), 3).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _scores(spark, sf_dir):

@@ -91,15 +91,15 @@ def word_spans(spark, sf_dir):
 def _timed(spark, sf_dir):
     li = views.read(spark, sf_dir, "lineitem")
     start = (F.col("l_linenumber") * 3).cast("long")
-    return li.select(F.col("l_orderkey").alias("segment_id"), F.col("l_returnflag").alias("label"), start.alias("start_t"), (start + F.col("l_partkey") % 7).alias("end_t"), (F.col("l_quantity") / 50).alias("posterior"))
+    return li.select(F.col("l_orderkey").alias("segment_id"), F.col("l_returnflag").alias("label"), start.alias("start_t"), (start + F.col("l_partkey") % 7).alias("end_t"), F.col("l_quantity").cast("long").alias("posterior"))
 
 
-_TIMED = "timed AS (SELECT l_orderkey AS segment_id, l_returnflag AS label, l_linenumber * 3 AS start_t, l_linenumber * 3 + l_partkey % 7 AS end_t, l_quantity / 50 AS posterior FROM lineitem), fr AS (SELECT segment_id, t, label, sum(posterior) AS weight FROM timed, unnest(range(start_t::BIGINT, end_t::BIGINT)) AS u(t) GROUP BY ALL)"
+_TIMED = "timed AS (SELECT l_orderkey AS segment_id, l_returnflag AS label, l_linenumber * 3 AS start_t, l_linenumber * 3 + l_partkey % 7 AS end_t, l_quantity::BIGINT AS posterior FROM lineitem), fr AS (SELECT segment_id, t, label, sum(posterior)::BIGINT AS weight FROM timed, unnest(range(start_t::BIGINT, end_t::BIGINT)) AS u(t) GROUP BY ALL)"
 
 
-@query(f"WITH {_TIMED} SELECT segment_id, t, label, round(weight, 6) AS weight FROM fr")
+@query(f"WITH {_TIMED} SELECT segment_id, t, label, weight FROM fr")
 def posteriors_to_alignment(spark, sf_dir):
-    return _rounded(slots.posteriors_to_alignment(_timed(spark, sf_dir)), "weight")
+    return slots.posteriors_to_alignment(_timed(spark, sf_dir))
 
 
 @query(f"WITH {_TIMED} SELECT segment_id, t AS slot, label, round(weight / sum(weight) OVER (PARTITION BY segment_id, t), 6) AS posterior FROM fr")
