@@ -4,6 +4,9 @@ The texts of a slice are cut into words that no vocabulary piece crosses. All wo
 numpy array of symbols. Each round looks up the rank of every adjacent pair, takes the least rank of each word
 (segmented minimum), merges its leftmost occurrences in all words at once and compacts the array, until no pair is left.
 
+In a word of over ``LONG`` symbols a round touches only the occurrences of its least rank and their neighbours: pairs wait in a queue by rank, and
+neighbours are found by links instead of compaction, so the work grows with the symbols and not with the rounds.
+
 Merging several occurrences in one round equals the sequential algorithm unless the new piece can at once take part
 in a pair of the same or a better rank; for such pieces only the leftmost occurrence is merged in that round.
 
@@ -14,6 +17,7 @@ an empty table gives an empty one, and other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -29,6 +33,8 @@ SPACE = "▁"
 NO_RANK = np.int32(2**31 - 1)
 _SHIFT = 21  # a symbol is a piece id or the vocabulary size plus a code point
 _EMPTY = np.int64(-1)
+#: Symbols of a word from which pairs wait in a queue.
+LONG = 1000
 
 
 class PairTable:
@@ -138,6 +144,14 @@ class PieceModel:
         symbols = self.symbol[np.frombuffer("".join(marks).encode("utf-32-le"), np.uint32)]
         done_symbols, done_words = [], []
         word = np.repeat(np.arange(len(marks)), lengths)
+        long = np.flatnonzero(lengths > LONG)
+        if len(long):
+            ends = np.cumsum(lengths)
+            for k in long.tolist():
+                done_symbols.append(self._merge_long(symbols[ends[k] - lengths[k] : ends[k]].copy()))
+                done_words.append(np.full(len(done_symbols[-1]), k))
+            short = np.repeat(lengths <= LONG, lengths)
+            symbols, word = symbols[short], word[short]
         merged = np.full(len(symbols), -1, np.int32)  # what each symbol makes with the next one of its word
         inner = np.flatnonzero(word[1:] == word[:-1])
         merged[inner] = self.pairs.get(symbols[inner] << _SHIFT | symbols[inner + 1])
@@ -176,6 +190,69 @@ class PieceModel:
             merged[changed] = self.pairs.get(symbols[changed] << _SHIFT | symbols[changed + 1])
         return self._as_bytes(done_symbols, done_words, len(words))
 
+    def _merge_long(self, symbols: np.ndarray) -> np.ndarray:
+        """The symbols of one long word after all rounds."""
+        n = len(symbols)
+        after, before, alive = np.arange(1, n + 1), np.arange(-1, n - 1), np.ones(n, bool)
+        merged = np.full(n, -1, np.int32)
+        merged[:-1] = self.pairs.get(symbols[:-1] << _SHIFT | symbols[1:])
+        waiting: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def put(rank: int, at: np.ndarray) -> None:
+            if rank not in waiting:
+                waiting[rank] = []
+                heapq.heappush(heap, rank)
+            waiting[rank].append(at)
+
+        def put_all(at: np.ndarray) -> None:
+            at = at[merged[at] >= 0]
+            if len(at):
+                ranks = self.rank[merged[at]]
+                order = np.argsort(ranks, kind="stable")
+                at, ranks = at[order], ranks[order]
+                cuts = np.flatnonzero(np.diff(ranks)) + 1
+                for part, rank in zip(np.split(at, cuts), ranks[np.concatenate([[0], cuts])].tolist(), strict=True):
+                    put(rank, part)
+
+        put_all(np.arange(n - 1))
+        while heap:
+            rank = heapq.heappop(heap)
+            at = np.unique(np.concatenate(waiting.pop(rank)))
+            at = at[alive[at] & (merged[at] >= 0)]
+            at = at[self.rank[merged[at]] == rank]
+            if not len(at):
+                continue
+            if len(at) > 1:  # of overlapping occurrences every other one counts, from the left
+                every = at
+                fresh = np.concatenate([[True], after[at[:-1]] != at[1:]])
+                run_start = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
+                at = at[(np.arange(len(at)) - run_start) % 2 == 0]
+                if self.risky[merged[at[0]]]:
+                    # up to the first one whose new pairs, as they stand before the next one is merged, come before or with it
+                    new, left, right = merged[at].astype(np.int64), before[at], after[after[at]]
+                    joined = np.concatenate([[False], left[1:] == after[at[:-1]]])
+                    pairs = np.concatenate([np.where(joined, new, symbols[left]) << _SHIFT | new, new << _SHIFT | symbols[np.minimum(right, n - 1)]])
+                    made = np.where(np.concatenate([left >= 0, right < n]), self.pairs.get(pairs), -1)
+                    soon = ((made >= 0) & (self.rank[made] <= rank)).reshape(2, -1).any(axis=0)
+                    if soon[:-1].any():
+                        at = at[: int(soon.argmax()) + 1]
+                        put(rank, every[every > at[-1]])
+            gone = after[at]
+            symbols[at] = merged[at]
+            alive[gone], merged[gone] = False, -1
+            then = after[gone]
+            after[at] = then
+            inner = then < n
+            before[then[inner]] = at[inner]
+            left = before[at]
+            changed = np.unique(np.concatenate([at, left[left >= 0]]))
+            merged[changed] = -1
+            changed = changed[after[changed] < n]
+            merged[changed] = self.pairs.get(symbols[changed] << _SHIFT | symbols[after[changed]])
+            put_all(changed)
+        return symbols[alive]
+
     def _as_bytes(self, done_symbols: list[np.ndarray], done_words: list[np.ndarray], n: int) -> list[bytes]:
         if not done_symbols:
             return [b""] * n

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-#: Entries before the cache starts anew; about 200 bytes each.
-MAX_WORDS = 400_000
+#: Entries, and letters and bytes in them, before the cache starts anew.
+MAX_WORDS, MAX_SIZE = 400_000, 32 << 20
 
 
 class WordCache(dict):
@@ -13,17 +13,20 @@ class WordCache(dict):
 
     def __init__(self, encode_words: Callable[[list[str]], list[bytes]], limit: int = MAX_WORDS):
         super().__init__()
-        self.encode_words, self.limit = encode_words, limit
+        self.encode_words, self.limit, self.size = encode_words, limit, 0
 
     def learn(self, docs: list[list[str]]) -> None:
         """Encode the words of ``docs`` that are missing, all at once."""
-        if len(self) > self.limit:
+        if len(self) > self.limit or self.size > MAX_SIZE:
             self.clear()
+            self.size = 0
         new: set[str] = set().union(*docs)
         new.difference_update(self)
         if new:
             words = sorted(new)
-            self.update(zip(words, self.encode_words(words), strict=True))
+            ids = self.encode_words(words)
+            self.size += sum(map(len, words)) + sum(map(len, ids))
+            self.update(zip(words, ids, strict=True))
 
     def join(self, words: list[str]) -> bytes:
         return b"".join(map(self.__getitem__, words))

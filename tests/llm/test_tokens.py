@@ -51,3 +51,20 @@ def test_counts_encode_only_distinct_misses(spark, library, tmp_path):
         assert spark.read.parquet(cache).count() == len({(t or "").replace("▁", " ") for t in TEXTS}) + more
     other = public_tokenizers.path("byte_bpe_50k.json")
     assert {r.doc_id for r in token_counts.token_counts(docs, other, cache).collect()} == set(want)
+
+
+def test_long_unspaced_words_equal_the_library():
+    """One word of a million characters takes seconds; shorter ones on both sides of ``LONG`` agree as well."""
+    import time
+
+    import sentencepiece
+
+    library, model, rnd = sentencepiece.SentencePieceProcessor(model_file=PIECES), pieces.piece_model(PIECES), random.Random(5)
+    letters = "".join(rnd.choice("etaoinshrdlucmfwypvbgk") for _ in range(1_000_000))
+    base64 = "".join(rnd.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(50_000))
+    words = "".join(rnd.choice(["the", "quick", "brown", "fox", "über", "jumping", "lazy", "漢字", "éa"]) for _ in range(9_000))
+    began = time.time()
+    got = model.encode([letters])[0].tolist()
+    assert time.time() - began < 40 and got == library.encode(letters)
+    for text in (base64, words, "a" * 5_000, "ab" * 700, words[: pieces.LONG - 1], words[: pieces.LONG], words[: pieces.LONG + 1], " " * 3_000, "=" * 4_000 + "-" * 4_000):
+        assert model.encode([text])[0].tolist() == library.encode(text)
