@@ -123,7 +123,6 @@ def prune_by_posterior(spark, sf_dir):
     return op.prune_by_posterior(a, 0.5, 4).select("segment_id", "src", "dst", "label")
 
 
-_PATHS = f"""{_LINKS}, m AS (SELECT segment_id, max(dst) AS z FROM arc GROUP BY 1), paths AS (WITH RECURSIVE r AS (SELECT segment_id, 0::BIGINT AS state, '' AS words, 0.0::DOUBLE AS score UNION ALL SELECT 0, 0, '', 0.0 WHERE false) SELECT * FROM r)"""
 _PATHS = f"""{_LINKS}, m AS (SELECT segment_id, min(src) AS a, max(dst) AS z FROM arc GROUP BY 1),
 paths AS (WITH RECURSIVE r AS (SELECT segment_id, a AS state, '' AS words, 0.0::DOUBLE AS score FROM m UNION ALL SELECT r.segment_id, arc.dst, CASE WHEN words = '' THEN label ELSE concat(words, ' ', label) END, r.score + arc.score FROM r JOIN arc ON arc.segment_id = r.segment_id AND arc.src = r.state) SELECT * FROM r),
 ends AS (SELECT segment_id, words, min(score) AS score FROM paths JOIN m USING (segment_id) WHERE state = z GROUP BY 1, 2)"""

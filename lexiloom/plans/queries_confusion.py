@@ -12,7 +12,6 @@ from .catalogue import query
 
 _W = """w AS (SELECT l_orderkey AS segment_id, l_linenumber * 3 AS start, l_linenumber * 3 + min(l_partkey) % 7 AS "end", max(l_returnflag) AS word, sum(l_quantity::BIGINT)::BIGINT AS q FROM lineitem GROUP BY l_orderkey, l_linenumber)"""
 _FRAMES = f"""{_W}, fw AS (SELECT segment_id, t AS slot, word AS label, sum(q)::BIGINT AS q FROM w, unnest(range(start::BIGINT, "end"::BIGINT)) AS u(t) GROUP BY ALL), cn AS (SELECT segment_id, slot, label, q / sum(q) OVER (PARTITION BY segment_id, slot) AS posterior FROM fw)"""
-_ERRORS = f"""{_FRAMES}, f AS (SELECT segment_id, start, "end", word, sum(coalesce(posterior, 0)) AS mass, max(coalesce(posterior, 0)) AS top FROM w, unnest(range(start::BIGINT, "end"::BIGINT)) AS u(t) LEFT JOIN cn ON cn.segment_id = w.segment_id AND cn.slot = t AND cn.label = word GROUP BY ALL)"""
 _ERRORS = f"""{_FRAMES}, ex AS (SELECT segment_id, start, "end", word, t FROM w, unnest(range(start::BIGINT, "end"::BIGINT)) AS u(t)), f AS (SELECT ex.segment_id, start, "end", word, sum(coalesce(posterior, 0)) AS mass, max(coalesce(posterior, 0)) AS top FROM ex LEFT JOIN cn ON cn.segment_id = ex.segment_id AND cn.slot = t AND cn.label = word GROUP BY ALL),
 e AS (SELECT w.segment_id, w.start, w."end", w.word, coalesce(top, 1.0) AS confidence, coalesce(("end" - start - mass) / (1 + 0.05 * ("end" - start - 1)), 0.0) AS error FROM w LEFT JOIN f USING (segment_id, start, "end", word))"""
 
@@ -67,7 +66,7 @@ def min_frame_error_decode(spark, sf_dir):
 SELECT segment_id, arg_min(rank, (round(risk, 6), rank)) AS rank, round(min(risk), 4) AS risk FROM r GROUP BY 1""")
 def mbr_nbest(spark, sf_dir):
     c = views.read(spark, sf_dir, "conversations")
-    n = c.select(F.col("conv_id").alias("segment_id"), F.col("turn").alias("rank"), F.col("text").alias("words"), (F.lit(1.0) / (1 + F.col("turn"))).alias("posterior"))
+    n = c.select(F.col("conv_id").alias("segment_id"), F.col("turn").alias("rank"), F.regexp_replace("text", "[^ -~]", "").alias("words"), (F.lit(1.0) / (1 + F.col("turn"))).alias("posterior"))
     return op.mbr_nbest(n).select("segment_id", "rank", F.round("risk", 4).alias("risk"))
 
 
