@@ -68,7 +68,7 @@ def streamed(messages: DataFrame, phase: int, first: Column, text: Column) -> Da
 def turns_to_events(turns: DataFrame) -> DataFrame:
     """A log that ends in ``conv_id, turn, role, text``: turns are opened and streamed; a third of them as a draft, reversed, that is then edited; and half of the
     conversations are regenerated from their second message on, which is streamed again and whose successors are opened again."""
-    messages = number_turns(turns)
+    messages = materialise(number_turns(turns), "turns")  # numbered once for all parts of the log
     drafted = F.pmod(F.xxhash64("conv_id", "msg"), F.lit(3)) == 1
     once = streamed(messages, 0, F.lit("open"), F.when(drafted, F.reverse("text")).otherwise(F.col("text")))
     edits = messages.filter(drafted).select("conv_id", F.struct(F.lit(0).alias("phase"), "msg", F.lit(2**31 - 1).alias("part")).alias("seq"), F.lit("edit").alias("kind"), "msg", F.lit(None).cast("string").alias("role"), "text")
