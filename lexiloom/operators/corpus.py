@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -54,8 +55,13 @@ def unknown_in_list(segments: DataFrame, order: DataFrame) -> DataFrame:
 
 
 def shuffle_segments(segments: DataFrame, seed: int = 0) -> DataFrame:
-    """A reproducible random order: ``position key`` to sort by."""
-    return segments.withColumn("shuffle_key", F.xxhash64("segment_id", F.lit(seed))).orderBy("shuffle_key", "segment_id")
+    """A reproducible random order by ``shuffle_key``, a digest of seed and name."""
+    return segments.withColumn("shuffle_key", F.md5(F.concat_ws("/", F.lit(str(seed)), "segment_id"))).orderBy("shuffle_key", "segment_id")
+
+
+def custom_order(segments: DataFrame, key: Callable[..., Column], *columns: str) -> DataFrame:
+    """Segments by ``order_key``, which the user's ``key`` (a pandas UDF or any function of columns) gives for each; equal keys in corpus order."""
+    return segments.withColumn("order_key", key(*(F.col(c) for c in columns))).orderBy("order_key", "seq")
 
 
 def sort_by_length(segments: DataFrame, bucket: Column, chunk: int = 0) -> DataFrame:

@@ -178,11 +178,10 @@ def norm(x: Column, p: float) -> Column:
 
 
 def vector_normalise(x: Column, kind: str) -> Column:
-    mean = total(x) / F.size(x)
     by = {"energy": F.sqrt(energy(x)), "maximum": F.array_max(x), "mean-energy": F.sqrt(energy(x) / F.size(x))}
     if kind == "mean":
-        return F.transform(x, lambda v: v - mean)
-    return F.transform(x, lambda v: v / by[kind])
+        return _once(total(x) / F.size(x), lambda mean: F.transform(x, lambda v: v - mean))
+    return _once(by[kind], lambda unit: F.transform(x, lambda v: v / unit))
 
 
 def products(x: Column) -> Column:
@@ -198,10 +197,14 @@ def cosine_transform(d: int, k: int) -> list[list[float]]:
     return [[math.cos(math.pi * i * (j + 0.5) / d) for j in range(d)] for i in range(k)]
 
 
+def _once(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once a row, not once for each component."""
+    return F.transform(F.array(value), then)[0]
+
+
 def softmax(x: Column) -> Column:
-    top = F.array_max(x)
-    shifted = F.transform(x, lambda v: F.exp(v - top))
-    return F.transform(shifted, lambda v: v / total(shifted))
+    shifted = _once(F.array_max(x), lambda top: F.transform(x, lambda v: F.exp(v - top)))
+    return _once(shifted, lambda s: _once(total(s), lambda t: F.transform(s, lambda v: v / t)))
 
 
 def peak(x: Column) -> Column:

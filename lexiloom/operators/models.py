@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 
@@ -26,23 +29,39 @@ def gaussian_estimate(acc: DataFrame, min_variance: float = 0.0) -> DataFrame:
     return acc.withColumn("mean", mean).withColumn("var", F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(min_variance)))
 
 
-def products(vectors: DataFrame, keys: list[str], d: int) -> DataFrame:
-    """``keys, i, j, n, p``: sums of products of the lower triangle, as d (d + 1) / 2 sums in one aggregation."""
-    pairs = [(i, j) for i in range(d) for j in range(i + 1)]
-    sums = vectors.groupBy(*keys).agg(F.count("*").alias("n"), *(F.sum(F.element_at("x", i + 1) * F.element_at("x", j + 1)).alias(f"p{i}_{j}") for i, j in pairs))
-    cells = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"p{i}_{j}").alias("p")) for i, j in pairs))
-    return sums.select(*keys, "n", F.explode(cells).alias("c")).select(*keys, "n", "c.i", "c.j", "c.p")
+def _whole(vectors: DataFrame, d: int) -> DataFrame:
+    """Vectors of d components without nulls; matrices leave out all others."""
+    return vectors.filter((F.size("x") == d) & ~F.exists("x", lambda v: v.isNull()))
+
+
+def products(vectors: DataFrame, d: int) -> DataFrame:
+    """``i, j, n, p``: sums of products of the lower triangle. A task multiplies its batches as matrices and sends d (d + 1) / 2 sums."""
+    whole = vectors.schema["x"].dataType.elementType.typeName() in ("byte", "short", "integer", "long")
+    number, kind = ("bigint", np.int64) if whole else ("double", np.float64)
+    i, j = np.tril_indices(d)
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, sums = 0, np.zeros((d, d), kind)
+        for b in batches:
+            if len(b):
+                m = np.stack(b["x"].to_list()).astype(kind)
+                n, sums = n + len(b), sums + m.T @ m
+        if n:
+            yield pd.DataFrame({"i": i.astype(np.int32), "j": j.astype(np.int32), "n": n, "p": sums[i, j]})
+
+    parts = _whole(vectors, d).select("x").mapInPandas(partial, f"i int, j int, n bigint, p {number}")
+    return parts.groupBy("i", "j").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
 
 
 def _sums(vectors: DataFrame, keys: list[str], d: int) -> DataFrame:
-    sums = vectors.groupBy(*keys).agg(*(F.sum(F.element_at("x", i + 1)).alias(f"s{i}") for i in range(d)))
+    sums = _whole(vectors, d).groupBy(*keys).agg(*(F.sum(F.element_at("x", i + 1)).alias(f"s{i}") for i in range(d)))
     return sums.select(*keys, F.posexplode(F.array(*(F.col(f"s{i}") for i in range(d)))).alias("dim", "s"))
 
 
 def covariance(vectors: DataFrame, d: int, normalise: bool = True, floor: float | None = None) -> DataFrame:
     """``i, j, v``: scatter around the mean, divided by n if ``normalise``; elements below ``floor`` are raised to it."""
     s = _sums(vectors, [], d)
-    joined = products(vectors, [], d).join(F.broadcast(s.select(F.col("dim").alias("i"), F.col("s").alias("si"))), "i").join(F.broadcast(s.select(F.col("dim").alias("j"), F.col("s").alias("sj"))), "j")  # d rows each
+    joined = products(vectors, d).join(F.broadcast(s.select(F.col("dim").alias("i"), F.col("s").alias("si"))), "i").join(F.broadcast(s.select(F.col("dim").alias("j"), F.col("s").alias("sj"))), "j")  # d rows each
     v = F.col("p") - F.col("si") * F.col("sj") / F.col("n")
     v = v / F.col("n") if normalise else v
     return joined.select("i", "j", (v if floor is None else F.greatest(v, F.lit(floor))).alias("v"))
@@ -51,12 +70,12 @@ def covariance(vectors: DataFrame, d: int, normalise: bool = True, floor: float
 def scatter_matrices(vectors: DataFrame, d: int) -> DataFrame:
     """``i, j, between, within, total`` of labelled vectors."""
     s = _sums(vectors, ["label"], d)
-    n = vectors.groupBy("label").agg(F.count("*").alias("n"))
+    n = _whole(vectors, d).groupBy("label").agg(F.count("*").alias("n"))
     per_class = s.select("label", F.col("dim").alias("i"), F.col("s").alias("si")).join(s.select("label", F.col("dim").alias("j"), F.col("s").alias("sj")), "label").filter("j <= i").join(n, "label")
     classes = per_class.groupBy("i", "j").agg(F.sum(F.col("si") * F.col("sj") / F.col("n")).alias("c"))
     g = _sums(vectors, [], d)
     glob = g.select(F.col("dim").alias("i"), F.col("s").alias("gi")).crossJoin(g.select(F.col("dim").alias("j"), F.col("s").alias("gj"))).filter("j <= i")  # d rows each
-    all_of = products(vectors, [], d).join(classes, ["i", "j"]).join(glob, ["i", "j"])
+    all_of = products(vectors, d).join(classes, ["i", "j"]).join(glob, ["i", "j"])
     mean = F.col("gi") * F.col("gj") / F.col("n")
     return all_of.select("i", "j", (F.col("c") - mean).alias("between"), (F.col("p") - F.col("c")).alias("within"), (F.col("p") - mean).alias("total"))
 
@@ -78,33 +97,69 @@ def map_class_labels(counts: DataFrame, disregard: DataFrame) -> DataFrame:
     return kept.select("label", (F.dense_rank().over(Window.orderBy("label")) - 1).alias("mapped"))
 
 
-def density_scores(vectors: DataFrame, densities: DataFrame, keys: list[str]) -> DataFrame:
-    """Half of ``sum((x - mean)^2 / var) + ln(2 pi var)`` summed over dimensions, for each vector and density.
+def _scored(vectors: DataFrame, densities: DataFrame) -> DataFrame:
+    """Vectors with ``_scores``, an array of ``score, density``.
 
-    ``densities(density, dim, mean, var)`` is a model: its size does not grow with the corpus, so it is broadcast.
+    ``densities(density, dim, mean, var[, weight])`` is a model with every dimension from 0: its size does not grow with the corpus, so it joins every
+    vector as one broadcast row, and no component or score is shuffled. A score is half of ``sum((x - mean)^2 / var) + ln(2 pi var)`` over dimensions,
+    without the logarithm of the weight if there is one. Null or missing components add nothing; vectors without ``x`` go.
     """
-    spread = vectors.select(*keys, F.posexplode("x").alias("dim", "v"))
-    cell = F.pow(F.col("v") - F.col("mean"), 2) / F.col("var") + F.ln(2 * F.pi() * F.col("var"))
-    return spread.join(F.broadcast(densities), "dim").groupBy(*keys, "density").agg((0.5 * F.sum(cell)).alias("score"))
+    weight = F.first("weight") if "weight" in densities.columns else F.lit(1.0)
+    cells = F.array_sort(F.collect_list(F.struct("dim", F.col("mean").alias("mean"), F.col("var").alias("var"), F.ln(2 * F.pi() * F.col("var")).alias("norm"))))
+    each = densities.groupBy("density").agg(cells.alias("cells"), F.ln(weight).alias("prior"))
+    model = each.agg(F.array_sort(F.collect_list(F.struct("density", "cells", "prior"))).alias("_model"))
+
+    def score(one: Column) -> Column:
+        cell = F.zip_with("x", one["cells"], lambda v, c: F.coalesce(F.pow(v - c["mean"], 2) / c["var"] + c["norm"], F.lit(0.0)))
+        return F.struct((0.5 * F.aggregate(cell, F.lit(0.0), lambda a, v: a + v) - one["prior"]).alias("score"), one["density"].alias("density"))
+
+    scored = vectors.filter("x IS NOT NULL").crossJoin(F.broadcast(model))  # one row
+    return scored.withColumn("_scores", F.transform("_model", score)).drop("_model")
+
+
+def density_scores(vectors: DataFrame, densities: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, density, score`` for each vector and density; low is near."""
+    return _scored(vectors, densities).select(*keys, F.inline("_scores")).select(*keys, "density", "score")
+
 
+def best_density(vectors: DataFrame, densities: DataFrame) -> DataFrame:
+    """Each vector with its ``density`` of the lowest ``score``; of equal scores the first density counts."""
+    return _scored(vectors, densities).withColumn("_best", F.array_min("_scores")).drop("_scores").withColumns({"score": F.col("_best.score"), "density": F.col("_best.density")}).drop("_best")
 
-def best_density(scores: DataFrame, keys: list[str]) -> DataFrame:
-    return scores.groupBy(*keys).agg(F.min(F.struct("score", "density")).alias("m")).select(*keys, "m.score", "m.density")
 
+def mixture_scores(vectors: DataFrame, densities: DataFrame) -> DataFrame:
+    """Each vector with the ``score`` of the whole mixture: minus the logarithm of the summed weighted densities."""
+    low = F.array_min(F.transform("_scores", lambda s: s["score"]))
+    total = F.aggregate("_scores", F.lit(0.0), lambda a, s: a + F.exp(F.col("_low") - s["score"]))
+    return _scored(vectors, densities).withColumn("_low", low).withColumn("score", F.col("_low") - F.ln(total)).drop("_scores", "_low")
 
-def gmm_train(vectors: DataFrame, start: DataFrame, iterations: int, min_variance: float = 1e-3) -> DataFrame:
-    """Viterbi training: every vector goes to its best density, which is then estimated anew. ``vec_id`` names vectors.
 
-    ``start`` and each model are small tables of densities; one is collected after every round to cut the lineage.
+def gmm_train(vectors: DataFrame, start: DataFrame, iterations: int, min_variance: float = 1e-3, threshold: float | None = None) -> DataFrame:
+    """``density, dim, mean, var, weight`` by Viterbi training: every vector goes to its best density, which is then estimated anew in the same pass.
+
+    It ends early once the mean score falls by less than the share ``threshold``, if one is given. ``start`` and each model are small tables of densities; one is collected
+    after every round to cut the lineage. Densities without vectors vanish.
     """
-    spark, model = vectors.sparkSession, start
+    spark, model, before = vectors.sparkSession, start, None
+    share = F.col("n") / F.sum("n").over(Window.partitionBy("dim"))  # of a model
     for _ in range(iterations):
-        best = best_density(density_scores(vectors, model, ["vec_id"]), ["vec_id"]).select("vec_id", "density")
-        new = gaussian_estimate(accumulate(vectors.join(best, "vec_id"), ["density"]), min_variance).select("density", "dim", "mean", "var")
-        model = spark.createDataFrame(new.collect(), new.schema)
+        seen = Observation()
+        best = best_density(vectors, model).observe(seen, F.avg("score").alias("score"))
+        new = gaussian_estimate(accumulate(best, ["density"]), min_variance).select("density", "dim", "mean", "var", share.alias("weight"))
+        weighted, model = "weight" in model.columns, spark.createDataFrame(new.collect(), new.schema)
+        now = seen.get["score"] if weighted else None  # scores without weights are another measure
+        if threshold is not None and before is not None and now is not None and before - now < threshold * abs(before):
+            break
+        before = now
     return model
 
 
+def mixture_prior(acc: DataFrame, label_map: DataFrame) -> DataFrame:
+    """``label, log_prior``: logarithm of a label's share of all density weights ``acc(mixture, density, n)`` by ``label_map(mixture, label)``."""
+    n = acc.join(label_map, "mixture").groupBy("label").agg(F.sum("n").cast("double").alias("n"))
+    return log_prior(n)
+
+
 def gmm_split(densities: DataFrame, share: float = 0.5) -> DataFrame:
     """Each density becomes two, its mean moved by plus and minus a share of the deviation."""
     moved = [densities.select((F.col("density") * 2 + k).alias("density"), "dim", (F.col("mean") + sign * share * F.sqrt("var")).alias("mean"), "var") for k, sign in ((0, -1), (1, 1))]
@@ -154,10 +209,15 @@ def cart_apply(rows: DataFrame, tree: dict, name: str = "leaf") -> DataFrame:
     return rows.withColumn(name, walk(tree))
 
 
+def cart_leaf_report(examples: DataFrame, label: str) -> DataFrame:
+    """``leaf, n, rows, classes, entropy, best`` of examples with ``leaf`` and count ``n``; of equally frequent classes the least is best."""
+    cells = examples.groupBy("leaf", label).agg(F.sum("n").alias("n"), F.count("*").alias("rows"))
+    best = F.min_by(F.col(label), F.struct(-F.col("n"), F.col(label)))
+    return cells.groupBy("leaf").agg(F.sum("n").alias("total"), F.sum("rows").alias("rows"), F.count("*").alias("classes"), F.collect_list(F.col("n").cast("double")).alias("_n"), best.alias("best")).withColumn("entropy", entropy(F.col("_n"))).drop("_n").withColumnRenamed("total", "n")
+
+
 def _matrix(cells: DataFrame, value: str):
     """The d x d matrix of a lower triangle ``i, j, value``; d does not grow with the corpus."""
-    import numpy as np
-
     rows = cells.select("i", "j", F.col(value).alias("v")).collect()
     d = 1 + max(r.i for r in rows)
     out = np.zeros((d, d))
@@ -171,20 +231,19 @@ def _as_table(spark, vectors, values) -> DataFrame:
     return spark.createDataFrame(cells, "component int, dim int, weight double, value double")
 
 
-def pca(cov: DataFrame, k: int) -> DataFrame:
-    """``component, dim, weight, value``: the k largest eigenvectors of a covariance table, signs by their largest entry."""
-    import numpy as np
-
+def pca(cov: DataFrame, k: int | None = None, share: float = 1.0) -> DataFrame:
+    """``component, dim, weight, value``: the k largest eigenvectors of a covariance table, or the fewest that hold ``share`` of the variance; signs by their largest entry."""
     values, vectors = np.linalg.eigh(_matrix(cov, "v"))
-    vectors = vectors[:, ::-1][:, :k]
+    values, vectors = values[::-1], vectors[:, ::-1]
+    if k is None:
+        k = min(len(values), 1 + int(np.searchsorted(np.cumsum(values), share * values.sum() * (1 - 1e-12))))
+    vectors = vectors[:, :k]
     vectors = vectors * np.sign(vectors[np.abs(vectors).argmax(axis=0), np.arange(k)])
-    return _as_table(cov.sparkSession, vectors, values[::-1][:k])
+    return _as_table(cov.sparkSession, vectors, values[:k])
 
 
 def lda(scatter: DataFrame, k: int) -> DataFrame:
     """The k leading solutions of ``between v = value within v`` by Cholesky whitening of the d x d matrices."""
-    import numpy as np
-
     low = np.linalg.cholesky(_matrix(scatter, "within"))
     inverse = np.linalg.inv(low)
     values, vectors = np.linalg.eigh(inverse @ _matrix(scatter, "between") @ inverse.T)
@@ -194,6 +253,12 @@ def lda(scatter: DataFrame, k: int) -> DataFrame:
 
 
 def project(vectors: DataFrame, components: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys, component, y``: vectors times components; the components are a small model and broadcast."""
-    spread = vectors.select(*keys, F.posexplode("x").alias("dim", "v"))
-    return spread.join(F.broadcast(components), "dim").groupBy(*keys, "component").agg(F.sum(F.col("v") * F.col("weight")).alias("y"))
+    """``keys, component, y``: vectors times components, which are a small model with every dimension from 0 and join as one broadcast row."""
+    each = components.groupBy("component").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "weight"))), lambda c: c["weight"]).alias("weights"))
+    model = each.agg(F.array_sort(F.collect_list(F.struct("component", "weights"))).alias("_model"))
+
+    def one(c: Column) -> Column:
+        terms = F.zip_with("x", c["weights"], lambda v, w: F.coalesce(v * w, F.lit(0.0)))
+        return F.struct(c["component"].alias("component"), F.aggregate(terms, F.lit(0.0), lambda a, v: a + v).alias("y"))
+
+    return vectors.filter("x IS NOT NULL").crossJoin(F.broadcast(model)).select(*keys, F.inline(F.transform("_model", one)))  # one row

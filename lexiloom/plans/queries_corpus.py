@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from lexiloom.operators import corpus
 
@@ -61,11 +63,22 @@ def unknown_in_list(spark, sf_dir):
     return corpus.unknown_in_list(s, order)
 
 
-@query(None)
+@query("SELECT segment_id, md5(concat('7/', segment_id)) AS shuffle_key FROM segments", "segments")
 def shuffle_segments(spark, sf_dir):
     return corpus.shuffle_segments(views.segments(spark, sf_dir), 7).select("segment_id", "shuffle_key")
 
 
+@F.pandas_udf(LongType())
+def _words(text: pd.Series) -> pd.Series:
+    """A user's own key: segments with many words first."""
+    return -text.fillna("").str.split().str.len()
+
+
+@query("SELECT segment_id, -len(list_filter(string_split_regex(coalesce(orth, ''), '\\s+'), lambda w: w <> '')) AS order_key FROM segments", "segments")
+def custom_order(spark, sf_dir):
+    return corpus.custom_order(views.segments(spark, sf_dir), _words, "orth").select("segment_id", "order_key")
+
+
 @query('SELECT segment_id, row_number() OVER (ORDER BY "end" - start, seq) - 1 AS rank FROM segments', "segments")
 def sort_by_length(spark, sf_dir):
     return corpus.sort_by_length(views.segments(spark, sf_dir), _bucket()).select("segment_id", "rank")

@@ -134,7 +134,7 @@ def adjacent_difference(spark, sf_dir):
     return views.vectors(spark, sf_dir).select("vec_id", F.array_join(op.adjacent_difference(F.col("x")).cast("array<string>"), ",").alias("diff"))
 
 
-@query("SELECT vec_id, i - 1 AS i, round(x[i] / sqrt(list_sum(list_transform(x, lambda v: v * v))), 6) AS energy, round(x[i] - list_sum(x) / len(x), 6) AS mean, round(x[i] / list_max(x), 6) AS maximum FROM vectors, unnest(range(1, 9)) AS t(i) WHERE list_max(x) <> 0", "vectors")
+@query("SELECT vec_id, i - 1 AS i, round(x[i] / sqrt(list_sum(list_transform(x, lambda v: v * v))), 6) AS energy, round(x[i] - list_sum(x) / len(x), 6) AS mean, round(x[i] / list_max(x), 6) AS maximum FROM vectors, unnest(range(1, len(x) + 1)) AS t(i) WHERE list_max(x) <> 0", "vectors")
 def vector_normalise(spark, sf_dir):
     x = F.col("x")
     v = views.vectors(spark, sf_dir).filter(F.array_max("x") != 0)
@@ -142,18 +142,18 @@ def vector_normalise(spark, sf_dir):
     return z.select("vec_id", F.col("i").cast("long").alias("i"), *(F.round(F.col("z")[k], 6).alias(n) for k, n in (("0", "energy"), ("1", "mean"), ("2", "maximum"))) if "0" in z.schema["z"].dataType.names else [F.round(F.col("z")[k], 6).alias(k) for k in ("energy", "mean", "maximum")])
 
 
-@query("SELECT vec_id, list_sum([x[i] * x[j] FOR i IN range(1, 9) FOR j IN range(1, 9) IF i <= j])::BIGINT AS s FROM vectors".replace("list_sum([x[i] * x[j] FOR i IN range(1, 9) FOR j IN range(1, 9) IF i <= j])", "(list_sum(x) * list_sum(x) + list_sum(list_transform(x, lambda v: v * v))) // 2"), "vectors")
+@query("SELECT vec_id, ((list_sum(x) * list_sum(x) + list_sum(list_transform(x, lambda v: v * v))) // 2)::BIGINT AS s FROM vectors", "vectors")
 def second_order_products(spark, sf_dir):
     return views.vectors(spark, sf_dir).select("vec_id", op.total(op.products(F.col("x"))).cast("long").alias("s"))
 
 
-@query("SELECT vec_id, round(list_sum([x[j] * cos(pi() * 1 * (j - 0.5) / 8) FOR j IN range(1, 9)]), 4) AS c1, round(list_sum([x[j] * cos(pi() * 2 * (j - 0.5) / 8) FOR j IN range(1, 9)]), 4) AS c2 FROM vectors", "vectors")
+@query("SELECT vec_id, round(list_sum([x[j] * cos(pi() * 1 * (j - 0.5) / len(x)) FOR j IN range(1, len(x) + 1)]), 4) AS c1, round(list_sum([x[j] * cos(pi() * 2 * (j - 0.5) / len(x)) FOR j IN range(1, len(x) + 1)]), 4) AS c2 FROM vectors", "vectors")
 def cosine_transform(spark, sf_dir):
-    c = op.matrix_multiply(F.col("x"), op.cosine_transform(8, 3))
+    c = op.matrix_multiply(F.col("x"), op.cosine_transform(views.DIMENSIONS, 3))
     return views.vectors(spark, sf_dir).select("vec_id", F.round(c[1], 4).alias("c1"), F.round(c[2], 4).alias("c2"))
 
 
-@query("SELECT vec_id, i - 1 AS i, round(exp(x[i] / 1000) / list_sum(list_transform(x, lambda v: exp(v / 1000))), 6) AS p FROM vectors, unnest(range(1, 9)) AS t(i)", "vectors")
+@query("SELECT vec_id, i - 1 AS i, round(exp(x[i] / 1000) / list_sum(list_transform(x, lambda v: exp(v / 1000))), 6) AS p FROM vectors, unnest(range(1, len(x) + 1)) AS t(i)", "vectors")
 def softmax(spark, sf_dir):
     x = F.transform("x", lambda v: v / 1000)
     return views.vectors(spark, sf_dir).select("vec_id", F.posexplode(op.softmax(x)).alias("i", "p")).select("vec_id", F.col("i").cast("long").alias("i"), F.round("p", 6).alias("p"))

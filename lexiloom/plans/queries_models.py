@@ -83,7 +83,7 @@ def map_class_labels(spark, sf_dir):
     return models.map_class_labels(models.class_counts(v), v.filter("label = 5").select("label").distinct()).withColumn("mapped", F.col("mapped").cast("long"))
 
 
-_DENSITIES = "cells AS (SELECT vec_id, label, d - 1 AS dim, x[d] AS v FROM vectors, unnest(range(1, 9)) AS t(d)), dens AS (SELECT label AS density, dim, avg(v) AS mean, greatest(sum(v * v) / count(*) - (sum(v) / count(*)) * (sum(v) / count(*)), 1.0) AS var FROM cells GROUP BY 1, 2), scores AS (SELECT vec_id, density, 0.5 * sum((v - mean) ** 2 / var + ln(2 * pi() * var)) AS score FROM cells JOIN dens USING (dim) GROUP BY 1, 2)"
+_DENSITIES = "cells AS (SELECT vec_id, label, d - 1 AS dim, x[d] AS v FROM vectors, unnest(range(1, len(x) + 1)) AS t(d)), dens AS (SELECT label AS density, dim, avg(v) AS mean, greatest(sum(v * v) / count(*) - (sum(v) / count(*)) * (sum(v) / count(*)), 1.0) AS var FROM cells GROUP BY 1, 2), scores AS (SELECT vec_id, density, 0.5 * sum((v - mean) ** 2 / var + ln(2 * pi() * var)) AS score FROM cells JOIN dens USING (dim) GROUP BY 1, 2)"
 
 
 def _densities(spark, sf_dir):
@@ -98,8 +98,14 @@ def density_scores(spark, sf_dir):
 
 @query(f"WITH {_DENSITIES} SELECT vec_id, arg_min(density, score) AS density, round(min(score), 4) AS score FROM scores GROUP BY 1", "vectors")
 def bayes_classify(spark, sf_dir):
-    s = models.density_scores(views.vectors(spark, sf_dir), _densities(spark, sf_dir), ["vec_id"])
-    return models.best_density(s, ["vec_id"]).withColumn("score", F.round("score", 4))
+    best = models.best_density(views.vectors(spark, sf_dir), _densities(spark, sf_dir))
+    return best.select("vec_id", "density", F.round("score", 4).alias("score"))
+
+
+@query(f"WITH {_DENSITIES}, low AS (SELECT *, score + ln(10) AS s, min(score + ln(10)) OVER (PARTITION BY vec_id) AS m FROM scores) SELECT vec_id, round(m - ln(sum(exp(m - s))), 4) AS score FROM low GROUP BY vec_id, m", "vectors")
+def mixture_scores(spark, sf_dir):
+    model = _densities(spark, sf_dir).withColumn("weight", F.lit(0.1))
+    return models.mixture_scores(views.vectors(spark, sf_dir), model).select("vec_id", F.round("score", 4).alias("score"))
 
 
 @query(f"WITH {_DENSITIES} SELECT density, round(avg(score), 4) AS activation FROM scores GROUP BY 1", "vectors")
@@ -108,9 +114,29 @@ def score_activation(spark, sf_dir):
     return s.groupBy("density").agg(F.round(F.avg("score"), 4).alias("activation"))
 
 
-@query(None)
+def _rounds(k: int) -> str:
+    """SQL tables m0 to mk: the model after each round of training."""
+    out = [_DENSITIES, "m0 AS (SELECT *, 1.0 AS weight FROM dens)"]
+    for r in range(1, k + 1):
+        out += [
+            f"s{r} AS MATERIALIZED (SELECT vec_id, density, 0.5 * sum((v - mean) ** 2 / var + ln(2 * pi() * var)) - ln(any_value(weight)) AS score FROM cells JOIN m{r - 1} USING (dim) GROUP BY 1, 2)",
+            f"b{r} AS MATERIALIZED (SELECT vec_id, arg_min(density, score) AS density FROM s{r} GROUP BY 1)",
+            f"m{r} AS MATERIALIZED (SELECT density, dim, avg(v) AS mean, greatest(sum(v * v) / count(*) - (sum(v) / count(*)) * (sum(v) / count(*)), 0.001) AS var, count(*) / (SELECT count(*) FROM b{r}) AS weight FROM cells JOIN b{r} USING (vec_id) GROUP BY 1, 2)",
+        ]
+    return ", ".join(out)
+
+
+@query(f"WITH {_rounds(3)} SELECT density, dim, round(mean, 4) AS mean, round(var, 2) AS var, round(weight, 6) AS weight FROM m3", "vectors")
 def gmm_train(spark, sf_dir):
-    return models.gmm_train(views.vectors(spark, sf_dir), _densities(spark, sf_dir), 3)
+    m = models.gmm_train(views.vectors(spark, sf_dir), _densities(spark, sf_dir), 3)
+    return m.select("density", F.col("dim").cast("long").alias("dim"), F.round("mean", 4).alias("mean"), F.round("var", 2).alias("var"), F.round("weight", 6).alias("weight"))
+
+
+@query("SELECT l_linestatus AS label, round(ln(count(*) / (SELECT count(*) FROM lineitem)), 6) AS log_prior FROM (SELECT CASE WHEN l_suppkey % 2 = 0 THEN 'even' ELSE 'odd' END AS l_linestatus FROM lineitem) GROUP BY 1")
+def mixture_prior(spark, sf_dir):
+    acc = views.read(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("mixture"), F.col("l_partkey").alias("density")).agg(F.count("*").alias("n"))
+    label_map = acc.select("mixture").distinct().withColumn("label", F.when(F.col("mixture") % 2 == 0, "even").otherwise("odd"))
+    return models.mixture_prior(acc, label_map).withColumn("log_prior", F.round("log_prior", 6))
 
 
 @query(f"WITH {_DENSITIES} SELECT density * 2 + k AS density, dim, round(mean + (2 * k - 1) * 0.5 * sqrt(var), 4) AS mean FROM dens, unnest([0, 1]) AS t(k)", "vectors")
@@ -152,13 +178,38 @@ def cart_apply(spark, sf_dir):
     return models.cart_apply(views.read(spark, sf_dir, "documents"), tree).groupBy("leaf").agg(F.count("*").alias("n"))
 
 
+@query("""WITH e AS (SELECT CASE WHEN lang = 'en' THEN 1 ELSE 2 END AS leaf, quality, source, count(*) AS n FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL GROUP BY ALL),
+c AS (SELECT leaf, quality, sum(n) AS n, count(*) AS r FROM e GROUP BY 1, 2), t AS (SELECT *, sum(n) OVER (PARTITION BY leaf) AS t FROM c)
+SELECT leaf, sum(n)::BIGINT AS n, sum(r)::BIGINT AS rows, count(*) AS classes, round(-sum(n / t * log2(n / t)), 6) AS entropy, arg_min(quality, (-n, quality)) AS best FROM t GROUP BY 1""".replace("AS rows", 'AS "rows"'))
+def cart_leaf_report(spark, sf_dir):
+    d = views.read(spark, sf_dir, "documents").join(views.read(spark, sf_dir, "labels").filter("quality IS NOT NULL"), "doc_id")
+    e = models.cart_examples(models.cart_apply(d, {"question": F.col("lang") == "en", "yes": 1, "no": 2}), ["leaf", "source"], "quality")
+    return models.cart_leaf_report(e, "quality").withColumn("entropy", F.round("entropy", 6))
+
+
 @query(None)
 def pca(spark, sf_dir):
     v = views.vectors(spark, sf_dir)
-    return models.project(v, models.pca(models.covariance(v, 8), 2), ["vec_id"])
+    return models.project(v, models.pca(models.covariance(v, views.DIMENSIONS), 2), ["vec_id"])
+
+
+@query("SELECT vec_id, list_sum(list_transform(x, lambda v: v * v))::BIGINT AS energy FROM vectors", "vectors")
+def pca_energy(spark, sf_dir):
+    """All components together keep the length of every vector."""
+    v = views.vectors(spark, sf_dir)
+    y = models.project(v, models.pca(models.covariance(v, views.DIMENSIONS)), ["vec_id"])
+    return y.groupBy("vec_id").agg(F.round(F.sum(F.col("y") * F.col("y"))).cast("long").alias("energy"))
+
+
+@query("""WITH m AS (SELECT d, sum(x[d] * x[d]) / count(*) - (sum(x[d]) / count(*)) * (sum(x[d]) / count(*)) AS var FROM vectors, unnest(range(1, len(x) + 1)) AS t(d) GROUP BY 1) SELECT round(sum(var), 2) AS variance FROM m""", "vectors")
+def pca_variance(spark, sf_dir):
+    """The variances along all components add up to that of the vectors."""
+    v = views.vectors(spark, sf_dir)
+    y = models.project(v, models.pca(models.covariance(v, views.DIMENSIONS)), [])
+    return y.groupBy("component").agg(F.var_pop("y").alias("var")).agg(F.round(F.sum("var"), 2).alias("variance"))
 
 
 @query(None)
 def lda(spark, sf_dir):
     v = views.vectors(spark, sf_dir)
-    return models.project(v, models.lda(models.scatter_matrices(v, 8), 2), ["vec_id"])
+    return models.project(v, models.lda(models.scatter_matrices(v, views.DIMENSIONS), 2), ["vec_id"])

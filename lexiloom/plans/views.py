@@ -50,13 +50,17 @@ def arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
 ARCS = """arcs AS (SELECT l_orderkey AS segment_id, ((l_linenumber - 1) // 3)::BIGINT AS slot, concat(l_returnflag, l_suppkey) AS label, l_quantity::BIGINT AS w FROM lineitem)"""
 
 
-def vectors(spark: SparkSession, sf_dir: str, d: int = 8) -> DataFrame:
-    """The first components of the embeddings, in thousandths (whole numbers, so that sums are exact in any order)."""
+#: Components of an embedding.
+DIMENSIONS = 64
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The embeddings in thousandths (whole numbers, so that sums are exact in any order)."""
     e = read(spark, sf_dir, "embeddings")
-    return e.select("vec_id", "label", F.transform(F.slice("embedding", 1, d), lambda x: F.round(x.cast("double") * 1000).cast("long")).alias("x"))
+    return e.select("vec_id", "label", F.transform("embedding", lambda x: F.round(x.cast("double") * 1000).cast("long")).alias("x"))
 
 
-VECTORS = """vectors AS (SELECT vec_id, label, list_transform(embedding[1:8], lambda v: round(v::DOUBLE * 1000)::BIGINT) AS x FROM embeddings)"""
+VECTORS = """vectors AS (SELECT vec_id, label, list_transform(embedding, lambda v: round(v::DOUBLE * 1000)::BIGINT) AS x FROM embeddings)"""
 
 
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

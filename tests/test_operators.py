@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,7 +57,7 @@ def test_word_errors(spark):
 def test_lm_text(spark):
     lines = ["A B A"] * 6 + ["A A A"] * 5 + ["A B C"] * 4 + ["B B C"] * 3 + ["B B A", "B B A", "C C"]
     segments = spark.createDataFrame(list(enumerate(lines)), "segment_id long, orth string")
-    lm = counts.estimate_backoff_lm(counts.ngram_counts(segments, 2))
+    lm = counts.estimate_backoff_lm(counts.ngram_counts(segments, 2), 2)
     per_history = lm.filter("history <> ''").groupBy("history").agg(F.sum(F.exp(-F.col("score"))).alias("p")).collect()
     assert all(0.3 < r.p <= 1.0 + 1e-9 for r in per_history)
     scores = counts.lm_score(counts.lm_events(segments, 2), lm, 2)
@@ -109,3 +110,43 @@ def test_projections(spark):
     within = sum((x[label == c] - means[c]).T @ (x[label == c] - means[c]) for c in range(3))
     v = np.array([found[d][0] for d in range(3)])
     assert between @ v == pytest.approx(found[0][1] * (within @ v), rel=1e-6, abs=1e-6)
+
+
+def test_matrices_and_projections_against_numpy(spark):
+    """Eigen equations of pca and lda, the share of variance, and projections by the definition."""
+    rng = np.random.default_rng(3)
+    labels = rng.integers(0, 3, 300)
+    x = rng.integers(-50, 50, (300, 5)) + 20 * labels[:, None] * np.array([1, 0, 2, 0, 1])
+    rows = [(k, int(c), [int(v) for v in r]) for k, (c, r) in enumerate(zip(labels, x))]
+    whole = spark.createDataFrame(rows, "vec_id long, label int, x array<long>")
+    data = whole.unionByName(spark.createDataFrame([(-1, 0, None), (-2, 1, [1, None, 3, 4, 5]), (-3, 1, [1, 2])], whole.schema))  # without all components: left out
+    cov = np.cov(x.T, bias=True)
+    found = models.pca(models.covariance(data, 5)).collect()
+    vectors = np.zeros((5, 5))
+    for r in found:
+        vectors[r.dim, r.component] = r.weight
+    values = np.array([next(r.value for r in found if r.component == k) for k in range(5)])
+    assert np.allclose(cov @ vectors, vectors * values) and np.all(np.diff(values) <= 0) and np.allclose(vectors.T @ vectors, np.eye(5))
+    shares = np.cumsum(values) / values.sum()
+    for share in (0.5, 0.8, 1.0):
+        assert len({r.component for r in models.pca(models.covariance(data, 5), share=share).collect()}) == 1 + int(np.argmax(shares >= share - 1e-9))
+    y = {(r.vec_id, r.component): r.y for r in models.project(whole, models.pca(models.covariance(data, 5), 2), ["vec_id"]).collect()}
+    assert np.allclose([[y[k, c] for c in range(2)] for k in range(300)], x @ vectors[:, :2])
+    means = np.array([x[labels == c].mean(axis=0) for c in range(3)])
+    within = sum((x[labels == c] - means[c]).T @ (x[labels == c] - means[c]) for c in range(3))
+    between = sum((labels == c).sum() * np.outer(means[c] - x.mean(axis=0), means[c] - x.mean(axis=0)) for c in range(3))
+    axes, value = np.zeros((5, 2)), np.zeros(2)
+    for r in models.lda(models.scatter_matrices(data, 5), 2).collect():
+        axes[r.dim, r.component], value[r.component] = r.weight, r.value
+    assert np.allclose(between @ axes, within @ axes * value)
+
+
+def test_training_stops_and_reports(spark):
+    rows = [(k, [float(v)]) for k, v in enumerate([0.0, 0.1, 0.2, 9.0, 9.1, 9.2])]
+    data = spark.createDataFrame(rows, "vec_id long, x array<double>")
+    start = spark.createDataFrame([(0, 0, 1.0, 1.0), (1, 0, 5.0, 1.0), (2, 0, 90.0, 1.0)], "density int, dim int, mean double, var double")
+    model = {r.density: (round(r.mean, 6), r.weight) for r in models.gmm_train(data, start, 50, threshold=1e-6).collect()}
+    assert model == {0: (0.1, 0.5), 1: (9.1, 0.5)}  # the third has no vectors
+    scored = models.mixture_scores(data, start.withColumn("weight", F.lit(1 / 3))).orderBy("vec_id").collect()
+    normal = [sum(np.exp(-0.5 * (r.x[0] - m) ** 2) / np.sqrt(2 * np.pi) / 3 for m in (1, 5, 90)) for r in scored]
+    assert np.allclose([r.score for r in scored], -np.log(normal))
