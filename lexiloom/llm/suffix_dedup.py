@@ -4,8 +4,8 @@ A byte goes if some string of ``LENGTH`` bytes covers it that also starts earlie
 
 1. Every string of ``LENGTH`` bytes has an anchor: the leftmost least hash among its ``GRAM``-byte substrings. Equal strings have equal anchors
    at equal offsets, so strings meet by their anchor's hash. The strings of one anchor occurrence are consecutive: they are its *context*.
-2. Contexts with equal bytes need no comparison: all but the first go. Each task settles its own before the shuffle, so copies
-   and common passages leave one row a task.
+2. Contexts with equal bytes, known by a 128-bit BLAKE2 digest, need no comparison: all but the first go. Each task settles its own before
+   the shuffle, so copies and common passages leave one row a task.
 3. Contexts that share an anchor hash but differ come together with their bytes. Their string starts form a (sparse) suffix array with
    common-prefix lengths; a stack scan gives its intervals; those whose occurrences differ to the left are the maximal repeat groups, with
    all occurrences. All but the first occurrence of each are removed.
@@ -40,6 +40,8 @@ BLOCK, SETTLED, ARRAY_BYTES = 1 << 20, 200_000, 1 << 18
 NO_ID = -(2**63)
 #: A document: its id, and a hash of its text.
 _DOC = np.dtype([("doc", np.int64), ("mark", np.int64)])
+#: The digest of a context.
+_CONTENT = np.dtype([("content", np.int64), ("rest", np.int64)])
 _INDEX = np.uint64(22)
 
 
@@ -87,7 +89,12 @@ class Contexts:
         self.offset = anchor[at] - lo
         self.lo = lo - (ends - sizes)[self.blob] + np.array(firsts, np.int64)[self.blob]
         self.key = grams[anchor[at]]
-        self.content = mix(mix((sums[stop] - sums[lo]) * down[lo]) + (self.offset * 1000 + self.n).astype(np.uint64))
+        self.content = _digests(data, lo, stop)
+
+
+def _digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    view = memoryview(data)
+    return np.frombuffer(b"".join([hashlib.blake2b(view[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]), _CONTENT)
 
 
 def blocks_of(texts: list[str]) -> tuple[list[bytes], list[int], list[int]]:
@@ -102,15 +109,15 @@ def blocks_of(texts: list[str]) -> tuple[list[bytes], list[int], list[int]]:
     return blobs, firsts, owners
 
 
-def _docs_of(batch: pa.RecordBatch) -> np.ndarray:
-    out = np.empty(batch.num_rows, _DOC)
-    for name in _DOC.names:
+def _docs_of(batch: pa.RecordBatch, kind: np.dtype = _DOC) -> np.ndarray:
+    out = np.empty(batch.num_rows, kind)
+    for name in kind.names:
         out[name] = batch.column(name).to_numpy()
     return out
 
 
 def _doc_arrays(doc: np.ndarray) -> list[pa.Array]:
-    return [pa.array(np.ascontiguousarray(doc[name])) for name in _DOC.names]
+    return [pa.array(np.ascontiguousarray(doc[name])) for name in doc.dtype.names]
 
 
 def _order(*columns: np.ndarray) -> np.ndarray:
@@ -144,19 +151,19 @@ def _settle(rows: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
     return [r[~same] for r in rows], first[~same]
 
 
-_FOUND = "settled boolean, key long, content long, doc long, mark long, lo long, n int, offset int"
+_FOUND = "settled boolean, key long, content long, rest long, doc long, mark long, lo long, n int, offset int"
 
 
 def _found(settled: bool, rows: list[np.ndarray]) -> pa.RecordBatch:
     whole = lambda r: pa.array(r.view(np.int64) if r.dtype == np.uint64 else r)
-    arrays = [pa.array(np.full(len(rows[0]), settled)), whole(rows[0]), whole(rows[1]), *_doc_arrays(rows[2]), whole(rows[3]), pa.array(rows[4].astype(np.int32)), pa.array(rows[5].astype(np.int32))]
-    return pa.RecordBatch.from_arrays(arrays, names=["settled", "key", "content", "doc", "mark", "lo", "n", "offset"])
+    arrays = [pa.array(np.full(len(rows[0]), settled)), whole(rows[0]), *_doc_arrays(rows[1]), *_doc_arrays(rows[2]), whole(rows[3]), pa.array(rows[4].astype(np.int32)), pa.array(rows[5].astype(np.int32))]
+    return pa.RecordBatch.from_arrays(arrays, names=["settled", "key", "content", "rest", "doc", "mark", "lo", "n", "offset"])
 
 
 def _ranges_found(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
     """Removed ranges in the form of settled contexts; their keys only spread them."""
     key = _spread(doc, start)
-    return _found(True, [key, key, doc, start, end - start - LENGTH + 1, np.zeros(len(doc), np.int32)])
+    return _found(True, [key, np.zeros(len(doc), _CONTENT), doc, start, end - start - LENGTH + 1, np.zeros(len(doc), np.int32)])
 
 
 def contexts(docs: DataFrame) -> DataFrame:
@@ -202,7 +209,7 @@ def _runs(sizes: list[int]) -> Iterator[tuple[int, int]]:
 
 def open_contexts(found: DataFrame) -> DataFrame:
     """Settled ranges, and of other contexts the first ones of keys with different contents."""
-    ordered = found.repartition("key").sortWithinPartitions("key", "content", "doc", "mark", "lo")
+    ordered = found.repartition("key").sortWithinPartitions("key", "content", "rest", "doc", "mark", "lo")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # key, content, doc, lo of the last first context
@@ -214,7 +221,8 @@ def open_contexts(found: DataFrame) -> DataFrame:
                 batch = batch.filter(pa.array(~done))
             if not batch.num_rows:
                 continue
-            rows = [_docs_of(batch) if c == "doc" else batch.column(c).to_numpy() for c in ("key", "content", "doc", "lo", "n", "offset")]
+            key, lo, n, offset = (batch.column(c).to_numpy() for c in ("key", "lo", "n", "offset"))
+            rows = [key, _docs_of(batch, _CONTENT), _docs_of(batch), lo, n, offset]
             key, content = rows[0], rows[1]
             before_key, before_content = np.roll(key, 1), np.roll(content, 1)
             new_key, new = key != before_key, (key != before_key) | (content != before_content)
@@ -460,7 +468,7 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
         opened = materialise(open_contexts(contexts(docs)), "contexts")
         settled = opened.filter("settled")
         spans = settled.select("doc", "mark", F.col("lo").alias("start"), (F.col("lo") + F.col("n") + LENGTH - 1).alias("end"))
-        compared = _ranges_of(_bytes_of(opened.filter("NOT settled").drop("settled", "content"), docs))
+        compared = _ranges_of(_bytes_of(opened.filter("NOT settled").drop("settled", "content", "rest"), docs))
         ranges = materialise(spans.union(compared), "ranges", keep=True)
     return ranges.groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
 
