@@ -6,6 +6,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -236,3 +238,57 @@ def rover(hyps: DataFrame, weights: list[float], alpha: float = 0.0, null_confid
             yield pa.RecordBatch.from_arrays([batch.column("segment_id"), pa.array([combine(s) for s in batch.column("systems").to_pylist()], pa.list_(pa.string()))], names=["segment_id", "words"])
 
     return grouped.mapInArrow(run, f"segment_id {hyps.schema['segment_id'].dataType.simpleString()}, words array<string>")
+
+
+def combine_aligned_cns(cns: list[DataFrame], weights: list[float], epsilon: str = EPSILON) -> DataFrame:
+    """``segment_id, slot, label, posterior`` of several systems whose slots are aligned first: the weighted sum of posteriors, normalised, in slots from 0.
+
+    Systems are aligned one after the other to the slots so far. Two slots cost one less the chance that they agree; a slot without partner costs one less
+    its share of ``epsilon``, which then takes the weight of the system that has nothing there. Of equal ways slots are paired first. A segment's slots are small and in one row.
+    """
+    marked = [c.select("segment_id", F.lit(k).alias("system"), "slot", "label", "posterior") for k, c in enumerate(cns)]
+    whole = F.array_sort(F.collect_list(F.struct("system", "slot", "label", "posterior")))
+    grouped = reduce(DataFrame.unionByName, marked).groupBy("segment_id").agg(whole.alias("entries"))
+
+    def combine(entries: list[dict]) -> list[dict[str, float]]:
+        so_far: list[dict[str, float]] = []
+        weight_so_far = 0.0
+        for system, own in groupby(entries, key=lambda e: e["system"]):
+            new = [{e["label"]: e["posterior"] for e in slot} for _, slot in groupby(own, key=lambda e: e["slot"])]
+            weight = weights[system]
+            before = weight_so_far or 1.0
+            alone = [1 - s.get(epsilon, 0.0) / before for s in so_far]
+            fresh = [1 - s.get(epsilon, 0.0) for s in new]
+            cost = np.zeros((len(so_far) + 1, len(new) + 1))
+            cost[1:, 0], cost[0, 1:] = np.cumsum(alone), np.cumsum(fresh)
+            pair = np.array([[1 - sum(p * a.get(label, 0.0) for label, p in b.items()) / before for b in new] for a in so_far]).reshape(len(so_far), len(new))
+            for i in range(1, len(so_far) + 1):
+                for j in range(1, len(new) + 1):
+                    cost[i, j] = min(cost[i - 1, j - 1] + pair[i - 1, j - 1], cost[i - 1, j] + alone[i - 1], cost[i, j - 1] + fresh[j - 1])
+            i, j, merged = len(so_far), len(new), []
+            while i or j:
+                if i and j and np.isclose(cost[i, j], cost[i - 1, j - 1] + pair[i - 1, j - 1]):
+                    i, j = i - 1, j - 1
+                    a, b = so_far[i], new[j]
+                elif i and np.isclose(cost[i, j], cost[i - 1, j] + alone[i - 1]):
+                    i -= 1
+                    a, b = so_far[i], {epsilon: 1.0}
+                else:
+                    j -= 1
+                    a, b = {epsilon: weight_so_far} if weight_so_far else {}, new[j]
+                merged.append({label: a.get(label, 0.0) + weight * b.get(label, 0.0) for label in {**a, **b}})
+            so_far, weight_so_far = merged[::-1], weight_so_far + weight
+        return so_far
+
+    kind = cns[0].schema["segment_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = zip(batch.column("segment_id").to_pylist(), map(combine, batch.column("entries").to_pylist()), strict=True)
+            rows = [(segment, k, label, p) for segment, slots in found for k, slot in enumerate(slots) for label, p in slot.items() if p > 0]
+            columns = zip(*rows, strict=True) if rows else ([], [], [], [])
+            types = (batch.schema.field("segment_id").type, pa.int64(), pa.string(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["segment_id", "slot", "label", "posterior"])
+
+    out = grouped.mapInArrow(run, f"segment_id {kind}, slot long, label string, posterior double")
+    return out.withColumn("posterior", F.col("posterior") / F.sum("posterior").over(Window.partitionBy("segment_id", "slot")))

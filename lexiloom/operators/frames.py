@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiloom.functions.windows import runs
+
 
 def _by_time(extra: list | None = None) -> Window:
     return Window.partitionBy("segment_id").orderBy("tick", *(extra or []))
@@ -95,10 +97,15 @@ def disaggregate(packets: DataFrame) -> DataFrame:
     return packets.select("segment_id", "packet", F.posexplode("xs").alias("i", "x"))
 
 
-def regression(frames: DataFrame, width: int, order: list) -> DataFrame:
-    """First-order regression over ``2 width + 1`` frames: sum of dt x over sum of dt squared; ends repeat."""
+def regression(frames: DataFrame, width: int, order: list, degree: int = 1) -> DataFrame:
+    """Regression over ``2 width + 1`` frames, whose ends repeat: ``slope``, the sum of dt x over that of dt squared, or for degree 2 ``curve``."""
     spread = delay(frames, [k for k in range(-width, width + 1) if k], order)
-    total = sum((k * F.col(f"x_{'m' if k < 0 else 'p'}{abs(k)}") for k in range(-width, width + 1) if k), F.lit(0))
+    steps = range(-width, width + 1)
+    if degree == 2:
+        n, m, q = len(steps), sum(k * k for k in steps), sum(k**4 for k in steps)
+        total = sum(((m - n * k * k) * (F.col(f"x_{'m' if k < 0 else 'p'}{abs(k)}") if k else F.col("x")) for k in steps), F.lit(0))
+        return spread.withColumn("curve", total * (2 / (m * m - n * q))).select(*frames.columns, "curve")
+    total = sum((k * F.col(f"x_{'m' if k < 0 else 'p'}{abs(k)}") for k in steps if k), F.lit(0))
     return spread.withColumn("slope", total / sum(k * k for k in range(-width, width + 1))).select(*frames.columns, "slope")
 
 
@@ -141,6 +148,49 @@ def histogram(frames: DataFrame, bucket: float) -> DataFrame:
     return frames.groupBy("label", F.floor(F.col("x") / bucket).alias("bin")).agg(F.count("*").alias("n"))
 
 
+def histogram_normalise(frames: DataFrame, train: DataFrame, bucket: float) -> DataFrame:
+    """Frames with ``normalised``: x moved from its bucket to the first one where ``train(bin, n)`` has as large a share below or in it as the frames of that label have.
+
+    The place inside a bucket is kept. ``train`` is one histogram and joins as one broadcast row; its length is the range of values over the bucket.
+    """
+    w = Window.partitionBy("label")
+    share = F.sum("n").over(w.orderBy("bin")) / F.sum("n").over(w)
+    total = train.agg(F.sum("n").alias("_total"))  # one row
+    steps = train.crossJoin(F.broadcast(total)).agg(F.array_sort(F.collect_list(F.struct("bin", F.col("n").alias("n"), "_total"))).alias("_train"))
+    upto = F.aggregate("_train", F.array().cast("array<struct<bin:bigint,sum:bigint,p:double>>"), lambda a, t: F.concat(a, F.array(_step(a, t))))
+    cdf = steps.select(upto.alias("_train"))
+    mapped = histogram(frames, bucket).withColumn("_p", share).crossJoin(F.broadcast(cdf)).select("label", "bin", F.element_at(F.filter("_train", lambda t: t["p"] >= F.col("_p")), 1)["bin"].alias("_to"))
+    joined = frames.withColumn("bin", F.floor(F.col("x") / bucket)).join(mapped, ["label", "bin"])
+    return joined.withColumn("normalised", F.col("x") + (F.col("_to") - F.col("bin")) * bucket).select(*frames.columns, "normalised")
+
+
+def _step(a: Column, t: Column) -> Column:
+    total = F.coalesce(F.try_element_at(a, F.lit(-1))["sum"], F.lit(0)) + t["n"]
+    return F.struct(t["bin"].alias("bin"), total.alias("sum"), (total / t["_total"]).alias("p"))
+
+
+def silence_flags(frames: DataFrame, length: int, right: int, order: list, sparse: float = 0.1, min_snr: float = 1.0, share: float = 0.5, min_speech: int = 1, min_silence: int = 1) -> DataFrame:
+    """Frames with ``silent``. The threshold of a frame comes from the ``length`` energies ``x`` around it (``right`` of them later).
+
+    Noise and speech are the values with a share ``sparse`` of these below and above (less while the window is not full). Where they differ by over
+    ``min_snr``, the threshold lies ``share`` of the way between them, but at least ``min_snr`` over the noise, as it also does elsewhere. Runs shorter
+    than ``min_speech`` or ``min_silence`` take the decision before them; a segment begins silent.
+    """
+    w = _by_time(order)
+    around = F.array_sort(F.collect_list("x").over(w.rowsBetween(right + 1 - length, right)))
+    n = F.size("_around")
+    rare = sparse * n / length
+    at = lambda part: F.element_at("_around", F.least(F.floor(part * n), n - 1).cast("int") + 1)
+    placed = frames.withColumn("_around", around).withColumn("_noise", at(rare)).withColumn("_speech", at(1 - rare))
+    low = F.col("_noise") + min_snr
+    threshold = F.when(F.col("_speech") > low, F.greatest((1 - share) * F.col("_noise") + share * F.col("_speech"), low)).otherwise(low)
+    flagged = runs(placed.withColumn("_raw", F.col("x") < threshold).drop("_around", "_noise", "_speech"), ["segment_id"], ["tick", *order], "_raw", "_run")
+    size = F.count("*").over(Window.partitionBy("segment_id", "_run"))
+    accepted = F.when(size >= F.when(F.col("_raw"), min_silence).otherwise(min_speech), F.col("_raw"))
+    decided = F.last("_accepted", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return flagged.withColumn("_accepted", accepted).withColumn("silent", F.coalesce(decided, F.lit(True))).select(*frames.columns, "silent")
+
+
 def mean_over(frames: DataFrame, key: str) -> DataFrame:
     return frames.groupBy(key).agg(F.avg("x").alias("mean"), F.count("*").alias("n"))
 
@@ -189,6 +239,22 @@ def products(x: Column) -> Column:
     return F.flatten(F.transform(x, lambda v, i: F.transform(F.slice(x, i + 1, F.size(x)), lambda u: v * u)))
 
 
+def nth_order_features(x: Column, orders: list[str], selection: tuple[list[int], list[int]] = ((), ())) -> Column:
+    """One vector of the wanted features in the order asked for; ``selected`` are the products ``x_i x_j`` of i <= j from the two lists."""
+    third = lambda inner: F.flatten(F.transform(x, lambda v, i: F.transform(inner(i), lambda p: v * p)))
+    make = {
+        "first": lambda: x,
+        "squares": lambda: F.transform(x, lambda v: v * v),
+        "second": lambda: products(x),
+        "selected": lambda: F.array(*(F.element_at(x, i + 1) * F.element_at(x, j + 1) for i in selection[0] for j in selection[1] if i <= j)),
+        "cubes": lambda: F.transform(x, lambda v: v * v * v),
+        "third": lambda: third(lambda i: products(F.slice(x, i + 1, F.size(x)))),
+        "asymmetric_third": lambda: third(lambda i: products(x)),
+        "fourths": lambda: F.transform(x, lambda v: v * v * v * v),
+    }
+    return F.concat(*(make[o]() for o in orders))
+
+
 def matrix_multiply(x: Column, matrix: list[list[float]]) -> Column:
     return F.array(*(sum((F.element_at(x, j + 1) * v for j, v in enumerate(row)), F.lit(0.0)) for row in matrix))
 

@@ -12,6 +12,31 @@ def lexicon_merge(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.groupBy("lemma").agg(*(F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("orths", "prons")))
 
 
+def lexicon_add(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The union of lemmas alone: the phoneme inventory stays that of ``a``, while a merge also takes ``merge_phonemes``."""
+    return lexicon_merge(a, b)
+
+
+def merge_phonemes(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``phoneme`` of both inventories."""
+    return a.select("phoneme").union(b.select("phoneme")).distinct()
+
+
+def add_phrases(lexicon: DataFrame, phrases: DataFrame) -> DataFrame:
+    """The lexicon and a lemma for each of ``phrases(phrase)`` all of whose words it has, with every sequence of their pronunciations.
+
+    A phrase that is a lemma already adds nothing; a word's pronunciations are those of all lemmas with that form.
+    """
+    forms = lexicon.select(F.explode("orths").alias("word"), "prons").groupBy("word").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("prons")))).alias("prons"))
+    words = F.split(F.trim("phrase"), r"\s+")
+    parts = phrases.select("phrase").distinct().withColumn("n", F.size(words)).select("phrase", "n", F.posexplode(words).alias("i", "word")).join(forms, "word")
+    whole = parts.groupBy("phrase", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "prons"))), lambda p: p["prons"]).alias("parts")).filter(F.size("parts") == F.col("n"))
+    longer = lambda heads, tails: F.flatten(F.transform(heads, lambda h: F.transform(tails, lambda t: F.concat_ws(" ", h, t))))
+    prons = F.aggregate(F.slice("parts", F.lit(2), F.size("parts")), F.element_at("parts", 1), longer)
+    new = whole.select(F.col("phrase").alias("lemma"), F.array("phrase").alias("orths"), prons.alias("prons")).join(lexicon.select("lemma"), "lemma", "left_anti")
+    return lexicon.unionByName(new)
+
+
 def lexicon_intersect(lexicon: DataFrame, words: DataFrame) -> DataFrame:
     """Lemmas one of whose forms is listed in ``words(token)``."""
     hit = lexicon.select("lemma", F.explode("orths").alias("token")).join(words.select("token"), "token", "left_semi").select("lemma").distinct()

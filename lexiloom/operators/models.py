@@ -97,7 +97,7 @@ def map_class_labels(counts: DataFrame, disregard: DataFrame) -> DataFrame:
     return kept.select("label", (F.dense_rank().over(Window.orderBy("label")) - 1).alias("mapped"))
 
 
-def _scored(vectors: DataFrame, densities: DataFrame) -> DataFrame:
+def all_scores(vectors: DataFrame, densities: DataFrame) -> DataFrame:
     """Vectors with ``_scores``, an array of ``score, density``.
 
     ``densities(density, dim, mean, var[, weight])`` is a model with every dimension from 0: its size does not grow with the corpus, so it joins every
@@ -119,19 +119,42 @@ def _scored(vectors: DataFrame, densities: DataFrame) -> DataFrame:
 
 def density_scores(vectors: DataFrame, densities: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, density, score`` for each vector and density; low is near."""
-    return _scored(vectors, densities).select(*keys, F.inline("_scores")).select(*keys, "density", "score")
+    return all_scores(vectors, densities).select(*keys, F.inline("_scores")).select(*keys, "density", "score")
 
 
 def best_density(vectors: DataFrame, densities: DataFrame) -> DataFrame:
     """Each vector with its ``density`` of the lowest ``score``; of equal scores the first density counts."""
-    return _scored(vectors, densities).withColumn("_best", F.array_min("_scores")).drop("_scores").withColumns({"score": F.col("_best.score"), "density": F.col("_best.density")}).drop("_best")
+    return all_scores(vectors, densities).withColumn("_best", F.array_min("_scores")).drop("_scores").withColumns({"score": F.col("_best.score"), "density": F.col("_best.density")}).drop("_best")
 
 
 def mixture_scores(vectors: DataFrame, densities: DataFrame) -> DataFrame:
     """Each vector with the ``score`` of the whole mixture: minus the logarithm of the summed weighted densities."""
     low = F.array_min(F.transform("_scores", lambda s: s["score"]))
     total = F.aggregate("_scores", F.lit(0.0), lambda a, s: a + F.exp(F.col("_low") - s["score"]))
-    return _scored(vectors, densities).withColumn("_low", low).withColumn("score", F.col("_low") - F.ln(total)).drop("_scores", "_low")
+    return all_scores(vectors, densities).withColumn("_low", low).withColumn("score", F.col("_low") - F.ln(total)).drop("_scores", "_low")
+
+
+def bayes_window(frames: DataFrame, densities: DataFrame, length: int, order: list[str]) -> DataFrame:
+    """Each of the frames ``segment_id, x, ...`` with the ``density`` of the lowest summed ``score`` of the last ``length`` frames up to it; of equals the first."""
+    w = Window.partitionBy("segment_id").orderBy(*order).rowsBetween(1 - length, Window.currentRow)
+    add = lambda a, b: F.zip_with(a, b, lambda p, q: F.struct((p["score"] + q["score"]).alias("score"), p["density"].alias("density")))
+    kept = all_scores(frames, densities).withColumn("_kept", F.collect_list("_scores").over(w))
+    total = F.aggregate(F.slice("_kept", F.lit(2), F.size("_kept")), F.element_at("_kept", 1), add)
+    return kept.withColumn("_best", F.array_min(total)).withColumns({"score": F.col("_best.score"), "density": F.col("_best.density")}).drop("_best", "_kept", "_scores")
+
+
+def density_clusters(vectors: DataFrame, start: DataFrame, iterations: int) -> DataFrame:
+    """``density, dim, mean`` of clusters of density means: each round the means of ``vectors(x)`` go to their nearest cluster, whose mean they become.
+
+    ``start(density, dim, mean)`` are the first clusters; one that is nearest to none keeps its mean. The clusters are a small model, collected after every round.
+    """
+    spark, model = vectors.sparkSession, start.select("density", "dim", "mean")
+    for _ in range(iterations):
+        near = best_density(vectors, model.withColumn("var", F.lit(1.0)))
+        new = accumulate(near, ["density"]).select("density", "dim", (F.col("s") / F.col("n")).alias("_new"))
+        moved = model.join(new, ["density", "dim"], "left").select("density", "dim", F.coalesce("_new", "mean").alias("mean"))
+        model = spark.createDataFrame(moved.collect(), moved.schema)
+    return model
 
 
 def gmm_train(vectors: DataFrame, start: DataFrame, iterations: int, min_variance: float = 1e-3, threshold: float | None = None) -> DataFrame:
@@ -200,6 +223,53 @@ def split_gain(examples: DataFrame, questions: dict[str, Column], label: str) ->
     return parted.join(all_of, "question").select("question", (entropy(F.col("all_counts")) - F.col("parted") / F.col("rows")).alias("gain"))
 
 
+def _best_questions(placed: DataFrame, label: str, min_obs: float, min_gain: float) -> DataFrame:
+    """``node, gain, question``: the best split of every node by ``placed(node, label, n, answers)``; of equal gains the first question."""
+    total = placed.groupBy("node", label).agg(F.sum("n").cast("double").alias("n")).groupBy("node").agg(entropy(F.collect_list("n")).alias("whole"))
+    cells = placed.select("node", label, "n", F.posexplode("answers").alias("question", "yes")).groupBy("node", "question", "yes", label).agg(F.sum("n").cast("double").alias("n"), F.count("*").alias("rows"))
+    sides = cells.groupBy("node", "question", "yes").agg(entropy(F.collect_list("n")).alias("h"), F.sum("n").alias("obs"), F.sum("rows").alias("rows"))
+    splits = sides.groupBy("node", "question").agg(F.sum(F.col("h") * F.col("rows")).alias("parted"), F.sum("rows").alias("rows"), F.min("obs").alias("least"), F.count("*").alias("sides"))
+    gains = splits.filter((F.col("sides") == 2) & (F.col("least") >= min_obs)).join(total, "node").select("node", "question", (F.col("whole") - F.col("parted") / F.col("rows")).alias("gain")).filter(F.col("gain") >= min_gain)
+    return gains.groupBy("node").agg(F.min(F.struct((-F.col("gain")).alias("loss"), "question")).alias("b")).select("node", (-F.col("b.loss")).alias("gain"), "b.question")
+
+
+def cart_train(examples: DataFrame, questions: dict[str, Column], label: str, min_obs: float = 1.0, min_gain: float = 0.0, max_leaves: int = 256) -> dict | int:
+    """A tree for ``cart_apply`` from examples with counts ``n``: the split of the largest entropy gain first, until ``max_leaves``.
+
+    Both sides of a split hold ``min_obs`` observations at least; children weigh by their number of example rows. An undefined answer goes to "no".
+    A job scores all nodes that the growth reaches next, so there are about as many jobs as levels; one row for each node comes to the driver.
+    """
+    asks = list(questions.values())
+    answers = F.array(*(F.coalesce(q, F.lit(False)) for q in asks))
+    known: dict[int, tuple[float, int] | None] = {}  # node -> best gain and question; node k has the children 2 k and 2 k + 1
+
+    def grow() -> tuple[dict[int, int], list[int]]:
+        """The splits that the known gains lead to, and the leaves, of which some may be unknown."""
+        chosen, leaves = {}, [1]
+        while len(leaves) < max_leaves:
+            open_ = [k for k in leaves if known.get(k)]
+            if not open_:
+                break
+            best = min(open_, key=lambda k: (-known[k][0], k))
+            chosen[best] = known[best][1]
+            leaves.remove(best)
+            leaves += [2 * best, 2 * best + 1]
+        return chosen, sorted(leaves)
+
+    def tree(chosen: dict[int, int], leaf, k: int = 1):
+        return {"question": asks[chosen[k]], "yes": tree(chosen, leaf, 2 * k), "no": tree(chosen, leaf, 2 * k + 1)} if k in chosen else leaf(k)
+
+    chosen, leaves = grow()
+    while unknown := [k for k in leaves if k not in known]:
+        number = {k: i for i, k in enumerate(leaves)}
+        placed = cart_apply(examples.withColumn("answers", answers), tree(chosen, number.get), "node").filter(F.col("node").isin([number[k] for k in unknown]))
+        found = {leaves[r.node]: (r.gain, r.question) for r in _best_questions(placed.select("node", label, "n", "answers"), label, min_obs, min_gain).collect()}
+        known |= {k: found.get(k) for k in unknown}
+        chosen, leaves = grow()
+    number = {k: i for i, k in enumerate(leaves)}
+    return tree(chosen, number.get)
+
+
 def cart_apply(rows: DataFrame, tree: dict, name: str = "leaf") -> DataFrame:
     """``tree`` is a leaf number or ``{"question": Column, "yes": tree, "no": tree}``; an undefined answer goes to "no"."""
 

@@ -24,6 +24,23 @@ def filter_weights(alignment: DataFrame, low: float, high: float) -> DataFrame:
     return alignment.filter(F.col("weight").between(low, high))
 
 
+def add_weight(weight: Column, c: float) -> Column:
+    return weight + c
+
+
+def multiply_weights(weight: Column, c: float) -> Column:
+    return weight * c
+
+
+def reset_weights(weight: Column, value: float = 1.0) -> Column:
+    """Every weight becomes the value; a missing one stays missing."""
+    return F.when(weight.isNotNull(), F.lit(value))
+
+
+def clip_weights(weight: Column, low: float, high: float) -> Column:
+    return F.when(weight < low, F.lit(low)).when(weight > high, F.lit(high)).otherwise(weight)
+
+
 def gamma_correct(weight: Column, gamma: float) -> Column:
     return F.when(weight == 0, 0.0).otherwise(F.pow(weight, F.lit(gamma)))
 
@@ -44,6 +61,13 @@ def map_labels(alignment: DataFrame, mapping: DataFrame) -> DataFrame:
     return alignment.join(mapping, "label").groupBy("segment_id", "t", F.col("to").alias("label")).agg(F.sum("weight").alias("weight"))
 
 
+def set_weights_by_tied_state(single: DataFrame, multiple: DataFrame, tied: DataFrame) -> DataFrame:
+    """Items of the ``single`` path weighted by all items of ``multiple`` at their time whose labels share their ``tied(label, state)``; 0 without such."""
+    sums = multiple.join(tied, "label").groupBy("segment_id", "t", "state").agg(F.sum("weight").alias("_sum"))
+    own = single.drop("weight").join(tied, "label", "left").join(sums, ["segment_id", "t", "state"], "left")
+    return own.select("segment_id", "t", "label", F.coalesce("_sum", F.lit(0.0)).alias("weight"))
+
+
 def time_offset(alignment: DataFrame, k: int) -> DataFrame:
     return alignment.withColumn("t", F.col("t") + k)
 

@@ -36,9 +36,17 @@ def drop_low_confidence(words: DataFrame, threshold: float = 0.5) -> DataFrame:
     return words.join(good, "segment_id", "left_semi")
 
 
-def mask_low_confidence(words: DataFrame, threshold: float, mask: str = "[IGNORE]") -> DataFrame:
-    """Words below the threshold become the mask, once for each word of the form."""
+def mask_low_confidence(words: DataFrame, threshold: float, mask: str = "[IGNORE]", lexicon: DataFrame | None = None) -> DataFrame:
+    """Words below the threshold become the mask, once for each word of the form; with ``lexicon(orth, pron)``, once for each phoneme of the least pronunciation.
+
+    Forms are looked up in upper case with single spaces; those that the lexicon lacks become one mask.
+    """
     n = F.size(tokens(F.col("word")))
+    if lexicon is not None:
+        sizes = lexicon.groupBy(F.col("orth").alias("_form")).agg(F.size(F.split(F.min("pron"), " ")).alias("_n"))
+        form = F.upper(F.trim(F.regexp_replace("word", " +", " ")))
+        masked = F.array_join(F.array_repeat(F.lit(mask), F.coalesce("_n", F.lit(1))), " ")
+        return words.withColumn("_form", form).join(sizes, "_form", "left").withColumn("word", F.when(F.col("conf") < threshold, masked).otherwise(F.col("word"))).select(*words.columns)
     return words.withColumn("word", F.when(F.col("conf") < threshold, F.array_join(F.array_repeat(F.lit(mask), n), " ")).otherwise(F.col("word")))
 
 

@@ -27,4 +27,4 @@ def query(sql: str | None = None, *uses: str) -> Callable:
     return register
 
 
-from . import queries_alignment, queries_arcs, queries_confusion, queries_counts, queries_corpus, queries_frames, queries_lattice, queries_models, queries_orthography, queries_slots, queries_transcripts, queries_vectors  # noqa: E402, F401  they register themselves
+from . import queries_adaptation, queries_alignment, queries_arcs, queries_confusion, queries_counts, queries_corpus, queries_frames, queries_lattice, queries_models, queries_orthography, queries_slots, queries_transcripts, queries_vectors  # noqa: E402, F401  they register themselves

@@ -17,11 +17,11 @@ def _bucket():
 
 
 def _names(spark, sf_dir):
-    """The segments of assistants in every third conversation, some by their short name."""
-    return views.segments(spark, sf_dir).filter("recording_id % 3 = 0 AND speaker_id = 'assistant'").select(F.col("segment_id").alias("name"))
+    """The segments of assistants."""
+    return views.segments(spark, sf_dir).filter("speaker_id = 'assistant'").select(F.col("segment_id").alias("name"))
 
 
-_NAMES = "names AS (SELECT segment_id AS name FROM segments WHERE recording_id % 3 = 0 AND speaker_id = 'assistant')"
+_NAMES = "names AS (SELECT segment_id AS name FROM segments WHERE speaker_id = 'assistant')"
 
 
 @query(f"WITH {_NAMES} SELECT segment_id, seq FROM segments WHERE segment_id IN (SELECT name FROM names)", "segments")
@@ -49,10 +49,10 @@ def skip_first(spark, sf_dir):
     return corpus.skip_first(views.segments(spark, sf_dir), 20, 7, _bucket()).select("segment_id")
 
 
-@query("WITH o AS (SELECT -seq AS pos, segment_id FROM segments WHERE seq % 2 = 0) SELECT pos, segment_id, orth FROM o JOIN segments USING (segment_id)", "segments")
+@query("WITH o AS (SELECT -seq AS pos, segment_id FROM segments WHERE speaker_id = 'user') SELECT pos, segment_id, orth FROM o JOIN segments USING (segment_id)", "segments")
 def order_by_list(spark, sf_dir):
     s = views.segments(spark, sf_dir)
-    order = s.filter("seq % 2 = 0").select((-F.col("seq")).alias("pos"), "segment_id")
+    order = s.filter("speaker_id = 'user'").select((-F.col("seq")).alias("pos"), "segment_id")
     return corpus.order_by_list(s, order).select("pos", "segment_id", "orth")
 
 
@@ -117,9 +117,9 @@ def duplicate_segments(spark, sf_dir):
     return corpus.duplicate_segments(corpus.merge_corpora(s, s.filter("condition_id = 1")))
 
 
-@query("WITH a AS (SELECT doc_id, n_chars FROM documents WHERE doc_id % 3 < 2), b AS (SELECT doc_id, quality FROM labels) SELECT doc_id AS segment_id, coalesce(n_chars, 0) AS n_chars, coalesce(quality, -1) AS quality FROM a FULL JOIN b USING (doc_id)")
+@query("WITH a AS (SELECT doc_id, n_chars FROM documents WHERE lang <> 'fr'), b AS (SELECT doc_id, quality FROM labels) SELECT doc_id AS segment_id, coalesce(n_chars, 0) AS n_chars, coalesce(quality, -1) AS quality FROM a FULL JOIN b USING (doc_id)")
 def build_segments(spark, sf_dir):
-    a = views.read(spark, sf_dir, "documents").filter("doc_id % 3 < 2").select(F.col("doc_id").alias("segment_id"), "n_chars")
+    a = views.read(spark, sf_dir, "documents").filter("lang <> 'fr'").select(F.col("doc_id").alias("segment_id"), "n_chars")
     b = views.read(spark, sf_dir, "labels").select(F.col("doc_id").alias("segment_id"), "quality")
     return corpus.build_segments(a, b, {"n_chars": 0, "quality": -1})
 

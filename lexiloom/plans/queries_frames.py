@@ -16,11 +16,11 @@ def _clicks(spark, sf_dir):
     """Frames and the target times of another event type; one frame for each user and tick."""
     f = views.frames(spark, sf_dir)
     one = f.groupBy("segment_id", "tick").agg(F.min("x").alias("x"))
-    target = f.filter("event_id % 3 = 0").select("segment_id", (F.col("tick") + 1_000_000).alias("tick")).distinct()
+    target = f.filter("label = 'purchase'").select("segment_id", (F.col("tick") + 1_000_000).alias("tick")).distinct()
     return one, target
 
 
-_CLICKS = """one AS (SELECT segment_id, tick, min(x) AS x FROM frames GROUP BY 1, 2), target AS (SELECT DISTINCT segment_id, tick + 1000000 AS tick FROM frames WHERE event_id % 3 = 0)"""
+_CLICKS = """one AS (SELECT segment_id, tick, min(x) AS x FROM frames GROUP BY 1, 2), target AS (SELECT DISTINCT segment_id, tick + 1000000 AS tick FROM frames WHERE label = 'purchase')"""
 
 
 @query("SELECT event_id FROM frames WHERE (segment_id, tick) IN (SELECT (segment_id, tick) FROM frames WHERE label = 'click')", "frames")
@@ -34,10 +34,10 @@ def unmatched_targets(spark, sf_dir):
     return op.unmatched_targets(*_clicks(spark, sf_dir))
 
 
-@query("WITH a AS (SELECT *, row_number() OVER (PARTITION BY segment_id ORDER BY tick, event_id) AS i FROM frames WHERE event_id % 2 = 0), b AS (SELECT *, row_number() OVER (PARTITION BY segment_id ORDER BY tick, event_id) AS i FROM frames WHERE event_id % 2 = 1) SELECT a.event_id, b.tick FROM a JOIN b USING (segment_id, i)", "frames")
+@query("WITH a AS (SELECT *, row_number() OVER (PARTITION BY segment_id ORDER BY tick, event_id) AS i FROM frames WHERE label = 'click'), b AS (SELECT *, row_number() OVER (PARTITION BY segment_id ORDER BY tick, event_id) AS i FROM frames WHERE label <> 'click') SELECT a.event_id, b.tick FROM a JOIN b USING (segment_id, i)", "frames")
 def copy_timestamps(spark, sf_dir):
     f = views.frames(spark, sf_dir)
-    return op.copy_timestamps(f.filter("event_id % 2 = 0"), f.filter("event_id % 2 = 1"), ["event_id"]).select("event_id", "tick")
+    return op.copy_timestamps(f.filter("label = 'click'"), f.filter("label <> 'click'"), ["event_id"]).select("event_id", "tick")
 
 
 @query(f"WITH {_CLICKS} SELECT t.segment_id, t.tick, coalesce(o.x, (SELECT arg_min(x, tick) FROM one WHERE one.segment_id = t.segment_id)) AS x FROM target t ASOF LEFT JOIN one o ON t.segment_id = o.segment_id AND t.tick >= o.tick", "frames")

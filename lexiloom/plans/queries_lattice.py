@@ -85,10 +85,10 @@ def phoneme_counts(spark, sf_dir):
     return lexicon.phoneme_counts(lex, c)
 
 
-@query("""WITH o AS (SELECT n_nationkey AS lemma, s AS pron, 0.2::DOUBLE AS p FROM nation, unnest(['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW']) AS t(s)), c AS (SELECT c_nationkey AS lemma, o_orderpriority AS pron, count(*)::DOUBLE AS c FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 3 = 0 GROUP BY 1, 2),
+@query("""WITH o AS (SELECT n_nationkey AS lemma, s AS pron, 0.2::DOUBLE AS p FROM nation, unnest(['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW']) AS t(s)), c AS (SELECT c_nationkey AS lemma, o_orderpriority AS pron, count(*)::DOUBLE AS c FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2),
 j AS (SELECT o.lemma, o.pron, p, coalesce(c, 0) AS c, sum(coalesce(c, 0)) OVER (PARTITION BY o.lemma) AS t FROM o LEFT JOIN c USING (lemma, pron)) SELECT lemma, pron, round(greatest(CASE WHEN t > 0 THEN t / (50 + t) * c / t + (1 - t / (50 + t)) * p ELSE p END, 0.0001), 6) AS p FROM j""")
 def pronunciation_update(spark, sf_dir):
-    o = views.read(spark, sf_dir, "orders").filter("o_orderkey % 3 = 0").join(views.read(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    o = views.read(spark, sf_dir, "orders").join(views.read(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey"))
     c = o.select(F.col("c_nationkey").alias("lemma"), F.col("o_orderpriority").alias("pron"), F.lit(1.0).alias("c"))
     names = F.array(*map(F.lit, ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")))
     old = views.read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("lemma"), F.explode(names).alias("pron"), F.lit(0.2).alias("p"))

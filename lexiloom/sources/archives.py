@@ -17,6 +17,17 @@ def archive_read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).drop("bucket")
 
 
+def cache_by_label(frames: DataFrame, path: str, spread: int = 16, mode: str = "errorifexists") -> None:
+    """Labelled frames ``segment_id, tick, label, ...`` in a folder for each label, in time order; a frequent label is written by ``spread`` tasks."""
+    salt = F.pmod(F.xxhash64("segment_id"), F.lit(spread))
+    frames.repartition("label", salt).sortWithinPartitions("label", "segment_id", "tick").write.mode(mode).partitionBy("label").parquet(path)
+
+
+def cached_label(spark: SparkSession, path: str, label) -> DataFrame:
+    """The frames of one label: only its folder is read."""
+    return spark.read.parquet(path).filter(F.col("label") == label)
+
+
 def archive_combine(archives: list[DataFrame], policy: str = "keep") -> DataFrame:
     """One item for each name: of the first archive that has it (``keep``) or of the last (``replace``)."""
     marked = reduce(DataFrame.unionByName, [a.withColumn("_source", F.lit(i)) for i, a in enumerate(archives)])
