@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprints, near_dedup, packing, pieces, pii, quality, suffix_dedup, token_counts, token_files
+from . import chat, decontamination, fingerprints, hard_negatives, merkle, near_dedup, packing, pieces, pii, quality, suffix_dedup, token_counts, token_files
 
 QUERIES = {
     "op1_pieces": pieces.op1_pieces,
@@ -15,5 +15,13 @@ QUERIES = {
     "op8_pii": pii.op8_pii,
     "op9_packing": packing.op9_packing,
     "op10_chat": chat.op10_chat,
+    "op11_merkle": merkle.op11_merkle,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+    "op13_decontaminate": decontamination.op13_decontaminate,
+}
+ORACLE: dict[str, str] = {
+    "op3_quality": quality.ORACLE_SQL,
+    "op11_merkle": merkle.ORACLE_SQL,
+    "op12_hard_negatives": hard_negatives.ORACLE_SQL,
+    "op13_decontaminate": decontamination.ORACLE_SQL,
 }
-ORACLE: dict[str, str] = {"op3_quality": quality.ORACLE_SQL}
