@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,52 +14,75 @@ from pyspark.sql import functions as F
 CELLS = 1 << 20
 
 
-def _last_row(a: np.ndarray, b: np.ndarray, ins: int, dele: int, sub: int) -> np.ndarray:
+def is_broken_match(ref: str, hyp: str) -> bool:
+    """Whether a reference word that may be broken off stands for ``hyp``: a hyphen at its end or beginning is a wildcard.
+
+    ``ab-``: the word begins with the part, and no hyphen follows there; ``-ab``: it ends with it; ``-ab-``: it holds the part, at least two bytes before its end. Bytes count.
+    """
+    a, b = ref.encode(), hyp.encode()
+    if not a.startswith(b"-"):
+        return a == b or (a.endswith(b"-") and b.startswith(a[:-1]) and not b.startswith(a))
+    if a.endswith(b"-") and len(b) >= len(a) - 2 >= 0:
+        return any(b.startswith(a[1:-1], k) for k in range(len(b) - len(a) + 1))
+    return b.endswith(a[1:])
+
+
+def _equality(number: dict[str, int], broken: bool) -> Callable[[int, np.ndarray], np.ndarray]:
+    """Which words of a row of numbers a word of the reference stands for."""
+    if not broken:
+        return lambda x, row: row == x
+    words = list(number)
+    tables = {number[w]: np.array([is_broken_match(w, v) for v in words]) for w in words if w.startswith("-") or w.endswith("-")}
+    return lambda x, row: tables[x][row] if x in tables else row == x
+
+
+def _last_row(a: np.ndarray, b: np.ndarray, ins: int, dele: int, sub: int, same: Callable) -> np.ndarray:
     """Costs of aligning all of ``a`` with every beginning of ``b``: two rows in memory."""
     steps = np.arange(len(b) + 1) * ins
     row = steps
     for x in a:
         best = row + dele
-        best[1:] = np.minimum(best[1:], row[:-1] + np.where(b == x, 0, sub))
+        best[1:] = np.minimum(best[1:], row[:-1] + np.where(same(x, b), 0, sub))
         # insertions run along the row: a running minimum without the steps
         row = np.minimum.accumulate(best - steps) + steps
     return row
 
 
-def align(a: list[str], b: list[str], ins: int = 1, dele: int = 1, sub: int = 1) -> list[tuple[int, int]]:
+def align(a: list[str], b: list[str], ins: int = 1, dele: int = 1, sub: int = 1, broken: bool = False) -> list[tuple[int, int]]:
     """Least-cost alignment as index pairs, -1 for none, by divide and conquer: halves of ``a`` meet where both cost least together.
 
-    Within ``CELLS`` the way back is read from the matrix; of equal costs, a match or substitution comes before a deletion, that before an insertion.
+    Within ``CELLS`` the way back is read from the matrix; of equal costs, a match or substitution comes before a deletion, that before an insertion. With ``broken``, words of ``a`` match as ``is_broken_match`` says.
     """
     number = {w: k for k, w in enumerate(dict.fromkeys([*a, *b]))}
     x, y = (np.array([number[w] for w in words], np.int64) for words in (a, b))
+    same = _equality(number, broken)
     out: list[tuple[int, int]] = []
     todo = [(0, len(x), 0, len(y))]
     while todo:
         lo, hi, left, right = todo.pop()
         if hi - lo < 2 or (hi - lo + 1) * (right - left + 1) <= CELLS:
-            out += [(i + lo if i >= 0 else -1, j + left if j >= 0 else -1) for i, j in _small(x[lo:hi], y[left:right], ins, dele, sub)]
+            out += [(i + lo if i >= 0 else -1, j + left if j >= 0 else -1) for i, j in _small(x[lo:hi], y[left:right], ins, dele, sub, same)]
             continue
         mid = (lo + hi) // 2
-        ahead = _last_row(x[lo:mid], y[left:right], ins, dele, sub)
-        behind = _last_row(x[mid:hi][::-1], y[left:right][::-1], ins, dele, sub)[::-1]
+        ahead = _last_row(x[lo:mid], y[left:right], ins, dele, sub, same)
+        behind = _last_row(x[mid:hi][::-1], y[left:right][::-1], ins, dele, sub, same)[::-1]
         cut = left + int(np.argmin(ahead + behind))
         todo += [(mid, hi, cut, right), (lo, mid, left, cut)]
     return out
 
 
-def _small(a: np.ndarray, b: np.ndarray, ins: int, dele: int, sub: int) -> list[tuple[int, int]]:
+def _small(a: np.ndarray, b: np.ndarray, ins: int, dele: int, sub: int, same: Callable) -> list[tuple[int, int]]:
     n, m = len(a), len(b)
     cost = np.empty((n + 1, m + 1), np.int64)
     for i in range(n + 1):
         cost[i] = np.arange(m + 1) * ins if not i else 0
         if i:
             best = cost[i - 1] + dele
-            best[1:] = np.minimum(best[1:], cost[i - 1, :-1] + np.where(b == a[i - 1], 0, sub))
+            best[1:] = np.minimum(best[1:], cost[i - 1, :-1] + np.where(same(a[i - 1], b), 0, sub))
             cost[i] = np.minimum.accumulate(best - cost[0]) + cost[0]
     out, i, j = [], n, m
     while i or j:
-        if i and j and cost[i, j] == cost[i - 1, j - 1] + (0 if a[i - 1] == b[j - 1] else sub):
+        if i and j and cost[i, j] == cost[i - 1, j - 1] + (0 if same(a[i - 1], b[j - 1 : j])[0] else sub):
             i, j = i - 1, j - 1
             out.append((i, j))
         elif i and cost[i, j] == cost[i - 1, j] + dele:
@@ -71,26 +94,26 @@ def _small(a: np.ndarray, b: np.ndarray, ins: int, dele: int, sub: int) -> list[
     return out[::-1]
 
 
-def edit_alignment(pairs: DataFrame, ins: int = 1, dele: int = 1, sub: int = 1) -> DataFrame:
-    """``segment_id, pos, a, b, op`` from ``segment_id, ref, hyp`` (arrays of tokens)."""
+def edit_alignment(pairs: DataFrame, ins: int = 1, dele: int = 1, sub: int = 1, broken: bool = False) -> DataFrame:
+    """``segment_id, pos, a, b, op`` from ``segment_id, ref, hyp`` (arrays of tokens); with ``broken``, parts of words in the reference match as ``is_broken_match`` says and are right."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for name, ref, hyp in zip(frame["segment_id"], frame["ref"], frame["hyp"], strict=True):
                 ref, hyp = list(ref), list(hyp)
-                for pos, (i, j) in enumerate(align(ref, hyp, ins, dele, sub)):
+                for pos, (i, j) in enumerate(align(ref, hyp, ins, dele, sub, broken)):
                     a, b = ref[i] if i >= 0 else None, hyp[j] if j >= 0 else None
-                    rows.append((name, pos, a, b, "ins" if a is None else "del" if b is None else "ok" if a == b else "sub"))
+                    rows.append((name, pos, a, b, "ins" if a is None else "del" if b is None else "ok" if a == b or (broken and is_broken_match(a, b)) else "sub"))
             yield pd.DataFrame(rows, columns=["segment_id", "pos", "a", "b", "op"])
 
     kind = pairs.schema["segment_id"].dataType.simpleString()
     return pairs.select("segment_id", "ref", "hyp").mapInPandas(run, f"segment_id {kind}, pos int, a string, b string, op string")
 
 
-def word_errors(pairs: DataFrame, ins: int = 1, dele: int = 1, sub: int = 1) -> DataFrame:
-    """``segment_id, n_tokens, n_ins, n_del, n_sub``."""
-    counted = edit_alignment(pairs, ins, dele, sub).groupBy("segment_id").agg(*(F.count_if(F.col("op") == o).alias(f"n_{o}") for o in ("ins", "del", "sub")))
+def word_errors(pairs: DataFrame, ins: int = 1, dele: int = 1, sub: int = 1, broken: bool = False) -> DataFrame:
+    """``segment_id, n_tokens, n_ins, n_del, n_sub``; ``broken`` as in ``edit_alignment``."""
+    counted = edit_alignment(pairs, ins, dele, sub, broken).groupBy("segment_id").agg(*(F.count_if(F.col("op") == o).alias(f"n_{o}") for o in ("ins", "del", "sub")))
     sized = pairs.select("segment_id", F.size("ref").cast("long").alias("n_tokens"))
     return sized.join(counted, "segment_id", "left").fillna(0)
 

@@ -58,6 +58,38 @@ def interpolate_frames(frames: DataFrame, target: DataFrame) -> DataFrame:
     return joined.select("segment_id", "tick", F.when(F.col("a.tick") == F.col("tick"), F.col("a.x").cast("double")).otherwise(F.col("a.x") + share * (F.col("b.x") - F.col("a.x"))).alias("x"))
 
 
+def interpolate_polynomial(frames: DataFrame, target: DataFrame, order: int = 1, outside: str = "drop") -> DataFrame:
+    """``segment_id, tick, x`` at target times, on the polynomial through ``order + 1`` frames around each; frames of one segment have different ticks.
+
+    With c the first frame at or after the target, the last control point is frame ``c + order // 2``, moved so that all of them exist; shorter segments take all their frames. A target at a frame's time is a copy.
+    Targets outside their segment's frames: ``drop``; ``flag`` keeps them without ``x``; ``error`` raises. Two windows with a bounded number of rows gather the points.
+    """
+    if outside not in ("drop", "flag", "error"):
+        raise ValueError("targets outside can be dropped, flagged or raise an error")
+    w = Window.partitionBy("segment_id").orderBy("tick")
+    around = F.collect_list(F.struct(F.col("tick").alias("t"), F.col("x").cast("double").alias("x"))).over(w.rowsBetween(-order, order))
+    numbered = frames.select("segment_id", "tick", "x", (F.row_number().over(w) - 1).alias("_c"), F.count("*").over(Window.partitionBy("segment_id")).alias("_n"), around.alias("_around"))
+    last = F.least(F.greatest(F.col("_c") + order // 2, F.lit(order)), F.col("_n") - 1)
+    first = F.greatest(last - order, F.lit(0))
+    begin = F.greatest(F.col("_c") - order, F.lit(0))
+    point = F.struct("tick", F.slice("_around", (first - begin + 1).cast("int"), (last - first + 1).cast("int")).alias("p"))
+    points = numbered.select("segment_id", "tick", F.lit(1).alias("_side"), point.alias("_point"), (F.col("_c") == 0).alias("_first"))
+    both = points.unionByName(target.select("segment_id", "tick", F.lit(0).alias("_side"), F.lit(None).cast(points.schema["_point"].dataType).alias("_point"), F.lit(False).alias("_first")))
+    # the next frame, at the target's time too, is the last one in the order turned round
+    back = Window.partitionBy("segment_id").orderBy(F.desc("tick"), F.desc("_side")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = both.withColumn("_next", F.last("_point", ignorenulls=True).over(back)).withColumn("_before_all", F.last(F.when(F.col("_side") == 1, F.col("_first")), ignorenulls=True).over(back)).filter("_side = 0")
+    t, p = F.col("tick").cast("double"), F.col("_next.p")
+    weight = lambda a, i: F.aggregate(F.filter(p, lambda b, j: j != i), F.lit(1.0), lambda z, b: z * (t - b["t"]) / (a["t"] - b["t"]))
+    value = F.aggregate(F.transform(p, lambda a, i: a["x"] * weight(a, i)), F.lit(0.0), lambda z, v: z + v)
+    copy = F.get(F.filter(p, lambda a: a["t"] == F.col("tick")), F.lit(0))["x"]
+    inside = F.col("_next").isNotNull() & (~F.col("_before_all") | (F.col("_next.tick") == F.col("tick")))
+    x = F.when(inside, F.coalesce(copy, value))
+    if outside == "error":
+        x = F.when(inside, F.coalesce(copy, value)).otherwise(F.raise_error(F.concat(F.lit("target outside of its segment: "), F.col("tick").cast("string"))).cast("double"))
+    out = placed.filter(inside) if outside == "drop" else placed
+    return out.select("segment_id", "tick", x.alias("x"))
+
+
 def select_in_intervals(frames: DataFrame, intervals: DataFrame, width: int) -> DataFrame:
     """Frames inside an interval ``[start, end)`` of their segment: equi-join on time buckets, then the exact test."""
     buckets = intervals.select("segment_id", "start", "end", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("end") - 1) / width))).alias("_bucket"))

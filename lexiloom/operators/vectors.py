@@ -1,12 +1,16 @@
-"""Expressions over vectors and scalars in columns, and matrices as tables ``i, j, v``. All stay inside Spark's own functions."""
+"""Expressions over vectors and scalars in columns, and matrices as tables ``i, j, v``. All but windowed quantiles stay inside Spark's own functions."""
 
 from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiloom.functions.quantiles import exact_percentiles
+
 
 def concat(*xs: Column) -> Column:
     return F.concat(*xs)
@@ -90,13 +94,19 @@ def from_parts(re: Column, im: Column) -> Column:
 
 
 def scalar(x: Column, kind: str, c: float = 1.0) -> Column:
-    """``add``, ``multiply``, ``power`` with a constant; ``ln``, ``log10``, ``log-plus`` (ln of x + c), ``exp``, ``sqrt``, ``cos``, ``abs``, ``quantise`` (steps of c)."""
+    """``add``, ``multiply``, ``power``, ``minimum``, ``maximum`` with a constant; ``ln``, ``log10``, ``log-plus`` (ln of x + c), ``exp``, ``sqrt``, ``cos``, ``abs``, ``quantise`` (steps of c),
+    ``sigmoid``, ``tanh``, ``safe-ln`` (ln of what is at least c)."""
     return {
         "add": lambda: x + c, "multiply": lambda: x * c, "power": lambda: F.pow(x, F.lit(c)), "ln": lambda: F.ln(x), "log10": lambda: F.log10(x), "log-plus": lambda: F.ln(x + c),
         "exp": lambda: F.exp(x), "sqrt": lambda: F.sqrt(x), "cos": lambda: F.cos(x), "abs": lambda: F.abs(x), "quantise": lambda: F.floor(x / c) * c,
+        "minimum": lambda: F.least(x, F.lit(c)), "maximum": lambda: F.greatest(x, F.lit(c)), "sigmoid": lambda: 1 / (1 + F.exp(-x)), "tanh": lambda: F.tanh(x), "safe-ln": lambda: F.ln(F.greatest(x, F.lit(c))),
     }[kind]()
 
 
+def linear(x: Column, slope: float, offset: float) -> Column:
+    return x * slope + offset
+
+
 def map_vector(x: Column, kind: str, c: float = 1.0) -> Column:
     return F.transform(x, lambda v: scalar(v, kind, c))
 
@@ -147,9 +157,15 @@ def string_expression(template: str, **columns: Column) -> Column:
     return F.concat(*out)
 
 
-def random_vectors(rows: DataFrame, d: int, seed: int) -> DataFrame:
-    """Each row with ``x``, d standard normal components that depend on the seed and the partition."""
-    return rows.withColumn("x", F.array(*(F.randn(seed + k) for k in range(d))))
+def random_vectors(rows: DataFrame, d: int, seed: int, keys: list[str]) -> DataFrame:
+    """Each row with ``x``, d standard normal components that depend on the seed, the row's ``keys`` and the component alone, however rows are stored.
+
+    The digest of ``seed/keys/component`` makes two uniform numbers, and these a normal one (Box and Muller).
+    """
+    digest = lambda k: F.md5(F.concat_ws("/", F.lit(str(seed)), *(F.col(c).cast("string") for c in keys), k.cast("string")).cast("binary"))
+    uniform = lambda text, first: (F.conv(F.substring(text, first, 13), 16, 10).cast("double") + 0.5) / float(16**13)
+    normal = lambda text: F.sqrt(-2 * F.ln(uniform(text, 1))) * F.cos(2 * F.pi() * uniform(text, 14))
+    return rows.withColumn("x", F.transform(F.transform(F.sequence(F.lit(0), F.lit(d - 1)), digest), normal))
 
 
 def temporal_pattern(frames: DataFrame, width: int, k: int, order: list[str]) -> DataFrame:
@@ -178,15 +194,71 @@ def select_by_mask(frames: DataFrame, masks: DataFrame, order: list[str]) -> Dat
 
 
 def quantile_equalise(frames: DataFrame, n: int) -> DataFrame:
-    """The scalar ``x`` of each segment mapped piecewise linearly from its own quantiles 0/n .. n/n to those of all frames. Both sides are a row of n + 1 numbers."""
-    at = F.array(*(F.lit(k / n) for k in range(n + 1)))
-    own = frames.groupBy("segment_id").agg(F.percentile("x", at).alias("_own"))
-    goal = frames.agg(F.percentile("x", at).alias("_goal"))  # one row
-    joined = frames.join(own, "segment_id").crossJoin(F.broadcast(goal))
-    k = F.least(F.greatest(F.size(F.filter("_own", lambda q: q <= F.col("x"))), F.lit(1)), F.lit(n))  # the piece, from 1
-    low, high = F.element_at("_own", k), F.element_at("_own", k + 1)
-    a, b = F.element_at("_goal", k), F.element_at("_goal", k + 1)
-    return joined.withColumn("equalised", F.when(high > low, a + (F.col("x") - low) / (high - low) * (b - a)).otherwise(a)).select(*frames.columns, "equalised")
+    """The scalar ``x`` of each segment mapped piecewise linearly from its own quantiles 0/n .. n/n to those of all frames. The goal's n + 1 numbers come from counts of ranges."""
+    at = [k / n for k in range(n + 1)]
+    own = frames.groupBy("segment_id").agg(F.percentile("x", F.array(*map(F.lit, at))).alias("_own"))
+    goal = F.array(*(F.lit(q) for q in exact_percentiles(frames, "x", at))).cast("array<double>")
+    joined = frames.join(own, "segment_id").withColumn("_goal", goal)
+    return joined.withColumn("equalised", _piecewise("_own", "_goal", n)).select(*frames.columns, "equalised")
+
+
+def _piecewise(own: str, goal: str, n: int) -> Column:
+    """``x`` moved from its piece between the quantiles ``own`` to the same place between those of ``goal``."""
+    k = F.least(F.greatest(F.size(F.filter(own, lambda q: q <= F.col("x"))), F.lit(1)), F.lit(n))  # the piece, from 1
+    low, high = F.get(own, k - 1), F.get(own, k)
+    a, b = F.get(goal, k - 1), F.get(goal, k)
+    return F.when(high > low, a + (F.col("x") - low) / (high - low) * (b - a)).otherwise(a)
+
+
+def window_quantiles(frames: DataFrame, n: int, length: int, right: int, order: list[str], block: int = 4096) -> DataFrame:
+    """Frames with ``quantiles``: the values at ranks ``k (m - 1) / n`` (rounded down, k = 0 .. n) of the m frames in the window around each.
+
+    The window of frame t ends at ``min(t + right, T - 1)`` and holds up to ``length`` frames, as in ``frames.sliding_normalise``. Segments are cut in blocks of ``block`` frames with the
+    frames of the windows at their edges, so a long segment is spread over tasks.
+    """
+    w = Window.partitionBy("segment_id")
+    numbered = frames.withColumn("_t", (F.row_number().over(w.orderBy("tick", *order)) - 1).cast("long")).withColumn("_n", F.count("*").over(w))
+    home = F.floor(F.col("_t") / block)
+    # the frames before and after a block that its windows reach; at the end windows begin at T - length
+    reach = F.sequence(F.floor(F.greatest(F.col("_t") - right, F.lit(0)) / block), F.floor(F.least(F.col("_t") + length + right, F.col("_n") - 1) / block))
+    dealt = numbered.withColumn("_block", F.explode(reach)).withColumn("_own", F.col("_block") == home)
+    kind, columns = frames.schema["x"].dataType.simpleString(), frames.columns
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frames.schema) + f", quantiles array<{kind}>"
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("_t")
+        x, t, own = rows["x"].to_numpy(), rows["_t"].to_numpy(), rows["_own"].to_numpy()
+        last = int(rows["_n"].iloc[0]) - 1
+        ends = np.minimum(t[own] + right, last)
+        begins = np.maximum(ends - length + 1, 0)
+        sizes = ends - begins + 1
+        out = np.empty((len(ends), n + 1), x.dtype)
+        for size in np.unique(sizes).tolist():  # windows of one size side by side; all but those at the beginning have the full one
+            at = np.flatnonzero(sizes == size)
+            ranks = [k * (size - 1) // n for k in range(n + 1)]
+            step = max(1, (1 << 20) // size)
+            for a in range(0, len(at), step):
+                part = at[a : a + step]
+                windows = x[(begins[part] - t[0])[:, None] + np.arange(size)]
+                out[part] = np.partition(windows, sorted(set(ranks)), axis=1)[:, ranks]
+        kept = rows[own][columns].copy()
+        kept["quantiles"] = list(out)
+        return kept
+
+    return dealt.groupBy("segment_id", "_block").applyInPandas(run, schema)
+
+
+def train_quantiles(quantiles: DataFrame, n: int) -> list[float]:
+    """The mean of the windows' quantiles over all frames: n + 1 numbers, empty without frames."""
+    row = quantiles.agg(*(F.avg(F.get("quantiles", F.lit(k))).alias(f"q{k}") for k in range(n + 1))).first()
+    return [] if row[0] is None else list(row)
+
+
+def quantile_equalise_windows(frames: DataFrame, train: list[float], length: int, right: int, order: list[str]) -> DataFrame:
+    """``x`` mapped piecewise linearly from the quantiles of the window around each frame to the quantiles ``train``."""
+    n = len(train) - 1
+    windows = window_quantiles(frames, n, length, right, order).withColumn("_goal", F.array(*map(F.lit, train)).cast("array<double>"))
+    return windows.withColumn("equalised", _piecewise("quantiles", "_goal", n)).select(*frames.columns, "equalised")
 
 
 # matrices as tables of cells

@@ -20,7 +20,8 @@ def query(sql: str | None = None, *uses: str) -> Callable:
             heads = [_VIEWS[u] for u in uses]
             body = sql.strip()
             if heads:
-                body = f"WITH {', '.join(heads)}" + (f", {body[5:]}" if body[:5].upper() == "WITH " else f" {body}")
+                kind = "WITH RECURSIVE " if body[:15].upper() == "WITH RECURSIVE " else "WITH "
+                body = f"{kind}{', '.join(heads)}" + (f", {body[len(kind):]}" if body[: len(kind)].upper() == kind else f" {body}")
             ORACLE[f.__name__] = body
         return f
 

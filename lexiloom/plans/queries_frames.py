@@ -51,6 +51,26 @@ def interpolate_frames(spark, sf_dir):
     return op.interpolate_frames(*_clicks(spark, sf_dir)).withColumn("x", F.round("x", 6))
 
 
+def _polynomial(order: int) -> str:
+    """SQL of the interpolation of one order: control points by rank, Lagrange's formula over them."""
+    return f"""SELECT {order} AS degree, segment_id, tick, CASE WHEN inside THEN round(coalesce(max(CASE WHEN t = tick THEN x END), sum(x * coalesce(w, 1))), 3) END AS x FROM (
+    SELECT c.*, a.tick AS t, a.x, (SELECT product((c.tick - b.tick) / (a.tick - b.tick)) FROM num b WHERE b.segment_id = c.segment_id AND b.i BETWEEN c.f AND c.l AND b.i <> a.i) AS w
+    FROM (SELECT *, greatest(l - {order}, 0) AS f FROM (SELECT *, least(greatest(i + {order // 2}, {order}), n - 1) AS l FROM near)) c LEFT JOIN num a ON a.segment_id = c.segment_id AND a.i BETWEEN c.f AND c.l) GROUP BY segment_id, tick, inside"""
+
+
+@query(f"""WITH {_CLICKS}, num AS (SELECT segment_id, tick, x::DOUBLE AS x, row_number() OVER (PARTITION BY segment_id ORDER BY tick) - 1 AS i, count(*) OVER (PARTITION BY segment_id) AS n FROM one),
+near AS (SELECT t.segment_id, t.tick, o.i, o.n, o.i IS NOT NULL AND (o.i > 0 OR o.tick = t.tick) AS inside FROM target t ASOF LEFT JOIN num o ON t.segment_id = o.segment_id AND t.tick <= o.tick)
+{' UNION ALL '.join(_polynomial(k) for k in (1, 2, 3))}""", "frames")
+def interpolate_polynomial(spark, sf_dir):
+    """Orders 1 to 3; targets outside have no value."""
+    one, target = _clicks(spark, sf_dir)
+    out = None
+    for k in (1, 2, 3):
+        found = op.interpolate_polynomial(one, target, k, "flag").select(F.lit(k).alias("degree"), "segment_id", "tick", F.round("x", 3).alias("x"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 @query("SELECT DISTINCT f.event_id FROM frames f JOIN (SELECT segment_id, tick AS s, tick + 600000000 AS e FROM frames WHERE label = 'purchase') i ON f.segment_id = i.segment_id AND f.tick >= s AND f.tick < e", "frames")
 def select_in_intervals(spark, sf_dir):
     f = views.frames(spark, sf_dir)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexiloom.operators import models
+from lexiloom.operators import mixtures, models, trees
 
 from . import views
 from .catalogue import query
@@ -213,3 +213,63 @@ def pca_variance(spark, sf_dir):
 def lda(spark, sf_dir):
     v = views.vectors(spark, sf_dir)
     return models.project(v, models.lda(models.scatter_matrices(v, views.DIMENSIONS), 2), ["vec_id"])
+
+
+def _soft_rounds(k: int) -> str:
+    """SQL tables t0 to tk: two densities for each label, trained by posteriors within the label."""
+    out = [_DENSITIES.split(", dens AS")[0], "base AS (SELECT label, dim, avg(v) AS mean, greatest(sum(v * v) / count(*) - (sum(v) / count(*)) * (sum(v) / count(*)), 100.0) AS var FROM cells GROUP BY 1, 2)"]
+    out.append("t0 AS (SELECT label, z AS density, dim, mean + (2 * z - 1) * 0.05 * sqrt(var) AS mean, var, 0.5 AS weight FROM base, unnest([0, 1]) AS u(z))")
+    for r in range(1, k + 1):
+        out += [
+            f"u{r} AS MATERIALIZED (SELECT vec_id, c.label, density, 0.5 * sum((v - mean) ** 2 / var + ln(2 * pi() * var)) - ln(any_value(weight)) AS score FROM cells c JOIN t{r - 1} m ON c.label = m.label AND c.dim = m.dim GROUP BY 1, 2, 3)",
+            f"p{r} AS MATERIALIZED (SELECT *, exp(m - score) / sum(exp(m - score)) OVER (PARTITION BY vec_id) AS p, m - ln(sum(exp(m - score)) OVER (PARTITION BY vec_id)) AS total FROM (SELECT *, min(score) OVER (PARTITION BY vec_id) AS m FROM u{r}))",
+            f"t{r} AS MATERIALIZED (SELECT label, density, dim, s / n AS mean, greatest(q / n - (s / n) * (s / n), 100.0) AS var, n / sum(n) OVER (PARTITION BY label, dim) AS weight FROM (SELECT c.label, density, dim, sum(p) AS n, sum(p * v) AS s, sum(p * v * v) AS q FROM cells c JOIN p{r} USING (vec_id) WHERE p > 0.001 GROUP BY 1, 2, 3))",
+        ]
+    return ", ".join(out)
+
+
+def _mixtures(spark, sf_dir):
+    v = views.vectors(spark, sf_dir)
+    base = models.gaussian_estimate(models.accumulate(v, ["label"]), 100.0)
+    start = base.select("label", F.explode(F.array(F.lit(0), F.lit(1))).alias("density"), "dim", "mean", "var").select("label", "density", "dim", (F.col("mean") + (2 * F.col("density") - 1) * 0.05 * F.sqrt("var")).alias("mean"), "var", F.lit(0.5).alias("weight"))
+    return v, start
+
+
+@query(f"WITH {_soft_rounds(2)} SELECT label, density, dim, round(mean, 3) AS mean, round(var, 1) AS var, round(weight, 5) AS weight FROM t2", "vectors")
+def mixtures_by_label(spark, sf_dir):
+    """Two rounds of soft counts over a mixture of two densities for each label."""
+    m = mixtures.train_mixtures(*_mixtures(spark, sf_dir), 2, viterbi=False, weight_threshold=0.001, min_variance=100.0)
+    return m.select("label", "density", F.col("dim").cast("long").alias("dim"), F.round("mean", 3).alias("mean"), F.round("var", 1).alias("var"), F.round("weight", 5).alias("weight"))
+
+
+@query(f"WITH {_soft_rounds(1)} SELECT label, count(*)::DOUBLE AS n, round(-avg(total), 4) AS likelihood FROM p1 WHERE density = 0 GROUP BY 1".replace("m - ln(sum(exp(m - score))", "m - ln(sum(exp(m - score))"), "vectors")
+def mixture_likelihood(spark, sf_dir):
+    l = mixtures.log_likelihood(*_mixtures(spark, sf_dir))  # noqa: E741
+    return l.select("label", "n", F.round("likelihood", 4).alias("likelihood"))
+
+
+@query("""WITH e AS (SELECT l_returnflag = 'R' AS a, l_linestatus = 'O' AS b, l_quantity > 25 AS c, l_quantity::BIGINT AS x, round(l_extendedprice / 100)::BIGINT AS y FROM lineitem), s AS (SELECT 0 AS k, a AS yes, x, y FROM e UNION ALL SELECT 1, b, x, y FROM e UNION ALL SELECT 2, c, x, y FROM e),
+g AS (SELECT k, yes, count(*) AS n, avg(x) AS mx, avg(y) AS my, sum(x * x) / count(*) AS qx, sum(y * y) / count(*) AS qy FROM s GROUP BY GROUPING SETS ((k, yes), (k))),
+l AS (SELECT k, yes, 0.5 * n * (2 * (1 + ln(2 * pi())) + ln(greatest(qx - mx * mx, 0.001)) + ln(greatest(qy - my * my, 0.001))) AS c FROM g)
+SELECT k, round(sum(CASE WHEN yes IS NULL THEN c ELSE -c END), 2) AS gain FROM l GROUP BY 1""")
+def gaussian_gain(spark, sf_dir):
+    """The gains of three questions at the root, each found by growing a tree of two leaves with that question alone."""
+    li = views.read(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity", F.array(F.col("l_quantity").cast("long"), F.round(F.col("l_extendedprice") / 100).cast("long")).alias("s"))
+    examples = li.withColumn("q", F.transform("s", lambda v: v * v)).withColumn("n", F.lit(1))
+    asks = [F.col("l_returnflag") == "R", F.col("l_linestatus") == "O", F.col("l_quantity") > 25]
+    placed = examples.withColumn("node", F.lit(0)).withColumn("answers", F.array(*asks))
+    out = None
+    for k in range(3):
+        found = trees._gaussian_questions(placed.withColumn("answers", F.slice("answers", k + 1, 1)), 1, 2, 1.0, 0.0, 1e-3).select(F.lit(k).alias("k"), F.round("gain", 2).alias("gain"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+@query(None)
+def grow_tree(spark, sf_dir):
+    """Order lines by Gaussians of quantity and price: two steps of a plan; the leaf of every kind of line."""
+    li = views.read(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity", "l_discount", F.array(F.col("l_quantity").cast("long"), F.round(F.col("l_extendedprice") / 100).cast("long")).alias("s"))
+    examples = li.withColumn("q", F.transform("s", lambda v: v * v)).withColumn("n", F.lit(1))
+    plan = [trees.Step({f"q{k}": F.col("l_quantity") > k for k in range(5, 50, 5)}, "split", 100.0, 10.0), trees.Step({"o": F.col("l_linestatus") == "O", "d": F.col("l_discount") > 0.05}, "split", 10.0, 0.0)]
+    leaf = models.cart_apply(examples, trees.grow_tree(examples, plan, max_leaves=16))
+    return leaf.groupBy("leaf").agg(F.count("*").alias("n"), F.min("l_quantity").alias("least"), F.max("l_quantity").alias("most"))

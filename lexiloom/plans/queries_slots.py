@@ -202,6 +202,44 @@ def word_errors(spark, sf_dir):
     return evaluate.word_errors(_pairs(spark, sf_dir))
 
 
+def _least_costs(pairs: str, same: str) -> str:
+    """SQL tables that align ``r`` and ``h`` of every segment word by word: ``rows`` has a row of costs for each beginning of ``r``."""
+    return f"""p AS (SELECT segment_id, {_TOKENS} AS w FROM segments), pairs AS MATERIALIZED ({pairs}), costs AS (
+    SELECT segment_id, r, h, 0 AS i, range(0, len(h) + 1) AS c FROM pairs
+    UNION ALL SELECT segment_id, r, h, i + 1, list_reduce(list_prepend([(i + 1)::BIGINT], list_transform(range(1, len(h) + 1), lambda j: [least(c[j + 1] + 1, c[j] + CASE WHEN {same} THEN 0 ELSE 1 END)])), lambda a, x: list_append(a, least(a[-1] + 1, x[1]))) FROM costs WHERE i < len(r))"""
+
+
+#: Turns against themselves with words of length 4 left out, of length 3 doubled, of length 6 in upper case.
+_OTHER = "flatten(list_transform(list_filter(w, lambda x: length(x) <> 4), lambda x: CASE length(x) WHEN 3 THEN [x, x] WHEN 6 THEN [upper(x)] ELSE [x] END))"
+
+
+def _unequal(spark, sf_dir):
+    s = views.segments(spark, sf_dir).select("segment_id", counts.tokens(F.col("orth")).alias("ref"))
+    other = F.transform(F.filter("ref", lambda w: F.length(w) != 4), lambda w: F.when(F.length(w) == 3, F.array(w, w)).when(F.length(w) == 6, F.array(F.upper(w))).otherwise(F.array(w)))
+    return s.withColumn("hyp", F.flatten(other))
+
+
+@query(f"WITH RECURSIVE {_least_costs(f'SELECT segment_id, w AS r, {_OTHER} AS h FROM p', 'r[i + 1] = h[j]')} SELECT segment_id, len(r) AS n_tokens, c[-1] AS errors FROM costs WHERE i = len(r)", "segments")
+def word_error_totals(spark, sf_dir):
+    """Least numbers of errors between texts of unequal lengths."""
+    e = evaluate.word_errors(_unequal(spark, sf_dir))
+    return e.select("segment_id", "n_tokens", (F.col("n_ins") + F.col("n_del") + F.col("n_sub")).alias("errors"))
+
+
+#: Words of length 5 broken off before the last two letters, of length 7 without their first two.
+_BROKEN = "list_transform(w, lambda x: CASE length(x) WHEN 5 THEN x[1:3] || '-' WHEN 7 THEN '-' || x[3:7] ELSE x END)"
+_MATCH = """CASE WHEN r[i + 1][1] <> '-' THEN r[i + 1] = h[j] OR (r[i + 1][-1] = '-' AND starts_with(h[j], r[i + 1][:-2]) AND NOT starts_with(h[j], r[i + 1]))
+    WHEN length(r[i + 1]) > 1 AND r[i + 1][-1] = '-' AND strlen(h[j]) >= strlen(r[i + 1]) - 2 THEN strlen(h[j]) >= strlen(r[i + 1]) AND instr(h[j], r[i + 1][2:-2]) BETWEEN 1 AND strlen(h[j]) - strlen(r[i + 1]) + 1 ELSE ends_with(h[j], r[i + 1][2:]) END"""
+
+
+@query(f"WITH RECURSIVE {_least_costs(f'SELECT segment_id, {_BROKEN} AS r, {_OTHER} AS h FROM p', _MATCH)} SELECT segment_id, len(r) AS n_tokens, c[-1] AS errors FROM costs WHERE i = len(r)", "segments")
+def broken_word_errors(spark, sf_dir):
+    """The same hypotheses against references with broken words."""
+    broken = F.transform("ref", lambda w: F.when(F.length(w) == 5, F.concat(F.substring(w, 1, 3), F.lit("-"))).when(F.length(w) == 7, F.concat(F.lit("-"), F.substring(w, 3, 5))).otherwise(w))
+    e = evaluate.word_errors(_unequal(spark, sf_dir).withColumn("ref", broken), broken=True)
+    return e.select("segment_id", "n_tokens", (F.col("n_ins") + F.col("n_del") + F.col("n_sub")).alias("errors"))
+
+
 @query(None)
 def confusion_pairs(spark, sf_dir):
     return evaluate.confusion_pairs(evaluate.edit_alignment(_pairs(spark, sf_dir)))

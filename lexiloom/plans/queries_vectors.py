@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lexiloom.functions import quantiles
 from lexiloom.operators import frames, models
 from lexiloom.operators import vectors as op
 
@@ -117,6 +118,41 @@ def quantile_equalise(spark, sf_dir):
     return op.quantile_equalise(views.frames(spark, sf_dir), 4).select("event_id", F.round("equalised", 4).alias("equalised"))
 
 
+_WINDOWS = """num AS (SELECT *, row_number() OVER (PARTITION BY segment_id ORDER BY tick, event_id) - 1 AS t, count(*) OVER (PARTITION BY segment_id) AS n FROM frames),
+ends AS (SELECT *, least(t + 5, n - 1) AS e FROM num), w AS (SELECT a.event_id, a.segment_id, a.x, list_sort(list(b.x)) AS s FROM ends a JOIN num b ON a.segment_id = b.segment_id AND b.t BETWEEN a.e - 24 AND a.e GROUP BY ALL),
+q AS (SELECT event_id, x, [s[k * (len(s) - 1) // 4 + 1] for k in range(5)] AS q FROM w)"""
+
+
+@query(f"WITH {_WINDOWS} SELECT event_id, array_to_string(q, ' ') AS quantiles FROM q", "frames")
+def window_quantiles(spark, sf_dir):
+    """Quarters of the 25 frames around each, 5 of them later."""
+    q = op.window_quantiles(views.frames(spark, sf_dir), 4, 25, 5, ["event_id"], block=64)
+    return q.select("event_id", F.array_join("quantiles", " ").alias("quantiles"))
+
+
+@query(f"""WITH {_WINDOWS}, g AS (SELECT [avg(q[1]), avg(q[2]), avg(q[3]), avg(q[4]), avg(q[5])] AS g FROM q), p AS (SELECT event_id, x, q, g, least(greatest(len(list_filter(q, lambda v: v <= x)), 1), 4) AS k FROM q, g)
+SELECT event_id, round(CASE WHEN q[k + 1] > q[k] THEN g[k] + (x - q[k]) / (q[k + 1] - q[k]) * (g[k + 1] - g[k]) ELSE g[k] END, 4) AS equalised FROM p""", "frames")
+def quantile_equalise_windows(spark, sf_dir):
+    f = views.frames(spark, sf_dir)
+    train = op.train_quantiles(op.window_quantiles(f, 4, 25, 5, ["event_id"]), 4)
+    return op.quantile_equalise_windows(f, train, 25, 5, ["event_id"]).select("event_id", F.round("equalised", 4).alias("equalised"))
+
+
+@query("SELECT k, quantile_cont(l_extendedprice, k / 10.0) AS v FROM lineitem, unnest(range(11)) AS t(k) GROUP BY 1".replace("quantile_cont(l_extendedprice, k / 10.0)", "round(any_value(q[k + 1]), 6)").replace("FROM lineitem, unnest", "FROM (SELECT quantile_cont(l_extendedprice, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1]) AS q FROM lineitem), unnest"))
+def exact_percentiles(spark, sf_dir):
+    """Deciles of all prices, from counts of ranges."""
+    li = views.read(spark, sf_dir, "lineitem")
+    found = quantiles.exact_percentiles(li, "l_extendedprice", [k / 10 for k in range(11)])
+    return spark.createDataFrame(list(enumerate(found)), "k long, v double").withColumn("v", F.round("v", 6))
+
+
+@query("SELECT vec_id, array_to_string(list_transform(x, lambda v: printf('%.5f', round(1 / (1 + exp(-v / 1000.0)) + tanh(v / 1000.0) + ln(greatest(v / 1000.0, 0.01)) + least(v / 1000.0, 0.1) + greatest(v / 1000.0, -0.1) + 2 * (v / 1000.0) + 1, 5) + 0.0)), ' ') AS y FROM vectors", "vectors")
+def scalar_functions(spark, sf_dir):
+    """Sigmoid, hyperbolic tangent, logarithm over a floor, minimum, maximum and a linear function of every component, added up."""
+    y = lambda v: op.scalar(v, "sigmoid") + op.scalar(v, "tanh") + op.scalar(v, "safe-ln", 0.01) + op.scalar(v, "minimum", 0.1) + op.scalar(v, "maximum", -0.1) + op.linear(v, 2.0, 1.0)
+    return views.vectors(spark, sf_dir).select("vec_id", F.array_join(F.transform("x", lambda v: F.format_string("%.5f", F.round(y(v / 1000.0), 5) + 0.0)), " ").alias("y"))
+
+
 _COV = "cov AS (SELECT i, j, (sum(x[i + 1] * x[j + 1]) - sum(x[i + 1]) * sum(x[j + 1]) / count(*)) / count(*) AS v FROM (SELECT [l_quantity::BIGINT, round(l_discount * 100)::BIGINT, round(l_tax * 100)::BIGINT] AS x FROM lineitem), unnest([0, 1, 2]) AS a(i), unnest([0, 1, 2]) AS b(j) WHERE j <= i GROUP BY 1, 2)"
 
 

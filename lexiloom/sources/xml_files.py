@@ -1,15 +1,12 @@
-"""Readers of corpus and lexicon files in XML, through Spark's own XML source: one row for each recording or lemma, split over the cluster.
-
-A corpus file nests sub-corpora; rows are its recordings. What a segment does not name (speaker, condition) it has from its recording, else from the arguments.
-"""
+"""Readers of corpus and lexicon files in XML. Corpora nest and go through ``nested_corpora``; speakers and lemmas are flat and go through Spark's own XML source."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_SEGMENT = "struct<_name: string, _start: string, _end: string, _track: string, orth: string, `left-context-orth`: string, `right-context-orth`: string, speaker: struct<_name: string>, condition: struct<_name: string>>"
-_RECORDING = f"_name string, _audio string, speaker struct<_name: string>, condition struct<_name: string>, segment array<{_SEGMENT}>"
+from . import nested_corpora
+
 _SPEAKER = "_name string, gender string, `native-language` string, age string"
 _LEMMA = "_special string, _name string, orth array<string>, phon array<struct<_VALUE: string, _score: string, _weight: string>>, synt array<struct<tok: array<string>>>, eval array<struct<tok: array<string>>>"
 
@@ -23,27 +20,40 @@ def squeezed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
-def read_corpus(spark: SparkSession, path: str, corpus: str, speaker: str | None = None, condition: str | None = None) -> DataFrame:
-    """Segments ``segment_id, recording_id, corpus_id, audio, i, start, end, track, speaker_id, condition_id, orth`` of a corpus file or folder of such.
+def _full_names(rows: DataFrame, corpus: str | None, remove_prefix: str) -> DataFrame:
+    """``corpus_id`` and ``recording_id`` with another name of the outermost corpus, then without the prefix."""
+    place = F.col("corpus_id")
+    if corpus is not None:
+        place = F.concat(F.lit(corpus), F.regexp_replace(place, "^[^/]*", ""))
+    if remove_prefix:
+        place = F.when(F.startswith(place, F.lit(remove_prefix)), F.substring(place, F.lit(len(remove_prefix) + 1), F.length(place))).otherwise(place)
+    name = F.substring("recording_id", F.length("corpus_id") + 1, F.length("recording_id"))
+    return rows.withColumns({"recording_id": F.concat(place, name), "corpus_id": place})
+
+
+def read_corpus(spark: SparkSession, path: str, corpus: str | None = None, speaker: str | None = None, condition: str | None = None, remove_prefix: str = "", audio_dir: str | None = None) -> DataFrame:
+    """Segments ``segment_id, recording_id, corpus_id, audio, i, seq, start, end, track, speaker_id, condition_id, orth, left_orth, right_orth`` of a corpus file or folder of such.
 
-    ``corpus`` is the name of the outermost corpus, which full names begin with: ``corpus/recording/segment``. A segment without a name is numbered from 1
-    within its recording. Times are seconds, null where they are absent or ``inf``; recordings without segments give no row.
+    Full names are those of all sections around: ``corpus/subcorpus/recording/segment``; ``corpus`` may rename the outermost corpus, and ``remove_prefix`` is cut off the
+    corpora's part. A segment without a name is numbered from 1 within its recording, with ``+`` for each name in the way. What a segment does not name itself (speaker, condition)
+    comes from the nearest section that has a default, as it is where the segment stands, else from the arguments; a speaker without a name is called by its section and ``ANONYMOUS``.
+    Included files continue the section that includes them. ``i`` numbers the segments of a recording, ``seq`` all of them in file order.
+    Times are seconds; an absent start is 0, an absent or infinite end null. ``audio_dir`` stands before relative names of audio files. Recordings without segments give no row.
     """
-    r = _rows(spark, path, "recording", _RECORDING)
-    name = F.concat_ws("/", F.lit(corpus), F.col("_name"))
-    s = r.select(name.alias("recording_id"), F.col("_audio").alias("audio"), F.col("speaker._name").alias("_sp"), F.col("condition._name").alias("_co"), F.posexplode("segment").alias("i", "s"))
-    own = F.coalesce(F.col("s._name"), (F.col("i") + 1).cast("string"))
-    time = lambda c: F.when(F.col(c).rlike(r"^-?[0-9.]+([eE][-+]?\d+)?$"), F.col(c).cast("double"))
+    s = _full_names(nested_corpora.sections(spark, path).filter("kind = 'segment'"), corpus, remove_prefix)
+    time = lambda c: F.when(F.col(c).rlike(r"^\s*-?[0-9.]+([eE][-+]?\d+)?\s*$"), F.trim(c).cast("double"))
+    audio = F.col("audio") if audio_dir is None else F.when(F.startswith("audio", F.lit("/")), F.col("audio")).otherwise(F.concat(F.lit(audio_dir.rstrip("/") + "/"), "audio"))
     return s.select(
-        F.concat_ws("/", "recording_id", own).alias("segment_id"), "recording_id", F.lit(corpus).alias("corpus_id"), "audio", "i", time("s._start").alias("start"), time("s._end").alias("end"), F.col("s._track").cast("int").alias("track"),
-        F.coalesce(F.col("s.speaker._name"), "_sp", F.lit(speaker)).alias("speaker_id"), F.coalesce(F.col("s.condition._name"), "_co", F.lit(condition)).alias("condition_id"), squeezed(F.col("s.orth")).alias("orth"),
+        F.concat_ws("/", "recording_id", "name").alias("segment_id"), "recording_id", "corpus_id", audio.alias("audio"), "i", "seq", F.when(F.col("start").isNull(), 0.0).otherwise(time("start")).alias("start"), time("end").alias("end"),
+        F.coalesce(F.col("track").try_cast("int"), F.lit(0)).alias("track"), F.coalesce("speaker_id", F.lit(speaker)).alias("speaker_id"), F.coalesce("condition_id", F.lit(condition)).alias("condition_id"), "orth", "left_orth", "right_orth",
     )
 
 
-def read_recordings(spark: SparkSession, path: str, corpus: str) -> DataFrame:
-    """``recording_id, audio, n_segments`` of all recordings, those without segments too."""
-    r = _rows(spark, path, "recording", _RECORDING)
-    return r.select(F.concat_ws("/", F.lit(corpus), F.col("_name")).alias("recording_id"), F.col("_audio").alias("audio"), F.coalesce(F.size("segment"), F.lit(0)).alias("n_segments"))
+def read_recordings(spark: SparkSession, path: str, corpus: str | None = None, remove_prefix: str = "") -> DataFrame:
+    """``recording_id, corpus_id, audio, n_segments`` of all recordings, those without segments too."""
+    rows = _full_names(nested_corpora.sections(spark, path), corpus, remove_prefix)
+    own = rows.groupBy("recording_id", "corpus_id").agg(F.max(F.when(F.col("kind") == "recording", F.col("audio"))).alias("audio"), F.count_if(F.col("kind") == "segment").cast("int").alias("n_segments"))
+    return own.select("recording_id", "corpus_id", "audio", "n_segments")
 
 
 def read_speakers(spark: SparkSession, path: str) -> DataFrame:

@@ -12,7 +12,7 @@ CORPUS = """<?xml version="1.0" encoding="UTF-8"?>
   <recording name="r1" audio="r1.wav">
     <speaker name="anna"/>
     <segment name="a" start="0.5" end="2.25"><orth>
-      hello   world </orth></segment>
+      a   red boat </orth></segment>
     <segment start="2.25" end="inf"><speaker name="ben"/><condition name="noisy"/><orth>bye</orth></segment>
   </recording>
   <subcorpus name="sub"><recording name="r2" audio="r2.wav"><segment name="x"><orth>one</orth></segment></recording><recording name="r3" audio="r3.wav"></recording></subcorpus>
@@ -28,11 +28,11 @@ LEXICON = """<?xml version="1.0" encoding="UTF-8"?>
 def test_corpus(spark, tmp_path):
     (tmp_path / "c.xml").write_text(CORPUS)
     rows = {r.segment_id: r for r in xml_files.read_corpus(spark, str(tmp_path / "c.xml"), "c", speaker="nobody").collect()}
-    assert set(rows) == {"c/r1/a", "c/r1/2", "c/r2/x"}
-    a, b, x = (rows[k] for k in ("c/r1/a", "c/r1/2", "c/r2/x"))
-    assert (a.start, a.end, a.speaker_id, a.condition_id, a.orth, a.audio) == (0.5, 2.25, "anna", None, "hello world", "r1.wav")
-    assert (b.start, b.end, b.speaker_id, b.condition_id) == (2.25, None, "ben", "noisy") and (x.speaker_id, x.start) == ("nobody", None)
-    assert {tuple(r) for r in xml_files.read_recordings(spark, str(tmp_path / "c.xml"), "c").collect()} == {("c/r1", "r1.wav", 2), ("c/r2", "r2.wav", 1), ("c/r3", "r3.wav", 0)}
+    assert set(rows) == {"c/r1/a", "c/r1/2", "c/sub/r2/x"}
+    a, b, x = (rows[k] for k in ("c/r1/a", "c/r1/2", "c/sub/r2/x"))
+    assert (a.start, a.end, a.speaker_id, a.condition_id, a.orth, a.audio) == (0.5, 2.25, "anna", None, "a red boat", "r1.wav")
+    assert (b.start, b.end, b.speaker_id, b.condition_id) == (2.25, None, "ben", "noisy") and (x.speaker_id, x.start, x.corpus_id) == ("nobody", 0.0, "c/sub")
+    assert {tuple(r) for r in xml_files.read_recordings(spark, str(tmp_path / "c.xml"), "c").collect()} == {("c/r1", "c", "r1.wav", 2), ("c/sub/r2", "c/sub", "r2.wav", 1), ("c/sub/r3", "c/sub", "r3.wav", 0)}
     assert [tuple(r) for r in xml_files.read_speakers(spark, str(tmp_path / "c.xml")).collect()] == [("anna", "female", "xx", None)]
 
 
@@ -45,13 +45,13 @@ def test_lexicon(spark, tmp_path):
 
 
 def test_readings(spark):
-    texts = ["prefix {first choice|second choice} suffix ", "", "a [b] c", "{a {b|c}|d}", "[x {y|z}]"]
+    texts = ["we {drove home|walked back} at six ", "", "a [b] c", "{a {b|c}|d}", "[x {y|z}]"]
     s = spark.createDataFrame(list(enumerate(texts)), "segment_id int, orth string")
-    assert [r.t for r in s.orderBy("segment_id").select(orthography.orth_text(F.col("orth")).alias("t")).collect()] == ["prefix first choice suffix", "", "a b c", "a b", "x y"]
+    assert [r.t for r in s.orderBy("segment_id").select(orthography.orth_text(F.col("orth")).alias("t")).collect()] == ["we drove home at six", "", "a b c", "a b", "x y"]
     got = {}
     for r in orthography.orth_variants(s).orderBy("variant").collect():
         got.setdefault(r.segment_id, []).append(r.text)
-    assert got[0] == ["prefix first choice suffix", "prefix second choice suffix"] and got[1] == [""] and got[2] == ["a b c", "a c"]
+    assert got[0] == ["we drove home at six", "we walked back at six"] and got[1] == [""] and got[2] == ["a b c", "a c"]
     assert sorted(got[3]) == ["a b", "a c", "d"] and sorted(got[4]) == ["", "x y", "x z"]
 
 
