@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lattice import best_path
+
 EPSILON = "*EPS*"
 
 
@@ -161,6 +164,46 @@ def prune_by_posterior(arcs: DataFrame, threshold: float, most: int | None = Non
     return kept.withColumn("_rank", F.row_number().over(w.orderBy(F.desc("posterior"), "src", "dst", "label"))).filter(F.col("_rank") <= most).drop("_rank")
 
 
+def prune_by_rate(arcs: DataFrame, threshold: float, min_rate: float = 0.0, max_rate: float | None = None, most: int | None = None, per_second: float = 100.0) -> DataFrame:
+    """Arcs whose ``-ln posterior`` is within a threshold of their segment's least, by rates of arcs for each second of a segment; ``per_second`` ticks make one.
+
+    A segment that has no more than ``min_rate`` arcs a second is left as it is. Elsewhere the threshold (at most the segment's range) shrinks by tenths while more than ``max_rate``
+    a second, or ``most``, are left, down to 0.1, and then grows by fifths while there are fewer than ``min_rate``, up to 100. A threshold of 0 or less keeps the best path alone, by ``score``.
+    Scores of a segment lie on one row.
+    """
+    if threshold <= 0:
+        path = best_path(arcs.select("segment_id", "src", "dst", "label", "score")).select("segment_id", "src", "dst", "label")
+        return arcs.join(path, ["segment_id", "src", "dst", "label"], "left_semi")
+    cost = -F.ln("posterior")
+    w = arcs.groupBy("segment_id").agg(F.sort_array(F.collect_list(cost)).alias("_s"), ((F.max("end_t") - F.min("start_t")) / per_second).alias("_seconds"))
+    least = F.element_at("_s", 1)
+    few = F.floor(min_rate * F.col("_seconds"))
+    many = F.lit(2**31 - 1 if most is None else most)
+    if max_rate is not None:
+        many = F.least(F.floor(max_rate * F.col("_seconds")), many)
+    n = lambda t: F.size(F.filter("_s", lambda c: c - least <= t))
+    steps = lambda ratio, end: F.sequence(F.lit(1), F.lit(max(1, math.ceil(abs(math.log(end / threshold) / math.log(ratio))) + 1)))
+    shrunk = F.aggregate(steps(0.9, min(0.1, threshold)), F.least(F.lit(float(threshold)), F.element_at("_s", -1) - least), lambda t, _: F.when((n(t) > F.col("_many")) & (t > 0.1), t * 0.9).otherwise(t))
+    grown = F.aggregate(steps(1.2, 100.0 * threshold / min(threshold, 0.09)), F.col("_t"), lambda t, _: F.when((n(t) < F.col("_few")) & (t < 100.0) & (t > 0), t * 1.2).otherwise(t))
+    limits = w.withColumns({"_few": few, "_many": many}).withColumn("_t", shrunk)
+    limits = limits.withColumn("_t", F.when(F.col("_few") > 0, grown).otherwise(F.col("_t"))).select("segment_id", ((F.lit(min_rate) > 0) & (F.size("_s") <= F.col("_few"))).alias("_whole"), least.alias("_least"), "_t")
+    return arcs.join(limits, "segment_id").filter(F.col("_whole") | (cost - F.col("_least") <= F.col("_t"))).drop("_whole", "_least", "_t")
+
+
+def merge_states(arcs: DataFrame, kind: str = "time") -> DataFrame:
+    """Arcs between the states of equal ``time``, or of equal time and context (``full``: columns ``src_context`` and ``dst_context``); of equal arcs the one of least score is left.
+
+    States are numbered from 0 by time and context within a segment, so arcs still lead to larger states. Arcs that begin where they end go. A segment's boundaries lie on one row.
+    """
+    if kind not in ("time", "full"):
+        raise ValueError("states merge by time or full")
+    context = (lambda side: [F.col(f"{side}_context").alias("c")]) if kind == "full" else (lambda side: [])
+    begin, end = F.struct(F.col("start_t").alias("t"), *context("src")), F.struct(F.col("end_t").alias("t"), *context("dst"))
+    bounds = arcs.groupBy("segment_id").agg(F.array_sort(F.array_union(F.collect_set(begin), F.collect_set(end))).alias("_bounds"))
+    placed = arcs.join(bounds, "segment_id").withColumn("src", F.array_position("_bounds", begin) - 1).withColumn("dst", F.array_position("_bounds", end) - 1).drop("_bounds").filter("start_t < end_t")
+    return placed.groupBy("segment_id", "src", "dst", "label").agg(F.first("start_t").alias("start_t"), F.first("end_t").alias("end_t"), F.min("score").alias("score"))
+
+
 def rescore_with_lm(nbest: DataFrame, lm_scores: DataFrame, scale: float) -> DataFrame:
     """Hypotheses ``segment_id, rank, score`` ranked anew by ``score + scale * lm``: ``lm_scores(segment_id, rank, lm)``."""
     joined = nbest.join(lm_scores, ["segment_id", "rank"]).withColumn("total", F.col("score") + scale * F.col("lm"))

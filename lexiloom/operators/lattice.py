@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -79,6 +80,11 @@ def n_best(arcs: DataFrame, n: int) -> DataFrame:
     return by_segment(arcs, solve, "rank long, words string, score double")
 
 
+def select_n_best(nbest: DataFrame, k: int) -> DataFrame:
+    """The k-th (from 0) of every segment's list; segments whose list is shorter give nothing."""
+    return nbest.filter(F.col("rank") == k)
+
+
 def arc_posteriors(arcs: DataFrame, alpha: float = 1.0) -> DataFrame:
     """Forward-backward posteriors of all arcs, costs scaled by alpha; nothing for a segment whose last state cannot be reached."""
 

@@ -301,11 +301,18 @@ def _as_table(spark, vectors, values) -> DataFrame:
     return spark.createDataFrame(cells, "component int, dim int, weight double, value double")
 
 
-def pca(cov: DataFrame, k: int | None = None, share: float = 1.0) -> DataFrame:
-    """``component, dim, weight, value``: the k largest eigenvectors of a covariance table, or the fewest that hold ``share`` of the variance; signs by their largest entry."""
+def pca(cov: DataFrame, k: int | None = None, share: float = 1.0, least: float | None = None) -> DataFrame:
+    """``component, dim, weight, value``: the k largest eigenvectors of a covariance table, or those of values of ``least`` or more, or the fewest that hold ``share`` of the variance; signs by their largest entry.
+
+    The three rules exclude each other.
+    """
+    if (k is not None) + (least is not None) + (share != 1.0) > 1:
+        raise ValueError("a number, a least value or a share of the variance can be asked for, not several")
     values, vectors = np.linalg.eigh(_matrix(cov, "v"))
     values, vectors = values[::-1], vectors[:, ::-1]
-    if k is None:
+    if least is not None:
+        k = int(np.count_nonzero(values >= least))
+    elif k is None:
         k = min(len(values), 1 + int(np.searchsorted(np.cumsum(values), share * values.sum() * (1 - 1e-12))))
     vectors = vectors[:, :k]
     vectors = vectors * np.sign(vectors[np.abs(vectors).argmax(axis=0), np.arange(k)])

@@ -166,6 +166,11 @@ def rescale(scores: Column, scales: dict[str, float]) -> Column:
     return F.transform_values(F.map_filter(scores, lambda k, v: k.isin(list(scales))), lambda k, v: v * reduce(lambda e, kv: F.when(k == kv[0], kv[1]).otherwise(e), scales.items(), F.lit(1.0)))
 
 
+def change_semiring(scores: Column, keys: list[str], missing: float = 0.0) -> Column:
+    """The scores of the new dimensions ``keys`` by name, untouched; those that there were not have ``missing``, old ones that are not asked for go."""
+    return F.map_from_arrays(F.array(*map(F.lit, keys)), F.array(*(F.coalesce(F.try_element_at(scores, F.lit(k)), F.lit(float(missing))) for k in keys)))
+
+
 def project_score(scores: Column, scales: dict[str, float]) -> Column:
     return reduce(lambda a, b: a + b, [F.coalesce(F.element_at(scores, k), F.lit(0.0)) * s for k, s in scales.items()])
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -210,8 +211,8 @@ def _piecewise(own: str, goal: str, n: int) -> Column:
     return F.when(high > low, a + (F.col("x") - low) / (high - low) * (b - a)).otherwise(a)
 
 
-def window_quantiles(frames: DataFrame, n: int, length: int, right: int, order: list[str], block: int = 4096) -> DataFrame:
-    """Frames with ``quantiles``: the values at ranks ``k (m - 1) / n`` (rounded down, k = 0 .. n) of the m frames in the window around each.
+def _over_windows(frames: DataFrame, length: int, right: int, order: list[str], block: int, extra: str, work: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], list]) -> DataFrame:
+    """Frames with the column ``extra``, which ``work(values, places, begins, ends)`` gives for the frames at ``places`` and their windows ``values[begin : end + 1]``.
 
     The window of frame t ends at ``min(t + right, T - 1)`` and holds up to ``length`` frames, as in ``frames.sliding_normalise``. Segments are cut in blocks of ``block`` frames with the
     frames of the windows at their edges, so a long segment is spread over tasks.
@@ -219,35 +220,92 @@ def window_quantiles(frames: DataFrame, n: int, length: int, right: int, order:
     w = Window.partitionBy("segment_id")
     numbered = frames.withColumn("_t", (F.row_number().over(w.orderBy("tick", *order)) - 1).cast("long")).withColumn("_n", F.count("*").over(w))
     home = F.floor(F.col("_t") / block)
-    # the frames before and after a block that its windows reach; at the end windows begin at T - length
+    # the blocks whose windows reach a frame; at the end windows begin at T - length
     reach = F.sequence(F.floor(F.greatest(F.col("_t") - right, F.lit(0)) / block), F.floor(F.least(F.col("_t") + length + right, F.col("_n") - 1) / block))
     dealt = numbered.withColumn("_block", F.explode(reach)).withColumn("_own", F.col("_block") == home)
-    kind, columns = frames.schema["x"].dataType.simpleString(), frames.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frames.schema) + f", quantiles array<{kind}>"
+    columns = frames.columns
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frames.schema) + f", {extra}"
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("_t")
-        x, t, own = rows["x"].to_numpy(), rows["_t"].to_numpy(), rows["_own"].to_numpy()
-        last = int(rows["_n"].iloc[0]) - 1
-        ends = np.minimum(t[own] + right, last)
-        begins = np.maximum(ends - length + 1, 0)
-        sizes = ends - begins + 1
-        out = np.empty((len(ends), n + 1), x.dtype)
-        for size in np.unique(sizes).tolist():  # windows of one size side by side; all but those at the beginning have the full one
-            at = np.flatnonzero(sizes == size)
-            ranks = [k * (size - 1) // n for k in range(n + 1)]
-            step = max(1, (1 << 20) // size)
-            for a in range(0, len(at), step):
-                part = at[a : a + step]
-                windows = x[(begins[part] - t[0])[:, None] + np.arange(size)]
-                out[part] = np.partition(windows, sorted(set(ranks)), axis=1)[:, ranks]
+        x = np.stack(rows["x"].to_list()) if isinstance(rows["x"].iloc[0], np.ndarray) else rows["x"].to_numpy()
+        t, own = rows["_t"].to_numpy(), rows["_own"].to_numpy()
         kept = rows[own][columns].copy()
-        kept["quantiles"] = list(out)
+        if not len(kept):
+            kept[extra.split()[0]] = []
+            return kept
+        ends = np.minimum(t[own] + right, int(rows["_n"].iloc[0]) - 1)
+        begins = np.maximum(ends - length + 1, 0)
+        kept[extra.split()[0]] = work(x, np.flatnonzero(own), begins - t[0], ends - t[0])
         return kept
 
     return dealt.groupBy("segment_id", "_block").applyInPandas(run, schema)
 
 
+def _same_size(begins: np.ndarray, ends: np.ndarray, cells: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of windows of one size and the matrix of their frames, about ``cells`` at a time; all but those at a segment's beginning have one size."""
+    sizes = ends - begins + 1
+    for size in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == size)
+        step = max(1, cells // size)
+        for a in range(0, len(at), step):
+            yield at[a : a + step], begins[at[a : a + step], None] + np.arange(size)
+
+
+def window_quantiles(frames: DataFrame, n: int, length: int, right: int, order: list[str], block: int = 4096) -> DataFrame:
+    """Frames with ``quantiles``: the values at ranks ``k (m - 1) / n`` (rounded down, k = 0 .. n) of the m frames in the window around each; windows as in ``_over_windows``."""
+
+    def work(x: np.ndarray, places: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> list:
+        out = np.empty((len(ends), n + 1), x.dtype)
+        for at, frames_of in _same_size(begins, ends, 1 << 20):
+            ranks = [k * (frames_of.shape[1] - 1) // n for k in range(n + 1)]
+            out[at] = np.partition(x[frames_of], sorted(set(ranks)), axis=1)[:, ranks]
+        return list(out)
+
+    return _over_windows(frames, length, right, order, block, f"quantiles array<{frames.schema['x'].dataType.simpleString()}>", work)
+
+
+def window_normalise(frames: DataFrame, kind: str, length: int, right: int, order: list[str], index: int = 0, p: float = 2.0, block: int = 4096) -> DataFrame:
+    """Vectors ``x`` with ``normalised`` by the window around each; windows as in ``_over_windows``.
+
+    ``mean``: less the mean; ``mean-and-variance``: then over the deviation of each component; ``mean-and-variance-1D``: one mean and deviation of all components together; ``divide-by-mean``: over the
+    mean; ``mean-norm``: over the mean of the vectors' p-norms; ``level``: component ``index`` less its maximum. A deviation of 0 counts as 1; a mean or norm of 0 is an error.
+    """
+    kinds = ("mean", "mean-and-variance", "mean-and-variance-1D", "divide-by-mean", "mean-norm", "level")
+    if kind not in kinds:
+        raise ValueError(f"kinds are {', '.join(kinds)}")
+
+    def work(x: np.ndarray, places: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> list:
+        x = x.astype(np.float64)
+        out = np.empty((len(ends), x.shape[1]))
+        own = x[places]
+        norms = (np.abs(x) ** p).sum(axis=1) ** (1 / p)
+        for at, frames_of in _same_size(begins, ends, max(1, (1 << 20) // x.shape[1])):
+            windows, y = x[frames_of], own[at]
+            if kind == "level":
+                y = y.copy()
+                y[:, index] -= windows[:, :, index].max(axis=1)
+            elif kind == "mean-norm":
+                unit = norms[frames_of].mean(axis=1)[:, None]
+            elif kind == "mean-and-variance-1D":
+                mean, deviation = windows.mean(axis=(1, 2))[:, None], windows.std(axis=(1, 2))[:, None]
+            else:
+                mean, deviation = windows.mean(axis=1), windows.std(axis=1)
+            if kind == "mean":
+                y = y - mean
+            elif kind.startswith("mean-and"):
+                y = (y - mean) / np.where(deviation > 0, deviation, 1.0)
+            elif kind != "level":
+                unit = mean if kind == "divide-by-mean" else unit
+                if (unit == 0).any():
+                    raise ValueError("a mean is zero")
+                y = y / unit
+            out[at] = y
+        return list(out)
+
+    return _over_windows(frames, length, right, order, block, "normalised array<double>", work)
+
+
 def train_quantiles(quantiles: DataFrame, n: int) -> list[float]:
     """The mean of the windows' quantiles over all frames: n + 1 numbers, empty without frames."""
     row = quantiles.agg(*(F.avg(F.get("quantiles", F.lit(k))).alias(f"q{k}") for k in range(n + 1))).first()

@@ -165,3 +165,50 @@ def traceback_words(spark, sf_dir):
 def lattice_density(spark, sf_dir):
     a = _arcs(spark, sf_dir)
     return op.lattice_density(a, a.groupBy("segment_id").agg(F.max("dst").alias("n_tokens")), "N").withColumn("density", F.round("density", 6))
+
+
+@query(f"""WITH {_LINKS}, u AS (SELECT segment_id, start_t, end_t, label, score FROM arc UNION ALL SELECT segment_id, start_t, end_t, label || '2', score / 2 FROM arc UNION ALL SELECT segment_id, start_t, end_t, label, score - 1 FROM arc WHERE label <> 'N'),
+b AS (SELECT segment_id, t, row_number() OVER (PARTITION BY segment_id ORDER BY t) - 1 AS k FROM (SELECT segment_id, start_t AS t FROM u UNION SELECT segment_id, end_t FROM u))
+SELECT segment_id, x.k AS src, y.k AS dst, label, start_t, end_t, min(score) AS score FROM u JOIN b x USING (segment_id) JOIN b y USING (segment_id) WHERE x.t = start_t AND y.t = end_t AND start_t < end_t GROUP BY ALL""")
+def merge_states(spark, sf_dir):
+    """Three lattices of each order side by side, with states of their own; those of equal time become one."""
+    a = _arcs(spark, sf_dir)
+    other = a.withColumn("label", F.concat("label", F.lit("2"))).withColumn("score", F.col("score") / 2)
+    third = a.filter("label <> 'N'").withColumn("score", F.col("score") - 1)
+    return op.merge_states(op.unite(a, other, third))
+
+
+@query(f"""WITH {_LINKS}, u AS (SELECT *, src % 2 AS sc, dst % 3 AS dc FROM arc), b AS (SELECT segment_id, t, c, row_number() OVER (PARTITION BY segment_id ORDER BY t, c) - 1 AS k FROM (SELECT segment_id, start_t AS t, sc AS c FROM u UNION SELECT segment_id, end_t, dc FROM u))
+SELECT segment_id, x.k AS src, y.k AS dst, label, start_t, end_t, min(score) AS score FROM u JOIN b x USING (segment_id) JOIN b y USING (segment_id) WHERE x.t = start_t AND x.c = sc AND y.t = end_t AND y.c = dc AND start_t < end_t GROUP BY ALL""")
+def merge_states_full(spark, sf_dir):
+    """States of equal time and context; an arc's begin and end have contexts of their own here."""
+    a = _arcs(spark, sf_dir).withColumn("src_context", F.col("src") % 2).withColumn("dst_context", F.col("dst") % 3)
+    return op.merge_states(a, "full")
+
+
+def _rates(lower: str, upper: str, threshold: float) -> str:
+    """SQL of the pruning by rates: thresholds shrink and then grow in steps."""
+    return f"""f AS (SELECT *, score / 20 AS c FROM arc), s AS (SELECT segment_id, list(c) AS s, min(c) AS least, max(c) - min(c) AS span, (max(end_t) - min(start_t)) / 100.0 AS sec FROM f GROUP BY 1),
+    l AS (SELECT *, floor({lower} * sec) AS few, floor({upper} * sec) AS many, least({threshold}, span) AS t0 FROM s),
+    d AS (SELECT *, list_reduce(list_prepend(t0, list_transform(range(80), lambda i: 0.0)), lambda t, i: CASE WHEN len(list_filter(s, lambda x: x - least <= t)) > many AND t > 0.1 THEN t * 0.9 ELSE t END) AS t1 FROM l),
+    g AS (SELECT *, CASE WHEN {lower} > 0 THEN list_reduce(list_prepend(t1, list_transform(range(60), lambda i: 0.0)), lambda t, i: CASE WHEN len(list_filter(s, lambda x: x - least <= t)) < few AND t < 100 AND t > 0 THEN t * 1.2 ELSE t END) ELSE t1 END AS t2 FROM d)
+    SELECT f.segment_id, src, dst, label FROM f JOIN g USING (segment_id) WHERE ({lower} > 0 AND len(s) <= few) OR c - least <= t2"""
+
+
+@query(f"WITH {_LINKS}, {_rates('8.0', '12.0', 1.51)}")
+def prune_by_rate(spark, sf_dir):
+    """Between 8 and 12 arcs a second: some orders stay whole, some lose arcs by the threshold, some more, some fewer."""
+    a = _arcs(spark, sf_dir).withColumn("posterior", F.exp(-F.col("score") / 20))
+    return op.prune_by_rate(a, 1.51, 8.0, 12.0).select("segment_id", "src", "dst", "label")
+
+
+@query(f"WITH {_LINKS}, {_rates('0.0', '9.0', 0.81)}")
+def prune_by_most(spark, sf_dir):
+    a = _arcs(spark, sf_dir).withColumn("posterior", F.exp(-F.col("score") / 20))
+    return op.prune_by_rate(a, 0.81, 0.0, 9.0).select("segment_id", "src", "dst", "label")
+
+
+@query(f"WITH {_LINKS} SELECT segment_id, src, dst, label, score AS am, 0.5::DOUBLE AS other FROM arc")
+def change_semiring(spark, sf_dir):
+    s = slots.change_semiring(F.col("scores"), ["other", "am"], 0.5)
+    return _scored(spark, sf_dir).select("segment_id", "src", "dst", "label", F.element_at(s, "am").alias("am"), F.element_at(s, "other").alias("other"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lexiloom.functions import quantiles
+from lexiloom.functions import aggregates, quantiles
 from lexiloom.operators import frames, models
 from lexiloom.operators import vectors as op
 
@@ -153,6 +154,51 @@ def scalar_functions(spark, sf_dir):
     return views.vectors(spark, sf_dir).select("vec_id", F.array_join(F.transform("x", lambda v: F.format_string("%.5f", F.round(y(v / 1000.0), 5) + 0.0)), " ").alias("y"))
 
 
+_VECTOR_WINDOWS = """num AS (SELECT segment_id, event_id, [x::DOUBLE, (x % 100)::DOUBLE] AS v, row_number() OVER (PARTITION BY segment_id ORDER BY tick, event_id) - 1 AS t, count(*) OVER (PARTITION BY segment_id) AS n FROM frames),
+ends AS (SELECT *, least(t + 3, n - 1) AS e FROM num), w AS (SELECT a.event_id, a.v, list(b.v) AS w FROM ends a JOIN num b ON a.segment_id = b.segment_id AND b.t BETWEEN a.e - 9 AND a.e GROUP BY ALL),
+m AS (SELECT event_id, v, len(w) AS c, list_max(list_transform(w, lambda u: u[1])) AS top, list_avg(list_transform(w, lambda u: u[1])) AS m1, list_avg(list_transform(w, lambda u: u[2])) AS m2, list_avg(list_transform(w, lambda u: sqrt(u[1] * u[1] + u[2] * u[2]))) AS nm,
+  sqrt(greatest(list_avg(list_transform(w, lambda u: u[1] * u[1])) - list_avg(list_transform(w, lambda u: u[1])) ** 2, 0)) AS s1, sqrt(greatest(list_avg(list_transform(w, lambda u: u[2] * u[2])) - list_avg(list_transform(w, lambda u: u[2])) ** 2, 0)) AS s2,
+  list_avg(list_transform(w, lambda u: (u[1] + u[2]) / 2)) AS m, sqrt(greatest(list_avg(list_transform(w, lambda u: (u[1] * u[1] + u[2] * u[2]) / 2)) - list_avg(list_transform(w, lambda u: (u[1] + u[2]) / 2)) ** 2, 0)) AS s FROM w)"""
+
+
+@query(f"""WITH {_VECTOR_WINDOWS} SELECT event_id, 'level' AS kind, round(v[1] - top, 4) AS a, round(v[2], 4) AS b FROM m UNION ALL SELECT event_id, 'mean', round(v[1] - m1, 4), round(v[2] - m2, 4) FROM m
+UNION ALL SELECT event_id, 'mean-and-variance-1D', round((v[1] - m) / CASE WHEN s > 1e-6 THEN s ELSE 1 END, 4), round((v[2] - m) / CASE WHEN s > 1e-6 THEN s ELSE 1 END, 4) FROM m UNION ALL SELECT event_id, 'mean-norm', round(v[1] / nm, 4), round(v[2] / nm, 4) FROM m
+UNION ALL SELECT event_id, 'mean-and-variance', CASE WHEN s1 > 1e-6 THEN round((v[1] - m1) / s1, 4) ELSE 0 END, CASE WHEN s2 > 1e-6 THEN round((v[2] - m2) / s2, 4) ELSE 0 END FROM m WHERE c >= 5 UNION ALL SELECT event_id, 'divide-by-mean', round(v[1] / m1, 4), round(v[2] / m2, 4) FROM m WHERE c >= 5""", "frames")
+def window_normalise(spark, sf_dir):
+    """All kinds, over windows of 10 frames of two components, 3 of them later; the last two without the beginnings, where windows of few frames may have means of 0."""
+    f = views.frames(spark, sf_dir)
+    v = f.withColumn("x", F.array(F.col("x").cast("double"), (F.col("x") % 100).cast("double")))
+    c = F.least(F.row_number().over(Window.partitionBy("segment_id").orderBy("tick", "event_id")) + 3, F.count("*").over(Window.partitionBy("segment_id")), F.lit(10))
+    v = v.withColumn("c", c)
+    out = None
+    for kind in ("level", "mean", "mean-and-variance-1D", "mean-norm", "mean-and-variance", "divide-by-mean"):
+        n = _divided(v) if kind == "divide-by-mean" else op.window_normalise(v, kind, 10, 3, ["event_id"], block=64)
+        n = n.filter("c >= 5") if kind in ("mean-and-variance", "divide-by-mean") else n
+        n = n.select("event_id", F.lit(kind).alias("kind"), F.round(F.get("normalised", F.lit(0)), 4).alias("a"), F.round(F.get("normalised", F.lit(1)), 4).alias("b"))
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
+def _divided(v):
+    """Segments of five frames or more alone, so that no window's mean is 0."""
+    whole = v.withColumn("_n", F.count("*").over(Window.partitionBy("segment_id"))).filter("_n >= 5").drop("_n")
+    return op.window_normalise(whole, "divide-by-mean", 10, 3, ["event_id"], block=64)
+
+
+@query("""SELECT event_type AS label, count(*)::DOUBLE AS n, round(avg(value), 6) AS mean, round(var_pop(value), 4) AS variance FROM events GROUP BY 1""")
+def weighted_stats(spark, sf_dir):
+    return aggregates.weighted_stats(views.read(spark, sf_dir, "events"), ["event_type"], "value").select(F.col("event_type").alias("label"), "n", F.round("mean", 6).alias("mean"), F.round("variance", 4).alias("variance"))
+
+
+@query("""SELECT l_returnflag AS label, sum(l_quantity)::DOUBLE AS n, round(sum(l_quantity * l_discount) / sum(l_quantity), 8) AS mean FROM lineitem GROUP BY 1""")
+def weighted_stats_sql(spark, sf_dir):
+    """The steps by name: states for each supplier, merged for each flag."""
+    aggregates.register(spark)
+    views.read(spark, sf_dir, "lineitem").createOrReplaceTempView("lexiloom_lines")
+    return spark.sql("""WITH s AS (SELECT l_returnflag AS label, l_suppkey, stats_state(l_discount, l_quantity) AS state FROM lexiloom_lines GROUP BY 1, 2), m AS (SELECT label, stats_merge(state) AS state FROM s GROUP BY 1),
+        v AS (SELECT label, stats_value(state) AS v FROM m) SELECT label, v.n, round(v.mean, 8) AS mean FROM v""")
+
+
 _COV = "cov AS (SELECT i, j, (sum(x[i + 1] * x[j + 1]) - sum(x[i + 1]) * sum(x[j + 1]) / count(*)) / count(*) AS v FROM (SELECT [l_quantity::BIGINT, round(l_discount * 100)::BIGINT, round(l_tax * 100)::BIGINT] AS x FROM lineitem), unnest([0, 1, 2]) AS a(i), unnest([0, 1, 2]) AS b(j) WHERE j <= i GROUP BY 1, 2)"
 
 

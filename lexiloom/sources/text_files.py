@@ -61,14 +61,19 @@ def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
     return _lines(spark, path).filter("line <> ''").select(F.col("line").alias("token")).distinct()
 
 
-def read_arpa(spark: SparkSession, path: str, vocabulary: DataFrame | None = None) -> DataFrame:
+def read_arpa(spark: SparkSession, path: str, vocabulary: DataFrame | None = None, skip_infinite: bool = False) -> DataFrame:
     """``order, history, word, score, backoff`` with scores as -ln; n-grams with words outside the vocabulary are dropped.
 
+    -99 and below, as well as ``-inf``, stand for the logarithm of zero: such scores are infinite, or their n-grams are dropped with ``skip_infinite``.
+
     A line is ``log10 <tab> words [<tab> log10 back-off]``; its order is its number of words, so lines may be read in any order.
     """
     parts = spark.read.text(path).select(F.split(F.rtrim("value"), "\t").alias("p")).filter((F.size("p") >= 2) & F.get("p", 0).rlike(r"^-?(\d|inf)"))
     words = parts.select("p", F.split(F.trim(F.get("p", 1)), " +").alias("w"))
     grams = words.select(F.size("w").alias("order"), F.array_join(F.slice("w", F.lit(1), F.size("w") - 1), " ").alias("history"), F.element_at("w", -1).alias("word"), (F.get("p", 0).cast("double") * -math.log(10)).alias("score"), F.coalesce(F.get("p", 2).cast("double") * -math.log(10), F.lit(0.0)).alias("backoff"), "w")
+    grams = grams.withColumn("score", F.when(F.col("score") >= 99 * math.log(10), float("inf")).otherwise(F.col("score")))
+    if skip_infinite:
+        grams = grams.filter(F.col("score") < float("inf"))
     if vocabulary is not None:
         unknown = grams.select("w").distinct().select("w", F.explode("w").alias("token")).join(vocabulary, "token", "left_anti").select("w").distinct()
         grams = grams.join(unknown, "w", "left_anti")
