@@ -2,10 +2,15 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the last return the columns of ``documents``. Operators remove their
 intermediate tables, but for small ones that the result still reads (ids, scores, ranges); ``run`` removes these, and each stage's table, once the next one is written.
+
+Null and empty texts fail the quality rules and go; rows without an id are judged like others and no duplicates of any; rows that repeat an id and a text fare alike. Ties go to the smaller id.
+An empty table of documents gives no row, an empty table of labels no verdict beyond the rules. Other columns of documents are passed on by all stages but the last, which has the ids' own columns.
 """
 
 from __future__ import annotations
 
+import secrets
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +20,7 @@ from lexiloom.llm.common import materialise, remove_path, temporary_tables
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
-#: The session setting that holds the key of the pseudonyms; the synthetic tables do without.
+#: The session setting that holds the key of the pseudonyms. Who knows the key can undo them, so there is no default: a session without one draws its own, which is lost with it.
 KEY_SETTING = "spark.lexiloom.pseudonyms.key"
 
 
@@ -32,7 +37,9 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    masked = pii.mask_personal_data(docs, spark.conf.get(KEY_SETTING, pii.FIXTURE_KEY)).drop("n_masked")
+    if not spark.conf.get(KEY_SETTING, None):
+        spark.conf.set(KEY_SETTING, secrets.token_hex(32))
+    masked = pii.mask_personal_data(docs, spark.conf.get(KEY_SETTING)).drop("n_masked")
     return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 

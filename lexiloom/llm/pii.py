@@ -1,11 +1,13 @@
 r"""Operator 8: format-preserving Feistel pseudonyms for personal data, in SQL functions only.
 
 Found and validated: payment cards (13 to 19 digits, Luhn), telephone numbers (``+`` and country code, 8 to 15 digits, or ten with an area code), US social
-security numbers (no area 000, 666 or 9xx), IPv4 addresses (parts up to 255), IBANs (length of the country, mod 97), calendar dates (1900-01-01 to 2099-08-05, written
-year first, or with ``/`` or ``.`` day first, else month first). What does not validate stays; in a row of digit groups every run of whole groups is
+security numbers (no area 000, 666 or 9xx; with blanks or without signs where they are named), IPv4 addresses (parts up to 255; a port or a mask may follow), IPv6 addresses (eight groups or
+``::``), IBANs (length of the country, mod 97, in either case), calendar dates (1900-01-01 to 2099-08-05, written
+year first, a time may follow, or with ``/`` or ``.`` day first, else month first). What does not validate stays; in a row of digit groups every run of whole groups is
 tried for a card, and behind an IBAN other signs may follow. Each is permuted by a keyed Feistel network over the
 numbers of its own format: separators, lengths, country and area codes and check digits remain those of a valid value, and equal values (of the same
-digits) get equal pseudonyms in all documents. E-mail addresses and quoted or assigned secrets, which are no numbers, get pseudonyms of
+digits) get equal pseudonyms in all documents, however they are written: the country code of a telephone number is told by the list of codes, and a number of ten digits is the
+one with code 1. E-mail addresses and secrets (assigned ones, bearer tokens, web tokens, keys of well-known forms, private key blocks), which are no numbers, get pseudonyms of
 the same kind from a keyed digest.
 
 A text is split once around what may be personal; the parts between are untouched. Null texts stay null, empty ones empty; rows are independent;
@@ -23,19 +25,36 @@ _DATE = r"\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}"
 #: A row of digit groups that is long enough for a card.
 _CARD = r"\d(?:[ -]?\d){12,120}"
 _PHONE = r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\([2-9]\d{2}\) ?\d{3}[ .-]\d{4}|[2-9]\d{2}[.-]\d{3}[.-]\d{4}"
-_IBAN = r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
+_IBAN = r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?|[a-z]{2}\d{2}(?:[a-z0-9]{11,30}|(?: \d{4}){3,7}(?: \d{1,3})?)"
 _IPV4 = r"\d{1,3}(?:\.\d{1,3}){3}"
+_HEX = "[0-9A-Fa-f]{1,4}"
+#: With ``::`` the first group has a digit, so that names in code are left alone.
+_IPV6 = rf"(?:{_HEX}:){{7}}{_HEX}|(?=[A-Fa-f]{{0,3}}[0-9])(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}}"
 _SSN = r"\d{3}-\d{2}-\d{4}"
+#: Other ways to write one, behind its name.
+_NAMED_SSN = r"(?<=(?i:\bssn|social security|security number)(?: is| no\.)?[:#]? {0,2})\d{3} ?\d{2} ?\d{4}"
 _EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}"
+_KEY_NAME = r"(?i:token|secret|password|passwd|pwd|passphrase|api[_-]?key|access[_-]?key|private[_-]?key)"
+#: Eight signs or more with one that is no letter.
+_VALUE = r"""(?=[A-Za-z]*[^\sA-Za-z"'<>,;.])[^\s"'<>,;]{7,}[^\s"'<>,;.:)?!]"""
 #: A name with parts before and after, a sign, and a value: twelve letters, digits and their like, or eight signs with one that is no letter.
-_SECRET = r"""(?:[A-Za-z0-9]{1,20}[_.-]){0,4}(?i:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key)(?:[_-][A-Za-z0-9]{1,20}){0,4}["']? {0,2}[=:] {0,2}["']?(?:[A-Za-z0-9+/_-]{12,}|(?=[A-Za-z]*[^\sA-Za-z"'<>,;.])[^\s"'<>,;]{7,}[^\s"'<>,;.:)?!])"""
+_SECRET = rf"""(?:[A-Za-z0-9]{{1,20}}[_.-]){{0,4}}{_KEY_NAME}(?:[_-][A-Za-z0-9]{{1,20}}){{0,4}}["']? {{0,2}}[=:] {{0,2}}["']?(?:[A-Za-z0-9+/_-]{{12,}}|{_VALUE})"""
+_TOLD = rf"""{_KEY_NAME} (?i:is|was):? ["']?{_VALUE}"""
+_BEARER = r"(?i:bearer|basic) {1,2}(?=[A-Za-z]*[0-9._~+/=-])[A-Za-z0-9._~+/-]{16,}=*"
+_WEB_TOKEN = r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"
+#: Fixed forms of keys that services give out: their prefix stays.
+_PREFIXED = r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,}|xox[abprs]-[A-Za-z0-9-]{10,}|[rs]k_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}|glpat-[A-Za-z0-9_-]{20,}"
+_KEY_BLOCK = r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[^-]{1,8000}(?:-[^-]{1,8000}){0,8}-----END [A-Z ]{0,20}PRIVATE KEY-----"
+#: The country codes of two digits; 1 and 7 have one digit, all others three.
+COUNTRY_CODES = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98"
 #: The lengths of IBANs by country.
 IBAN_LENGTHS = (
     "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IS26 IT27 "
     "JO30 KW30 KZ20 LB28 LI21 LT20 LU20 LV21 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 TN24 TR26 UA29 VG24 XK20"
 )
-#: No letter, digit or joining sign before or after, so that parts of longer numbers and words are left alone.
-_PATTERN = rf"(?<![\p{{L}}\p{{N}}_@])(?<![\p{{N}}][.,/:-])(?:{_SECRET}|{_EMAIL}|{_DATE}(?![.,/:-]?\p{{N}})|{_IPV4}(?![.,/:-]?\p{{N}})|{_SSN}(?![.,/:-]?\p{{N}})|{_PHONE}(?![.,/:-]?\p{{N}})|{_CARD}(?![.,/:-]?\p{{N}})|{_IBAN})(?![\p{{L}}\p{{N}}_@])"
+_ALONE, _NO_NUMBER = r"(?![\p{L}\p{N}_@])", r"(?![.,/:-]?\p{N})"
+#: No letter, digit or joining sign before or after, so that parts of longer numbers and words are left alone; but a time may follow a date, and a port or mask an address.
+_PATTERN = rf"(?<![\p{{L}}\p{{N}}_@])(?<![\p{{N}}][.,/:-])(?:{_KEY_BLOCK}|(?:{_WEB_TOKEN}|{_PREFIXED}|{_SECRET}|{_TOLD}|{_BEARER}|{_EMAIL}){_ALONE}|(?:{_DATE})(?:(?=[T ]\d{{2}}:\d{{2}})|{_NO_NUMBER}{_ALONE})|(?<!:)(?:{_IPV6})(?![.:/]?\p{{N}}|:){_ALONE}|{_IPV4}(?![.,-]?\p{{N}}|:\p{{N}}{{6}}|/\p{{N}}{{3}}){_ALONE}|(?:{_SSN}|{_NAMED_SSN}|{_PHONE}|{_CARD}){_NO_NUMBER}{_ALONE}|(?:{_IBAN}){_ALONE})"
 _LOW_DAY, _SIDE = "DATE'1900-01-01'", 270  # 270 * 270 days
 
 
@@ -124,16 +143,18 @@ def _card(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    """The country code, or without one the area code, stays."""
-    country = F.regexp_extract(m, r"^\+\d{1,3}(?=[ .(-])|^\+\d|^\(\d{3}\)|^\d{3}", 0)
-    rest = F.substring(m, F.length(country) + 1, F.length(m))
-    total = F.length(_digits(m))
-    return F.when(total.between(8, 15), F.concat(country, _fill(rest, permute_digits(_digits(rest), "phone", key)))).otherwise(m)
+    """The country code stays, and for code 1, which ten digits without one have too, the area code."""
+    digits = _digits(m)
+    n = F.length(digits)
+    code = F.when(F.substring(digits, 1, 1).isin("1", "7"), 1).when(F.substring(digits, 1, 2).isin(COUNTRY_CODES.split()), 2).otherwise(3)
+    kept = F.when(~m.startswith("+"), 3).when(digits.startswith("1") & (n == 11), 4).otherwise(code)
+    return F.when(n.between(8, 15), _fill(m, F.concat(F.substring(digits, F.lit(1), kept), permute_digits(F.substring(digits, kept + 1, n), "phone", key)))).otherwise(m)
 
 
 def _ssn(m: Column, key: str) -> Column:
     """Area 1 to 899 but 666 (898 values), group 1 to 99, serial 1 to 9999: all valid numbers are permuted among themselves."""
-    area, group, serial = F.substring(m, 1, 3).cast("int"), F.substring(m, 5, 2).cast("int"), F.substring(m, 8, 4).cast("int")
+    digits = _digits(m)
+    area, group, serial = F.substring(digits, 1, 3).cast("int"), F.substring(digits, 4, 2).cast("int"), F.substring(digits, 6, 4).cast("int")
     valid = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
     index = area - 1 - F.when(area > 666, 1).otherwise(0)
     out = _feistel(index * 99 + group - 1, serial - 1, F.lit(898 * 99), F.lit(9999), "ssn", key)
@@ -141,11 +162,35 @@ def _ssn(m: Column, key: str) -> Column:
     def write(x: Column) -> Column:
         a = F.floor(x["a"] / 99).cast("int") + 1
         a = a + F.when(a >= 666, 1).otherwise(0)
-        return F.concat(F.lpad(a.cast("string"), 3, "0"), F.lit("-"), F.lpad((x["a"] % 99 + 1).cast("string"), 2, "0"), F.lit("-"), F.lpad((x["b"] + 1).cast("string"), 4, "0"))
+        return _fill(m, F.concat(F.lpad(a.cast("string"), 3, "0"), F.lpad((x["a"] % 99 + 1).cast("string"), 2, "0"), F.lpad((x["b"] + 1).cast("string"), 4, "0")))
 
     return F.when(valid, _one(out, write)).otherwise(m)
 
 
+def _ipv6(m: Column, key: str) -> Column:
+    """Groups that are not zero are moved in turn by a keyed digest of all others (a Feistel network of eight parts), four times; zeros and ``::`` stay."""
+    parts = lambda side: F.filter(F.split(side, ":"), lambda g: g != "")
+    left, right = parts(F.split_part(m, F.lit("::"), F.lit(1))), parts(F.split_part(m, F.lit("::"), F.lit(2)))
+
+    def masked(x: Column) -> Column:
+        written = F.concat(x["left"], x["right"])
+        valid = F.when(m.contains("::"), F.size(written) < 8).otherwise(F.size(written) == 8)
+        zeros = F.array_repeat(F.lit(0).cast("long"), F.greatest(F.lit(8) - F.size(written), F.lit(0)))
+        numbers = lambda side: F.transform(side, lambda g: F.conv(g, 16, 10).cast("long"))
+
+        def step(groups: Column, i: Column) -> Column:
+            noise = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(key), F.lit("ipv6"), i.cast("string"), F.array_join(F.transform(groups, lambda g, k: F.when(k == i % 8, F.lit("")).otherwise(g.cast("string"))), ":"))), 1, 14), 16, 10).cast("long")
+            return F.transform(groups, lambda g, k: F.when((k == i % 8) & (g > 0), F.pmod(g - 1 + noise, F.lit(65535)) + 1).otherwise(g))
+
+        moved = F.aggregate(F.sequence(F.lit(0), F.lit(31)), F.concat(numbers(x["left"]), zeros, numbers(x["right"])), step)
+        as_hex = lambda part: F.array_join(F.transform(part, lambda g: F.when(m.rlike("[A-F]"), F.hex(g)).otherwise(F.lower(F.hex(g)))), ":")
+        n = F.size(x["left"])
+        text = _one(moved, lambda g: F.concat(as_hex(F.slice(g, F.lit(1), n)), F.when(m.contains("::"), "::").otherwise(""), as_hex(F.slice(g, F.lit(9) - F.size(x["right"]), F.size(x["right"])))))
+        return F.when(valid, text).otherwise(m)
+
+    return _one(F.struct(left.alias("left"), right.alias("right")), masked)
+
+
 def _ipv4(m: Column, key: str) -> Column:
     part = [F.split_part(m, F.lit("."), F.lit(k)).cast("int") for k in (1, 2, 3, 4)]
     out = _feistel(part[0] * 256 + part[1], part[2] * 256 + part[3], F.lit(65536), F.lit(65536), "ipv4", key)
@@ -165,7 +210,7 @@ def _mod97(text: Column) -> Column:
 
 def _iban(m: Column, key: str) -> Column:
     """The part of ``m`` that is as long as its country's IBANs; what follows stays."""
-    n = F.try_element_at(F.create_map(*(F.lit(v) for c in IBAN_LENGTHS.split() for v in (c[:2], int(c[2:])))), F.substring(m, 1, 2))
+    n = F.try_element_at(F.create_map(*(F.lit(v) for c in IBAN_LENGTHS.split() for v in (c[:2], int(c[2:])))), F.upper(F.substring(m, 1, 2)))
     ends = F.filter(F.sequence(F.lit(1), F.length(m)), lambda k: F.length(F.replace(F.substring(m, F.lit(1), k), F.lit(" "), F.lit(""))) == n)
     return _one(F.coalesce(F.get(ends, F.lit(0)), F.length(m)), lambda k: F.concat(_one(F.substring(m, F.lit(1), k), lambda head: _whole_iban(head, key)), F.substring(m, k + 1, F.length(m))))
 
@@ -209,14 +254,27 @@ def _email(m: Column, key: str) -> Column:
     return F.concat(F.lit("user-"), F.substring(digest, 1, 16), F.lit("@example.invalid"))
 
 
-def _secret(m: Column, key: str) -> Column:
-    """The name and the signs before the value stay; the value becomes as many signs of a keyed digest."""
-    value = F.substring(m, F.length(F.regexp_extract(m, r"""^[^=:]*[=:] {0,2}["']?""", 0)) + 1, F.length(m))
+def _masked_tail(m: Column, head: str, key: str) -> Column:
+    """What the expression ``head`` matches at the beginning stays; the rest becomes as many signs of a keyed digest."""
+    value = F.substring(m, F.length(F.regexp_extract(m, head, 0)) + 1, F.length(m))
     noise = F.concat(*(F.sha2(F.concat(F.lit(f"{key}|secret{k}|"), value), 256) for k in range(2)))
     return F.concat(F.substring(m, F.lit(1), F.length(m) - F.length(value)), F.substring(F.repeat(noise, F.ceil(F.length(value) / 128).cast("int")), F.lit(1), F.length(value)))
 
 
-_KINDS = (("email", rf"^(?:{_EMAIL})$", _email), ("secret", "[=:]", _secret), ("date", rf"^(?:{_DATE})$", _date), ("ipv4", rf"^(?:{_IPV4})$", _ipv4), ("ssn", rf"^(?:{_SSN})$", _ssn), ("phone", rf"^(?:{_PHONE})$", _phone), ("card", r"^[\d -]+$", _card), ("iban", "^[A-Z]", _iban))
+def _after(head: str):
+    return lambda m, key: _masked_tail(m, head, key)
+
+
+def _key_block(m: Column, key: str) -> Column:
+    lines = F.regexp_extract_all(m, F.lit("-----(?:BEGIN|END)[A-Z ]*-----"), F.lit(0))
+    return F.concat(F.get(lines, F.lit(0)), F.lit("\n"), F.sha2(F.concat(F.lit(f"{key}|block|"), m), 256), F.lit("\n"), F.get(lines, F.lit(1)))
+
+
+_KINDS = (
+    ("key block", "^-----BEGIN", _key_block), ("web token", rf"^(?:{_WEB_TOKEN})$", _after("^eyJ")), ("prefixed", rf"^(?:{_PREFIXED})$", _after("^(?:A[KS]IA|AIza|[a-z]+[_-](?:live_|pat_)?)")),
+    ("email", rf"^(?:{_EMAIL})$", _email), ("secret", rf"^(?:{_SECRET})$", _after(r"""^[^=:]*[=:] {0,2}["']?""")), ("told", rf"^(?:{_TOLD})$", _after(rf"""^{_KEY_NAME} \w+:? ["']?""")), ("bearer", rf"^(?:{_BEARER})$", _after("^[A-Za-z]+ +")),
+    ("date", rf"^(?:{_DATE})$", _date), ("ipv6", "^[0-9A-Fa-f]*:", _ipv6), ("ipv4", rf"^(?:{_IPV4})$", _ipv4), ("ssn", r"^\d{3}(?:-\d{2}-| ?\d{2} ?)\d{4}$", _ssn), ("phone", rf"^(?:{_PHONE})$", _phone), ("card", r"^[\d -]+$", _card), ("iban", "^[A-Za-z]{2}[0-9]", _iban),
+)
 
 
 def pseudonym(m: Column, key: str) -> Column:
@@ -232,7 +290,7 @@ def mask_personal_data(docs: DataFrame, key: str) -> DataFrame:
     others = [c for c in docs.columns if c.lower() not in ("text", "n_masked")]
     found_name, new_name = (next(n for n in (base + "_" * k for k in range(len(others) + 1)) if n not in {c.lower() for c in others}) for base in ("found", "new"))
     text, found, new = F.col("text"), F.col(found_name), F.col(new_name)
-    values = F.when(text.rlike(r"[0-9@]|[=:]"), F.regexp_extract_all(text, F.lit(_PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    values = F.when(text.rlike(r"[0-9@=:]|(?i:password|passwd|pwd|passphrase|secret|token|key|bearer|basic)"), F.regexp_extract_all(text, F.lit(_PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
     marked = docs.select(*(f"`{c}`" for c in others), text, values.alias(found_name))
     marked = marked.withColumn(new_name, F.transform(found, lambda m: pseudonym(m, key)))
     joined = F.array_join(F.zip_with(F.split(text, _PATTERN, -1), new, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
@@ -242,7 +300,7 @@ def mask_personal_data(docs: DataFrame, key: str) -> DataFrame:
     return marked.select(*ordered, F.when(text.isNull(), 0).otherwise(changed).cast("long").alias("n_masked"))
 
 
-#: The key of the registered query on the synthetic tables, which hold no real data.
+#: The key of the registered queries on the synthetic tables, which hold no real data.
 FIXTURE_KEY = "fixture"
 
 
