@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,23 +89,59 @@ def oov_report(counts: DataFrame, vocabulary: DataFrame) -> DataFrame:
 # n-gram models: ngrams(order, history, word, n | score, backoff); histories are joined by a blank, scores are -ln
 
 
-def ngram_counts(segments: DataFrame, order: int) -> DataFrame:
-    """Counts of all n-grams up to ``order`` over token sequences padded with ``<s>`` and ``</s>``."""
-    padded = segments.select(F.concat(F.array(F.lit("<s>")), tokens(F.col("orth")), F.array(F.lit("</s>"))).alias("w"))
-
-    # a row for each position holds the words before it; its n-grams are counted by one aggregation for each order, over the position's own columns
-    window = lambda e: F.struct(F.element_at("w", e).alias("word"), F.slice("w", F.greatest(F.lit(1), e - order + 1), F.least(F.lit(order - 1), e - 1)).alias("h"))
-    spread = padded.select(F.explode(F.transform(F.sequence(F.lit(2), F.size("w")), window)).alias("g")).select("g.word", F.array_join("g.h", " ").alias("h"), F.size("g.h").alias("k"))
-    # the longest n-grams first: shorter ones are sums of them, so that only distinct ones are counted again
-    full = spread.groupBy("h", "k", "word").agg(F.count("*").alias("n"))
-    level, out = full, []
-    for k in range(order, 0, -1):
-        here = level.filter(F.col("k") >= k - 1)
-        out.append(here.select(F.lit(k).alias("order"), F.col("h").alias("history"), "word", "n"))
-        shorter = F.when(F.col("k") >= k - 1, F.when(F.col("k") > 1, F.expr("substring(h, instr(h, ' ') + 1)")).otherwise("")).otherwise(F.col("h"))
+#: Tokens whose n-grams a task counts before it hands them on.
+TOKENS = 1 << 21
+
+
+def _local_ngrams(texts: list[str], order: int) -> Iterator[tuple[int, pa.Array, pa.Array, np.ndarray]]:
+    """``order, histories, words, counts`` of the distinct n-grams of some texts: words and then ever longer n-grams are numbered, numbers are counted."""
+    number: dict[str, int] = {"<s>": 0, "</s>": 1}
+    ids: list[int] = []
+    lengths = []
+    for text in texts:
+        words = ["<s>", *filter(None, text.replace("\t", " ").replace("\n", " ").split(" ")), "</s>"]
+        ids += [number.setdefault(w, len(number)) for w in words]
+        lengths.append(len(words))
+    word, names = np.array(ids, np.int64), pa.array(list(number), pa.string())
+    begin = np.repeat(np.cumsum(lengths) - lengths, lengths)
+    place = np.arange(len(word)) - begin  # in its text
+    size = np.repeat(lengths, lengths)
+    gram = word  # numbers of the n-grams that begin at each place
+    for k in range(1, order + 1):
         if k > 1:
-            level = level.select(shorter.alias("h"), F.least(F.col("k"), F.lit(k - 2)).alias("k"), "word", "n").groupBy("h", "k", "word").agg(F.sum("n").alias("n"))
-    return reduce(DataFrame.unionByName, out)
+            gram = gram[: len(word) - k + 1] * len(number) + word[k - 1 :]
+        valid = np.flatnonzero(place[: len(gram)] + k <= size[: len(gram)])
+        if k == 1:
+            valid = valid[place[valid] > 0]
+        _, first, counts = np.unique(gram[valid], return_index=True, return_counts=True)
+        at = valid[first]
+        parts = [names.take(pa.array(word[at + i])) for i in range(k)]
+        history = pc.binary_join_element_wise(*parts[:-1], " ") if k > 1 else pa.array([""] * len(at), pa.string())
+        yield k, history, parts[-1], counts
+        gram = np.unique(gram, return_inverse=True)[1]
+
+
+def ngram_counts(segments: DataFrame, order: int) -> DataFrame:
+    """Counts of all n-grams up to ``order`` over token sequences padded with ``<s>`` and ``</s>``. Tasks count their own n-grams by numbers; only distinct ones are shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for text in batch.column("orth").to_pylist():
+                held.append(text or "")
+                size += len(held[-1])
+                if size > 6 * TOKENS:  # about six letters a token
+                    yield from counted(held)
+                    held, size = [], 0
+        if held:
+            yield from counted(held)
+
+    def counted(texts: list[str]) -> Iterator[pa.RecordBatch]:
+        for k, history, word, n in _local_ngrams(texts, order):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), k, np.int32)), history, word, pa.array(n)], names=["order", "history", "word", "n"])
+
+    parts = segments.select("orth").mapInArrow(run, "order int, history string, word string, n long")
+    return parts.groupBy("order", "history", "word").agg(F.sum("n").alias("n"))
 
 
 def count_of_counts(counts: DataFrame) -> DataFrame:

@@ -6,6 +6,10 @@ expanded innermost first, by one regular expression a level.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,19 +22,24 @@ def _squeezed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
-def orth_text(orth: Column, depth: int = 4) -> Column:
-    """The reading of first alternatives, optional parts present, white space normalised. ``depth`` levels of nesting are resolved."""
-    for _ in range(depth):
-        orth = F.regexp_replace(F.regexp_replace(orth, r"\{([^{}\[\]|]*)(?:\|[^{}\[\]]*)?\}", " $1 "), r"\[([^{}\[\]]*)\]", " $1 ")
-    return _squeezed(orth)
+def _steps(text: Column) -> Column:
+    """As many numbers as a text has brackets, so that one step for each resolves all of them."""
+    n = F.length(text) - F.length(F.translate(text, "{[", ""))
+    return F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+
 
+def orth_text(orth: Column) -> Column:
+    """The reading of first alternatives, optional parts present, white space normalised; nesting of any depth."""
+    inner = lambda t: F.regexp_replace(F.regexp_replace(t, r"\{([^{}\[\]|]*)(?:\|[^{}\[\]]*)?\}", " $1 "), r"\[([^{}\[\]]*)\]", " $1 ")
+    return _squeezed(F.aggregate(_steps(orth), orth, lambda t, _: inner(t)))
 
-def orth_variants(segments: DataFrame, column: str = "orth", most: int = 64, depth: int = 4) -> DataFrame:
-    """A row for each reading, ``variant`` numbered from 0 in the order of the alternatives, absence last; ``most`` bounds the readings of a text at each step.
 
-    Each step resolves the first innermost choice of every reading, so a text with k choices takes k steps; ``depth * 8`` steps are taken at most.
+def orth_variants(segments: DataFrame, column: str = "orth", most: int | None = None) -> DataFrame:
+    """A row for each reading, ``variant`` numbered from 0 in the order of the alternatives, absence last.
+
+    A step resolves the first innermost choice of every reading, and a text takes as many steps as it has brackets. A text of more than ``most`` readings, if that is given, raises an error:
+    none is ever left out. A text's readings are in one row until they are spread.
     """
-    readings = F.array(F.col(column))
 
     def options(text: Column) -> Column:
         found = F.regexp_extract(text, _INNER, 0)
@@ -40,27 +49,48 @@ def orth_variants(segments: DataFrame, column: str = "orth", most: int = 64, dep
         before, after = F.substring(text, F.lit(1), at - 1), F.substring(text, at + F.length(found), F.length(text))
         return F.when(found == "", F.array(text)).otherwise(F.transform(values, lambda v: F.concat(before, F.lit(" "), v, F.lit(" "), after)))
 
-    expanded = F.aggregate(F.sequence(F.lit(1), F.lit(depth * 8)), readings, lambda all_of, _: F.slice(F.flatten(F.transform(all_of, options)), F.lit(1), F.lit(most)))
-    return segments.select("segment_id", F.posexplode(F.array_distinct(F.transform(expanded, _squeezed))).alias("variant", "text"))
+    readings = F.aggregate(_steps(F.col(column)), F.array(F.col(column)), lambda all_of, _: F.flatten(F.transform(all_of, options)))
+    if most is not None:
+        readings = F.transform(F.array(readings), lambda r: F.when(F.size(r) <= most, r).otherwise(F.raise_error(F.lit(f"a text has more than {most} readings")).cast("array<string>")))[0]
+    return segments.select("segment_id", F.posexplode(F.array_distinct(F.transform(readings, _squeezed))).alias("variant", "text"))
 
 
 def orth_matches(segments: DataFrame, lexicon: DataFrame, longest: int) -> DataFrame:
     """Where lemmas match: ``segment_id, pos, n, lemma`` for all matches of ``lexicon(lemma, orth)`` of up to ``longest`` words at reachable positions.
 
     A position is reachable if a match ends before it or if the position before is reachable and no lemma matches there: such a word is skipped and shows as a row
-    without lemma.
+    without lemma. Positions are swept from left to right, segment after segment; a sweep holds no more than the next ``longest`` positions.
     """
     words = segments.select("segment_id", tokens(F.col("orth")).alias("w")).filter(F.size("w") > 0)
     spans = F.flatten(F.transform(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("w") - i)), lambda n: F.struct(i.alias("pos"), n.alias("n"), F.array_join(F.slice("w", i + 1, n), " ").alias("orth")))))
-    found = words.select("segment_id", F.explode(spans).alias("x")).select("segment_id", "x.*").join(lexicon.select("lemma", "orth"), "orth")
-    lined = found.groupBy("segment_id").agg(F.array_sort(F.collect_set(F.struct("pos", "n"))).alias("m"))
-    sized = words.select("segment_id", F.size("w").alias("size")).join(lined, "segment_id", "left")
-    # the set of reachable positions grows from left to right
-    at = lambda i: F.filter(F.coalesce("m", F.array().cast("array<struct<pos:int,n:int>>")), lambda x: x["pos"] == i)
-    grown = F.aggregate(F.sequence(F.lit(0), F.col("size") - 1), F.array(F.lit(0)), lambda seen, i: F.when(~F.array_contains(seen, i), seen).when(F.size(at(i)) == 0, F.array_union(seen, F.array(i + 1))).otherwise(F.array_union(seen, F.transform(at(i), lambda x: i + x["n"]))))
-    reached = sized.select("segment_id", F.explode(F.filter(grown, lambda p: p < F.col("size"))).alias("pos"))
-    matched = found.join(reached, ["segment_id", "pos"], "right").select("segment_id", "pos", F.coalesce("n", F.lit(1)).alias("n"), "lemma")
-    return matched
+    found = words.select("segment_id", F.explode(spans).alias("x")).select("segment_id", "x.*").join(lexicon.select("lemma", "orth"), "orth", "left")
+    # every position has the row of its one word, match or not
+    lined = found.filter("n = 1 OR lemma IS NOT NULL").select("segment_id", "pos", "n", "lemma").repartition("segment_id").sortWithinPartitions("segment_id", "pos", "n", "lemma")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, at, ahead, kept, skipped = None, -1, set(), False, False
+        for batch in batches:
+            take = []
+            for k, (segment, pos, n, lemma) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("segment_id", "pos", "n", "lemma")), strict=True)):
+                if segment != here:
+                    here, at, ahead, skipped = segment, -1, {0}, False
+                if pos != at:
+                    if skipped:  # the position before had no match
+                        ahead.add(at + 1)
+                    at, kept = pos, pos in ahead
+                    ahead.discard(pos)
+                    skipped = kept
+                if kept and lemma is not None:
+                    ahead.add(pos + n)
+                    skipped = False
+                if kept:
+                    take.append(k)
+            yield batch.take(pa.array(take, pa.int64()))
+
+    reached = lined.mapInArrow(run, lined.schema)
+    # a word's empty row stays only where nothing at all begins
+    w = F.count("lemma").over(Window.partitionBy("segment_id", "pos"))
+    return reached.withColumn("_n", w).filter("lemma IS NOT NULL OR _n = 0").drop("_n").select("segment_id", "pos", "n", "lemma")
 
 
 def lexical_statistics(matches: DataFrame, pronunciations: DataFrame) -> DataFrame:
@@ -100,12 +130,12 @@ def real_time_factor(runs: DataFrame) -> DataFrame:
     return runs.agg((F.sum("cpu") / F.sum("duration")).alias("factor"))
 
 
-def segment_at_nonspeech(words: DataFrame, nonspeech: list[str], min_length: float) -> DataFrame:
-    """Cut recordings in the middle of runs of non-speech tokens, measured from the run's begin to the next speech word: ``recording_id, part, start, end, n_words``."""
-    w = Window.partitionBy("recording_id").orderBy("start")
+def nonspeech_parts(words: DataFrame, keys: list[str], nonspeech: list[str], min_length: float) -> DataFrame:
+    """``words`` with ``part`` from 0 within ``keys``: cut in the middle of runs of non-speech tokens, measured from the run's begin to the next speech word."""
+    w = Window.partitionBy(*keys).orderBy("start")
     quiet = F.col("word").isin(nonspeech)
     first = quiet & ~F.coalesce(F.lag(quiet).over(w), F.lit(False))
-    later = Window.partitionBy("recording_id").orderBy(F.desc("start")).rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy(*keys).orderBy(F.desc("start")).rowsBetween(Window.unboundedPreceding, -1)
     marked = words.withColumn("_quiet", quiet).withColumn("_first", first).withColumn("_next", F.last(F.when(~quiet, F.col("start")), ignorenulls=True).over(later))
     cut = F.col("_first") & (F.col("_next") - F.col("start") > min_length)
     middle = F.when(cut, F.col("start") + (F.col("_next") - F.col("start")) / 2)
@@ -113,21 +143,24 @@ def segment_at_nonspeech(words: DataFrame, nonspeech: list[str], min_length: flo
     placed = marked.withColumn("_mid", middle).withColumn("_cuts", F.count("_mid").over(upto)).withColumn("_last", F.last("_mid", ignorenulls=True).over(upto))
     # non-speech before the middle still belongs to the part before
     part = F.when(F.col("start") < F.col("_last"), F.col("_cuts") - 1).otherwise(F.col("_cuts"))
-    return placed.withColumn("part", part).groupBy("recording_id", "part").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count_if(~F.col("_quiet")).alias("n_words"))
+    return placed.withColumn("part", part).drop("_quiet", "_first", "_next", "_mid", "_cuts", "_last")
+
+
+def segment_at_nonspeech(words: DataFrame, nonspeech: list[str], min_length: float) -> DataFrame:
+    """``recording_id, part, start, end, n_words`` of the parts of recordings between long runs of non-speech tokens, as ``nonspeech_parts`` has them."""
+    parts = nonspeech_parts(words, ["recording_id"], nonspeech, min_length)
+    return parts.groupBy("recording_id", "part").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count_if(~F.col("word").isin(nonspeech)).alias("n_words"))
 
 
 def segment_max_length(words: DataFrame, nonspeech: list[str], most: float, lengths: list[float]) -> DataFrame:
-    """As above with falling thresholds ``lengths``: only parts that are still longer than ``most`` are cut again. ``part`` is a path of numbers."""
+    """As above with falling thresholds ``lengths``: only parts that are still longer than ``most`` are cut again. ``path`` has the numbers of a word's parts, and every word is in one."""
     here, done = words.withColumn("path", F.lit("")), []
-    base = words.columns
     for least in lengths:
-        keyed = here.withColumn("_rec", F.col("recording_id")).withColumn("recording_id", F.concat_ws("#", F.col("recording_id").cast("string"), "path"))
-        parts = segment_at_nonspeech(keyed, nonspeech, least).select("recording_id", "part", F.col("start").alias("_s"), F.col("end").alias("_e"))
-        joined = keyed.join(parts, "recording_id").filter((F.col("start") >= F.col("_s")) & (F.col("end") <= F.col("_e")))
-        joined = joined.withColumn("path", F.concat_ws(".", F.nullif("path", F.lit("")), F.col("part").cast("string"))).withColumn("recording_id", F.col("_rec")).withColumn("_long", F.col("_e") - F.col("_s") > most)
-        done.append(joined.filter("NOT _long").select(*base, "path"))
-        here = joined.filter("_long").select(*base, "path")
-    every = here
-    for d in done:
-        every = every.unionByName(d)
+        parts = nonspeech_parts(here, ["recording_id", "path"], nonspeech, least)
+        parts = parts.withColumn("path", F.concat_ws(".", F.nullif("path", F.lit("")), F.col("part").cast("string"))).drop("part")
+        w = Window.partitionBy("recording_id", "path")
+        parts = parts.withColumn("_long", F.max("end").over(w) - F.min("start").over(w) > most)
+        done.append(parts.filter("NOT _long").drop("_long"))
+        here = parts.filter("_long").drop("_long")
+    every = reduce(DataFrame.unionByName, done, here)
     return every.groupBy("recording_id", "path").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count_if(~F.col("word").isin(nonspeech)).alias("n_words"))

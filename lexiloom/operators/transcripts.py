@@ -59,15 +59,26 @@ def mean_segment_confidence(words: DataFrame) -> DataFrame:
     return words.withColumn("conf", F.avg("conf").over(Window.partitionBy("segment_id")))
 
 
+def covered_share(segments: DataFrame, grams: DataFrame, order: int) -> DataFrame:
+    """``segment_id, coverage``: share (2 places) of words inside windows of ``order`` words that ``grams(g)`` has."""
+    words = segments.select("segment_id", tokens(strip_noise(F.col("orth"))).alias("w"))
+    windows = F.transform(F.sequence(F.lit(1), F.size("w") - order + 1), lambda i: F.struct(i.alias("i"), F.array_join(F.slice("w", i, order), " ").alias("g")))
+    hits = words.filter(F.size("w") >= order).select("segment_id", F.explode(windows).alias("x")).select("segment_id", "x.i", "x.g").join(grams, "g", "left_semi")
+    starts = hits.groupBy("segment_id").agg(F.array_sort(F.collect_list("i")).alias("starts"))
+    return words.select("segment_id", F.size("w").alias("n")).join(starts, "segment_id", "left").select("segment_id", F.coalesce(F.round(marked(F.col("starts"), order) / F.col("n"), 2), F.lit(0.0)).alias("coverage"))
+
+
+def marked(starts: Column, order: int) -> Column:
+    """How many places the windows from sorted starts cover: each adds its length, less what overlaps with the one before."""
+    before = lambda i: F.when(i > 0, starts[F.greatest(i - 1, F.lit(0))] + order).otherwise(0)
+    return F.aggregate(F.transform(starts, lambda s, i: s + order - F.greatest(s, before(i))), F.lit(0), lambda a, b: a + b)
+
+
 def ngram_coverage(segments: DataFrame, reference: DataFrame, order: int) -> DataFrame:
     """``segment_id, coverage``: share (2 places) of words in windows of ``order`` words that the reference text has; shorter segments 0."""
-    windows = lambda: F.transform(F.sequence(F.lit(1), F.size("w") - order + 1), lambda i: F.struct(i.alias("i"), F.array_join(F.slice("w", i, order), " ").alias("g")))
-    known = reference.select(tokens(F.col("text")).alias("w")).filter(F.size("w") >= order).select(F.explode(windows()).alias("x")).select("x.g").distinct()
-    words = segments.select("segment_id", tokens(strip_noise(F.col("orth"))).alias("w"))
-    found = words.filter(F.size("w") >= order).select("segment_id", F.explode(windows()).alias("x")).select("segment_id", "x.i", "x.g").join(known, "g", "left_semi")
-    covered = found.select("segment_id", F.explode(F.sequence("i", F.col("i") + order - 1)).alias("k")).groupBy("segment_id").agg(F.count_distinct("k").alias("covered"))
-    sized = words.select("segment_id", F.size("w").alias("n"))
-    return sized.join(covered, "segment_id", "left").select("segment_id", F.coalesce(F.round(F.col("covered") / F.col("n"), 2), F.lit(0.0)).alias("coverage"))
+    windows = F.transform(F.sequence(F.lit(1), F.size("w") - order + 1), lambda i: F.array_join(F.slice("w", i, order), " "))
+    known = reference.select(tokens(F.col("text")).alias("w")).filter(F.size("w") >= order).select(F.explode(windows).alias("g")).distinct()
+    return covered_share(segments, known, order)
 
 
 def drop_uncovered_by_text(segments: DataFrame, reference: DataFrame, order: int = 3, threshold: float = 0.5, invert: bool = False) -> DataFrame:

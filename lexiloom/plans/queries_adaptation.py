@@ -142,11 +142,12 @@ def segment_clusters(spark, sf_dir):
 
 
 @query("""WITH p AS (SELECT vec_id, i, coalesce(list_sum(x[1:i]), 0)::DOUBLE AS s, coalesce(list_sum(list_transform(x[1:i], lambda v: v * v)), 0)::DOUBLE AS q FROM vectors, unnest(range(0, 65)) AS t(i)),
-e AS (SELECT a.vec_id, a.i AS a, b.i AS b, b.q - a.q - (b.s - a.s) ** 2 / (b.i - a.i) AS e FROM p a JOIN p b ON a.vec_id = b.vec_id AND a.i < b.i)
-SELECT u.vec_id, round(min(u.e + v.e + w.e), 2) AS error FROM e u JOIN e v ON u.vec_id = v.vec_id AND u.b = v.a JOIN e w ON w.vec_id = v.vec_id AND w.a = v.b WHERE u.a = 0 AND w.b = 64 GROUP BY 1""", "vectors")
+e AS (SELECT a.vec_id, a.i AS a, b.i AS b, b.q - a.q - (b.s - a.s) ** 2 / (b.i - a.i) AS e FROM p a JOIN p b ON a.vec_id = b.vec_id AND a.i < b.i),
+two AS (SELECT u.vec_id, v.b AS b, min(round(u.e + v.e, 6)) AS e, arg_min(u.b, (round(u.e + v.e, 6), u.b)) AS first FROM e u JOIN e v ON u.vec_id = v.vec_id AND u.b = v.a WHERE u.a = 0 GROUP BY 1, 2)
+SELECT t.vec_id, round(min(round(t.e + w.e, 6)), 2) AS error, arg_min(t.first || ' ' || t.b || ' 64', (round(t.e + w.e, 6), t.b)) AS ends FROM two t JOIN e w ON w.vec_id = t.vec_id AND w.a = t.b WHERE w.b = 64 GROUP BY 1""", "vectors")
 def change_points(spark, sf_dir):
-    """Embeddings cut into three pieces."""
-    return adaptation.change_points(views.vectors(spark, sf_dir), "vec_id", 3).select("vec_id", F.round("error", 2).alias("error"))
+    """Embeddings cut into three pieces. Of equal cuts the earliest last one counts, then the earliest first one."""
+    return adaptation.change_points(views.vectors(spark, sf_dir), "vec_id", 3).select("vec_id", F.round("error", 2).alias("error"), F.array_join("ends", " ").alias("ends"))
 
 
 @query("""WITH l AS (SELECT concat('s', l_suppkey) AS leaf, concat('n', s_nationkey) AS nation, concat('r', n_regionkey) AS region, l_quantity::BIGINT AS x FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey),

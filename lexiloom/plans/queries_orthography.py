@@ -31,7 +31,7 @@ def orth_text(spark, sf_dir):
 @query(f"""WITH h AS (SELECT segment_id, speaker_id, condition_id, {_CLEAN} AS rest FROM segments), a AS (SELECT segment_id, unnest([concat(speaker_id, ' first'), 'x first', 'second', speaker_id]) AS head, condition_id, rest FROM h)
 SELECT segment_id, trim(concat(head, ' ', c, rest)) AS text FROM a, unnest([concat(condition_id, ' '), '']) AS t(c)""", "segments")
 def orth_variants(spark, sf_dir):
-    return op.orth_variants(_marked(spark, sf_dir), most=16, depth=1).select("segment_id", "text")
+    return op.orth_variants(_marked(spark, sf_dir)).select("segment_id", "text")
 
 
 _PAIRS = f"pairs AS (SELECT g AS orth FROM (SELECT concat(w[i], ' ', w[i + 1]) AS g FROM (SELECT {_TOKENS} AS w FROM doc_segments), unnest(range(1, len(w))) AS t(i)) GROUP BY 1 HAVING count(*) >= 20)"
@@ -102,7 +102,24 @@ def _timed(spark, sf_dir):
     return w.withColumn("end", F.col("start") + 10)
 
 
-@query(None)
+def _cut_again(most: int, lengths: list[int]) -> str:
+    """SQL tables: ``done0`` and so on are the words of parts that are short enough after each threshold, ``open0`` and so on the others, with their path."""
+    out = ["open0 AS (SELECT recording_id, start, e, quiet, '' AS path FROM w)".replace("FROM w", "FROM (SELECT *, word = 'q' AS quiet FROM w)")]
+    for k, least in enumerate(lengths):
+        by = "PARTITION BY recording_id, path ORDER BY start"
+        out += [
+            f"f{k} AS (SELECT *, coalesce(lag(quiet) OVER ({by}), false) AS before, min(start) FILTER (NOT quiet) OVER ({by} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM open{k})",
+            f"m{k} AS (SELECT *, CASE WHEN quiet AND NOT before AND nxt - start > {least} THEN start + (nxt - start) / 2 END AS mid FROM f{k})",
+            f"c{k} AS (SELECT recording_id, start, e, quiet, path, count(mid) OVER ({by} ROWS UNBOUNDED PRECEDING) AS cuts, max(mid) OVER ({by} ROWS UNBOUNDED PRECEDING) AS l FROM m{k})",
+            f"p{k} AS (SELECT recording_id, start, e, quiet, concat_ws('.', nullif(path, ''), (CASE WHEN start < l THEN cuts - 1 ELSE cuts END)::VARCHAR) AS path FROM c{k})",
+            f"s{k} AS MATERIALIZED (SELECT *, max(e) OVER (PARTITION BY recording_id, path) - min(start) OVER (PARTITION BY recording_id, path) > {most} AS long FROM p{k})",
+            f"done{k} AS (SELECT * FROM s{k} WHERE NOT long)", f"open{k + 1} AS (SELECT * FROM s{k} WHERE long)",
+        ]
+    return ", ".join(out)
+
+
+@query(f"""WITH w AS (SELECT l_suppkey AS recording_id, (10 * row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice))::BIGINT AS start, start + 10 AS e, CASE WHEN l_discount < 0.06 THEN 'q' ELSE 'w' END AS word FROM lineitem), {_cut_again(500, [80, 40, 20])}
+SELECT recording_id, path, min(start) AS start, max(e) AS "end", count(*) FILTER (NOT quiet) AS n_words FROM (SELECT * FROM done0 UNION ALL SELECT * FROM done1 UNION ALL SELECT * FROM done2 UNION ALL SELECT * FROM open3) GROUP BY 1, 2""")
 def segment_max_length(spark, sf_dir):
     return op.segment_max_length(_timed(spark, sf_dir), ["q"], 500, [80, 40, 20])
 

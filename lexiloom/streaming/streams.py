@@ -28,7 +28,7 @@ def stream_integrate(frames: DataFrame, width: str, shift: str | None = None, la
 
 
 def stream_silence_sessions(frames: DataFrame, gap: str, late: str = "10 minutes") -> DataFrame:
-    """Sessions of activity parted by silence of at least ``gap``."""
+    """Sessions of activity parted by silence of over ``gap``."""
     marked = frames.withWatermark("ts", late) if frames.isStreaming else frames
     return marked.groupBy("segment_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n")).select("segment_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
