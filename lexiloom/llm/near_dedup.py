@@ -11,10 +11,14 @@ themselves, the rest branches once more. So a dense family costs one comparison
 chain form a *cluster*.
 
 Clusters, which are families of copies, are then compared exhaustively on the full sets of the texts, words as they are and not as hashes. A cluster is
-dealt to blocks of bounded rows and bytes (mostly one), each with the cluster's least member. Members that are then outside a cluster's main component are
+dealt to blocks of bounded rows and bytes (mostly one), each with the cluster's least member. Up to ``FAR`` members that are then outside a cluster's main component are
 compared with all others of it, sketches first; only the texts of those that could be linked follow them. Groups give back a spanning star of each of
 their components, never all pairs, so no link between different components is lost and dense groups stay linear.
 
+Where more are outside, the cluster is a family of texts that share a template and are no copies. There a shingle is *rare* if at most ``RARE`` members have it. At similarity s two sets
+that have no rare shingle in common share at most what the rest of the smaller one holds, which is under s unless one of the two has a share of at most ``(1 - s) / (1 + s)`` of rare shingles (a ninth
+at 0.8). So pairs of sets over that share meet in the lists of rare shingles, which are short; only the others, texts of hardly more than the template, are compared with all that are outside.
+
 Texts without words, null texts among them, have an empty set and are linked with nothing. Equal sets are one vertex. Ids are the vertices:
 rows that repeat an id share its component. Rows without an id are not linked, their component is null and they are kept. Empty tables give no row;
 other columns are ignored.
@@ -39,8 +43,10 @@ from .shingles import _LOWER, mix, shingle_hashes
 TREES, COORDINATES, SKETCH = 4, 24, 256
 #: Members of a node or cluster that are compared in one group.
 NODE = 400
-#: Sets far from a large node's pivot that are still compared with all the rest; more of them branch.
+#: Sets far from a large node's pivot that are still compared with all the rest; more of them branch. Members outside a cluster's main component likewise; more of them meet by rare shingles.
 FAR = 2000
+#: Members of a cluster that have a rare shingle, at most; rows and columns of a group that compares sketches alone.
+RARE, SIDE = 16, 4096
 #: Bytes of texts in one group, on average at most.
 GROUP_BYTES = 4 << 20
 #: Standard errors of the sketch's estimate by which a pair may miss the threshold and still be confirmed on full sets.
@@ -301,12 +307,36 @@ def _candidates(share: float):
     cut = _least_estimate(share)
 
     def run(rows: list) -> tuple[np.ndarray, np.ndarray]:
-        """Rows are ``id, label, sketch``; those that may be linked with another label's, and the group again."""
-        labels = np.array([r[1] for r in rows], np.int64)
+        """Rows are ``id, label, sketch, group, is_row, size``; those that may be linked with another label's of the other side, in groups of texts of bounded rows and bytes."""
+        ids, labels, sizes = (np.array([r[k] for r in rows], np.int64) for k in (0, 1, 5))
+        is_row = np.array([r[4] for r in rows], bool)
         sketches = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(len(rows), -1)
-        open_pair = (_estimates(sketches, sketches) >= cut) & (labels[:, None] != labels[None, :])
-        ids = np.array([r[0] for r in rows], np.int64)[open_pair.any(axis=1)]
-        return ids, np.full(len(ids), rows[0][3], np.int64)
+
+        def parts(at: np.ndarray) -> list[np.ndarray]:
+            block = np.arange(len(at)) // NODE + np.cumsum(sizes[at]) // GROUP_BYTES
+            return np.split(at, np.flatnonzero(np.diff(block)) + 1) if len(at) else []
+
+        out_ids, out_groups = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i, a in enumerate(parts(np.flatnonzero(is_row))):
+            for j, b in enumerate(parts(np.flatnonzero(~is_row))):
+                open_pair = (_estimates(sketches[a], sketches[b]) >= cut) & (labels[a][:, None] != labels[b][None, :])
+                met = np.unique(np.concatenate([ids[a][open_pair.any(axis=1)], ids[b][open_pair.any(axis=0)]]))
+                out_ids.append(met)
+                out_groups.append(np.full(len(met), mix(np.array([rows[0][3], i * SIDE + j], np.int64).view(np.uint64)).sum().astype(np.uint64).view(np.int64)))
+        return np.concatenate(out_ids), np.concatenate(out_groups)
+
+    return run
+
+
+def _pairs(share: float):
+    cut = _least_estimate(share)
+
+    def run(rows: list) -> tuple[np.ndarray, np.ndarray]:
+        """Rows are ``id, label, sketch``; the pairs of different labels that may be linked, the smaller id first."""
+        ids, labels = (np.array([r[k] for r in rows], np.int64) for k in (0, 1))
+        sketches = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(len(rows), -1)
+        i, j = np.nonzero((_estimates(sketches, sketches) >= cut) & (labels[:, None] != labels[None, :]) & (ids[:, None] < ids[None, :]))
+        return ids[i], ids[j]
 
     return run
 
@@ -375,18 +405,23 @@ def _components(clusters: DataFrame, sets: DataFrame, docs: DataFrame, words: in
         split = sizes.filter("blocks > 1")
         if split.isEmpty():
             return labels
-        light = texts.groupBy("cluster", "id").agg(F.sum(F.octet_length("text")).alias("size")).join(split.select("cluster", "blocks"), "cluster").join(labels, "id", "left")
-        light = materialise(light.select("id", "cluster", "size", "blocks", F.coalesce("label", "id").alias("label")), "split")
-        counts = light.groupBy("cluster", "label").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
-        main = counts.groupBy("cluster").agg(F.max_by("label", F.struct("n", "label")).alias("main"), (F.sum("n") - F.max("n")).alias("n"), (F.sum("size") - F.max_by("size", F.struct("n", "label"))).alias("size"))
-        main = materialise(main.filter("n > 0").select("cluster", "main", blocks("n", "size").alias("outside")), "main")
+        light = texts.groupBy("cluster", "id").agg(F.sum(F.octet_length("text")).alias("size")).join(split.select("cluster"), "cluster").join(labels, "id", "left")
+        light = materialise(light.select("id", "cluster", "size", F.coalesce("label", "id").alias("label")), "split")
+        counts = light.groupBy("cluster", "label").agg(F.count("*").alias("n"))
+        main = counts.groupBy("cluster").agg(F.max_by("label", F.struct("n", "label")).alias("main"), (F.sum("n") - F.max("n")).alias("outside"))
+        main = materialise(main.filter("outside > 0"), "main")
         if main.isEmpty():
             return labels
-        sketched = materialise(light.join(main, "cluster").join(sets.select("id", "sketch"), "id"), "sketched")
-        rows = sketched.filter("label <> main").withColumn("i", deal(F.col("outside"))).withColumn("j", F.explode(everywhere))
-        columns = sketched.withColumn("j", deal(F.col("blocks"), 1)).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("outside") - 1)))
-        met = rows.unionByName(columns).withColumn("group", F.xxhash64("cluster", "i", "j")).withColumn("again", F.col("group"))
-        chosen = materialise(_by_group(met, "group", ["id", "label", "sketch", "again"], _candidates(threshold / 100)).distinct().select(F.col("a").alias("id"), F.col("b").alias("group")), "chosen")
+        sketched = light.join(main, "cluster").join(sets.select("id", "sketch"), "id")
+        sketched = materialise(sketched.withColumn("out", F.col("label") != F.col("main")).select("cluster", "id", "label", "size", "sketch", "out", (F.col("outside") > FAR).alias("family")), "sketched")
+        few = sketched.filter("NOT family")
+        chosen = _across(few.filter("out"), few, threshold / 100)
+        families = sketched.filter("family")
+        if not families.isEmpty():
+            pairs, plain = _by_rare_shingles(families, texts, words, lower, threshold)
+            # those of hardly more than the template against all, and all that are outside against those
+            chosen = chosen.union(_across(plain.filter("out"), families, threshold / 100)).union(_across(families.filter("out"), plain, threshold / 100)).union(pairs)
+        chosen = materialise(chosen.distinct(), "chosen")
         pairs = chosen.join(light.select("id", "label"), "id").join(texts.select("id", "text"), "id")
         more = _by_group(pairs, "group", ["id", "label", "text"], exact)
         label_of = light.select("id", "label").distinct()
@@ -398,6 +433,47 @@ def _components(clusters: DataFrame, sets: DataFrame, docs: DataFrame, words: in
         return materialise(known.join(own, "id", "left_anti").union(own), "labels", keep=True)
 
 
+def _across(rows: DataFrame, columns: DataFrame, share: float) -> DataFrame:
+    """``id, group`` of those in ``rows`` and ``columns`` (``cluster, id, label, sketch``) that may be linked with another label's of the other side, by sketches in groups of bounded sides."""
+    deal = lambda to, seed: F.pmod(F.xxhash64("id", F.lit(seed)), to).cast("int")
+    sides = lambda df, name: df.groupBy("cluster").agg(F.ceil(F.count("*") / SIDE).cast("int").alias(name))
+    sized = sides(rows, "i_of").join(sides(columns, "j_of"), "cluster")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    a = rows.join(sized, "cluster").withColumn("i", deal(F.col("i_of"), 0)).withColumn("j", every("j_of")).withColumn("is_row", F.lit(True))
+    b = columns.join(sized, "cluster").withColumn("j", deal(F.col("j_of"), 1)).withColumn("i", every("i_of")).withColumn("is_row", F.lit(False))
+    kept = ["cluster", "i", "j", "id", "label", "size", "sketch", "is_row"]
+    met = a.select(*kept).union(b.select(*kept)).withColumn("group", F.xxhash64("cluster", "i", "j")).withColumn("again", F.col("group"))
+    found = _by_group(met, "group", ["id", "label", "sketch", "again", "is_row", "size"], _candidates(share))
+    return found.select(F.col("a").alias("id"), F.col("b").alias("group"))
+
+
+def _by_rare_shingles(families: DataFrame, texts: DataFrame, words: int, lower: bool, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """``id, group``: pairs of members with different labels that share a rare shingle and may be linked; and the members with a text of hardly more than the template."""
+    share = threshold / 100
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                found = [np.unique(h) for h in shingle_hashes(texts_of(part), words, lower)]
+                sizes = np.array([len(h) for h in found])
+                of = lambda c: pa.array(np.repeat(part.column(c).to_numpy(), sizes))  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([of("cluster"), of("id"), of("row"), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64))], names=["cluster", "id", "row", "n", "shingle"])
+
+    members = families.select("cluster", "id").distinct()
+    own = texts.join(members, ["cluster", "id"]).select("cluster", "id", F.xxhash64("text").alias("row"), "text").distinct()
+    spread = materialise(own.mapInArrow(run, "cluster long, id long, row long, n long, shingle long"), "spread")
+    # lists of one membership are one; a list's members are few, and only lists of rare shingles are joined again
+    lists = spread.groupBy("cluster", "shingle").agg(F.count("*").alias("df"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(-1))).alias("y")).filter(F.col("df") <= RARE)
+    rare = materialise(spread.join(lists, ["cluster", "shingle"]).select("cluster", "id", "row", "n", "shingle", "df", "x", "y"), "rare")
+    over = rare.groupBy("cluster", "id", "row", "n").agg(F.count("*").alias("k")).filter(F.col("k") * (1 + share) > F.col("n") * (1 - share))
+    plain = spread.select("cluster", "id", "row").distinct().join(over, ["cluster", "id", "row"], "left_anti").select("cluster", "id").distinct()
+    node = F.xxhash64("cluster", "df", "x", "y")
+    met = rare.filter("df > 1").select(node.alias("node"), "id").distinct().join(families.select("id", "label", "sketch"), "id")
+    pairs = _by_group(met, "node", ["id", "label", "sketch"], _pairs(share)).distinct()
+    grouped = pairs.select(F.xxhash64("a", "b").alias("group"), F.explode(F.array("a", "b")).alias("id")).select("id", "group")
+    return materialise(grouped.distinct(), "pairs"), materialise(families.join(plain, ["cluster", "id"], "left_semi"), "plain")
+
+
 def drop_near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80) -> DataFrame:
     """``docs`` without those whose component has a smaller id."""
     gone = near_duplicates(docs, words, threshold).filter("NOT kept").select("doc_id").distinct()

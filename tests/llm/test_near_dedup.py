@@ -113,3 +113,31 @@ def test_words_of_equal_polynomial_hashes_are_told_apart(spark):
     texts = [w[:n] for n in (1024, 2048) for w in (word, word.translate(str.maketrans("ab", "ba")))]
     got = found(spark, [(k, f"{t} x") for k, t in enumerate(texts)], 2)
     assert {r.doc_id: r.component_id for r in got} == {0: 0, 1: 1, 2: 2, 3: 3}
+
+
+def template_family(rnd, n, length=100, own=(17, 26)):
+    """Pages of one template, each with a share of words of its own: alike at 0.6 to 0.8, but for planted copies of a few and pages of hardly more than the template."""
+    base = [f"t{i}" for i in range(length)]
+    texts = []
+    for k in range(n):
+        w = list(base)
+        for i in rnd.sample(range(0, length, 2), rnd.randint(*own) // 2):
+            w[i] = f"u{rnd.randint(0, 10**7)}"
+        if k % 50 == 7 and texts:  # near another page, not near the template's other pages
+            w = texts[rnd.randrange(len(texts))].split()
+            w[rnd.randrange(len(w))] = "changed"
+        if k % 97 == 3:
+            w = base[: length - rnd.randint(0, 12)]
+        texts.append(" ".join(w))
+    return texts
+
+
+@pytest.mark.parametrize("node, far, side", [(20, 30, 4096), (20, 30, 25), (20, 2000, 25), (400, 2000, 4096)])
+def test_template_families(spark, monkeypatch, node, far, side):
+    for name, value in (("NODE", node), ("FAR", far), ("SIDE", side)):
+        monkeypatch.setattr(near_dedup, name, value)
+    rnd = random.Random(13)
+    rows = list(enumerate(template_family(rnd, 260))) + [(1000 + k, t) for k, t in enumerate(template_family(rnd, 30, 60, (2, 9)))]
+    for words in (1, 2):
+        got = found(spark, rows, words)
+        assert {r.doc_id: tuple(r)[1:] for r in got} == brute(rows, words)
