@@ -156,7 +156,10 @@ def estimate_backoff_lm(counts: DataFrame, order: int) -> DataFrame:
     discounts = counts.groupBy("order").agg(F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2"))
     discounts = discounts.select("order", F.when(F.col("n1") > 0, F.col("n1") / (F.col("n1") + 2 * F.col("n2"))).otherwise(0.0).alias("d"))
     histories = counts.groupBy("order", "history").agg(F.sum("n").alias("total"), F.count("*").alias("types"))
-    parts = counts.join(F.broadcast(discounts), "order").join(histories, ["order", "history"])
+    # the empty history stands in as many rows as there are words: its one row is broadcast
+    single = counts.filter("order = 1").crossJoin(F.broadcast(histories.filter("order = 1").select("total", "types")))
+    longer = counts.filter("order > 1").join(histories.filter("order > 1"), ["order", "history"])
+    parts = single.unionByName(longer).join(F.broadcast(discounts), "order")
     parts = parts.withColumn("own", (F.col("n") - F.col("d")) / F.col("total")).withColumn("weight", F.col("d") * F.col("types") / F.col("total"))
     vocabulary = counts.filter("order = 1").agg(F.count("*").alias("v"))
     done = parts.filter("order = 1").crossJoin(F.broadcast(vocabulary)).withColumn("p", F.col("own") + F.col("weight") / F.col("v")).select("order", "history", "word", "p")

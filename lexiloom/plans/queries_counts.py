@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
+from lexiloom.functions.tables import written
 from lexiloom.operators import counts
 
 from . import views
@@ -99,7 +99,7 @@ def _ngrams(spark, sf_dir):
 
 
 def _model(spark, sf_dir):
-    return counts.estimate_backoff_lm(_ngrams(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK), 3).persist(StorageLevel.MEMORY_AND_DISK)
+    return written(counts.estimate_backoff_lm(written(_ngrams(spark, sf_dir), "ngrams"), 3), "model")
 
 
 def _scores(spark, sf_dir):
