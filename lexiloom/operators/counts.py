@@ -8,9 +8,12 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiloom.functions.tables import written
+
 
 def tokens(text: Column) -> Column:
     """The tokens between runs of spaces, tabs and line breaks; empty ones are left out."""
@@ -33,31 +36,33 @@ def cutoff_counts(counts: DataFrame, least: int) -> DataFrame:
     return counts.filter(F.col("n") >= least)
 
 
-#: First letters by which the tokens of one count are dealt to tasks.
-HEAD = 3
-
-
 def coverage_curve(counts: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
     """Rank by (count, token), both falling, with cumulative coverage, coverage without singletons and in-vocabulary coverage.
 
-    Only one row for each distinct count is ordered globally; tokens are ranked within their count.
+    One range shuffle sorts the vocabulary; each task runs sums over its own part, which is written, and then the sums of the parts before it are added: a row for each part.
     """
     known = counts.withColumn("known", F.lit(1)) if vocabulary is None else counts.join(vocabulary.select("token", F.lit(1).alias("known")), "token", "left").fillna(0, "known")
-    above = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
-    levels = known.groupBy("n").agg(F.count("*").alias("types"), F.sum("known").alias("known_types"))
-    totals = levels.agg(F.sum(F.col("n") * F.col("types")).alias("total"), F.sum(F.when(F.col("n") > 1, F.col("n") * F.col("types")).otherwise(0)).alias("repeated"))
-    ahead = levels.select("n", *(F.coalesce(F.sum(v).over(above), F.lit(0)).alias(name) for v, name in ((F.col("types"), "rank0"), (F.col("types") * F.col("n"), "sum0"), (F.col("known_types") * F.col("n"), "known0"))))
-    # tokens of one count may be half of a vocabulary: they are ranked within their first letters, with the letters before them added
-    known = known.withColumn("_head", F.substring("token", 1, HEAD))
-    heads = known.groupBy("n", "_head").agg(F.count("*").alias("_types"), F.sum("known").alias("_known"))
-    earlier = Window.partitionBy("n").orderBy(F.desc("_head")).rowsBetween(Window.unboundedPreceding, -1)
-    heads = heads.select("n", "_head", F.coalesce(F.sum("_types").over(earlier), F.lit(0)).alias("_before"), F.coalesce(F.sum("_known").over(earlier), F.lit(0)).alias("_known_before"))
-    own = Window.partitionBy("n", "_head").orderBy(F.desc("token"))
-    ranked = known.withColumn("_own", F.row_number().over(own)).withColumn("_own_known", F.sum("known").over(own.rowsBetween(Window.unboundedPreceding, 0))).join(heads, ["n", "_head"])
-    ranked = ranked.withColumn("place", F.col("_own") + F.col("_before")).withColumn("known_place", F.col("_own_known") + F.col("_known_before"))
-    joined = ranked.join(ahead, "n").crossJoin(F.broadcast(totals))  # one row
-    covered = F.col("sum0") + F.col("place") * F.col("n")
-    return joined.select("token", "n", (F.col("rank0") + F.col("place")).alias("rank"), F.round(covered / F.col("total"), 6).alias("coverage"), F.round(F.least(covered, F.col("repeated")) / F.col("repeated"), 6).alias("coverage_repeated"), F.round((F.col("known0") + F.col("known_place") * F.col("n")) / F.col("total"), 6).alias("coverage_known"))
+    order = [F.desc("n"), F.desc("token")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, sums = TaskContext.get().partitionId(), np.zeros(3, np.int64)
+        for batch in batches:
+            n = batch.column("n").to_numpy()
+            steps = np.stack([np.ones_like(n), n, n * batch.column("known").to_numpy()]).cumsum(axis=1) + sums[:, None]
+            if len(n):
+                sums = steps[:, -1]
+                yield pa.RecordBatch.from_arrays([batch.column("token"), pa.array(n), pa.array(np.full(len(n), part, np.int32)), *map(pa.array, steps)], names=["token", "n", "part", "rank", "covered", "seen"])
+
+    ordered = known.select("token", F.col("n").cast("long").alias("n"), F.col("known").cast("long").alias("known")).repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = written(ordered.mapInArrow(run, "token string, n long, part int, rank long, covered long, seen long"), "coverage")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ends = placed.groupBy("part").agg(*(F.max(c).alias(c) for c in ("rank", "covered", "seen")))
+    ahead = ends.select("part", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}0") for c in ("rank", "covered", "seen")))
+    totals = placed.agg(F.sum("n").alias("total"), F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("repeated"))
+    joined = placed.join(F.broadcast(ahead), "part").crossJoin(F.broadcast(totals))  # a row for each part; one row
+    covered = F.col("covered") + F.col("covered0")
+    share = lambda x, of: F.round(F.try_divide(x, F.col(of)), 6)
+    return joined.select("token", "n", (F.col("rank") + F.col("rank0")).alias("rank"), share(covered, "total").alias("coverage"), share(F.least(covered, F.col("repeated")), "repeated").alias("coverage_repeated"), share(F.col("seen") + F.col("seen0"), "total").alias("coverage_known"))
 
 
 def vocabulary_by_coverage(counts: DataFrame, target: float) -> DataFrame:

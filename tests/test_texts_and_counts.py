@@ -180,3 +180,24 @@ def test_sessions_and_joins_of_streams(spark, tmp_path):
     assert sorted(map(tuple, collected(streams.stream_silence_sessions(frames, "20 seconds"), "sessions", "complete"))) == sorted(want)
     joined = collected(streams.stream_sync(frames, target), "joined", "append")
     assert sorted((r.segment_id, r.ts, r.x) for r in joined) == sorted(r for r in rows if (r[0], r[1]) in set(targets))
+
+
+def test_coverage_over_many_parts(spark):
+    rnd = random.Random(3)
+    rows = [(f"w{k}", rnd.choice([1, 1, 1, 2, 5, 9])) for k in range(300)]
+    data = spark.createDataFrame(rows, "token string, n long").repartition(3)
+    vocabulary = spark.createDataFrame([(f"w{k}",) for k in range(0, 300, 3)], "token string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "7")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = {r.rank: r for r in counts.coverage_curve(data, vocabulary).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    total, repeated, covered, seen = sum(n for _, n in rows), sum(n for _, n in rows if n > 1), 0, 0
+    for rank, (token, n) in enumerate(sorted(rows, key=lambda r: (r[1], r[0]), reverse=True), 1):
+        covered, seen = covered + n, seen + n * (int(token[1:]) % 3 == 0)
+        r = got[rank]
+        assert (r.token, r.n) == (token, n) and (r.coverage, r.coverage_repeated, r.coverage_known) == pytest.approx((covered / total, min(covered, repeated) / repeated, seen / total), abs=1e-6)
+    assert counts.coverage_curve(data.limit(0)).count() == 0
