@@ -267,6 +267,24 @@ def build_manifest(docs: DataFrame, columns: tuple[str, ...] = COLUMNS, group: s
     return Manifest(rounds, upper, placed.select(F.col("group").alias("tree"), "pos", "digest"), _tops(upper, fanout).select("digest"), fanout)
 
 
+def write_manifest(manifest: Manifest, path: str) -> None:
+    """The manifest as Parquet tables below ``path``: blocks of each round of the groups' trees and of the subroots' tree, subroots, root and a row that says how many there are."""
+    spark = manifest.root.sparkSession
+    for name, rounds in (("groups", manifest.rounds), ("upper", manifest.upper)):
+        for k, blocks in enumerate(rounds):
+            blocks.write.parquet(f"{path}/{name}/{k}")
+    manifest.subroots.write.parquet(f"{path}/subroots")
+    manifest.root.write.parquet(f"{path}/root")
+    spark.createDataFrame([(manifest.fanout, len(manifest.rounds), len(manifest.upper))], "fanout int, groups int, upper int").write.parquet(f"{path}/shape")
+
+
+def read_manifest(spark: SparkSession, path: str) -> Manifest:
+    shape = spark.read.parquet(f"{path}/shape").first()
+    rounds = lambda name, n: [spark.read.schema(_BLOCKS).parquet(f"{path}/{name}/{k}") for k in range(n)]
+    subroots = spark.read.schema("tree string, pos long, digest binary").parquet(f"{path}/subroots")
+    return Manifest(rounds("groups", shape.groups), rounds("upper", shape.upper), subroots, spark.read.schema("digest binary").parquet(f"{path}/root"), shape.fanout)
+
+
 def folded(manifest: Manifest) -> DataFrame:
     """``doc_id, leaf, subroot, root, proof_sha256, folded_root, verified`` for every leaf; digests in hex.
 

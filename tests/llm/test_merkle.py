@@ -92,3 +92,13 @@ def test_without_replacement_all_verify(spark):
     assert merkle.folded(empty).count() == 0 and empty.root.count() == 0
     with pytest.raises(ValueError):
         merkle.build_manifest(docs, fanout=1)
+
+
+def test_written_and_read_again(spark, tmp_path):
+    rows = rows_of(40, random.Random(6), ["en", "de", None])
+    manifest = merkle.build_manifest(spark.createDataFrame(rows, SCHEMA), replacement=merkle.tampered_leaf())
+    merkle.write_manifest(manifest, f"file://{tmp_path}/manifest")
+    again = merkle.read_manifest(spark, f"file://{tmp_path}/manifest")
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(tuple, merkle.folded(again).collect()), key=key) == sorted(plain(rows), key=key)
+    assert again.root.first() == manifest.root.first() and again.subroots.count() == 3
