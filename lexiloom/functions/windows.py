@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import written
+
 
 def number_rows(df: DataFrame, bucket: Column, order: list, name: str = "index") -> DataFrame:
     """Add a global row number from 0. ``bucket`` must grow with ``order``; only one count for each bucket is ordered globally."""
@@ -15,6 +19,22 @@ def number_rows(df: DataFrame, bucket: Column, order: list, name: str = "index")
     return marked.withColumn("_own", own).join(ahead, "_bucket").withColumn(name, (F.col("_ahead") + F.col("_own")).cast("long")).drop("_bucket", "_own", "_ahead")
 
 
+def number_within(df: DataFrame, keys: list[str], order: list, name: str = "index", size: str | None = None) -> DataFrame:
+    """Add the row's number from 0 among those of its ``keys`` (nulls equal), and with ``size`` how many these are. A key may hold most of the rows.
+
+    One range shuffle sorts all rows, which are written; then only a row for each key and part is counted in order.
+    """
+    by = [*(F.col(k) for k in keys), *(F.col(c) if isinstance(c, str) else c for c in order)]
+    placed = written(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_place", F.monotonically_increasing_id()), "numbered").withColumn("_part", F.shiftright("_place", 33))
+    own = Window.partitionBy(*keys)
+    parts = placed.groupBy(*keys, "_part").agg(F.min("_place").alias("_first"), F.count("*").alias("_n"))
+    ahead = F.coalesce(F.sum("_n").over(own.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_part").alias("_of"), "_first", ahead.alias("_ahead"), F.sum("_n").over(own).alias("_all"))
+    same = reduce(lambda a, b: a & b, [placed[k].eqNullSafe(parts[f"_k{i}"]) for i, k in enumerate(keys)])
+    joined = placed.join(parts, (placed["_part"] == parts["_of"]) & same).withColumn(name, F.col("_place") - F.col("_first") + F.col("_ahead"))
+    return joined.select(*df.columns, name, *([F.col("_all").alias(size)] if size else []))
+
+
 def running_sum(df: DataFrame, value: str, bucket: Column, order: list, name: str, before: bool = False) -> DataFrame:
     """Global running sum of ``value``, without the row itself if ``before``; two levels as in ``number_rows``."""
     marked = df.withColumn("_bucket", bucket)

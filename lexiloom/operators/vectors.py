@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions.quantiles import exact_percentiles
+from lexiloom.functions.windows import number_within
 
 
 def concat(*xs: Column) -> Column:
@@ -217,8 +218,7 @@ def _over_windows(frames: DataFrame, length: int, right: int, order: list[str],
     The window of frame t ends at ``min(t + right, T - 1)`` and holds up to ``length`` frames, as in ``frames.sliding_normalise``. Segments are cut in blocks of ``block`` frames with the
     frames of the windows at their edges, so a long segment is spread over tasks.
     """
-    w = Window.partitionBy("segment_id")
-    numbered = frames.withColumn("_t", (F.row_number().over(w.orderBy("tick", *order)) - 1).cast("long")).withColumn("_n", F.count("*").over(w))
+    numbered = number_within(frames, ["segment_id"], ["tick", *order], "_t", "_n")
     home = F.floor(F.col("_t") / block)
     # the blocks whose windows reach a frame; at the end windows begin at T - length
     reach = F.sequence(F.floor(F.greatest(F.col("_t") - right, F.lit(0)) / block), F.floor(F.least(F.col("_t") + length + right, F.col("_n") - 1) / block))
