@@ -201,3 +201,19 @@ def test_coverage_over_many_parts(spark):
         r = got[rank]
         assert (r.token, r.n) == (token, n) and (r.coverage, r.coverage_repeated, r.coverage_known) == pytest.approx((covered / total, min(covered, repeated) / repeated, seen / total), abs=1e-6)
     assert counts.coverage_curve(data.limit(0)).count() == 0
+
+
+def test_model_of_events(spark):
+    """The model of what segments ask for scores them as the whole model does, and a table of counts with totals gives the same model as counts alone."""
+    import random
+
+    rng = random.Random(5)
+    line = lambda: " ".join(rng.choice("a b c d e f g h".split()) for _ in range(rng.randrange(0, 9)))
+    training = spark.createDataFrame([(str(i), line()) for i in range(60)], "segment_id string, orth string")
+    asked = spark.createDataFrame([(str(i), line() + " z a b") for i in range(15)] + [("none", None)], "segment_id string, orth string")
+    plain = counts.estimate_backoff_lm(counts.ngram_counts(training, 3), 3)
+    rows = lambda df: sorted((r.segment_id, r.pos, r.word, round(r.score, 9)) for r in df.collect())
+    assert rows(counts.score_segments(asked, training, 3)) == rows(counts.lm_score(counts.lm_events(asked, 3), plain, 3))
+    model = counts.backoff_lm(training, 3)
+    key = lambda df: sorted((r.order, r.history, r.word, round(r.score, 9), round(r.backoff, 9)) for r in df.collect())
+    assert key(model) == key(plain)
