@@ -85,9 +85,16 @@ def mbr_nbest(nbest: DataFrame) -> DataFrame:
 
     Lists are short (their length is an argument of the n-best search), so pairs are made within a segment's list alone.
     """
-    a = nbest.select("segment_id", "rank", "words")
-    b = nbest.select("segment_id", F.col("rank").alias("_r"), F.col("words").alias("_w"), "posterior")
-    risk = a.join(b, "segment_id").groupBy("segment_id", "rank", "words").agg(F.sum(F.col("posterior") * F.levenshtein("words", "_w")).alias("risk"))
+    # distances take long and rows are few: as many tasks as shuffles have, whatever the size of the rows; every pair is compared once
+    tasks = int(nbest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    a = nbest.select("segment_id", "rank", "words", "posterior").repartition(tasks, "segment_id")
+    b = a.select("segment_id", F.col("rank").alias("_r"), F.col("words").alias("_w"), F.col("posterior").alias("_p"))
+    pairs = a.join(b, "segment_id").filter((F.struct("rank", "words") < F.struct(F.col("_r").alias("rank"), F.col("_w").alias("words"))) & (F.col("words") != F.col("_w")))
+    pairs = pairs.withColumn("_d", F.levenshtein("words", "_w"))
+    both = F.array(F.struct("rank", "words", (F.col("_p") * F.col("_d")).alias("risk")), F.struct(F.col("_r").alias("rank"), F.col("_w").alias("words"), (F.col("posterior") * F.col("_d")).alias("risk")))
+    own = nbest.select("segment_id", "rank", "words", F.when(F.col("words").isNotNull(), F.col("posterior") * 0.0).alias("risk"))
+    parts = pairs.select("segment_id", F.explode(both).alias("x")).select("segment_id", "x.*").unionByName(own)
+    risk = parts.groupBy("segment_id", "rank", "words").agg(F.sum("risk").alias("risk"))
     return risk.groupBy("segment_id").agg(F.min(F.struct("risk", "rank", "words")).alias("m")).select("segment_id", "m.rank", "m.words", "m.risk")
 
 

@@ -260,3 +260,30 @@ def test_small_rules(spark, tmp_path):
     assert text_files.read_arpa(spark, str(tmp_path / "lm"), skip_infinite=True).count() == 2
     nbest = spark.createDataFrame([("a", 0, "x"), ("a", 1, "y"), ("b", 0, "z")], "segment_id string, rank int, words string")
     assert [r.words for r in lattice.select_n_best(nbest, 1).collect()] == ["y"]
+
+
+def test_mbr_nbest_lists(spark):
+    """Pairs are compared once, in as many tasks as shuffles have; lists of one hypothesis, equal and missing words."""
+    rng = random.Random(9)
+    rows = [(s, r, "".join(rng.choice("ab") for _ in range(rng.randrange(0, 6))), 1.0 / (1 + r)) for s in range(30) for r in range(rng.randrange(1, 6))] + [(99, 0, "lone", 0.5), (98, 0, None, 0.5), (98, 1, "x", 0.5)]
+    data = spark.createDataFrame(rows, "segment_id int, rank int, words string, posterior double")
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, before = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+        return row[-1]
+
+    for segment in range(30):
+        own = [(r, w, p) for s, r, w, p in rows if s == segment]
+        risks = [(round(sum(p * distance(w, v) for _, v, p in own), 6), r) for r, w, _ in own]
+        got = next(r for r in mbr if r.segment_id == segment) if segment else None
+        if segment == 0:
+            result = confusion.mbr_nbest(data)
+            mbr = result.collect()
+            assert {r.segment_id: r.risk for r in mbr if r.segment_id > 90} == {99: 0.0, 98: None}
+            assert "Exchange hashpartitioning(segment_id" in (plan := result._jdf.queryExecution().executedPlan().toString()) and "REPARTITION_BY_NUM" in plan
+            got = next(r for r in mbr if r.segment_id == 0)
+        assert (round(got.risk, 6), got.rank) == min(risks)
