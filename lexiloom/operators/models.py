@@ -58,11 +58,18 @@ def _sums(vectors: DataFrame, keys: list[str], d: int) -> DataFrame:
     return sums.select(*keys, F.posexplode(F.array(*(F.col(f"s{i}") for i in range(d)))).alias("dim", "s"))
 
 
+def _product(vectors: DataFrame, a: str, b: str) -> Column:
+    """The product of two sums as a double; whole numbers are multiplied exactly, as their product may be beyond a long."""
+    if vectors.schema["x"].dataType.elementType.typeName() in ("byte", "short", "integer", "long"):
+        return (F.col(a).cast("decimal(19,0)") * F.col(b).cast("decimal(19,0)")).cast("double")
+    return F.col(a) * F.col(b)
+
+
 def covariance(vectors: DataFrame, d: int, normalise: bool = True, floor: float | None = None) -> DataFrame:
     """``i, j, v``: scatter around the mean, divided by n if ``normalise``; elements below ``floor`` are raised to it."""
     s = _sums(vectors, [], d)
     joined = products(vectors, d).join(F.broadcast(s.select(F.col("dim").alias("i"), F.col("s").alias("si"))), "i").join(F.broadcast(s.select(F.col("dim").alias("j"), F.col("s").alias("sj"))), "j")  # d rows each
-    v = F.col("p") - F.col("si") * F.col("sj") / F.col("n")
+    v = F.col("p") - _product(vectors, "si", "sj") / F.col("n")
     v = v / F.col("n") if normalise else v
     return joined.select("i", "j", (v if floor is None else F.greatest(v, F.lit(floor))).alias("v"))
 
@@ -72,11 +79,11 @@ def scatter_matrices(vectors: DataFrame, d: int) -> DataFrame:
     s = _sums(vectors, ["label"], d)
     n = _whole(vectors, d).groupBy("label").agg(F.count("*").alias("n"))
     per_class = s.select("label", F.col("dim").alias("i"), F.col("s").alias("si")).join(s.select("label", F.col("dim").alias("j"), F.col("s").alias("sj")), "label").filter("j <= i").join(n, "label")
-    classes = per_class.groupBy("i", "j").agg(F.sum(F.col("si") * F.col("sj") / F.col("n")).alias("c"))
+    classes = per_class.groupBy("i", "j").agg(F.sum(_product(vectors, "si", "sj") / F.col("n")).alias("c"))
     g = _sums(vectors, [], d)
     glob = g.select(F.col("dim").alias("i"), F.col("s").alias("gi")).crossJoin(g.select(F.col("dim").alias("j"), F.col("s").alias("gj"))).filter("j <= i")  # d rows each
     all_of = products(vectors, d).join(classes, ["i", "j"]).join(glob, ["i", "j"])
-    mean = F.col("gi") * F.col("gj") / F.col("n")
+    mean = _product(vectors, "gi", "gj") / F.col("n")
     return all_of.select("i", "j", (F.col("c") - mean).alias("between"), (F.col("p") - F.col("c")).alias("within"), (F.col("p") - mean).alias("total"))
 
 

@@ -150,3 +150,12 @@ def test_training_stops_and_reports(spark):
     scored = models.mixture_scores(data, start.withColumn("weight", F.lit(1 / 3))).orderBy("vec_id").collect()
     normal = [sum(np.exp(-0.5 * (r.x[0] - m) ** 2) / np.sqrt(2 * np.pi) / 3 for m in (1, 5, 90)) for r in scored]
     assert np.allclose([r.score for r in scored], -np.log(normal))
+
+
+def test_matrices_of_large_sums(spark):
+    """The product of two sums is beyond a long, the sums and products of vectors are not."""
+    x = F.array((F.col("id") % 3 + 1000000).alias("a"), F.lit(1000000).cast("long"))
+    data = spark.range(9000).select((F.col("id") % 2).alias("label"), x.alias("x"))
+    assert {(r.i, r.j): round(r.v, 2) for r in models.covariance(data, 2).collect()} == {(0, 0): 0.67, (1, 0): 0.0, (1, 1): 0.0}
+    got = {(r.i, r.j): (r.within, r.total) for r in models.scatter_matrices(data, 2).collect()}
+    assert got[0, 0] == pytest.approx((6000, 6000), abs=10) and got[1, 1] == pytest.approx((0, 0), abs=10)
