@@ -48,7 +48,7 @@ def cut_vector(spark, sf_dir):
     return _flat(_e(spark, sf_dir), position=op.cut_vector(x, 5, 10), relative=op.cut_vector(x, 0.25, 0.75, "relative"), surface=op.cut_vector(x, 0.25, 0.75, "surface"))
 
 
-@query(f"""WITH {_E} SELECT vec_id, k - 1 AS k, round(sqrt(x[2 * k - 1] ** 2 + x[2 * k] ** 2), 6) AS amplitude, x[2 * k - 1] ** 2 + x[2 * k] ** 2 AS square, round(atan2(x[2 * k] + 0.0, x[2 * k - 1]), 6) AS phase, x[2 * k - 1] AS re, x[2 * k] AS im FROM e, unnest(range(1, len(x) // 2 + 1)) AS t(k)""")
+@query(f"""WITH {_E} SELECT vec_id, k - 1 AS k, round(sqrt(x[2 * k - 1] ** 2 + x[2 * k] ** 2), 6) AS amplitude, x[2 * k - 1] ** 2 + x[2 * k] ** 2 AS square, round(atan2(x[2 * k] + 0.0, x[2 * k - 1] + 0.0), 6) AS phase, x[2 * k - 1] AS re, x[2 * k] AS im FROM e, unnest(range(1, len(x) // 2 + 1)) AS t(k)""")
 def complex_functions(spark, sf_dir):
     x = F.col("x")
     e = _e(spark, sf_dir).select("vec_id", op.complex_amplitude(x).alias("a"), op.abs_square(x).alias("s"), op.phase(x).alias("p"), op.real(x).alias("r"), op.imaginary(x).alias("i"))
