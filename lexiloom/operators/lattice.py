@@ -63,13 +63,27 @@ def best_path(arcs: DataFrame) -> DataFrame:
 
 
 def n_best(arcs: DataFrame, n: int) -> DataFrame:
-    """``segment_id, rank, words, score`` of the n least-cost paths with different words."""
+    """``segment_id, rank, words, score`` of the n least-cost paths with different words; of equal costs the first words."""
+
+    def leading(found: dict[str, float]) -> dict[str, float]:
+        """Without those that n others precede whatever follows. Of equal costs, words of which others are a beginning may come first or last: what follows decides."""
+        kept, cost, ahead, level = {}, None, 0, []
+        for words, c in sorted(found.items(), key=lambda x: (x[1], x[0] and f"{x[0]} ")):
+            if c != cost:
+                cost, ahead, level = c, ahead + len(level), []
+            if ahead >= n:
+                break
+            text = words and f"{words} "
+            if ahead + sum(not text.startswith(other) for other in level) < n:
+                kept[words] = c
+            level.append(text)
+        return kept
 
     def solve(segment: object, group: list[tuple]) -> list[tuple]:
         best: dict[int, dict[str, float]] = {group[0][0]: {"": 0.0}}
         for k, (src, dst, label, score) in enumerate(group):
             if k and group[k - 1][0] != src and len(best.get(src, ())) > n:  # all arcs to src were seen
-                best[src] = dict(heapq.nsmallest(n, best[src].items(), key=lambda x: (x[1], x[0])))
+                best[src] = leading(best[src])
             into = best.setdefault(dst, {})
             for words, cost in best.get(src, {}).items():
                 longer = f"{words} {label}" if words else label

@@ -61,3 +61,27 @@ def test_posteriors(graphs):
 def test_empty(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert lattice.best_path(none).count() == lattice.n_best(none, 2).count() == lattice.arc_posteriors(none).count() == 0
+
+
+def test_n_best_of_equal_costs(spark):
+    """Words that begin others of the same cost may come after them, by what follows: no list may lose them on the way."""
+    rng = random.Random(3)
+    rows, want = [], {}
+    for segment in range(200):
+        paths = {0: {("", 0.0)}}
+        for dst in range(1, 8):
+            into = {}
+            for src in {max(dst - 1, 0), max(dst - 2, 0)}:
+                label, score = rng.choice("ANR"), float(rng.randrange(0, 2))
+                rows.append((segment, src, dst, label, score))
+                for words, cost in paths[src]:
+                    longer = f"{words} {label}" if words else label
+                    into[longer] = min(cost + score, into.get(longer, 1e9))
+            paths[dst] = set(into.items())
+        want[segment] = [w for w, _ in sorted(paths[7], key=lambda x: (x[1], x[0]))]
+    arcs = spark.createDataFrame(rows, "segment_id int, src long, dst long, label string, score double")
+    for n in (1, 5):
+        got = {}
+        for r in lattice.n_best(arcs, n).orderBy("segment_id", "rank").collect():
+            got.setdefault(r.segment_id, []).append(r.words)
+        assert got == {segment: words[:n] for segment, words in want.items()}
