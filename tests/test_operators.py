@@ -159,3 +159,17 @@ def test_matrices_of_large_sums(spark):
     assert {(r.i, r.j): round(r.v, 2) for r in models.covariance(data, 2).collect()} == {(0, 0): 0.67, (1, 0): 0.0, (1, 1): 0.0}
     got = {(r.i, r.j): (r.within, r.total) for r in models.scatter_matrices(data, 2).collect()}
     assert got[0, 0] == pytest.approx((6000, 6000), abs=10) and got[1, 1] == pytest.approx((0, 0), abs=10)
+
+
+def test_complex_functions_of_small_components(spark, tmp_path):
+    """Components that round to zero have no sign, in the query as in its SQL."""
+    import duckdb
+
+    from lexiloom.plans import catalogue
+    from tests.oracle import compare
+
+    data = spark.createDataFrame([(0, 1, [-0.0001, 0.0001, -0.0001, -0.0001, 0.5, -0.0001])], "vec_id long, label int, embedding array<float>")
+    data.coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert compare(spark, con, str(tmp_path), catalogue.QUERIES["complex_functions"], catalogue.ORACLE["complex_functions"]) == ""
