@@ -186,3 +186,45 @@ def test_stateful_streams(spark, tmp_path):
     sums = np.cumsum([[0.5 * ((x - k) ** 2 + math.log(2 * math.pi)) for k in range(3)] for x in xs], axis=0)
     rows = sorted(got, key=lambda r: r.ts)
     assert [r.density for r in rows] == sums.argmin(axis=1)[3:].tolist() and np.allclose([r.score for r in rows], sums.min(axis=1)[3:])
+
+
+def test_many_segment_clusters(spark):
+    """Segments of several blocks, some of them alike, against one united after the other by all pairs; distances are looked up again only where needed."""
+    rng = np.random.default_rng(5)
+    rows = [(r, s, v) for r in ("p", None) for s in range(60) for v in rng.integers(0, 4, (6, 2)).astype(float).tolist()]
+    rows += [("p", 60 + s, v) for s in (0, 1) for v in ([0.0, 1.0], [2.0, 1.0], [1.0, 3.0])]
+    df = spark.createDataFrame(rows, "recording_id string, segment_id int, x array<double>")
+    got = {(r.recording_id, r.segment_id): r.cluster for r in adaptation.segment_clusters(df, 2, lam=0.4, block=16).collect()}
+    want = {}
+    for name in ("p", None):
+        x = {s: np.array([v for r, k, v in rows if r == name and k == s]) for s in sorted({k for r, k, _ in rows if r == name})}
+        m = {s: np.array([len(v), *(z for i in range(2) for z in (v[:, i].sum(), *((v[:, i] * v[:, j]).sum() for j in range(i + 1))))]) for s, v in x.items()}
+        pair = lambda i, j: float(adaptation._Likelihoods(np.stack([m[i], m[j]]), 2, 1e-6).distance(0, np.array([1]))[0])  # noqa: B023, E731
+        far = {(i, j): pair(i, j) for i in m for j in m if j < i}
+        cluster, bar = {s: s for s in m}, 0.4 * 2.5 * math.log(sum(v[0] for v in m.values()))
+        while far:
+            gain, child, parent = min((v, *k) for k, v in far.items())
+            if gain >= bar:
+                break
+            m[parent] = m[parent] + m.pop(child)
+            far = {k: pair(*k) if parent in k else v for k, v in far.items() if child not in k}
+            cluster = {s: parent if c == child else c for s, c in cluster.items()}
+        assert 1 < len(m) < 60
+        want |= {(name, s): c for s, c in cluster.items()}
+    assert got == want
+
+
+def test_segment_clusters_look_up_few_distances(monkeypatch):
+    """Pairs for which a distance is worked out: about one for each pair of segments, where all of them were looked up again after each union before."""
+    rng, n = np.random.default_rng(6), 400
+    x = rng.normal(size=(n, 20, 2))
+    m = np.stack([np.full(n, 20.0), x[..., 0].sum(1), (x[..., 0] ** 2).sum(1), x[..., 1].sum(1), (x[..., 0] * x[..., 1]).sum(1), (x[..., 1] ** 2).sum(1)], axis=1)
+    seen, plain = [], adaptation._Likelihoods.distance
+    monkeypatch.setattr(adaptation._Likelihoods, "distance", lambda self, i, others: (seen.append(len(others)), plain(self, i, others))[1])
+    near = adaptation._Likelihoods(m, 2, 1e-6)
+    first = [near.distance(i, np.arange(i)) for i in range(1, n)]
+    gains, partners = np.array([np.inf, *(f.min() for f in first)]), np.array([-1, *(f.argmin() for f in first)])
+    adaptation._united(near, None, gains, partners, np.inf)
+    assert sum(seen) < 2 * n * n
+    s = np.stack([adaptation._square(v, 2) for v in m])
+    assert np.allclose(adaptation._Likelihoods(m, 2, 1e-6).own, adaptation._likelihood(s, 1e-6))
