@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiloom.functions.tables import written
+
 from .lattice import best_path
 
 EPSILON = "*EPS*"
@@ -42,8 +44,9 @@ def append_scores(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def arc_penalty(arcs: DataFrame, classes: DataFrame, default: float, scale: float = 1.0, key: str = "penalty") -> DataFrame:
-    """Adds ``scale * penalty``: that of the label's class ``classes(label, penalty)``, else the default. A small list of labels is expected, but not assumed."""
-    joined = arcs.join(classes.select("label", F.col("penalty").alias("_p")), "label", "left")
+    """Adds ``scale * penalty``: that of the label's class ``classes(label, penalty)``, else the default. A small list of labels is expected, but not assumed: it is written, so that Spark knows
+    its size and moves no arcs to their labels, which are few, if it is small."""
+    joined = arcs.join(written(classes.select("label", F.col("penalty").alias("_p")), "classes"), "label", "left")
     return joined.withColumn("scores", F.map_concat("scores", F.create_map(F.lit(key), scale * F.coalesce("_p", F.lit(default))))).drop("_p")
 
 

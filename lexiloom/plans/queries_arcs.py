@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lexiloom.functions.tables import dealt
 from lexiloom.operators import arcs as op
 from lexiloom.operators import counts, lattice, slots
 
@@ -99,7 +100,7 @@ def fit(spark, sf_dir):
 @query(f"WITH {_LINKS} SELECT segment_id, system, count(*) AS n, min(src) AS first, max(dst) AS last FROM (SELECT segment_id, 2 * src AS src, 2 * dst AS dst, 0 AS system FROM arc UNION ALL SELECT segment_id, 2 * src + 1, 2 * dst + 1, 1 FROM arc WHERE score < 30) GROUP BY 1, 2")
 def unite(spark, sf_dir):
     a = _arcs(spark, sf_dir)
-    return op.unite(a, a.filter("score < 30")).groupBy("segment_id", "system").agg(F.count("*").alias("n"), F.min("src").alias("first"), F.max("dst").alias("last"))
+    return dealt(op.unite(a, a.filter("score < 30")), "segment_id").groupBy("segment_id", "system").agg(F.count("*").alias("n"), F.min("src").alias("first"), F.max("dst").alias("last"))
 
 
 @query(f"""WITH {_LINKS}, n AS (SELECT segment_id, o_custkey AS recording_id, max(dst) AS n FROM arc JOIN orders ON o_orderkey = segment_id GROUP BY 1, 2), h AS (SELECT segment_id, recording_id, coalesce(sum(n) OVER (PARTITION BY recording_id ORDER BY segment_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a FROM n)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lexiloom.functions.tables import dealt
 from lexiloom.operators import counts, evaluate, slots
 
 from . import views
@@ -21,7 +22,7 @@ def _alignment(spark, sf_dir):
 
 
 def _cn(spark, sf_dir):
-    raw = views.arcs(spark, sf_dir).groupBy("segment_id", "slot", "label").agg(F.sum("w").cast("double").alias("posterior"))
+    raw = dealt(views.arcs(spark, sf_dir), "segment_id").groupBy("segment_id", "slot", "label").agg(F.sum("w").cast("double").alias("posterior"))
     return slots.normalise_cn(raw)
 
 

@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexiloom.operators import adaptation, counts, orthography
+from lexiloom.functions import tables
+from lexiloom.operators import adaptation, arcs, counts, orthography, slots
 from lexiloom.streaming import streams
 
 
@@ -217,3 +218,23 @@ def test_model_of_events(spark):
     model = counts.backoff_lm(training, 3)
     key = lambda df: sorted((r.order, r.history, r.word, round(r.score, 9), round(r.backoff, 9)) for r in df.collect())
     assert key(model) == key(plain)
+
+
+def test_tables_are_dealt_by_their_size(spark, tmp_path, monkeypatch):
+    """A task's share stays the same: more files, more tasks, in the cuts of long recordings and the sums over slots."""
+    spark.range(4000).selectExpr("id % 50 AS recording_id", "10.0D * (id div 50) AS start", "10.0D * (id div 50) + 10 AS end", "if(id % 3 = 0, 'q', 'w') AS word").write.parquet(f"{tmp_path}/words")
+    words = spark.read.parquet(f"{tmp_path}/words")
+    monkeypatch.setattr(tables, "TASK_BYTES", 1 << 8)
+    n = tables.dealt(words, "recording_id").rdd.getNumPartitions()
+    assert n > 10
+    cut = orthography.segment_max_length(words, ["q"], 90.0, [40.0, 5.0])
+    assert cut.rdd.getNumPartitions() == n
+    al = words.selectExpr("recording_id AS segment_id", "start AS t", "word AS label", "1.0D AS weight")
+    mapping = al.select("label").distinct().withColumn("to", F.lit("x"))
+    assert slots.map_labels(al, mapping).rdd.getNumPartitions() == n
+    tied = al.select("label").distinct().withColumn("state", F.lit(True))
+    assert slots.set_weights_by_tied_state(al, al, tied).rdd.getNumPartitions() == n
+    cn = al.selectExpr("segment_id", "cast(t AS long) AS slot", "label", "weight AS posterior")
+    assert slots.combine_cns([cn, cn], [0.5, 0.5]).rdd.getNumPartitions() >= n
+    plan = arcs.arc_penalty(al.withColumn("scores", F.create_map(F.lit("a"), F.lit(1.0))), al.groupBy("label").agg(F.lit(1.0).alias("penalty")), 0.0)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan  # no arcs go to the few tasks of their labels
