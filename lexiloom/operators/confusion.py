@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiloom.functions.tables import slices
+
 EPSILON = "*EPS*"
 
 
@@ -136,7 +138,7 @@ def oracle_error(cn: DataFrame, ref: DataFrame, kind: str = "oracle-error", alph
     missing = 1.0 if kind == "oracle-error" else 100.0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             costs = []
             for words, entries in zip(batch.column("words").to_pylist(), batch.column("slots").to_pylist(), strict=True):
                 found = [{e["key"]: e["value"] for e in s} for s in entries or []]
@@ -161,7 +163,7 @@ def graph_error_rate(arcs: DataFrame, ref: DataFrame) -> DataFrame:
     joined = ref.select("segment_id", "words").join(lined, "segment_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             errors, sizes = [], []
             for words, found in zip(batch.column("words").to_pylist(), batch.column("arcs").to_pylist(), strict=True):
                 steps, ref_words = np.arange(len(words) + 1), np.array(words, object)
@@ -288,7 +290,7 @@ def rover(hyps: DataFrame, weights: list[float], alpha: float = 0.0, null_confid
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column("segment_id"), pa.array([combine(s) for s in batch.column("systems").to_pylist()], pa.list_(pa.string()))], names=["segment_id", "words"])
 
     return grouped.mapInArrow(run, f"segment_id {hyps.schema['segment_id'].dataType.simpleString()}, words array<string>")
@@ -334,7 +336,7 @@ def combine_aligned_cns(cns: list[DataFrame], weights: list[float], epsilon: str
     kind = cns[0].schema["segment_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = zip(batch.column("segment_id").to_pylist(), map(combine, batch.column("entries").to_pylist()), strict=True)
             rows = [(segment, k, label, p) for segment, slots in found for k, slot in enumerate(slots) for label, p in slot.items() if p > 0]
             columns = zip(*rows, strict=True) if rows else ([], [], [], [])

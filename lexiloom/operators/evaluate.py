@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexiloom.functions.tables import slices
+
 
 #: Cells of a cost matrix that are kept at once; longer pairs are halved.
 CELLS = 1 << 20
@@ -97,23 +99,25 @@ def _small(a: np.ndarray, b: np.ndarray, ins: int, dele: int, sub: int, same: Ca
 def edit_alignment(pairs: DataFrame, ins: int = 1, dele: int = 1, sub: int = 1, broken: bool = False) -> DataFrame:
     """``segment_id, pos, a, b, op`` from ``segment_id, ref, hyp`` (arrays of tokens); with ``broken``, parts of words in the reference match as ``is_broken_match`` says and are right."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for name, ref, hyp in zip(frame["segment_id"], frame["ref"], frame["hyp"], strict=True):
-                ref, hyp = list(ref), list(hyp)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            columns: tuple[list, ...] = ([], [], [], [], [])
+            for k, (ref, hyp) in enumerate(zip(batch.column("ref").to_pylist(), batch.column("hyp").to_pylist(), strict=True)):
                 for pos, (i, j) in enumerate(align(ref, hyp, ins, dele, sub, broken)):
                     a, b = ref[i] if i >= 0 else None, hyp[j] if j >= 0 else None
-                    rows.append((name, pos, a, b, "ins" if a is None else "del" if b is None else "ok" if a == b or (broken and is_broken_match(a, b)) else "sub"))
-            yield pd.DataFrame(rows, columns=["segment_id", "pos", "a", "b", "op"])
+                    row = (k, pos, a, b, "ins" if a is None else "del" if b is None else "ok" if a == b or (broken and is_broken_match(a, b)) else "sub")
+                    for column, value in zip(columns, row, strict=True):
+                        column.append(value)
+            of, pos, *texts = columns
+            yield pa.RecordBatch.from_arrays([batch.column("segment_id").take(pa.array(of, pa.int64())), pa.array(pos, pa.int32()), *(pa.array(c, pa.string()) for c in texts)], names=["segment_id", "pos", "a", "b", "op"])
 
     kind = pairs.schema["segment_id"].dataType.simpleString()
-    return pairs.select("segment_id", "ref", "hyp").mapInPandas(run, f"segment_id {kind}, pos int, a string, b string, op string")
+    return pairs.select("segment_id", "ref", "hyp").mapInArrow(run, f"segment_id {kind}, pos int, a string, b string, op string")
 
 
 def word_errors(pairs: DataFrame, ins: int = 1, dele: int = 1, sub: int = 1, broken: bool = False) -> DataFrame:
     """``segment_id, n_tokens, n_ins, n_del, n_sub``; ``broken`` as in ``edit_alignment``."""
-    counted = edit_alignment(pairs, ins, dele, sub, broken).groupBy("segment_id").agg(*(F.count_if(F.col("op") == o).alias(f"n_{o}") for o in ("ins", "del", "sub")))
+    counted = edit_alignment(pairs, ins, dele, sub, broken).filter("op <> 'ok'").groupBy("segment_id").agg(*(F.count_if(F.col("op") == o).alias(f"n_{o}") for o in ("ins", "del", "sub")))
     sized = pairs.select("segment_id", F.size("ref").cast("long").alias("n_tokens"))
     return sized.join(counted, "segment_id", "left").fillna(0)
 

@@ -287,3 +287,15 @@ def test_mbr_nbest_lists(spark):
             assert "Exchange hashpartitioning(segment_id" in (plan := result._jdf.queryExecution().executedPlan().toString()) and "REPARTITION_BY_NUM" in plan
             got = next(r for r in mbr if r.segment_id == 0)
         assert (round(got.risk, 6), got.rank) == min(risks)
+
+
+def test_python_takes_few_rows_at_a_time():
+    """Batches are cut by bytes before Python objects are made of them, and no row is lost."""
+    import pyarrow as pa
+
+    from lexiloom.functions.tables import slices
+
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(["x" * size] * n)], names=["k", "text"]) for n, size in ((1000, 100), (3, 50_000), (0, 1), (7, 1))]
+    cut = list(slices(iter(batches), 20_000))
+    assert [k for b in cut for k in b.column("k").to_pylist()] == [*range(1000), 0, 1, 2, *range(7)]
+    assert max(b.num_rows for b in cut) < 200 and [b.num_rows for b in cut][-4:] == [1, 1, 1, 7]
