@@ -54,7 +54,10 @@ def _gaussian_questions(placed: DataFrame, asked: int, d: int, min_obs: float, m
         for node, m in sums.items():
             yield pd.DataFrame({"node": node, "question": range(asked + 1), "v": m.tolist()})
 
-    parts = placed.select("node", "answers", F.col("n").cast("double").alias("n"), F.col("s").cast("array<double>").alias("s"), F.col("q").cast("array<double>").alias("q")).mapInPandas(run, "node int, question int, v array<double>")
+    # rows of equal answers are added up before Python sees them
+    total = lambda c: F.array(*(F.sum(F.get(F.col(c).cast("array<double>"), F.lit(i))) for i in range(d))).alias(c)
+    alike = placed.groupBy("node", "answers").agg(F.sum(F.col("n").cast("double")).alias("n"), total("s"), total("q"))
+    parts = alike.mapInPandas(run, "node int, question int, v array<double>")
     sides = parts.groupBy("node", "question").agg(F.array(*(F.sum(F.get("v", F.lit(i))) for i in range(2 * d + 1))).alias("yes"))
     whole = sides.filter(F.col("question") == asked).select("node", F.col("yes").alias("whole"))
     both = sides.filter(F.col("question") < asked).join(whole, "node").withColumn("no", F.zip_with("whole", "yes", lambda a, b: a - b))

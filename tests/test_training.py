@@ -208,3 +208,11 @@ def test_random_vectors_do_not_depend_on_partitions(spark):
     assert a == b and a != c
     flat = np.array(list(a.values())).ravel()
     assert abs(flat.mean()) < 0.12 and abs(flat.std() - 1) < 0.1
+
+
+def test_equal_answers_are_added_up_before_python(spark):
+    data = spark.range(1000).selectExpr("0 AS node", "array(id % 2 = 0, id % 3 = 0) AS answers", "1 AS n", "array(id % 6) AS s", "array((id % 6) * (id % 6)) AS q")
+    best = trees._gaussian_questions(data, 2, 1, 1.0, 0.0, 1e-3)
+    plan = best._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [node" in plan[plan.index("MapInPandas") :]
+    assert best.count() == 1
