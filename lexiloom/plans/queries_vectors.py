@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions import aggregates, quantiles
@@ -127,7 +126,7 @@ q AS (SELECT event_id, x, [s[k * (len(s) - 1) // 4 + 1] for k in range(5)] AS q
 @query(f"WITH {_WINDOWS} SELECT event_id, array_to_string(q, ' ') AS quantiles FROM q", "frames")
 def window_quantiles(spark, sf_dir):
     """Quarters of the 25 frames around each, 5 of them later."""
-    q = op.window_quantiles(views.frames(spark, sf_dir), 4, 25, 5, ["event_id"], block=64)
+    q = op.window_quantiles(views.frames(spark, sf_dir).drop("label"), 4, 25, 5, ["event_id"], block=64)
     return q.select("event_id", F.array_join("quantiles", " ").alias("quantiles"))
 
 
@@ -167,22 +166,11 @@ UNION ALL SELECT event_id, 'mean-and-variance', CASE WHEN s1 > 1e-6 THEN round((
 def window_normalise(spark, sf_dir):
     """All kinds, over windows of 10 frames of two components, 3 of them later; the last two without the beginnings, where windows of few frames may have means of 0."""
     f = views.frames(spark, sf_dir)
-    v = f.withColumn("x", F.array(F.col("x").cast("double"), (F.col("x") % 100).cast("double")))
-    c = F.least(F.row_number().over(Window.partitionBy("segment_id").orderBy("tick", "event_id")) + 3, F.count("*").over(Window.partitionBy("segment_id")), F.lit(10))
-    v = v.withColumn("c", c)
-    out = None
-    for kind in ("level", "mean", "mean-and-variance-1D", "mean-norm", "mean-and-variance", "divide-by-mean"):
-        n = _divided(v) if kind == "divide-by-mean" else op.window_normalise(v, kind, 10, 3, ["event_id"], block=64)
-        n = n.filter("c >= 5") if kind in ("mean-and-variance", "divide-by-mean") else n
-        n = n.select("event_id", F.lit(kind).alias("kind"), F.round(F.get("normalised", F.lit(0)), 4).alias("a"), F.round(F.get("normalised", F.lit(1)), 4).alias("b"))
-        out = n if out is None else out.unionByName(n)
-    return out
-
-
-def _divided(v):
-    """Segments of five frames or more alone, so that no window's mean is 0."""
-    whole = v.withColumn("_n", F.count("*").over(Window.partitionBy("segment_id"))).filter("_n >= 5").drop("_n")
-    return op.window_normalise(whole, "divide-by-mean", 10, 3, ["event_id"], block=64)
+    v = f.select("segment_id", "tick", "event_id", F.array(F.col("x").cast("double"), (F.col("x") % 100).cast("double")).alias("x"))
+    kinds = {"level": 1, "mean": 1, "mean-and-variance-1D": 1, "mean-norm": 1, "mean-and-variance": 5, "divide-by-mean": 5}
+    n = op.window_normalise_kinds(v, kinds, 10, 3, ["event_id"], block=64)
+    each = n.select("event_id", F.explode(F.array(*(F.struct(F.lit(kind).alias("kind"), F.col(f"`{kind}`").alias("y")) for kind in kinds))).alias("k"))
+    return each.filter("k.y IS NOT NULL").select("event_id", "k.kind", F.round(F.get("k.y", F.lit(0)), 4).alias("a"), F.round(F.get("k.y", F.lit(1)), 4).alias("b"))
 
 
 @query("""SELECT event_type AS label, count(*)::DOUBLE AS n, round(avg(value), 6) AS mean, round(var_pop(value), 4) AS variance FROM events GROUP BY 1""")

@@ -165,6 +165,27 @@ def test_order_statistics(spark, monkeypatch):
         quantiles.order_statistics(data, "x", [7])
 
 
+def test_window_kinds_in_one_pass(spark):
+    """Blocks that go on over Arrow batches, short segments beside a long one, and windows of too few frames."""
+    rng = np.random.default_rng(5)
+    x = {s: rng.integers(1, 50, (t, 2)).astype(float) for s, t in (("a", 1), ("b", 3), ("c", 41), ("d", 12), ("e", 7))}
+    data = spark.createDataFrame([(s, t, v.tolist()) for s, vs in x.items() for t, v in enumerate(vs)], "segment_id string, tick long, x array<double>")
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "5")
+    try:
+        rows = vectors.window_normalise_kinds(data, {"mean": 1, "divide-by-mean": 5}, 6, 2, [], block=8).collect()
+    finally:
+        spark.conf.set(setting, before)
+    assert len(rows) == sum(map(len, x.values()))
+    for r in rows:
+        vs = x[r.segment_id]
+        end = min(r.tick + 2, len(vs) - 1)
+        window = vs[max(0, end - 5) : end + 1]
+        assert np.allclose(r["mean"], vs[r.tick] - window.mean(axis=0))
+        assert r["divide-by-mean"] is None if len(window) < 5 else np.allclose(r["divide-by-mean"], vs[r.tick] / window.mean(axis=0))
+
+
 def test_window_quantiles(spark):
     rnd = random.Random(2)
     x = {s: [rnd.randint(0, 50) for _ in range(n)] for s, n in ((1, 40), (2, 3), (3, 1))}
