@@ -53,6 +53,23 @@ def test_matches_in_texts_of_any_length(spark):
         assert sorted(got.get(k, []), key=key) == sorted(plain_matches(words, lexicon, 3), key=key)
 
 
+def test_frequent_history_is_spread(spark):
+    """The n-grams of one history are in several tasks, each n-gram in one; those of literal marks and of words alone are told apart."""
+    data = spark.createDataFrame([(" ".join(f"a w{i} <s>" for i in range(200)),), ("a",), ("",), (None,)], "orth string")
+    rows = counts.ngram_counts(data, 2).withColumn("part", F.spark_partition_id()).collect()
+    assert len({r.part for r in rows if r.history == "a"}) > 1
+    got = {(r.order, r.history, r.word): r.n for r in rows}
+    assert len(got) == len(rows) and got[1, "", "a"] == 201 and got[2, "a", "w7"] == 1 and got[2, "<s>", "a"] == 201 and got[2, "<s>", "</s>"] == 3 and got[1, "", "<s>"] == 200
+
+
+def test_coverage_needs_no_scores(spark):
+    """The n-grams that a model has are read from the counts: nothing is joined but them and the segments."""
+    from lexiloom.plans import catalogue
+
+    plan = catalogue.QUERIES["drop_uncovered_by_lm"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") <= 2
+
+
 @pytest.mark.parametrize("tokens", [1 << 21, 4])
 def test_ngram_counts(spark, monkeypatch, tokens):
     monkeypatch.setattr(counts, "TOKENS", tokens)
