@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiloom.functions.tables import slices
+from lexiloom.functions.tables import dealt, slices
 
 EPSILON = "*EPS*"
 
@@ -236,6 +236,44 @@ def align_slots(sub: Callable[[int], np.ndarray], ins: np.ndarray, dele: np.ndar
     return out[::-1]
 
 
+def align_many(sub: Callable[[int], np.ndarray], ins: np.ndarray, dele: np.ndarray, n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``align_slots`` without a band of many pairs at once, as rows: the words and the slots of the pairs, -1 for none and after the last, and the numbers of pairs.
+
+    Rows are padded to the most words and slots; a cell depends on none behind it, so what stands there does not matter.
+    """
+    each, skip = np.arange(len(n)), np.concatenate([np.zeros((len(n), 1)), np.cumsum(dele, axis=1)], axis=1)
+    never, row = np.full((len(n), 1), np.inf), skip
+    back = np.empty((ins.shape[1], *skip.shape), np.int8)
+    for i in range(ins.shape[1]):
+        paired = np.concatenate([never, row[:, :-1] + sub(i)], axis=1)
+        new = np.minimum.accumulate(np.minimum(paired, row + ins[:, i, None]) - skip, axis=1) + skip
+        left = np.concatenate([never, new[:, :-1] + dele], axis=1)
+        back[i] = np.where(np.abs(new - paired) <= 1e-9, 0, np.where(np.abs(new - left) <= 1e-9, 1, 2))
+        row = new
+    i, j, words, slots = n.copy(), m.copy(), [], []
+    while (going := (i > 0) | (j > 0)).any():
+        step = np.where(i == 0, 1, back[i - 1, each, j] if len(back) else 1)
+        i, j = i - (going & (step != 1)), j - (going & (step != 2))
+        words.append(np.where(going & (step != 1), i, -1))
+        slots.append(np.where(going & (step != 2), j, -1))
+    if not words:
+        return np.zeros((len(n), 0), np.int64), np.zeros((len(n), 0), np.int64), np.zeros(len(n), np.int64)
+    words, slots = np.stack(words, axis=1), np.stack(slots, axis=1)
+    sizes = ((words >= 0) | (slots >= 0)).sum(axis=1)
+    at = sizes[:, None] - 1 - np.arange(words.shape[1])  # pairs were found from the end
+    turned = lambda x: np.where(at >= 0, np.take_along_axis(x, np.maximum(at, 0), axis=1), -1)
+    return turned(words), turned(slots), sizes
+
+
+def alike(sizes: np.ndarray, cells: int = 1 << 20) -> Iterator[np.ndarray]:
+    """Places of segments of like ``sizes``, so that a group padded to its largest has about ``cells`` cells of a square of that size."""
+    order, at = np.argsort(sizes, kind="stable")[::-1], 0
+    while at < len(order):
+        step = max(1, cells // (int(sizes[order[at]]) + 1) ** 2)
+        yield order[at : at + step]
+        at += step
+
+
 def rover(hyps: DataFrame, weights: list[float], alpha: float = 0.0, null_confidence: float = 0.7, cost: str = "unit", per_second: float = 100.0) -> DataFrame:
     """Combination of systems ``segment_id, system, words, confidences[, starts, ends]`` (arrays) by progressive alignment: the words of the best score in each slot.
 
@@ -248,7 +286,7 @@ def rover(hyps: DataFrame, weights: list[float], alpha: float = 0.0, null_confid
         raise ValueError("costs are unit, words or times")
     fields = ["system", "words", "confidences", *(["starts", "ends"] if cost == "times" else [])]
     systems = F.array_sort(F.collect_list(F.struct(*fields)))
-    grouped = hyps.groupBy("segment_id").agg(systems.alias("systems"))
+    grouped = dealt(hyps, "segment_id").groupBy("segment_id").agg(systems.alias("systems"))  # tasks by rows of work, not by bytes of shuffles
 
     def combine(systems: list[dict]) -> list[str]:
         number = {w: k for k, w in enumerate(dict.fromkeys(["", *(w for s in systems for w in s["words"])]))}
@@ -289,9 +327,50 @@ def rover(hyps: DataFrame, weights: list[float], alpha: float = 0.0, null_confid
             out += [word] if word else []
         return out
 
+    def combine_units(group: list[list[dict]]) -> list[list[str]]:
+        """``combine`` of segments of all systems at unit costs, as rows."""
+        number = {w: k for k, w in enumerate(dict.fromkeys(["", *(w for systems in group for s in systems for w in s["words"])]))}
+        names, each = list(number), np.arange(len(group))[:, None]
+        words, sure, m = np.zeros((0, len(group), 0), np.int64), np.zeros((0, len(group), 0)), np.zeros(len(group), np.int64)
+        for k in range(len(weights)):
+            n = np.array([len(systems[k]["words"]) for systems in group])
+            own, c = np.zeros((len(group), n.max()), np.int64), np.zeros((len(group), n.max()))
+            filled = np.arange(n.max()) < n[:, None]
+            own[filled] = [number[w] for systems in group for w in systems[k]["words"]]
+            c[filled] = [x for systems in group for x in systems[k]["confidences"]]
+            if k:
+                sub = lambda i: np.where((words == own[:, i, None]).any(axis=0), 0.0, 1.0)  # noqa: B023, E731
+                at_word, at_slot, m = align_many(sub, np.ones(own.shape), np.where((words == 0).any(axis=0), 0.0, 1.0), n, m)
+            else:
+                at_word, at_slot, m = np.where(filled, np.arange(n.max()), -1), np.full(own.shape, -1), n
+
+            def grown(old: np.ndarray, new: np.ndarray, missing: float) -> np.ndarray:
+                padded = [np.concatenate([x, np.full((len(group), 1), missing)], axis=1) for x in (*old, new)]  # place -1 is the missing one
+                return np.stack([*(x[each, at_slot] for x in padded[:-1]), padded[-1][each, at_word]])  # noqa: B023
+
+            words, sure = grown(words, own, 0).astype(np.int64), grown(sure, c, null_confidence)
+        total = sum(w * c for w, c in zip(weights, sure, strict=True))
+        total = np.where(total == 0, 1.0, total)
+        votes = [alpha * w + (1 - alpha) * w * c / total for w, c in zip(weights, sure, strict=True)]
+        scores = np.stack([sum(np.where(other == word, vote, 0.0) for other, vote in zip(words, votes, strict=True)) for word in words])
+        best = np.take_along_axis(words, scores.argmax(axis=0)[None], axis=0)[0]
+        for b, slot in zip(*np.nonzero(((scores >= scores.max(axis=0) - 1e-11) & (words != best)).any(axis=0) & (np.arange(best.shape[1]) < m[:, None])), strict=True):  # nearly equal scores
+            best[b, slot] = min(words[:, b, slot], key=lambda x: (-round(float(scores[list(words[:, b, slot]).index(x), b, slot]), 12), names[x]))  # noqa: B023
+        return [[names[w] for w in row[:size] if w] for row, size in zip(best.tolist(), m.tolist(), strict=True)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("segment_id"), pa.array([combine(s) for s in batch.column("systems").to_pylist()], pa.list_(pa.string()))], names=["segment_id", "words"])
+            rows = batch.column("systems").to_pylist()
+            sizes = np.array([sum(len(s["words"]) for s in systems) for systems in rows])
+            together = np.array([cost == "unit" and len(systems) == len(weights) for systems in rows]) & (sizes <= BAND)  # within a band, words meet all slots
+            found: list[list[str]] = [[]] * len(rows)
+            for k in np.flatnonzero(~together):
+                found[k] = combine(rows[k])
+            small = np.flatnonzero(together)
+            for group in alike(sizes[small]):
+                for k, words in zip(small[group], combine_units([rows[k] for k in small[group]]), strict=True):
+                    found[k] = words
+            yield pa.RecordBatch.from_arrays([batch.column("segment_id"), pa.array(found, pa.list_(pa.string()))], names=["segment_id", "words"])
 
     return grouped.mapInArrow(run, f"segment_id {hyps.schema['segment_id'].dataType.simpleString()}, words array<string>")
 
@@ -311,7 +390,7 @@ def combine_aligned_cns(cns: list[DataFrame], weights: list[float], epsilon: str
     """
     marked = [c.select("segment_id", F.lit(k).alias("system"), "slot", "label", "posterior") for k, c in enumerate(cns)]
     whole = F.array_sort(F.collect_list(F.struct("system", "slot", "label", "posterior")))
-    grouped = reduce(DataFrame.unionByName, marked).groupBy("segment_id").agg(whole.alias("entries"))
+    grouped = dealt(reduce(DataFrame.unionByName, marked), "segment_id").groupBy("segment_id").agg(whole.alias("entries"))
 
     def combine(entries: list[dict]) -> list[dict[str, float]]:
         so_far: list[dict[str, float]] = []

@@ -225,6 +225,30 @@ def test_likeliest_affine_maps(spark):
         adaptation.affine_transform(data, densities, "key", 2, "other")
 
 
+def test_segments_are_aligned_together():
+    """Many alignments as rows are those one by one, with costs that leave ties, and unequal and empty sides."""
+    rng = np.random.default_rng(3)
+    n, m = rng.integers(0, 7, 60), rng.integers(0, 7, 60)
+    costs, ins, dele = rng.integers(0, 2, (60, 6, 6)).astype(float), rng.choice([0.7, 1.0], (60, 6)), rng.choice([0.0, 0.3, 1.0], (60, 6))
+    words, slots, sizes = confusion.align_many(lambda i: costs[:, i], ins, dele, n, m)
+    for b in range(60):
+        want = confusion.align_slots(lambda i, b=b: costs[b, i, : m[b]], ins[b, : n[b]], dele[b, : m[b]])
+        assert list(zip(words[b, : sizes[b]].tolist(), slots[b, : sizes[b]].tolist(), strict=True)) == want
+    assert sorted(np.concatenate(list(confusion.alike(n, 40))).tolist()) == list(range(60))
+
+
+def test_rover_together_and_alone(spark, monkeypatch):
+    """Short segments in groups have the words that each has alone (as segments beyond the band are)."""
+    rng = np.random.default_rng(4)
+    rows = [(s, k, [str(w) for w in rng.choice(["a", "b", "c"], rng.integers(0, 6))]) for s in range(80) for k in range(3)]
+    data = spark.createDataFrame([(s, k, w, [float(c) for c in rng.choice([0.2, 0.5, 0.9], len(w))]) for s, k, w in rows], "segment_id int, system int, words array<string>, confidences array<double>")
+    found = []
+    for band in (1000, -1):
+        monkeypatch.setattr(confusion, "BAND", band)
+        found.append([{r.segment_id: r.words for r in confusion.rover(data, weights, alpha).collect()} for weights, alpha in (([1.0, 1.0, 1.0], 0.0), ([0.2, 0.3, 0.5], 0.5))])
+    assert found[0] == found[1] and len(found[0][0]) == 80
+
+
 def test_mergeable_aggregate(spark):
     rng = np.random.default_rng(1)
     rows = [("ab"[k % 2], float(v), float(w)) for k, (v, w) in enumerate(rng.normal(size=(500, 2)) ** 2)] + [("a", None, 1.0), ("b", 1.0, None), ("none", None, 2.0)]
