@@ -398,14 +398,21 @@ def combine_aligned_cns(cns: list[DataFrame], weights: list[float], epsilon: str
         for system, own in groupby(entries, key=lambda e: e["system"]):
             new = [{e["label"]: e["posterior"] for e in slot} for _, slot in groupby(own, key=lambda e: e["slot"])]
             weight = weights[system]
+            if not so_far:  # nothing to align with
+                so_far, weight_so_far = [{label: weight * p for label, p in slot.items()} for slot in new], weight
+                continue
             before = weight_so_far or 1.0
-            # slots as rows over the labels that both have: all pair costs are one product
-            number = {label: k for k, label in enumerate(dict.fromkeys([epsilon, *(x for slot in (*so_far, *new) for x in slot)]))}
-            old, own_slots = _over_labels(so_far, number) / before, _over_labels(new, number)
-            agree = old @ own_slots.T if len(so_far) and len(new) else np.zeros((len(so_far), len(new)))
-            alone, fresh = 1 - old[:, 0], 1 - own_slots[:, 0]
+            a, b = so_far[0], new[0]
+            if len(so_far) == len(new) == 1 and sum(p * b.get(label, 0.0) for label, p in a.items()) / before >= a.get(epsilon, 0.0) / before + b.get(epsilon, 0.0) - 1:  # a pair costs no more than both alone
+                pairs = [(0, 0)]
+            else:
+                # slots as rows over the labels that both have: all pair costs are one product
+                number = {label: k for k, label in enumerate(dict.fromkeys([epsilon, *(x for slot in (*so_far, *new) for x in slot)]))}
+                old, own_slots = _over_labels(so_far, number) / before, _over_labels(new, number)
+                agree = old @ own_slots.T
+                pairs = align_slots(lambda j: 1 - agree[:, j], 1 - own_slots[:, 0], 1 - old[:, 0])  # noqa: B023
             merged = []
-            for j, i in align_slots(lambda j: 1 - agree[:, j], fresh, alone):  # noqa: B023
+            for j, i in pairs:
                 a = so_far[i] if i >= 0 else {epsilon: weight_so_far} if weight_so_far else {}
                 b = new[j] if j >= 0 else {epsilon: 1.0}
                 merged.append({label: a.get(label, 0.0) + weight * b.get(label, 0.0) for label in {**a, **b}})

@@ -237,6 +237,20 @@ def test_segments_are_aligned_together():
     assert sorted(np.concatenate(list(confusion.alike(n, 40))).tolist()) == list(range(60))
 
 
+def test_single_slots_are_paired_or_not(spark, monkeypatch):
+    """A segment's only slots need no alignment where a pair costs no more than both alone; the first system needs none at all."""
+
+    def refuse(*_):
+        raise AssertionError("aligned")
+
+    rows = lambda p: spark.createDataFrame([("s", 0, label, x) for label, x in p.items()], "segment_id string, slot long, label string, posterior double")
+    found = lambda a, b: {(r.slot, r.label): round(r.posterior, 9) for r in confusion.combine_aligned_cns([rows(a), rows(b)], [0.5, 0.5]).collect()}
+    e = confusion.EPSILON
+    assert found({"x": 0.2, e: 0.8}, {"y": 0.3, e: 0.7}) == {(0, "x"): 0.1, (0, "y"): 0.15, (0, e): 0.75}
+    monkeypatch.setattr(confusion, "align_slots", refuse)
+    assert found({"x": 0.6, "y": 0.4}, {"y": 1.0}) == {(0, "x"): 0.3, (0, "y"): 0.7}
+
+
 def test_rover_together_and_alone(spark, monkeypatch):
     """Short segments in groups have the words that each has alone (as segments beyond the band are)."""
     rng = np.random.default_rng(4)
