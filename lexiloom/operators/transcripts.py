@@ -63,9 +63,10 @@ def covered_share(segments: DataFrame, grams: DataFrame, order: int) -> DataFram
     """``segment_id, coverage``: share (2 places) of words inside windows of ``order`` words that ``grams(g)`` has."""
     words = segments.select("segment_id", tokens(strip_noise(F.col("orth"))).alias("w"))
     windows = F.transform(F.sequence(F.lit(1), F.size("w") - order + 1), lambda i: F.struct(i.alias("i"), F.array_join(F.slice("w", i, order), " ").alias("g")))
-    hits = words.filter(F.size("w") >= order).select("segment_id", F.explode(windows).alias("x")).select("segment_id", "x.i", "x.g").join(grams, "g", "left_semi")
-    starts = hits.groupBy("segment_id").agg(F.array_sort(F.collect_list("i")).alias("starts"))
-    return words.select("segment_id", F.size("w").alias("n")).join(starts, "segment_id", "left").select("segment_id", F.coalesce(F.round(marked(F.col("starts"), order) / F.col("n"), 2), F.lit(0.0)).alias("coverage"))
+    hits = words.filter(F.size("w") >= order).select("segment_id", F.size("w").alias("n"), F.explode(windows).alias("x")).select("segment_id", "n", "x.i", "x.g").join(grams, "g", "left_semi")
+    starts = hits.groupBy("segment_id").agg(F.max("n").alias("n"), F.array_sort(F.collect_list("i")).alias("starts"))
+    # segments without hits meet the others by id alone: words are made once
+    return segments.select("segment_id").join(starts, "segment_id", "left").select("segment_id", F.coalesce(F.round(marked(F.col("starts"), order) / F.col("n"), 2), F.lit(0.0)).alias("coverage"))
 
 
 def marked(starts: Column, order: int) -> Column:

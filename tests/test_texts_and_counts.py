@@ -62,6 +62,17 @@ def test_frequent_history_is_spread(spark):
     assert len(got) == len(rows) and got[1, "", "a"] == 201 and got[2, "a", "w7"] == 1 and got[2, "<s>", "a"] == 201 and got[2, "<s>", "</s>"] == 3 and got[1, "", "<s>"] == 200
 
 
+def test_coverage_makes_words_once(spark):
+    """Texts are read for the windows of segments and for the reference; segments without hits are met by id."""
+    from lexiloom.operators import transcripts
+
+    data = spark.createDataFrame([("a", "x y z q"), ("b", "q"), ("c", None), ("d", "y z y z")], "segment_id string, orth string")
+    share = transcripts.covered_share(data, spark.createDataFrame([("y z",)], "g string"), 2)
+    assert {r.segment_id: r.coverage for r in share.collect()} == {"a": 0.5, "b": 0.0, "c": 0.0, "d": 1.0}
+    plan = share._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("regexp_replace(" in line for line in plan.splitlines() if "Project" in line) == 1
+
+
 def test_coverage_needs_no_scores(spark):
     """The n-grams that a model has are read from the counts: nothing is joined but them and the segments."""
     from lexiloom.plans import catalogue
