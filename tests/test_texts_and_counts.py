@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions import tables
 from lexiloom.operators import adaptation, arcs, counts, orthography, slots
+from lexiloom.operators import language_models as lm
 from lexiloom.streaming import streams
 
 
@@ -248,6 +249,43 @@ def test_model_of_events(spark):
     assert key(model) == key(plain)
 
 
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_class_scores_and_their_shuffles(spark, order):
+    """Histories of classes as those of a text of classes; no shuffle puts the words of a frequent class into one task, and at order 1 equal segment ids stay apart."""
+    rng = random.Random(7)
+    rows = [(f"s{i}", " ".join(rng.choice("a bb c dd e </s> zz".split()) for _ in range(rng.randrange(0, 7)))) for i in range(20)] + [("none", None), ("empty", "\t\n ")]
+    rows += [("s0", "a zz"), ("s0", "zz bb a")] if order == 1 else []
+    of = {"a": ("one", 0.25), "bb": ("two", 0.5), "c": ("one", 1.25), "dd": ("two", 2.0), "e": ("one", None)}
+    own = lambda w: of.get(w, (w, None))
+    # each line under its own number and in classes, for the plain way
+    classed = spark.createDataFrame([(i, " ".join(own(w)[0] for w in (t or "").split())) for i, (_, t) in enumerate(rows)], "segment_id int, orth string")
+    model = counts.estimate_backoff_lm(counts.ngram_counts(classed, order), order)
+    plain = {(r.segment_id, r.pos): r.score for r in counts.lm_score(counts.lm_events(classed, order), model, order).collect()}
+    words = [(i, s, pos, w) for i, (s, t) in enumerate(rows) for pos, w in enumerate([*(t or "").split(), None])]
+    want = [(s, pos, w or "</s>", round(plain[i, pos] + 0.5 * (own(w)[1] or 0.0), 9)) for i, s, pos, w in words]
+    classes = spark.createDataFrame([(w, *c) for w, c in of.items()], "token string, class string, emission double")
+    df = lm.class_lm_score(spark.createDataFrame(rows, "segment_id string, orth string"), classes, model, order, 0.5)
+    assert sorted((r.segment_id, r.pos, r.word, round(r.score, 9)) for r in df.collect()) == sorted(want)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(history#" not in plan and "hashpartitioning(pos#" not in plan and (order > 1 or "hashpartitioning(segment_id#" not in plan)
+
+
+def test_token_counts_by_parts(spark, monkeypatch):
+    """Tasks hand on a row for each token of a part, not for each occurrence; the parts' counts are added up. Order 1 follows from them."""
+    rng = random.Random(2)
+    rows = [(i, "".join(rng.choice(["a", "b", "ä", "\u00a0", " ", "\t", "\n", "\r"]) for _ in range(rng.randrange(0, 40)))) for i in range(200)] + [(200, None), (201, ""), (202, "a " * 5000)]
+    s = spark.createDataFrame(rows, "segment_id int, orth string").repartition(3)
+    want = Counter(w for _, t in rows for w in (t or "").replace("\t", " ").replace("\n", " ").split(" ") if w)
+    for most in (counts.TOKENS, 20):
+        monkeypatch.setattr(counts, "TOKENS", most)
+        df = counts.token_counts(s)
+        assert {r.token: r.n for r in df.collect()} == want
+    assert "Generate explode" not in df._jdf.queryExecution().executedPlan().toString()
+    key = lambda df: sorted(map(tuple, df.select("order", "history", "word", "n").collect()))
+    assert key(counts.unigram_counts(df, s)) == key(counts.ngram_counts(s, 1))
+    assert counts.unigram_counts(counts.token_counts(s.limit(0)), s.limit(0)).count() == 0
+
+
 def test_tables_are_dealt_by_their_size(spark, tmp_path, monkeypatch):
     """A task's share stays the same: more files, more tasks, in the cuts of long recordings and the sums over slots."""
     spark.range(4000).selectExpr("id % 50 AS recording_id", "10.0D * (id div 50) AS start", "10.0D * (id div 50) + 10 AS end", "if(id % 3 = 0, 'q', 'w') AS word").write.parquet(f"{tmp_path}/words")
