@@ -199,45 +199,52 @@ def oov_split_errors(alignment: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return counted.groupBy("region").agg(*(F.count_if(F.col("op") == o).alias(f"n_{o}") for o in ("ins", "del", "sub")), F.count_if(F.col("a").isNotNull()).alias("n_tokens"))
 
 
-#: Cells of a slot alignment that are kept at once; beyond, words and slots meet only within a band around the diagonal, as wide as that allows (``BAND`` at least).
+#: Cells of a slot alignment that are kept at once; beyond, some rows are kept and those between made again. Segments of at most ``BAND`` words in all systems are aligned many at a time.
 SLOT_CELLS, BAND = 1 << 24, 1000
 
 
 def align_slots(sub: Callable[[int], np.ndarray], ins: np.ndarray, dele: np.ndarray) -> list[tuple[int, int]]:
     """Least-cost pairs (word, slot), -1 for none: ``sub(i)`` are word i's costs in all slots, ``ins`` those of words without slot, ``dele`` those of slots without word.
 
-    Of equal ways a pair comes before a slot alone, that before a word alone.
+    Of equal ways a pair comes before a slot alone, that before a word alone. Every word may meet every slot; ``sub`` may be asked for a word more than once.
     """
-    n, m = len(ins), len(dele)
-    band = max(BAND, abs(n - m), SLOT_CELLS // (2 * max(n, 1)))
+    i, j = len(ins), len(dele)
     skip = np.concatenate([[0.0], np.cumsum(dele)])
-    row, low = skip[: band + 1], 0
-    back: list[tuple[int, np.ndarray]] = []
-    for i in range(n):
-        a, b = max(0, i + 1 - band), min(m, i + 1 + band)  # columns of the new row
-        above = np.full(b - a + 2, np.inf)  # of columns a - 1 to b
-        from_, to = max(a - 1, low), min(b, low + len(row) - 1)
-        above[from_ - a + 1 : to - a + 2] = row[from_ - low : to - low + 1]
-        costs = sub(i)
-        paired = above[:-1] + np.concatenate([[np.inf], costs])[a : b + 1] if a == 0 else above[:-1] + costs[a - 1 : b]
-        alone = above[1:] + ins[i]
-        best = np.minimum(paired, alone)
-        new = np.minimum.accumulate(best - skip[a : b + 1]) + skip[a : b + 1]
-        left = np.concatenate([[np.inf], new[:-1] + dele[a : b]])
-        near = lambda x: (new == x) | (np.abs(new - x) <= 1e-9)  # noqa: B023, E731  differences of a thousandth count
-        kind = np.where(near(paired), 0, np.where(near(left), 1, 2)).astype(np.int8)
-        back.append((a, kind))
-        row, low = new, a
-    out, i, j = [], n, m
-    while i or j:
-        step = 1 if not i else int(back[i - 1][1][j - back[i - 1][0]])
-        i, j = i - (step != 1), j - (step != 2)
-        out.append((i if step != 1 else -1, j if step != 2 else -1))
-    return out[::-1]
+
+    def after(row: np.ndarray, word: int) -> tuple[np.ndarray, np.ndarray]:
+        """The row of costs after a word, and those of ways that end with a pair."""
+        paired = np.concatenate([[np.inf], row[:-1] + sub(word)[: len(row) - 1]])
+        return np.minimum.accumulate(np.minimum(paired, row + ins[word]) - skip[: len(row)]) + skip[: len(row)], paired
+
+    out, kept = [], [(0, skip)]  # rows from which the way back is still to be found, with the words before them
+    while kept:
+        start, row = kept.pop()
+        row = row[: j + 1]  # no cell depends on one behind it
+        if i - start > 1 and (i - start) * len(row) > SLOT_CELLS:
+            gap = -(-(i - start) // max(2, SLOT_CELLS // (8 * len(row))))  # a kept cell has eight bytes
+            for word in range(start, i):
+                if (word - start) % gap == 0:
+                    kept.append((word, row))
+                    if word + gap >= i:
+                        break
+                row, _ = after(row, word)
+            continue
+        back = []
+        for word in range(start, i):
+            new, paired = after(row, word)
+            left = np.concatenate([[np.inf], new[:-1] + dele[: len(new) - 1]])
+            near = lambda x: (new == x) | (np.abs(new - x) <= 1e-9)  # noqa: B023, E731  differences of a thousandth count
+            back.append(np.where(near(paired), 0, np.where(near(left), 1, 2)).astype(np.int8))
+            row = new
+        while i > start:
+            step = int(back[i - 1 - start][j])
+            i, j = i - (step != 1), j - (step != 2)
+            out.append((i if step != 1 else -1, j if step != 2 else -1))
+    return [(-1, k) for k in range(j)] + out[::-1]
 
 
 def align_many(sub: Callable[[int], np.ndarray], ins: np.ndarray, dele: np.ndarray, n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``align_slots`` without a band of many pairs at once, as rows: the words and the slots of the pairs, -1 for none and after the last, and the numbers of pairs.
+    """``align_slots`` of many pairs at once, as rows: the words and the slots of the pairs, -1 for none and after the last, and the numbers of pairs.
 
     Rows are padded to the most words and slots; a cell depends on none behind it, so what stands there does not matter.
     """
@@ -362,7 +369,7 @@ def rover(hyps: DataFrame, weights: list[float], alpha: float = 0.0, null_confid
         for batch in slices(batches):
             rows = batch.column("systems").to_pylist()
             sizes = np.array([sum(len(s["words"]) for s in systems) for systems in rows])
-            together = np.array([cost == "unit" and len(systems) == len(weights) for systems in rows]) & (sizes <= BAND)  # within a band, words meet all slots
+            together = np.array([cost == "unit" and len(systems) == len(weights) for systems in rows]) & (sizes <= BAND)
             found: list[list[str]] = [[]] * len(rows)
             for k in np.flatnonzero(~together):
                 found[k] = combine(rows[k])

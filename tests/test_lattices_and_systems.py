@@ -150,6 +150,25 @@ def test_slot_alignment_in_a_band(monkeypatch):
         assert found >= full - 1e-9 and (max(n, m) > 6 or abs(found - full) < 1e-9)
 
 
+def test_slot_alignment_meets_all_slots(monkeypatch):
+    """However few cells are kept, words meet slots far from the diagonal, and the pairs are those of one whole table."""
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        n, m = rng.integers(0, 40, 2)
+        costs, ins, dele = (rng.choice([0.0, 1.0], size) if rng.random() < 0.5 else rng.random(size) for size in ((n, m), n, m))
+        whole = confusion.align_slots(lambda i: costs[i], ins, dele)  # noqa: B023
+        with monkeypatch.context() as few:
+            few.setattr(confusion, "SLOT_CELLS", 8)
+            few.setattr(confusion, "BAND", 6)
+            assert confusion.align_slots(lambda i: costs[i], ins, dele) == whole  # noqa: B023
+        full = plain_alignment(list(range(n)), list(range(m)), lambda i, j: costs[i, j], lambda i: ins[i], lambda j: dele[j])[-1, -1]  # noqa: B023
+        assert abs(sum(dele[j] if i < 0 else ins[i] if j < 0 else costs[i, j] for i, j in whole) - full) < 1e-9
+    # 6,000 words, the first 1,800 of which come last as slots: the others are 1,800 places from the diagonal, a band of those cells had 1,398
+    words, slots = np.arange(6000), np.concatenate([np.arange(1800, 6000), np.arange(1800)])
+    pairs = confusion.align_slots(lambda i: (slots != words[i]) * 3.0, np.ones(6000), np.ones(6000))
+    assert sum(i >= 0 and j >= 0 and slots[j] == words[i] for i, j in pairs) == 4200
+
+
 def test_oracle_and_graph_errors_search(spark):
     rnd = random.Random(4)
     slots, refs, want = [], [], {}
