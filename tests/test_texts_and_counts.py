@@ -249,6 +249,72 @@ def test_model_of_events(spark):
     assert key(model) == key(plain)
 
 
+@pytest.mark.parametrize("frequent, tokens", [(1 << 18, 1 << 21), (3, 10)])
+def test_packed_ngrams(spark, monkeypatch, frequent, tokens):
+    """Counts and models by packed rows are those by tables, whether words are frequent or named by rows, in any number of parts; no n-gram is shuffled as text."""
+    from lexiloom.operators import packed_ngrams
+
+    monkeypatch.setattr(packed_ngrams, "FREQUENT", frequent)
+    monkeypatch.setattr(packed_ngrams, "TOKENS", tokens)
+    rng = random.Random(frequent)
+    words = ["a", "b", "é", "dd", "<s>", "</s>", *(f"w{i}" for i in range(30))]
+    line = lambda: " \t".join(rng.choices(words, [9, 8, 7, 6, 1, 1] + [1] * 30, k=rng.randrange(0, 12)))
+    texts = [None, "", "\n", "solo"] + [line() for _ in range(80)]
+    data = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "segment_id string, orth string").repartition(3)
+    asked = spark.createDataFrame([(str(i), line() + " never a") for i in range(20)] + [("none", None)], "segment_id string, orth string")
+    key = lambda df: sorted((r.order, r.history, r.word, round(r.score, 9), round(r.backoff, 9)) for r in df.collect())
+    rows = lambda df: sorted((r.segment_id, r.pos, r.word, round(r.score, 9)) for r in df.collect())
+    for order in (1, 3):
+        want = Counter()
+        for t in texts:
+            w = ["<s>", *(t or "").split(), "</s>"]
+            want.update((k, " ".join(w[e - k + 1 : e]), w[e]) for e in range(1, len(w)) for k in range(1, order + 1) if e - k + 1 >= 0)
+        table = counts.ngram_counts(data, order)
+        assert {(r.order, r.history, r.word): r.n for r in table.collect()} == want
+        plain = counts.estimate_backoff_lm(spark.createDataFrame([(*g, n) for g, n in want.items()], "order int, history string, word string, n long"), order)
+        model = counts.backoff_lm(data, order)
+        assert key(model) == key(plain)
+        assert all("hashpartitioning" not in df._jdf.queryExecution().executedPlan().toString() for df in (table, model))
+        assert rows(counts.score_segments(asked, data, order)) == rows(counts.lm_score(counts.lm_events(asked, order), plain, order))
+        for history in ("", "a b")[:order]:
+            of = lambda df: sorted((r.order, r.word, round(r.score, 9)) for r in df.collect())
+            assert of(counts.successors(data, order, history)) == of(counts.history_successors(plain, history))
+    assert counts.backoff_lm(data.limit(0), 2).count() == 0
+
+
+def test_asked_counts_are_few(spark):
+    """Of the n-grams of a text, only those that are asked for are written, with the totals of their histories; what all of them add to discounts is in the sums."""
+    from lexiloom.operators import packed_ngrams
+
+    data = spark.createDataFrame([("a b c",), ("a b d",), ("e f g h",)], "orth string")
+    table = packed_ngrams.asked_counts(data, 2, counts._words(data), spark.createDataFrame([("a b z",)], "orth string"))
+    got = {(r.order, r.history, r.word): (r.n, r.total, r.types) for r in table.filter("history IS NOT NULL").collect()}
+    assert got == {(1, "", "a"): (2, None, None), (1, "", "b"): (2, None, None), (1, "", "</s>"): (3, None, None), (2, "<s>", "a"): (2, 3, 2), (2, "a", "b"): (2, 2, 1), (2, "<s>", None): (None, 3, 2), (2, "a", None): (None, 2, 1), (2, "b", None): (None, 2, 2)}
+    sums = table.filter("history IS NULL").groupBy("order").sum("n", "total", "types", "grams").collect()
+    assert sorted(map(tuple, sums)) == [(1, 13, 6, 2, 9), (2, 13, 9, 2, 11)]
+
+
+def test_gathered_ngrams_are_added_up(spark, monkeypatch):
+    """A task that gathers more n-grams than it should hold adds equal ones up and goes on, with one number for each word."""
+    import pyarrow as pa
+
+    from lexiloom.operators import packed_ngrams as packed
+
+    rng = random.Random(1)
+    texts = [" ".join(rng.choice("a b c d e f g h i j k".split()) for _ in range(rng.randrange(0, 9))) for _ in range(60)]
+    words = counts._words(spark.createDataFrame([("a a a b b",)], "orth string"))
+    rows = [b for t in texts for b in packed._local(pa.array([t]), 3, words, 2, packed.GRAMS, 1)]
+    want = Counter()
+    for t in texts:
+        w = ["<s>", *t.split(), "</s>"]
+        want.update(" ".join(w[e - k + 1 : e + 1]) for e in range(1, len(w)) for k in range(1, 4) if e - k + 1 >= 0)
+    for most in (packed.GATHERED, 20):
+        monkeypatch.setattr(packed, "GATHERED", most)
+        found = packed._Gathered(iter(rows), words, True)
+        got = [(g, n) for k in (1, 2, 3) for g, n in zip(found.texts(found.get(packed.GRAMS, k, 1)[0]).to_pylist(), found.get(packed.GRAMS, k, 1)[1][0].tolist(), strict=True)]
+        assert len(got) == len(want) and dict(got) == want
+
+
 @pytest.mark.parametrize("order", [1, 2, 3])
 def test_class_scores_and_their_shuffles(spark, order):
     """Histories of classes as those of a text of classes; no shuffle puts the words of a frequent class into one task, and at order 1 equal segment ids stay apart."""
