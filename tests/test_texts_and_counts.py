@@ -294,6 +294,13 @@ def test_asked_counts_are_few(spark):
     assert sorted(map(tuple, sums)) == [(1, 13, 6, 2, 9), (2, 13, 9, 2, 11)]
 
 
+def test_scores_keep_no_shuffles(spark):
+    """Each join of scoring is written before the next, so that the disk has the shuffles of one at a time."""
+    data = spark.createDataFrame([("x", "a b c"), ("y", "a b d")], "segment_id string, orth string")
+    scores = counts.score_segments(data, data, 3)
+    assert "Join" not in scores._jdf.queryExecution().optimizedPlan().toString() and scores.count() == 8
+
+
 def test_gathered_ngrams_are_added_up(spark, monkeypatch):
     """A task that gathers more n-grams than it should hold adds equal ones up and goes on, with one number for each word."""
     import pyarrow as pa
